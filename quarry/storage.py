@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
