@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import quality
+from quarry.llm import decontaminate, language, quality, secrets, warc
+from quarry.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +22,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"), new_path(spark, "ledger"), path="doc_id")
+
+    def said(kinds: list[str] | None = None) -> Column:
+        f = F.col("findings") if kinds is None else F.filter("findings", lambda x: x["kind"].isin(kinds))
+        return F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    n = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(F.col("path").alias("doc_id"), *map(n, secrets.BASE), F.sha2(said(secrets.BASE), 256).alias("base_sha256"), said().alias("spans"), "blob")
+
+
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(read(spark, sf_dir, "pages"))
+    number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
+    return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model, spark).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_warc_salvage": op4_warc_salvage,
+    "op5_language_id": op5_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
