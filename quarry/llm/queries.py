@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language, quality, secrets, warc
+from quarry.llm import decontaminate, language, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
 from quarry.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file ``name`` is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -50,12 +57,42 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model, spark).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(read(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = tokens.write(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), new_path(spark, "tokens"))
+    return tokens.digests(table)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_language_id": op5_language_id,
+    "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
+    "op8_token_orc": op8_token_orc,
+    "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
