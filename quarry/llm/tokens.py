@@ -8,7 +8,7 @@ skips stripes and row groups by their statistics and Bloom filters.
 
 The vocabulary is applied word by word: this tokenizer drops white space and
 no token spans it, so the ids of a text are those of its words in order, and
-each worker remembers the words that it has encoded, ``MEMO`` of them at most.
+each worker remembers the words that it has encoded, about ``MEMO`` of them.
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come
 first; rows that repeat a doc_id are encoded each, in the order of their
@@ -18,11 +18,13 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,36 @@ from quarry.session import ship
 from quarry.storage import materialize, running_total
 
 END = 2
-MEMO = 400_000
+MEMO = 1_000_000
+#: Stands between new words of letters.
+MARK = "|"
 ROW_INDEX = 1000
 SCHEMA = "doc_id long, seq long, n_tokens int, ids array<int>"
 _loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers, with a bounded memo of words."""
+    """Ids of texts, with a bounded memo of words.
+
+    A run of texts is cut into words and those are made distinct in Arrow, so
+    Python sees each word once for a run.  A new word of lower-case Latin
+    letters goes to the tokenizer's merges at once, as its normalisation and
+    word pattern leave such a word whole; words that mix letters with digits or
+    signs are put together from their parts under the same pattern; all others
+    pass through the whole tokenizer.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
-        from tokenizers import Tokenizer
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {"": b""}
+        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.merges.encode(MARK).ids
+        self.known[""] = b""
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -51,25 +70,88 @@ class WordEncoder:
         return _loaded[path]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Runs between ASCII spaces and line breaks; other white space stays inside for the tokenizer."""
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+    def prepared(text: str) -> str:
+        """``text`` with ASCII white space as blanks; other white space stays for the tokenizer.
+
+        The tokenizer folds case after it has looked for its special tokens and
+        after composing marks, so a text without a special token's opening and
+        without characters beyond Latin-1 may be folded before.
+        """
+        if "<|" not in text and (text.isascii() or _latin1(text)):
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+    def _whole(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, new: list[str]) -> None:
+        """Words of lower-case letters, many at a time with a mark of one token between."""
+        if len(self.mark) != 1:
+            return self._whole(new)
+        runs = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        for run, e in zip(runs, self.merges.encode_batch_fast([f" {MARK} ".join(r) for r in runs]), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark[0])
+            for w, x, y in zip(run, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
+                self.known[w] = data[x:y]
+
+    def learn(self, new: list[str]) -> None:
         known = self.known
-        if len(known) > self.memo:
-            known.clear()
-            known[""] = b""
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-def _small(texts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
+        letters, mixed, other = set(), [], []
+        for w in new:
+            if _LETTERS.fullmatch(w):
+                letters.add(w)
+            elif _MIXED.fullmatch(w) and "<|" not in w:
+                mixed.append((w, _PARTS.findall(w)))
+            else:
+                other.append(w)
+        parts = {p for _, ps in mixed for p in ps if p not in known}
+        few = {p for p in parts if not _LETTERS.fullmatch(p)}
+        self._letters([*letters, *(parts - few - letters)])
+        self._whole([*other, *few])
+        for w, ps in mixed:
+            known[w] = b"".join(map(known.__getitem__, ps))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in order, and how many each text has."""
+        words = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > self.memo:  # keep what is in use
+            self.known = {w: self.known[w] for w in distinct if w in self.known} | {"": b""}
+        found = list(map(self.known.get, distinct))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        self.learn([distinct[i] for i in gaps])
+        for i in gaps:
+            found[i] = self.known[distinct[i]]
+        table = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())]
+        bounds = np.concatenate(([0], ends))[words.offsets.to_numpy()]
+        return ids, np.diff(bounds)
+
+
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: The tokenizer's word pattern on lower-case Latin-1: letters, single digits, runs of signs.  An apostrophe may start a
+#: contraction, so words that hold one are left to the tokenizer.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_MIXED = re.compile(r"[!-&(-@\[-`{-~a-zß-öø-ÿ]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _small(texts: list[str], limit: int = 1 << 23) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters."""
     run, held = [], 0
     for t in texts:
@@ -88,18 +170,16 @@ def write(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", t
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("seq", F.monotonically_increasing_id())
-    last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.at(vocabulary)
         for batch in batches:
             at = 0
             for texts in _small(batch["text"].to_pylist()):
-                data = [x + last for x in encoder.encode(texts)]
-                n = np.array([len(x) // 4 for x in data], dtype=np.int32)
-                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(data))])
-                ids = pa.ListArray.from_arrays(pa.array(ends), values)
+                data, n = encoder.encode(texts)
+                data = np.insert(data, np.cumsum(n), end).astype(np.int32)
+                n = (n + 1).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(data))
                 some = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["seq"], pa.array(n), ids], names=["doc_id", "seq", "n_tokens", "ids"])
                 at += len(texts)
