@@ -192,7 +192,7 @@ def ere(pattern: str, ignore_case: bool = False) -> str:
     line.  Java's own escapes, look-around, lazy and possessive quantifiers are
     refused rather than understood as something else.
     """
-    out, i, n, depth, last = ["(?mi)" if ignore_case else "(?m)"], 0, len(pattern), 0, False
+    out, i, n, depth, last = ["(?di)" if ignore_case else "(?d)"], 0, len(pattern), 0, False
     while i < n:
         c = pattern[i]
         if c == "\\":
@@ -234,8 +234,9 @@ def ere(pattern: str, ignore_case: bool = False) -> str:
             out.append(m[0])
             i += len(m[0])
         else:
-            out.append(c if c in ".^$|" else re.escape(c) if not c.isalnum() else c)
-            last = c not in "|^"
+            # Java's own line anchors know more line ends and miss an empty last line.
+            out.append({"^": "(?<![^\\n])", "$": "(?![^\\n])", ".": ".", "|": "|"}.get(c) or (c if c.isalnum() else re.escape(c)))
+            last = c not in "|^$"
             i += 1
     if depth:
         raise BadPattern("unmatched (")

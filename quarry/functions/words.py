@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,7 +110,6 @@ def porter_words(text: str | None) -> list[str]:
 
 def porter_udf():
     """Arrow UDF text -> array<string> of stems in order."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<string>")
@@ -185,7 +185,6 @@ def _ideograph(c: int) -> bool:
 
 def wordpiece_udf(vocab: list[str], conformant: bool = False):
     """Arrow UDF text -> array<int>; the vocabulary travels with the function."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<int>")
@@ -218,7 +217,6 @@ def snippet(text: str | None, terms: set[str], width: int = 24, marks: tuple[str
 
 
 def snippet_udf(terms: set[str], width: int = 24):
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
