@@ -1,16 +1,38 @@
 """The corpus pipeline: five stages from ``documents`` to token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``docs``.
+last return the columns of ``docs``.  A stage's result is to be written before
+the next stage begins: that one deletes the intermediate tables of its
+predecessor.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, quality, simhash, tokens
 from quarry.llm.queries import vocabulary
-from quarry.storage import materialize, new_path
+from quarry.storage import delete, materialize, new_path, recording
+
+_left: dict[str, list[str]] = {}
+
+
+def _stage(f):
+    """``f`` with the tables it writes recorded, and those of the stage before it deleted."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if f is not _first:
+            delete(spark, _left.pop(app, []))
+        with recording() as paths:
+            out = f(spark, docs, sf_dir)
+        _left[app] = paths
+        return out
+
+    return run
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +56,14 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "n_tokens", "ids")
 
 
+_first = quality_rules
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("source_mix", source_mix),
-    ("token_ids", token_ids),
+    ("quality_rules", _stage(quality_rules)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("decontamination", _stage(decontamination)),
+    ("source_mix", _stage(source_mix)),
+    ("token_ids", _stage(token_ids)),
 ]
 
 #: SQL has neither the fit of the rules, nor the components, nor the tokenizer.
