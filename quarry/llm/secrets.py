@@ -96,5 +96,7 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
 
     unseen.mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).where(F.size("findings") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("f"))
+    # Written, so that both sides of the join are plain exchanges and a blob with many paths is split.
+    found = materialize(found, "secret-findings")
     now = F.filter("f", lambda x: x["rule"].isin(want))
     return ids.join(found, "blob", "left").select("path", "blob", F.coalesce(now, F.array().cast(FINDING)).alias("findings"))
