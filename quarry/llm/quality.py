@@ -124,9 +124,6 @@ def rules(prefix: str = "") -> dict[str, Column]:
     return {k: vote(x, -1) for k, x in bad.items()} | {k: vote(x, 1) for k, x in good.items()}
 
 
-RULES = list(rules())
-
-
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, start: float = 0.8, smooth: float = 2.0) -> tuple[float, list[float]]:
     """Accuracies by expectation maximisation over counted vote patterns.
 
