@@ -100,7 +100,7 @@ class WordEncoder:
         known = self.known
         letters, mixed, other = set(), [], []
         for w in new:
-            if _LETTERS.fullmatch(w):
+            if (w.isascii() and w.isalpha() and w.islower()) or _LETTERS.fullmatch(w):
                 letters.add(w)
             elif _MIXED.fullmatch(w) and "<|" not in w:
                 mixed.append((w, _PARTS.findall(w)))
@@ -125,15 +125,10 @@ class WordEncoder:
         self.learn([distinct[i] for i in gaps])
         for i in gaps:
             found[i] = self.known[distinct[i]]
-        table = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first = np.cumsum(size) - size
-        at = coded.indices.to_numpy()
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = table[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())]
-        bounds = np.concatenate(([0], ends))[words.offsets.to_numpy()]
-        return ids, np.diff(bounds)
+        taken = pa.array(found, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1).astype(np.int64) // 4
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
+        return ids, np.diff(ends[words.offsets.to_numpy()])
 
 
 def _latin1(text: str) -> bool:
