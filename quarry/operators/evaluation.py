@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.search import distinct_chunks, keyword_leg
+from quarry.storage import broadcast_if_small
+
+#: Labelled queries that are broadcast to every chunk.
+LABELLED = 100_000
 
 QUERY = "id string, split string, class string, expect string, artifact string, query string, anchor string, trap string"
 
@@ -17,7 +21,7 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve(chunks: DataFrame, queries: DataFrame, text: str = "anchor") -> DataFrame:
     """(id, content_hash, chunk_ix): the chunks that hold the query's ``text``; empty texts resolve to none."""
-    asked = F.broadcast(queries.where(F.coalesce(text, F.lit("")) != "").select("id", F.col(text).alias("_t")))
+    asked = broadcast_if_small(queries.where(F.coalesce(text, F.lit("")) != "").select("id", F.col(text).alias("_t")), LABELLED)
     here = distinct_chunks(chunks).select("content_hash", "chunk_ix", "chunk_text")
     return here.join(asked, F.contains(F.col("chunk_text"), F.col("_t"))).select("id", "content_hash", "chunk_ix")
 

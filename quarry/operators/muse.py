@@ -179,8 +179,9 @@ def pick(cand: list[dict], k: int, info: Info, rng: Random, seed_hash: str, same
 def muse(chunks: DataFrame, source: DataFrame, k: int = 5, seed: int = 1, at: tuple[str, int] | None = None, old: bool = False, same_source: bool = False, model_id: str | None = None, own_model: str | None = None, chars: int = 240) -> Info:
     """``k`` chunks across the band of the seed; ``seed`` makes the run repeatable.
 
-    The band is a share of the corpus; its ranks, cosines and ids reach the
-    driver, texts only of what is returned.
+    The band is a twentieth of the corpus; its ids, cosines and ranks reach the
+    driver, texts only of what is returned.  :func:`band` gives the same band
+    as a DataFrame where a twentieth is too much for a driver.
     """
     k, chars = (5 if k <= 0 else min(k, 32)), max(1, min(chars, 1000))
     info = Info()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import ascii_lower, is_cut, prefix
 from quarry.functions.vector import dot
 from quarry.functions.words import plain_words, plain_words_py
+from quarry.storage import materialize
 
 POOL, PER_HIT, RRF_K, EXCERPT = 40, 4, 60.0, 140
 FTS, VEC, LIT = 1, 2, 4
@@ -24,6 +25,8 @@ HEAD, TAIL, CUT = 1, 2, 4
 LEG_ORDER = {FTS: 0, LIT: 1, VEC: 2}
 K1, B = 1.2, 0.75
 LITERAL_TERMS = 8
+#: Query vectors scored in one scan.
+QUERIES = 10_000
 
 # Words whose presence orders nothing.
 STOP_WORDS = (
@@ -155,7 +158,13 @@ def keyword_leg(index: DataFrame, stats: DataFrame, queries: dict[str, str], mos
 
 
 def vector_leg(chunks: DataFrame, queries: DataFrame, model_id: str, most: int | None = POOL) -> DataFrame:
-    """Exact cosine of every embedded chunk of the epoch; ``queries`` is (qid, vec), unit vectors."""
+    """Exact cosine of every embedded chunk of the epoch; ``queries`` is (qid, vec), unit vectors.
+
+    All of ``queries`` meets every chunk, so it is broadcast behind a check of
+    its size; larger sets go in blocks of ``QUERIES``.
+    """
+    if queries.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries at once")
     own = chunks.where((F.col("model_id") == model_id) & F.col("embedding").isNotNull()).select("content_hash", "chunk_ix", "embedding")
     hits = own.crossJoin(F.broadcast(queries.select("qid", "vec"))).select("qid", "content_hash", "chunk_ix", dot(F.col("embedding"), F.col("vec")).alias("cos"))
     return ranked(hits, VEC, [F.desc("cos")], most)
@@ -175,12 +184,12 @@ def fuse(legs: DataFrame, k: int, pool: int = POOL) -> DataFrame:
     order = F.create_map(*[F.lit(x) for kv in LEG_ORDER.items() for x in kv])[F.col("leg")]
     each = legs.where(F.col("leg_rank") <= size).groupBy("qid", "content_hash", "chunk_ix", "leg").agg(F.min("leg_rank").alias("leg_rank"), F.max("cos").alias("cos"))
     found = each.groupBy("qid", "content_hash", "chunk_ix").agg(
-        F.min(F.struct(order.alias("o"), F.col("leg_rank").alias("r"))).alias("first"),
+        F.min(order * F.lit(1 << 20) + F.col("leg_rank")).alias("first"),  # one number keeps the aggregate hashed
         F.sum(1.0 / (RRF_K + F.col("leg_rank"))).alias("rrf"),
         F.bit_or("leg").alias("legs"),
         F.max("cos").alias("cos"),
     )
-    admitted = found.withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("first.o", "first.r", "content_hash", "chunk_ix"))).where(F.col("slot") <= pool)
+    admitted = found.withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("first", "content_hash", "chunk_ix"))).where(F.col("slot") <= pool)
     last = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 12)), "content_hash", "chunk_ix")
     best = Window.partitionBy("qid")
     return admitted.withColumn("best_cos", F.max("cos").over(best)).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("qid", "rank", "content_hash", "chunk_ix", "rrf", "legs", "cos", "best_cos")
@@ -220,7 +229,15 @@ def fragment_flags(rows: DataFrame, chunks: DataFrame, cut: Column | None = None
 
 
 def dressed(results: DataFrame, chunks: DataFrame, source: DataFrame, width: int = EXCERPT) -> DataFrame:
-    """Results with source path, citation, excerpt and fragment flags."""
+    """Results with source path, citation, excerpt and fragment flags.
+
+    ``results`` has at most k rows for each query of a batch that the driver
+    holds.  It is written once; chunks and sources are reduced to its contents
+    before they are grouped, so no more than those is shuffled.
+    """
+    results = materialize(results, "ask-results")
+    here = F.broadcast(results.select("content_hash").distinct())
+    chunks, source = (x.join(here, "content_hash", "left_semi") for x in (chunks, source))
     texts = distinct_chunks(chunks).select("content_hash", "chunk_ix", prefix(F.col("chunk_text"), width).alias("excerpt"), is_cut(F.col("chunk_text"), width).alias("_cut"))
     out = F.broadcast(results).join(texts, ["content_hash", "chunk_ix"]).join(source_of(source), "content_hash", "left")
     out = fragment_flags(out, chunks, F.col("_cut")).drop("_cut")

@@ -53,3 +53,13 @@ def pull(store: Store, peer: Store) -> str:
     chunk = ingest.merge(store.read("chunk"), peer.read("chunk"), ["content_hash", "model_id", "chunk_ix"])
     source = ingest.merge(store.read("source"), peer.read("source"), ["path"])
     return store.commit(chunk=chunk, source=source)
+
+
+def push(store: Store, peer: Store) -> str:
+    """Publish a snapshot of this store as the peer's new version, and verify its row counts."""
+    mine = store.snapshot()
+    version = peer.commit(mark=store.pointer()["mark"], **mine)
+    for name, table in peer.snapshot().items():
+        if table.count() != mine[name].count():
+            raise OSError(f"{name} did not arrive whole")
+    return version

@@ -18,6 +18,7 @@ from quarry.functions.text import ascii_lower
 from quarry.functions.vector import dot
 from quarry.operators import evaluation, grep, ingest, memory, muse, notes, search
 from quarry.sources import artifacts
+from quarry.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return ingest.new_chunks(contents, ingest.empty(spark, "content_hash string, model_id string"))
 
 
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`chunks` as a written table, for queries that scan them more than once."""
+    return materialize(chunks(spark, d), "indexed")
+
+
 CHUNK = SOURCE + r""", content AS (SELECT DISTINCT sha256(text) AS content_hash, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS ls FROM scanned WHERE text <> ''),
 numbered AS (SELECT content_hash, ls, unnest(range(0, CAST(ceil(len(ls) / 40.0) AS INT))) AS ix FROM content),
 chunk AS (SELECT content_hash, CAST(ix AS INT) AS chunk_ix, array_to_string(ls[ix * 40 + 1 : ix * 40 + 40], '') AS chunk_text FROM numbered)"""
@@ -131,7 +137,7 @@ DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 @query(f"WITH {CHUNK} SELECT content_hash, chunk_ix, sha256(chunk_text) AS chunk_hash, length(chunk_text) AS chars FROM chunk")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     return c.select("content_hash", "chunk_ix", ingest.content_hash(F.col("chunk_text")).alias("chunk_hash"), F.length("chunk_text").cast("long").alias("chars"))
 
 
@@ -241,7 +247,7 @@ LITERAL = f"{CHUNK}, {_literal_scores()}, literal AS (SELECT qid, content_hash,
 
 @query(f"WITH {LITERAL} SELECT qid, content_hash, chunk_ix, leg_rank FROM literal WHERE leg_rank <= 20")
 def literal_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.literal_leg(chunks(spark, d), ASKED, 20).select("qid", "content_hash", "chunk_ix", "leg_rank")
+    return search.literal_leg(indexed(spark, d), ASKED, 20).select("qid", "content_hash", "chunk_ix", "leg_rank")
 
 
 @query(f"WITH {CHUNK} SELECT t.term, CASE WHEN count(*) FILTER (WHERE contains({LOW}, t.term)) BETWEEN 1 AND count(*) - 1 THEN round(1.0 / count(*) FILTER (WHERE contains({LOW}, t.term)), 12) ELSE 0.0 END AS weight FROM chunk, (VALUES ('token'), ('license'), ('e'), ('nowhere-at-all')) t(term) GROUP BY t.term")
@@ -265,13 +271,13 @@ keyword AS (SELECT qid, content_hash, chunk_ix, 1 AS leg, CAST(row_number() OVER
 
 @query(f"WITH {KEYWORD} SELECT qid, content_hash, chunk_ix, leg_rank FROM keyword WHERE leg_rank <= 40")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     return search.keyword_leg(search.postings(c, only=TERMS), search.doc_lengths(c), ASKED, 40).select("qid", "content_hash", "chunk_ix", "leg_rank")
 
 
 @query(f"WITH {KEYWORD} SELECT qid, count(*) AS matches FROM keyword GROUP BY qid")
 def keyword_selectivity(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     return evaluation.full_ranking(search.postings(c, only=TERMS), search.doc_lengths(c), ASKED).groupBy("qid").agg(F.count("*").alias("matches"))
 
 
@@ -282,7 +288,7 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(rrf,
 
 @query(f"WITH {KEYWORD}, {LITERAL.removeprefix(CHUNK + ', ')}, legs AS (SELECT * FROM keyword UNION ALL SELECT * FROM literal), {FUSED.format(size=40)} SELECT qid, rank, content_hash, chunk_ix, round(rrf, 9) AS rrf, legs FROM fused WHERE rank <= 10")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     legs = search.keyword_leg(search.postings(c, only=TERMS), search.doc_lengths(c), ASKED).unionByName(search.literal_leg(c, ASKED))
     return search.fuse(legs, 10).select("qid", "rank", "content_hash", "chunk_ix", F.round("rrf", 9).alias("rrf"), F.col("legs").cast("int").alias("legs"))
 
@@ -293,13 +299,13 @@ SELECT qid, rank, content_hash || '#' || chunk_ix AS citation, path AS source, r
 (CASE WHEN chunk_ix > 0 THEN 1 ELSE 0 END) + (CASE WHEN chunk_ix < mx THEN 2 ELSE 0 END) + (CASE WHEN length(chunk_text) > 140 THEN 4 ELSE 0 END) AS frag
 FROM fused JOIN chunk USING (content_hash, chunk_ix) JOIN ext USING (content_hash) JOIN src USING (content_hash) WHERE rank <= 5""")
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    out = search.ask(chunks(spark, d), source(spark, d), ASKED, 5)
+    out = search.ask(indexed(spark, d), materialize(source(spark, d), "sources"), ASKED, 5)
     return out.select("qid", "rank", "citation", "source", F.translate("excerpt", "\n\r", "  ").alias("excerpt"), "chunk_count", "frag")
 
 
 @query(f"WITH {CHUNK}, ext AS (SELECT content_hash, max(chunk_ix) AS mx FROM chunk GROUP BY 1) SELECT content_hash, chunk_ix, mx + 1 AS chunk_count, (CASE WHEN chunk_ix > 0 THEN 1 ELSE 0 END) + (CASE WHEN chunk_ix < mx THEN 2 ELSE 0 END) + (CASE WHEN length(chunk_text) > 140 THEN 4 ELSE 0 END) AS frag FROM chunk JOIN ext USING (content_hash)")
 def fragment_flags(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     rows = c.select("content_hash", "chunk_ix", T.is_cut(F.col("chunk_text"), 140).alias("_cut"))
     return search.fragment_flags(rows, c, F.col("_cut")).drop("_cut")
 
@@ -486,7 +492,7 @@ SELECT item_id AS id, coalesce(n_gold, 0) AS n_gold, CASE WHEN n_gold IS NULL TH
 FROM benchmark LEFT JOIN ng ON ng.id = item_id LEFT JOIN hits ON hits.qid = item_id LEFT JOIN other ON other.qid = item_id""")
 def diagnose(spark: SparkSession, d: str) -> DataFrame:
     q = _labelled(spark, d)
-    c = chunks(spark, d)
+    c = indexed(spark, d)
     gold = evaluation.resolve(c, q)
     none = spark.createDataFrame([], "qid long, content_hash string, chunk_ix int, leg_rank int")
     traps = evaluation.resolve(c, q, "trap")

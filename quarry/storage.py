@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -40,9 +41,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     for r in _recorders:
         r.append(path)
+    if spark.sparkContext.applicationId not in _cleaned:
+        _cleaned.add(spark.sparkContext.applicationId)
+        atexit.register(_at_exit, spark)
     return path
 
 
+_cleaned: set[str] = set()
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        cleanup(spark)
+
+
 @contextmanager
 def recording():
     """Collects the paths that :func:`new_path` gives out meanwhile, to :func:`delete` them later."""

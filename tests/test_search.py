@@ -289,6 +289,31 @@ def test_service(spark, tmp_path):
     assert api.post("/api/reindex", local, {})[0] == 501
 
 
+def test_command_line(spark, tmp_path):
+    from quarry.cli import parser, run
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/barn.md").write_text("horses near the water trough\n")
+    (tmp_path / "docs/tax.md").write_text("2024-01-02T00:00:00 forms\nand receipts\n")
+    lines = []
+    base = ["--store", f"file://{tmp_path}/store", "--captures", str(tmp_path / "captures")]
+    do = lambda *a: run(spark, parser().parse_args([*base, *a]), lines.append)
+    assert do("capture", "mend the gate", "--type", "task", "--place", "North Gate") == 0
+    assert do("index", str(tmp_path / "docs")) == 0 and lines[-1].startswith("2 sources, 2 chunks")
+    assert do("ask", "where are the horses") == 0 and "barn.md" in lines[-1]
+    assert do("grep", "^and", "--since", "2024") == 0 and "tax.md" in lines[-1] and do("grep", "nothing") == 1
+    assert do("notes", "--place", "north gate") == 0 and lines[-1].endswith("mend the gate")
+    note = lines[-1].split("\t")[0]
+    assert do("structure", note, "--who", "ann", "--lease", "2h") == 0 and "who=ann" in lines[-1]
+    with pytest.raises(notes.Refused):
+        do("structure", note, "--who", "bob")
+    assert do("push", f"file://{tmp_path}/peer") == 0 and do("pull", f"file://{tmp_path}/peer") == 0
+    (tmp_path / "docs/tax.md").unlink()
+    assert do("index", str(tmp_path / "docs")) == 0 and lines[-1].startswith("1 sources, 1 chunks, 1 retired")
+    with pytest.raises(muse.NoCorpus):
+        do("muse")
+
+
 def test_hashes_agree(spark):
     import hashlib
 
