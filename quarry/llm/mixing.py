@@ -61,7 +61,8 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fractio
 
 def _order_of(doc_id: Column, text: Column, seed: int) -> list[Column]:
     """A document's place among the shuffled documents of its source."""
-    return [F.xxhash64(doc_id, F.lit(seed)).alias("_r"), doc_id.alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_x")]
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return [F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_r"), doc_id.alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_x")]
 
 
 def queue(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
@@ -76,7 +77,7 @@ def queue(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> Da
     per = sorted(per, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
     goal = targets([r[1] for r in per])
     sources = spark.createDataFrame([(r[0], r[1], t) for r, t in zip(per, goal, strict=True)], "_source string, source_size long, target double")
-    budget = round(sum(goal))
+    budget = int(2 * SHARE * sum(r[1] for r in per))  # twice the words to take, so that halves are whole
 
     # (source, _n) is unique: _n counts a source's documents in its order.
     queued = running_total(table, {"_before": F.col("size"), "_n": F.lit(1).cast("long")}, order, within=["source"])
@@ -88,7 +89,7 @@ def queue(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> Da
     line = ["_finish", "source", "_round", "_n"]
     merged = running_total(ranged(entries, line, "mix-line"), {"_ahead": F.col("size")}, line)
     # The document at the cut is taken if at least half of it is within the budget.
-    return merged.withColumn("took", F.col("_ahead") * 2 + F.col("size") <= 2 * budget)
+    return merged.withColumn("took", F.col("_ahead") * 2 + F.col("size") <= budget)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:

@@ -95,4 +95,33 @@ QUERIES: dict[str, Query] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has neither a fit by expectation maximisation, nor code-point spans of matches, nor n-gram hashing, CRC-32, XXH64 or
+#: the tokenizers; those queries are tested against brute force, round trips and the libraries instead.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_salvage": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM g""",
+    # Sources by how soon they reach twice their size; all before the first that does not are full.
+    "op7_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7'), 1, 15) AS BIGINT) AS r FROM documents),
+        s AS (SELECT source, sum(size) AS ss FROM d GROUP BY source),
+        w AS (SELECT source, ss, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5 * sum(ss) OVER () AS t FROM s),
+        o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * ss / w, source) AS k,
+                     coalesce(sum(2 * ss) OVER (ORDER BY 2.0 * ss / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+                     sum(w) OVER (ORDER BY 2.0 * ss / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+        f AS (SELECT min_by(given, k) AS given, min_by(rest, k) AS rest, min(k) AS k FROM o WHERE (t - given) * w <= 2 * ss * rest),
+        g AS (SELECT o.source, o.ss, CAST(CASE WHEN o.k < f.k THEN 2 * o.ss ELSE CAST(o.w * (o.t - f.given) AS DOUBLE) / f.rest END AS DOUBLE) AS target, o.t FROM o, f),
+        q AS (SELECT d.*, g.ss, g.target, g.t, sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id) AS upto,
+                     row_number() OVER (PARTITION BY d.source ORDER BY r, doc_id) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        e AS (SELECT q.*, round_, CASE WHEN target > 0 THEN CAST(upto + round_ * ss AS DOUBLE) / target ELSE 0 END AS finish
+              FROM q, (VALUES (0), (1)) v(round_) WHERE round_ = 0 OR target > ss),
+        a AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, round_, n) - size AS ahead FROM e)
+        SELECT doc_id, any_value(size) AS size, CAST(any_value(ss) AS BIGINT) AS source_size, any_value(target) AS target,
+               CAST(sum(CASE WHEN 2 * ahead + size <= 2 * t THEN size ELSE 0 END) AS BIGINT) AS taken, source
+        FROM a GROUP BY doc_id, source, n""",
+}

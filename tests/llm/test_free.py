@@ -326,6 +326,19 @@ def test_count_query(spark):
 # Queries and pipeline
 
 
+@need_data
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_have_their_sqls_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(found.fetchall(), key=repr)
+
+
 @need_data
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_every_row(spark, name):
