@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -32,3 +34,12 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(at)
     _shipped.add(sc.applicationId)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker may idle through later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -91,6 +91,22 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Hand Python workers at most ``rows`` rows at once in what runs meanwhile.
+
+    Documents may be long; Spark's default of 10,000 rows would let one batch
+    outgrow a worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else leave it alone.
 
