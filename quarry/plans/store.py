@@ -39,9 +39,13 @@ class Store:
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(tmp, p):
-            raise OSError(f"cannot publish {name}")
+        # One call replaces the file, so that a reader finds the old pointer or the new one.
+        jvm = self.spark._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(tmp), context.makeQualified(p), how)
 
     def pointer(self) -> dict:
         text = self._read_text("CURRENT")
