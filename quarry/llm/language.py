@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
+from quarry.storage import small_batches
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -112,7 +113,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: fl
 
     The driver gets at most languages x ``BUCKETS`` counts.
     """
-    counts = count(labelled, text, lang).toPandas()
+    with small_batches(labelled.sparkSession):
+        counts = count(labelled, text, lang).toPandas()
     langs = sorted(counts["lang"].unique())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; the matrix is bounded to {MAX_LANGUAGES}")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
-from quarry.storage import materialize
+from quarry.storage import materialize, small_batches
 
 #: name -> (version, pattern, flags, group whose length counts, least length, literals of which a lower-cased text must hold one)
 RULES = {
@@ -94,7 +94,8 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
             found = [find(t, [kinds[r] for r in do], rules) for t, do in zip(batch["text"], batch["todo"], strict=True)]
             yield pd.DataFrame({"blob": batch["blob"], "scanned": batch["todo"], "findings": found})
 
-    unseen.mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
+    with small_batches(spark):
+        unseen.mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).where(F.size("findings") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("f"))
     # Written, so that both sides of the join are plain exchanges and a blob with many paths is split.
     found = materialize(found, "secret-findings")

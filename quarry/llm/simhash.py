@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
-from quarry.storage import broadcast_if_small, materialize
+from quarry.storage import broadcast_if_small, materialize, small_batches
 
 SHINGLE = 4
 DISTANCE = 4
@@ -324,7 +324,9 @@ def classes(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, least:
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of each document."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return classes(materialize(with_fingerprints(d, keep=["doc_id"]), "simhash-prints"), distance).drop("root")
+    with small_batches(docs.sparkSession):
+        prints = materialize(with_fingerprints(d, keep=["doc_id"]), "simhash-prints")
+    return classes(prints, distance).drop("root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -335,7 +337,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     own = "_fp"
     while own in docs.columns:
         own = "_" + own
-    table = materialize(with_fingerprints(docs, text, own), "simhash-documents")
+    with small_batches(docs.sparkSession):
+        table = materialize(with_fingerprints(docs, text, own), "simhash-documents")
     lean = table.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("fp"))
     found = materialize(classes(lean, distance), "simhash-found")
     names = F.expr("doc_id <=> component_id")

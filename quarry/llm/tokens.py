@@ -28,11 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ship
-from quarry.storage import materialize, running_total
+from quarry.session import release_memory, ship
+from quarry.storage import materialize, running_total, small_batches
 
 END = 2
-MEMO = 1_000_000
+MEMO = 250_000
+#: Bytes of text that are encoded together.
+RUN = 4 << 20
 #: Stands between new words of letters.
 MARK = "|"
 ROW_INDEX = 1000
@@ -43,6 +45,9 @@ _loaded: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of texts, with a bounded memo of words.
 
+    The memo has two parts: words that came once, dropped whenever they are
+    more than ``memo``, and words that came again before that.
+
     A run of texts is cut into words and those are made distinct in Arrow, so
     Python sees each word once for a run.  A new word of lower-case Latin
     letters goes to the tokenizer's merges at once, as its normalisation and
@@ -57,11 +62,11 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.tokenizer, self.memo, self.once, self.again = Tokenizer.from_file(path), memo, {}, {}
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.merges.encode(MARK).ids
-        self.known[""] = b""
+        self.again[""] = b""
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -83,7 +88,7 @@ class WordEncoder:
 
     def _whole(self, new: list[str]) -> None:
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.once[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _letters(self, new: list[str]) -> None:
         """Words of lower-case letters, many at a time with a mark of one token between."""
@@ -94,10 +99,10 @@ class WordEncoder:
             ids = np.array(e.ids, dtype="<u4")
             data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark[0])
             for w, x, y in zip(run, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
-                self.known[w] = data[x:y]
+                self.once[w] = data[x:y]
 
     def learn(self, new: list[str]) -> None:
-        known = self.known
+        once, again = self.once, self.again
         letters, mixed, other = set(), [], []
         for w in new:
             if (w.isascii() and w.isalpha() and w.islower()) or _LETTERS.fullmatch(w):
@@ -106,25 +111,30 @@ class WordEncoder:
                 mixed.append((w, _PARTS.findall(w)))
             else:
                 other.append(w)
-        parts = {p for _, ps in mixed for p in ps if p not in known}
+        parts = {p for _, ps in mixed for p in ps if p not in again and p not in once}
         few = {p for p in parts if not _LETTERS.fullmatch(p)}
         self._letters([*letters, *(parts - few - letters)])
         self._whole([*other, *few])
         for w, ps in mixed:
-            known[w] = b"".join(map(known.__getitem__, ps))
+            once[w] = b"".join([again[p] if p in again else once[p] for p in ps])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in order, and how many each text has."""
         words = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.string()), " ")
         coded = words.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.memo:  # keep what is in use
-            self.known = {w: self.known[w] for w in distinct if w in self.known} | {"": b""}
-        found = list(map(self.known.get, distinct))
+        found = list(map(self.again.get, distinct))
         gaps = [i for i, x in enumerate(found) if x is None]
-        self.learn([distinct[i] for i in gaps])
+        seen = [distinct[i] for i in gaps if distinct[i] in self.once]
+        self.learn([distinct[i] for i in gaps if distinct[i] not in self.once])
         for i in gaps:
-            found[i] = self.known[distinct[i]]
+            found[i] = self.once[distinct[i]]
+        if len(self.again) + len(seen) > self.memo:
+            self.again = {"": b""}
+        for w in seen:
+            self.again[w] = self.once.pop(w)
+        if len(self.once) > self.memo:
+            self.once = {}
         taken = pa.array(found, pa.binary()).take(coded.indices)
         ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1).astype(np.int64) // 4
         ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
@@ -146,17 +156,17 @@ _MIXED = re.compile(r"[!-&(-@\[-`{-~a-zß-öø-ÿ]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-def _small(texts: list[str], limit: int = 1 << 23) -> Iterator[list[str]]:
-    """Runs of texts of about ``limit`` characters."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= limit:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+def _runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[pa.Table]:
+    """Batches put together to about ``size`` bytes of text."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b["text"].nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def write(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
@@ -168,19 +178,19 @@ def write(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.at(vocabulary)
-        for batch in batches:
-            at = 0
-            for texts in _small(batch["text"].to_pylist()):
-                data, n = encoder.encode(texts)
-                data = np.insert(data, np.cumsum(n), end).astype(np.int32)
-                n = (n + 1).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(data))
-                some = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([some["doc_id"], some["seq"], pa.array(n), ids], names=["doc_id", "seq", "n_tokens", "ids"])
-                at += len(texts)
+        for t in _runs(batches):
+            if not len(t):
+                continue
+            data, n = encoder.encode(t["text"].to_pylist())
+            data = np.insert(data, np.cumsum(n), end).astype(np.int32)
+            n = (n + 1).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(data))
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["seq"].combine_chunks(), pa.array(n), ids], names=["doc_id", "seq", "n_tokens", "ids"])
+        release_memory()
 
     out = ordered.select("doc_id", "seq", "text").mapInArrow(run, SCHEMA)
-    out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX)).option("orc.compress", "ZSTD").orc(path)
+    with small_batches(spark):
+        out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX)).option("orc.compress", "ZSTD").orc(path)
     return read(spark, path)
 
 
@@ -204,6 +214,7 @@ def digests(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["seq"], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "seq", "n_tokens", "ids_crc32"])
 
     ship(table.sparkSession)
-    light = materialize(table.select("doc_id", "seq", "ids").mapInArrow(run, "doc_id long, seq long, n_tokens long, ids_crc32 long").withColumn("part", F.shiftright("seq", 33)), "token-digests")
+    with small_batches(table.sparkSession):
+        light = materialize(table.select("doc_id", "seq", "ids").mapInArrow(run, "doc_id long, seq long, n_tokens long, ids_crc32 long").withColumn("part", F.shiftright("seq", 33)), "token-digests")
     out = running_total(light, {"start": F.col("n_tokens")}, ["seq"], pid="part")
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
-from quarry.storage import broadcast_if_small, materialize, new_path
+from quarry.storage import broadcast_if_small, materialize, new_path, small_batches
 
 VERSION = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -117,7 +117,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pd.DataFrame({"file": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
 
-    return materialize(rows.select(F.col("page_id").cast("decimal(20,0)").cast("string").alias("page_id"), "url", "html", F.col("target").cast("string").alias("target")).mapInPandas(run, MANIFEST), "warc-manifest")
+    with small_batches(pages.sparkSession):
+        return materialize(rows.select(F.col("page_id").cast("decimal(20,0)").cast("string").alias("page_id"), "url", "html", F.col("target").cast("string").alias("target")).mapInPandas(run, MANIFEST), "warc-manifest")
 
 
 class Window:
