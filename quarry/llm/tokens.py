@@ -32,9 +32,9 @@ from quarry.session import release_memory, ship
 from quarry.storage import materialize, running_total, small_batches
 
 END = 2
-MEMO = 250_000
+MEMO = 600_000
 #: Bytes of text that are encoded together.
-RUN = 4 << 20
+RUN = 8 << 20
 #: Stands between new words of letters.
 MARK = "|"
 ROW_INDEX = 1000
