@@ -1,23 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a question asked
-again with other parameters keeps its template.  Five-word template windows of
-the documents are hash-joined with those of the benchmark; a document that
-holds at least 80 % of an item's windows is a candidate, and the values that
-stand in the slots of the matched windows decide: all equal is ``verbatim``,
-a one-to-one renaming is ``reparameterised``, anything else is a shared
-template and no leak.
+again with other parameters keeps its template.  Five-word windows of the
+documents are hash-joined with those of the benchmark, twice: as templates and
+as plain lower-cased words.  A document that holds at least 80 % of an item's
+plain windows has it ``verbatim``, whatever else stands there.  One that holds
+80 % of its template windows is a candidate, and the values in the slots of
+one copy at a time decide (see ``_checked``): all equal is ``verbatim``, every
+value with one replacement is ``reparameterised``, anything else is a shared
+template and no leak.  The best copy counts.
 
 Defined cases: a null text is empty and matches nothing; a text of fewer than
-five template words has its whole template as its only window, so a short item
-is found only in a document that consists of it; rows that repeat a doc_id
-count as one document, which leaks if one of its texts does; an empty
-benchmark or document table gives an empty result; extra columns are ignored.
+five words has itself as its only window, so an item that short is found
+only in a document that consists of it; rows that
+repeat a doc_id count as one document, which leaks if one of its texts does; an
+empty benchmark or document table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.quality import SPACE
@@ -51,19 +53,42 @@ def template_words(text: Column) -> Column:
     return F.array_remove(F.split(_template_text(F.coalesce(text, F.lit(""))), SPACE, -1), "")
 
 
-def windows(words: Column, window: int = WINDOW) -> Column:
-    """The 64-bit hashes of all ``window``-word runs, in order; of the whole if it is shorter."""
+def plain_words(text: Column) -> Column:
+    """The lower-cased words without punctuation, save for signs, separators and currencies of numbers."""
+    kept = r"(?!(?<=\p{Nd}[.,:/])\p{Nd})(?!(?<=[+-])(?<![\p{L}\p{M}].)\p{Nd})"
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{M}}\p{{Nd}}%°$€£\x20\x09-\x0D]{kept}", "")
+    return F.array_remove(F.split(text, SPACE, -1), "")
+
+
+def windows(words: Column, window: int = WINDOW, lengths: tuple[int, ...] = (), plain: bool = False) -> Column:
+    """The 64-bit hashes of all ``window``-word runs, in order; of the whole if it is shorter.
+
+    Runs of ``lengths`` follow, if they hold a letter or, when ``plain``, a
+    digit. Plain runs and templates never share a hash.
+    """
+    mark = [F.lit(1)] if plain else []
+    sayable = r"[\p{L}\p{Nd}]" if plain else r"\p{L}"
 
     def body(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
-        whole = F.array(F.xxhash64(w))
-        return F.when(F.size(w) >= window, runs).when(F.size(w) > 0, whole).otherwise(F.slice(whole, 1, 0))
+        def runs(n: int, at: Column) -> Column:
+            return F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n), *mark))
+
+        def places(n: int) -> Column:
+            return F.sequence(F.lit(1), F.size(w) - (n - 1))
+
+        whole = F.array(F.xxhash64(w, *mark))
+        none = F.slice(whole, 1, 0)
+        out = F.when(F.size(w) >= window, runs(window, places(window))).when(F.size(w) > 0, whole).otherwise(none)
+        for n in lengths:
+            said = F.filter(places(n), lambda i: F.exists(F.slice(w, i, n), lambda x: x.rlike(sayable)))
+            out = F.concat(out, F.when(F.size(w) >= n, runs(n, said)).otherwise(none))
+        return out
 
     return let(words, body)
 
 
-def _slotted(text: Column, window: int) -> Column:
-    """Of each window its hash and, word by word, the text's own word where a placeholder stands (else null)."""
+def _slotted(text: Column, window: int, lengths: tuple[int, ...] = ()) -> Column:
+    """Of each window its hash, its place and, word by word, the text's own word where a placeholder stands (else null)."""
     text = F.coalesce(text, F.lit(""))
     pairs = F.filter(
         F.arrays_zip(F.split(_template_text(text), SPACE, -1).alias("t"), F.split(text, SPACE, -1).alias("v")),
@@ -72,54 +97,85 @@ def _slotted(text: Column, window: int) -> Column:
     slot = lambda x: F.when(x["t"].rlike(f"[{NUMBER}{UNIT}{NAME}]"), F.regexp_replace(F.lower(x["v"]), r"^[^\p{L}\p{Nd}%°$€£+-]+|[^\p{L}\p{Nd}%°$€£]+$", ""))
 
     def body(p: Column) -> Column:
-        n = F.greatest(F.size(p) - (window - 1), F.lit(1))
-        run = lambda i: F.slice(p, i, window)
-        one = lambda i: F.struct(F.xxhash64(F.transform(run(i), lambda x: x["t"])).alias("h"), F.transform(run(i), slot).alias("slots"))
-        made = F.transform(F.sequence(F.lit(1), n), one)
-        return F.when(F.size(p) > 0, made).otherwise(F.slice(made, 1, 0))
+        def made(n: int) -> Column:
+            run = lambda i: F.slice(p, i, n)
+            one = lambda i: F.struct(F.xxhash64(F.transform(run(i), lambda x: x["t"])).alias("h"), i.alias("pos"), F.transform(run(i), slot).alias("slots"))
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (n - 1), F.lit(1))), one)
+
+        first = made(window)
+        out = F.when(F.size(p) > 0, first).otherwise(F.slice(first, 1, 0))
+        for n in lengths:
+            out = F.when(F.size(p) > n, F.concat(out, made(n))).otherwise(out)
+        return out
 
     return let(pairs, body)
 
 
 def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = CONTAINMENT) -> DataFrame:
-    """One row for each leaked (document, item): doc_id, item_id, matched, n_windows, containment, kind."""
+    """One row for each leaked (document, item): doc_id, item_id, matched, n_windows, containment, kind.
+
+    The counts are of template windows, or of plain ones where only those
+    reach ``containment``.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     b = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    items = materialize(b.select("item_id", "text", F.array_distinct(windows(template_words(F.col("text")), window)).alias("w")).where(F.size("w") > 0).select("*", F.size("w").cast("long").alias("n_windows"), F.aggregate(F.split(_template_text(F.col("text")), SPACE, -1), F.lit(False), lambda a, x: a | x.rlike(f"[{NUMBER}{UNIT}{NAME}]")).alias("has_slots")), "bench-items")
-    posting = items.select("item_id", "n_windows", "has_slots", F.explode("w").alias("h")).groupBy("h").agg(F.collect_set(F.struct("item_id", "n_windows", "has_slots")).alias("items"))
+    t, p = template_words(F.col("text")), plain_words(F.col("text"))
+    has_slots = F.exists(t, lambda x: x.rlike(f"[{NUMBER}{UNIT}{NAME}]"))
+    made = b.select("item_id", "text", F.array_distinct(windows(t, window)).alias("w"), F.array_distinct(windows(p, window, plain=True)).alias("p"), F.size(t).alias("n_words"), F.size(p).alias("n_plain"), has_slots.alias("has_slots"))
+    items = materialize(made.where(F.size("w") > 0).withColumn("n_windows", F.size("w").cast("long")), "bench-items")
+    per_item = items.select("item_id", "has_slots", F.lit(False).alias("plain"), "n_windows", F.explode("w").alias("h")).unionByName(items.select("item_id", "has_slots", F.lit(True).alias("plain"), F.size("p").cast("long").alias("n_windows"), F.explode("p").alias("h")))
+    posting = per_item.groupBy("h").agg(F.collect_set(F.struct("item_id", "has_slots", "plain", "n_windows")).alias("items"))
     hits = (
-        d.select("doc_id", F.explode(F.array_distinct(windows(template_words(F.col("text")), window))).alias("h"))
+        d.select("doc_id", F.explode(F.concat(windows(t, window), windows(p, window, plain=True))).alias("h"))
         .join(broadcast_if_small(materialize(posting, "bench-windows"), BROADCAST_WINDOWS), "h")
         .select("doc_id", "h", F.explode("items").alias("i"))
         .select("doc_id", "h", "i.*")
     )
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("has_slots").alias("has_slots"))
-    candidates = materialize(found.where(F.col("matched") >= containment * F.col("n_windows")), "bench-candidates")
-    plain = candidates.where(~F.col("has_slots")).withColumn("kind", F.lit("verbatim"))
-    if candidates.where("has_slots").isEmpty():
-        out = plain
-    else:
-        out = plain.unionByName(_checked(d, items, candidates.where("has_slots"), window))
+    found = hits.groupBy("doc_id", "item_id", "plain").agg(F.count_distinct("h").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("has_slots").alias("has_slots"))
+    enough = found.where(F.col("matched") >= containment * F.col("n_windows"))
+    counts = lambda c: F.coalesce(F.max(F.when(~F.col("plain"), F.col(c))), F.max(c)).alias(c)
+    candidates = materialize(enough.groupBy("doc_id", "item_id").agg(counts("matched"), counts("n_windows"), (F.max("plain") | ~F.max("has_slots")).alias("word_for_word")), "bench-candidates")
+    out = candidates.where("word_for_word").withColumn("kind", F.lit("verbatim"))
+    open_ = candidates.where("not word_for_word")
+    if not open_.isEmpty():
+        out = out.unionByName(_checked(d, items, open_, window, containment, ()))
     return out.select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("containment"), "kind")
 
 
-def _checked(d: DataFrame, items: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """The candidates whose slots hold equal or consistently renamed values, with ``kind``."""
+def _checked(d: DataFrame, items: DataFrame, candidates: DataFrame, window: int, containment: float, lengths: tuple[int, ...]) -> DataFrame:
+    """The candidates of which a copy holds equal or consistently replaced values, with ``kind``.
+
+    A copy is a set of matches (place in the document, place in the item) of
+    one text. Tried are: equal differences of the places; differences within a
+    band as long as the item, for copies with words added or left out, where
+    each place of the item keeps the match nearest to the commonest difference
+    (two bands, shifted by half, so that no copy is always cut); and all matches
+    of the text. Each has to reach ``containment`` by itself.
+    """
     ids = broadcast_if_small(candidates.select("doc_id").distinct(), BROADCAST_IDS)
     texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    # The text's hash tells apart texts that share a doc_id.
-    ours = texts.select("doc_id", F.xxhash64("text").alias("version"), F.explode(_slotted(F.col("text"), window)).alias("x")).select("doc_id", "version", "x.h", F.col("x.slots").alias("there"))
-    theirs = items.where("has_slots").select("item_id", F.explode(_slotted(F.col("text"), window)).alias("x")).select("item_id", "x.h", F.col("x.slots").alias("asked"))
+    # The text's hash tells apart texts that share a doc_id; equal texts are one.
+    texts = texts.select("doc_id", F.xxhash64("text").alias("version"), "text").dropDuplicates(["doc_id", "version"])
+    ours = texts.select("doc_id", "version", F.explode(_slotted(F.col("text"), window, lengths)).alias("x")).select("doc_id", "version", "x.h", F.col("x.pos").alias("at"), F.col("x.slots").alias("there"))
+    theirs = items.where("has_slots").select("item_id", "n_windows", "n_words", F.explode(_slotted(F.col("text"), window)).alias("x")).select("item_id", "n_windows", "n_words", "x.h", F.col("x.pos").alias("place"), F.col("x.slots").alias("asked"))
     c = candidates.select("doc_id", "item_id").withColumnRenamed("doc_id", "_d").withColumnRenamed("item_id", "_i")
     pairs = ours.join(theirs, "h").join(c, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
-    slots = pairs.select("doc_id", "version", "item_id", F.explode(F.arrays_zip("asked", "there")).alias("s")).where("s.asked is not null and s.there is not null").select("doc_id", "version", "item_id", "s.asked", "s.there").distinct()
-    per = slots.groupBy("doc_id", "version", "item_id").agg(F.count("*").alias("n"), F.count_distinct("asked").alias("na"), F.count_distinct("there").alias("nt"), F.min(F.col("asked") == F.col("there")).alias("same"))
-    kinds = per.select("doc_id", "item_id", F.when(F.col("same"), 0).when((F.col("n") == F.col("na")) & (F.col("n") == F.col("nt")), 1).otherwise(2).alias("k"))
-    best = kinds.groupBy("doc_id", "item_id").agg(F.min("k").alias("k")).withColumnRenamed("doc_id", "_d").withColumnRenamed("item_id", "_i")
-    # No slot within the matched windows: nothing speaks against a verbatim copy.
-    out = candidates.join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left")
-    k = F.coalesce(F.col("k"), F.lit(0))
-    return out.where(k < 2).withColumn("kind", F.when(k == 0, "verbatim").otherwise("reparameterised")).drop("_d", "_i", "k")
+    shift, band = F.col("at") - F.col("place"), F.greatest(F.col("n_words"), F.lit(2))
+    copies = F.array(*[F.struct(F.lit(k).alias("way"), x.cast("long").alias("key")) for k, x in enumerate((shift, F.floor(shift / band), F.floor((shift + band / 2) / band), F.lit(0)))])
+    slots = F.filter(F.arrays_zip("asked", "there"), lambda x: x["asked"].isNotNull() & x["there"].isNotNull())
+    rows = pairs.select("doc_id", "version", "item_id", "n_windows", F.greatest(F.col("n_words") - (window - 1), F.lit(1)).alias("places"), "h", "place", shift.alias("shift"), slots.alias("slots"), F.explode(copies).alias("copy"))
+    one = ["doc_id", "version", "item_id", "copy"]
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*one, "shift"))).withColumn("common", F.max(F.struct("n", "shift")).over(Window.partitionBy(*one))["shift"])
+    nearest = F.row_number().over(Window.partitionBy(*one, "place").orderBy(F.abs(F.col("shift") - F.col("common")), "shift"))
+    rows = rows.withColumn("nearest", nearest).where("copy.way = 3 or nearest = 1")
+    same = F.forall("slots", lambda x: x["asked"] == x["there"])
+    per = rows.groupBy(*one).agg(F.max("n_windows").alias("n_windows"), F.count_distinct("h").alias("held"), F.max("places").alias("places"), F.count_distinct(F.when(same, F.col("place"))).alias("equal"), F.min(same).alias("same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values"))
+    bound = containment * F.col("n_windows")
+    replaced = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda x: x["asked"])))
+    k = F.when((F.col("equal") >= containment * F.col("places")) | ((F.col("held") >= bound) & F.col("same")), 0).when((F.col("held") >= bound) & replaced, 1).otherwise(2)
+    best = per.select("doc_id", "item_id", k.alias("k")).groupBy("doc_id", "item_id").agg(F.min("k").alias("k")).where("k < 2").withColumnRenamed("doc_id", "_d").withColumnRenamed("item_id", "_i")
+    out = candidates.join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")))
+    return out.withColumn("kind", F.when(F.col("k") == 0, "verbatim").otherwise("reparameterised")).drop("_d", "_i", "k")
 
 
 def drop_leaked(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

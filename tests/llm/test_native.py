@@ -145,6 +145,19 @@ def test_leaked_documents_go(spark):
     assert decontaminate.leaks(df.limit(0), bench(spark, [ITEM])).count() == 0
 
 
+def kinds(spark, texts, items, **options):
+    return {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs(spark, texts), bench(spark, items), **options).collect()}
+
+
+def test_each_copy_is_judged_by_itself(spark):
+    year = "in 2019 the number of people who lived near the river rose to 4000 as the old mill was opened again and the water was let in from the hills"
+    sums = "the sum of 3 and 4 and then the sum of 7 and 9"
+    other = year.replace("2019", "1987").replace("4000", "512")
+    stray = " while long ago in 1999 the number of birds was far lower"
+    got = kinds(spark, [year + stray, sums, year + " and so " + other, other + stray, sums.replace("3", "5").replace("4", "5"), other.replace("the old mill", "the very old mill") + stray, "we saw " + sums.replace("7", "8")], [year, sums])
+    assert got == {(0, 0): "verbatim", (1, 1): "verbatim", (2, 0): "verbatim", (3, 0): "reparameterised", (4, 1): "reparameterised", (5, 0): "reparameterised", (6, 1): "reparameterised"}
+
+
 # Sharding
 
 
