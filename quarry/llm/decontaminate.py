@@ -10,6 +10,8 @@ one copy at a time decide (see ``_checked``): all equal is ``verbatim``, every
 value with one replacement is ``reparameterised``, anything else is a shared
 template and no leak.  The best copy counts.
 
+A name is a capitalised word wherever it stands, unless it is one of ``OPENERS``.
+
 Defined cases: a null text is empty and matches nothing; a text of fewer than
 five words has itself as its only window, so an item that short is found
 only in a document that consists of it; rows that
@@ -33,6 +35,8 @@ BROADCAST_WINDOWS = 1_000_000
 BROADCAST_IDS = 500_000
 
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
+#: Capitalised because they open a sentence; they are words, not names.
+OPENERS = "The|An|This|That|These|Those|There|Here|It|Its|He|She|We|They|You|His|Her|My|Our|Your|Their|If|When|While|After|Before|Since|For|From|In|On|At|By|Of|To|With|As|And|But|Or|So|Then|What|Which|Who|Whose|Whom|Where|Why|How|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Should|Has|Have|Had|Each|Every|All|Some|Many|Both|Find|Let|Suppose|Given|No|Not"
 UNITS = "mm|cm|m|km|mi|ft|in|yd|mg|g|kg|lb|lbs|oz|ml|l|s|sec|secs|min|mins|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|grams?|kilograms?|pounds?|liters?|litres?|dollars?|cents?|euros?|percent|degrees?|km/h|mph|usd|eur|gbp|kb|mb|gb|tb"
 
 
@@ -42,7 +46,7 @@ def _template_text(text: Column) -> Column:
     No step adds or removes white space, so the n-th word of the result belongs
     to the n-th word of the text; a word of punctuation only becomes empty.
     """
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;:][\x20\n\t])\p{Lu}\p{Ll}+", NAME)
+    named = F.regexp_replace(text, rf"(?=\p{{Lu}}\p{{M}}*\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?!(?:{OPENERS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]+", NAME)
     numbered = F.regexp_replace(named, r"[+-]?\d+(?:[.,:/]\d+)*", NUMBER)
     with_units = F.regexp_replace(numbered, rf"(?i)(?<={NUMBER}|{NUMBER}\x20)[%°$€£]?(?:{UNITS}|[%°$€£])(?![\p{{L}}\p{{Nd}}])", UNIT)
     marked = F.when(text.rlike(r"\d"), with_units).otherwise(named)

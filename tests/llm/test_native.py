@@ -158,6 +158,13 @@ def test_each_copy_is_judged_by_itself(spark):
     assert got == {(0, 0): "verbatim", (1, 1): "verbatim", (2, 0): "verbatim", (3, 0): "reparameterised", (4, 1): "reparameterised", (5, 0): "reparameterised", (6, 1): "reparameterised"}
 
 
+def test_names_at_any_place_and_case(spark):
+    maria = "Maria bought 12 pencils. Maria gave 5 pencils to Tom. How many pencils does Maria have left?"
+    german = "Der Hund und die Katze liefen am Morgen durch den Garten, bis der Regen kam und alle Tiere ins Haus mussten."
+    got = kinds(spark, [maria.replace("Maria", "Laura"), 'She read: "' + maria.replace("Maria", "Laura").replace("Tom", "Ben"), ITEM.lower(), german.lower(), german.upper(), maria.replace("Maria gave", "Laura gave")], [maria, ITEM, german])
+    assert got == {(0, 0): "reparameterised", (1, 0): "reparameterised", (2, 1): "verbatim", (3, 2): "verbatim", (4, 2): "verbatim"}
+
+
 # Sharding
 
 
