@@ -13,8 +13,9 @@ template and no leak.  The best copy counts.
 A name is a capitalised word wherever it stands, unless it is one of ``OPENERS``.
 
 Defined cases: a null text is empty and matches nothing; a text of fewer than
-five words has itself as its only window, so an item that short is found
-only in a document that consists of it; rows that
+five words has itself as its only window, so an item that short is found in a
+document that consists of it and, with ``short``, at any place of any document
+(there as a template only if that holds a word besides placeholders); rows that
 repeat a doc_id count as one document, which leaks if one of its texts does; an
 empty benchmark or document table gives an empty result; extra columns are ignored.
 """
@@ -115,11 +116,12 @@ def _slotted(text: Column, window: int, lengths: tuple[int, ...] = ()) -> Column
     return let(pairs, body)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = CONTAINMENT) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = CONTAINMENT, short: bool = False) -> DataFrame:
     """One row for each leaked (document, item): doc_id, item_id, matched, n_windows, containment, kind.
 
     The counts are of template windows, or of plain ones where only those
-    reach ``containment``.
+    reach ``containment``. ``short`` also seeks items below ``window`` words
+    within longer documents.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     b = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
@@ -127,10 +129,11 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     has_slots = F.exists(t, lambda x: x.rlike(f"[{NUMBER}{UNIT}{NAME}]"))
     made = b.select("item_id", "text", F.array_distinct(windows(t, window)).alias("w"), F.array_distinct(windows(p, window, plain=True)).alias("p"), F.size(t).alias("n_words"), F.size(p).alias("n_plain"), has_slots.alias("has_slots"))
     items = materialize(made.where(F.size("w") > 0).withColumn("n_windows", F.size("w").cast("long")), "bench-items")
+    lengths, plain_lengths = (tuple(sorted(r[0] for r in items.where(F.col(c).between(1, window - 1)).select(c).distinct().collect())) if short else () for c in ("n_words", "n_plain"))
     per_item = items.select("item_id", "has_slots", F.lit(False).alias("plain"), "n_windows", F.explode("w").alias("h")).unionByName(items.select("item_id", "has_slots", F.lit(True).alias("plain"), F.size("p").cast("long").alias("n_windows"), F.explode("p").alias("h")))
     posting = per_item.groupBy("h").agg(F.collect_set(F.struct("item_id", "has_slots", "plain", "n_windows")).alias("items"))
     hits = (
-        d.select("doc_id", F.explode(F.concat(windows(t, window), windows(p, window, plain=True))).alias("h"))
+        d.select("doc_id", F.explode(F.concat(windows(t, window, lengths), windows(p, window, plain_lengths, plain=True))).alias("h"))
         .join(broadcast_if_small(materialize(posting, "bench-windows"), BROADCAST_WINDOWS), "h")
         .select("doc_id", "h", F.explode("items").alias("i"))
         .select("doc_id", "h", "i.*")
@@ -142,7 +145,7 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     out = candidates.where("word_for_word").withColumn("kind", F.lit("verbatim"))
     open_ = candidates.where("not word_for_word")
     if not open_.isEmpty():
-        out = out.unionByName(_checked(d, items, open_, window, containment, ()))
+        out = out.unionByName(_checked(d, items, open_, window, containment, lengths))
     return out.select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("containment"), "kind")
 
 
@@ -184,5 +187,5 @@ def _checked(d: DataFrame, items: DataFrame, candidates: DataFrame, window: int,
 
 def drop_leaked(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with the columns of ``docs``."""
-    ids = materialize(leaks(docs, bench, doc_id, text).select(F.col("doc_id").alias("_leaked")).distinct(), "bench-leaked")
+    ids = materialize(leaks(docs, bench, doc_id, text, short=True).select(F.col("doc_id").alias("_leaked")).distinct(), "bench-leaked")
     return docs.join(broadcast_if_small(ids, BROADCAST_IDS), F.col(doc_id).eqNullSafe(F.col("_leaked")), "left_anti").select(*docs.columns)

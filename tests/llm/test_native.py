@@ -165,6 +165,15 @@ def test_names_at_any_place_and_case(spark):
     assert got == {(0, 0): "reparameterised", (1, 0): "reparameterised", (2, 1): "verbatim", (3, 2): "verbatim", (4, 2): "verbatim"}
 
 
+def test_short_items_within_documents(spark):
+    items = ["What is the capital of France?", "Name four primes.", "Is 7 prime?", "42", "Paris"]
+    texts = ["Here is a question: What is the capital of France?", "then we said: name four primes. and went home at last", "they asked is 7 prime? and nobody in the room knew it", "is 9 prime? they wondered for a very long time", "there were 43 of them in a row behind the house", "so it was 42 of them in a row behind the house", "name four small primes and go home again tonight"]
+    got = kinds(spark, texts, items, short=True)
+    assert got == {(0, 0): "verbatim", (1, 1): "verbatim", (2, 2): "verbatim", (3, 2): "reparameterised", (5, 3): "verbatim"}
+    left = decontaminate.drop_leaked(docs(spark, texts), bench(spark, items))
+    assert sorted(r.doc_id for r in left.collect()) == [4, 6]
+
+
 # Sharding
 
 
