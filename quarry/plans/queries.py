@@ -568,7 +568,7 @@ _JULIAN = "CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) A
 
 
 def _orders_as_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = read(spark, d, "orders").where("o_orderkey < 3000")
+    o = read(spark, d, "orders")
     event = o.select(F.col("o_orderkey").alias("objid"), F.when(F.col("o_orderstatus") == "F", "f").otherwise("ci").alias("type"), (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double") + 2440587.5).alias("mtime"), F.concat(F.lit("clerk "), F.col("o_custkey").cast("string")).alias("user"), F.lit(None).cast("string").alias("euser"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("priority "), "o_orderpriority")).alias("comment"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("amended\ntwice")).alias("ecomment"))
     uuid = F.sha2(F.col("o_orderkey").cast("string"), 256)
     manifest = F.concat(F.lit("D 2020\nH Re:\\sorder\\s"), F.col("o_orderkey").cast("string"), F.lit("\nW 9\nH no\u00e9 ab\nZ x\n"))
@@ -577,7 +577,7 @@ def _orders_as_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
 
 
 @query("""SELECT 'ckin:' || sha256(CAST(o_orderkey AS VARCHAR)) AS path, 'check-in ' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) || ' on ' || strftime(o_orderdate, '%Y-%m-%dT00:00:00') || ' by clerk ' || o_custkey || ' branch ' || CASE WHEN o_orderkey % 2 = 0 THEN 'trunk' ELSE '-' END || chr(10) || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN 'amended' || chr(10) || 'twice' ELSE 'priority ' || o_orderpriority END AS text
-FROM orders WHERE o_orderkey < 3000 AND o_orderstatus <> 'F' AND (o_orderkey % 7 = 0 OR o_orderkey % 5 <> 0)""")
+FROM orders WHERE o_orderstatus <> 'F' AND (o_orderkey % 7 = 0 OR o_orderkey % 5 <> 0)""")
 def checkin_comments(spark: SparkSession, d: str) -> DataFrame:
     event, blob = _orders_as_events(spark, d)
     xref = event.where("objid % 2 = 0").select(F.col("objid").alias("rid"), F.lit(8).alias("tagid"), F.lit("trunk").alias("value"))
@@ -585,16 +585,16 @@ def checkin_comments(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.checkins(event, blob, xref, tag).select("path", "text")
 
 
-@query("""SELECT 'forum:' || sha256(CAST(o_orderkey AS VARCHAR)) AS path, 'Re: order ' || o_orderkey || chr(10) || chr(10) || 'H noé ab' AS text FROM orders WHERE o_orderkey < 3000 AND o_orderstatus = 'F' AND o_orderkey % 10 <> 0""")
+@query("""SELECT 'forum:' || sha256(CAST(o_orderkey AS VARCHAR)) AS path, 'Re: order ' || o_orderkey || chr(10) || chr(10) || 'H noé ab' AS text FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 0""")
 def forum_posts(spark: SparkSession, d: str) -> DataFrame:
     event, blob = _orders_as_events(spark, d)
     edits = event.select(F.when(F.col("objid") % 10 == 0, F.col("objid")).alias("fprev"))
     return artifacts.forum(event, blob, edits).select("path", "text")
 
 
-@query("""SELECT 'tchg:' || sha256(CAST(o_orderkey AS VARCHAR)) AS path, 'ticket ' || CASE WHEN o_custkey % 2 = 0 THEN substr(sha256('t' || o_custkey), 1, 16) ELSE '?' END || ' changed ' || strftime(o_orderdate, '%Y-%m-%dT00:00:00') || ' by clerk' || chr(10) || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'comment: two words' || chr(10) || 'empty: ' || chr(10) AS text FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 3 <> 0""")
+@query("""SELECT 'tchg:' || sha256(CAST(o_orderkey AS VARCHAR)) AS path, 'ticket ' || CASE WHEN o_custkey % 2 = 0 THEN substr(sha256('t' || o_custkey), 1, 16) ELSE '?' END || ' changed ' || strftime(o_orderdate, '%Y-%m-%dT00:00:00') || ' by clerk' || chr(10) || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'comment: two words' || chr(10) || 'empty: ' || chr(10) AS text FROM orders WHERE o_orderkey % 3 <> 0""")
 def ticket_changes(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").where("o_orderkey < 2000")
+    o = read(spark, d, "orders")
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double") + 2440587.5
     chng = o.select(F.col("o_orderkey").alias("tkt_rid"), F.col("o_custkey").alias("tkt_id"), day.alias("tkt_mtime"), F.lit("clerk").alias("tkt_user"))
     cards = F.concat(F.lit("D 2020\nJ status "), "o_orderstatus", F.lit("\nJ comment two\\swords\nJ empty\nK x\n"))
@@ -642,10 +642,10 @@ def memory_why(spark: SparkSession, d: str) -> DataFrame:
     return memory.why(*_memories(spark, d), "m100")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 5) * 40000 AS e FROM orders WHERE o_orderkey < 1200)
+@query("""WITH s AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 5) * 40000 AS e FROM orders)
 SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.s < b.e AND b.s < a.e WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND a.s < a.e AND b.s < b.e""")
 def calendar_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").where("o_orderkey < 1200")
+    o = read(spark, d, "orders")
     s = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
     x = o.select(F.col("o_orderkey").alias("id"), s.alias("starts"), (s + (F.col("o_orderkey") % 5) * 40000).alias("ends"))
     return memory.overlaps(x.where("id % 2 = 0"), x.where("id % 2 = 1"))
