@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -161,13 +162,21 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, model_id: str, most: int |
     """Exact cosine of every embedded chunk of the epoch; ``queries`` is (qid, vec), unit vectors.
 
     All of ``queries`` meets every chunk, so it is broadcast behind a check of
-    its size; larger sets go in blocks of ``QUERIES``.
+    its size; larger sets are dealt by qid to blocks of about ``QUERIES``.
     """
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries at once")
+    asked = queries.select("qid", "vec")
+    if asked.limit(QUERIES + 1).count() > QUERIES:
+        n = -(-asked.count() // QUERIES)
+        dealt = materialize(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n))), "vector-queries")
+        blocks = [dealt.where(F.col("block") == i).drop("block") for i in range(n)]
+    else:
+        blocks = [asked]
     own = chunks.where((F.col("model_id") == model_id) & F.col("embedding").isNotNull()).select("content_hash", "chunk_ix", "embedding")
-    hits = own.crossJoin(F.broadcast(queries.select("qid", "vec"))).select("qid", "content_hash", "chunk_ix", dot(F.col("embedding"), F.col("vec")).alias("cos"))
-    return ranked(hits, VEC, [F.desc("cos")], most)
+    legs = []
+    for block in blocks:
+        hits = own.crossJoin(F.broadcast(block)).select("qid", "content_hash", "chunk_ix", dot(F.col("embedding"), F.col("vec")).alias("cos"))
+        legs.append(ranked(hits, VEC, [F.desc("cos")], most))
+    return reduce(DataFrame.unionByName, legs)
 
 
 # Fusion

@@ -310,10 +310,10 @@ def fragment_flags(spark: SparkSession, d: str) -> DataFrame:
     return search.fragment_flags(rows, c, F.col("_cut")).drop("_cut")
 
 
-@query(f"WITH {EMBEDDED}, q AS (SELECT vec_id AS qid, embedding AS vec FROM embeddings WHERE vec_id < 5), s AS (SELECT qid, content_hash, chunk_ix, {DOT.format(a='embedding', b='vec')} AS c FROM embedded, q WHERE model_id = 'mini') SELECT qid, content_hash, chunk_ix, leg_rank, round(c, 6) AS cos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY c DESC, content_hash, chunk_ix) AS INT) AS leg_rank FROM s) WHERE leg_rank <= 10")
+@query(f"WITH {EMBEDDED}, q AS (SELECT vec_id AS qid, embedding AS vec FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, content_hash, chunk_ix, {DOT.format(a='embedding', b='vec')} AS c FROM embedded, q WHERE model_id = 'mini') SELECT qid, content_hash, chunk_ix, leg_rank, round(c, 6) AS cos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY c DESC, content_hash, chunk_ix) AS INT) AS leg_rank FROM s) WHERE leg_rank <= 10")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = embedded(spark, d)
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     return search.vector_leg(e, q, "mini", 10).select("qid", "content_hash", "chunk_ix", "leg_rank", F.round("cos", 6).alias("cos"))
 
 
