@@ -317,10 +317,10 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_leg(e, q, "mini", 10).select("qid", "content_hash", "chunk_ix", "leg_rank", F.round("cos", 6).alias("cos"))
 
 
-@query(rf"WITH {CHUNK}, src AS (SELECT content_hash, min(path) AS path, max(ts) AS ts FROM source GROUP BY 1) SELECT content_hash, chunk_ix, path, ts, substr(chunk_text, 1, 20) AS excerpt FROM chunk JOIN src USING (content_hash) WHERE regexp_matches(chunk_text, '(?m)(^[A-Z][a-z]+ed |[0-9]{{3}}-[0-9]{{4}}|token = \"[0-9a-f]+\")') AND content_hash IN (SELECT content_hash FROM source WHERE path ILIKE '%SRC1%') AND ts >= '1970-01-03'")
+@query(rf"WITH {CHUNK}, src AS (SELECT content_hash, min(path) AS path, max(ts) AS ts FROM source GROUP BY 1) SELECT content_hash, chunk_ix, path, ts, substr(chunk_text, 1, 160) AS excerpt FROM chunk JOIN src USING (content_hash) WHERE regexp_matches(chunk_text, '(?m)(^[A-Z][a-z]+ed |[0-9]{{3}}-[0-9]{{4}}|token = \"[0-9a-f]+\")') AND content_hash IN (SELECT content_hash FROM source WHERE path ILIKE '%SRC1%') AND ts >= '1970-01-03'")
 def grep_scan(spark: SparkSession, d: str) -> DataFrame:
     out = grep.grep(chunks(spark, d), source(spark, d), '^[A-Z][a-z]+ed |[[:digit:]]{3}-[[:digit:]]{4}|token = "[0-9a-f]+"', source_like="%SRC1%", since="1970-01-03")
-    return out.select("content_hash", "chunk_ix", "path", "ts", F.substring("excerpt", 1, 20).alias("excerpt"))
+    return out.select("content_hash", "chunk_ix", "path", "ts", "excerpt")
 
 
 @query(r"SELECT page_id, url FROM pages WHERE regexp_matches(html, '(?i)<h1>[^<\n]*TH[a-z]+</h1>')")
@@ -427,12 +427,12 @@ def closes_chain(spark: SparkSession, d: str) -> DataFrame:
     return notes.closing_chain(note_rows(spark, d), "n104")
 
 
-@query(f"""WITH {NOTE}, ev AS (SELECT 'n' || (event_id % 500) AS note_id, CASE WHEN event_id % 2 = 0 THEN 'state' ELSE 'who' END AS field, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS value, event_id AS seq FROM events WHERE event_id % 3 = 0),
+@query(f"""WITH {NOTE}, ev AS (SELECT 'n' || (event_id - event_id % 4) AS note_id, CASE WHEN event_id % 2 = 0 THEN 'state' ELSE 'who' END AS field, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS value, event_id AS seq FROM events),
 lastv AS (SELECT note_id, field, arg_max(value, seq) AS value FROM ev GROUP BY ALL)
 SELECT n.note_id, coalesce(s.value, n.state) AS state, coalesce(w.value, n.who) AS who FROM note n LEFT JOIN lastv s ON s.note_id = n.note_id AND s.field = 'state' LEFT JOIN lastv w ON w.note_id = n.note_id AND w.field = 'who'""")
 def notes_structured(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("event_id % 3 = 0")
-    events = e.select(F.concat(F.lit("n"), (F.col("event_id") % 500).cast("string")).alias("note_id"), F.when(F.col("event_id") % 2 == 0, "state").otherwise("who").alias("field"), F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    e = read(spark, d, "events")
+    events = e.select(F.concat(F.lit("n"), (F.col("event_id") - F.col("event_id") % 4).cast("string")).alias("note_id"), F.when(F.col("event_id") % 2 == 0, "state").otherwise("who").alias("field"), F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
     return notes.structured(note_rows(spark, d), events).select("note_id", "state", "who")
 
 
@@ -552,14 +552,14 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", T.duration_seconds(F.concat((F.col("event_id") % 100).cast("string"), unit)).alias("seconds"))
 
 
-@query("SELECT n.doc_id, round(sum(x * x), 4) AS zero FROM (SELECT 0 AS doc_id, unnest(embedding) AS x FROM embeddings WHERE vec_id = 3) n GROUP BY 1")
+@query("SELECT n.doc_id, round(sum(x * x), 4) AS zero FROM (SELECT vec_id AS doc_id, unnest(embedding) AS x FROM embeddings) n GROUP BY 1")
 def vector_norm(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").where("vec_id = 3").select(F.lit(0).alias("doc_id"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("zero"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("zero"))
 
 
-@query("SELECT doc_id, translate(substr(text, 1, 30), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents")
+@query("SELECT doc_id, sha256(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS low FROM documents")
 def ascii_folding(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", ascii_lower(F.substring("text", 1, 30)).alias("low"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(ascii_lower(F.col("text")), 256).alias("low"))
 
 
 # Repository tables
