@@ -6,18 +6,23 @@ run-length encoded, with row indexes every ``ROW_INDEX`` rows and a Bloom
 filter on doc_id.  Readers get stripes in parallel, and a filter on doc_id
 skips stripes and row groups by their statistics and Bloom filters.
 
-The vocabulary is applied word by word: this tokenizer drops white space and
-no token spans it, so the ids of a text are those of its words in order, and
-each worker remembers the words that it has encoded, about ``MEMO`` of them.
+The vocabulary is applied word by word: the tokenizer that this is made for
+drops white space and no token spans it, so the ids of a text are those of its
+words in order.  A worker remembers words in two Arrow arrays of at most
+``MEMO`` bytes, whatever the words are like, and encodes at most about ``RUN``
+characters at once; a longer text is cut at white space.  A vocabulary file
+with another normaliser or word pattern is applied to whole texts instead.
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come
-first; rows that repeat a doc_id are encoded each, in the order of their
-texts; an empty table gives an empty table of the same columns; extra columns
+first; rows that repeat a doc_id are encoded each, in the order of their texts'
+hashes; an empty table gives an empty table of the same columns; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,45 +33,66 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column
 from quarry.session import release_memory, ship
 from quarry.storage import materialize, running_total, small_batches
 
 END = 2
-MEMO = 600_000
-#: Bytes of text that are encoded together.
-RUN = 8 << 20
-#: Stands between new words of letters.
-MARK = "|"
+#: Bytes of remembered words and their ids in a worker.
+MEMO = 20 << 20
+#: Words of more bytes are not remembered.
+LONG_WORD = 64
+#: Characters of text that are encoded together.
+RUN = 4 << 20
 ROW_INDEX = 1000
 SCHEMA = "doc_id long, seq long, n_tokens int, ids array<int>"
 _loaded: dict[str, WordEncoder] = {}
 
+# The normaliser and the word pattern under which texts may be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: The word pattern on lower-case Latin-1: letters, single digits, runs of signs.  An apostrophe may start a contraction,
+#: so words that hold one are left to the tokenizer.
+_MIXED = re.compile(r"[!-&(-@\[-`{-~a-zß-öø-ÿ]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 class WordEncoder:
-    """Ids of texts, with a bounded memo of words.
+    """Ids of texts, with a memo of words that is bounded in bytes.
 
-    The memo has two parts: words that came once, dropped whenever they are
-    more than ``memo``, and words that came again before that.
+    A run of texts is cut into words, made distinct and looked up in Arrow, so
+    Python sees only words that the memo lacks.  A new word of lower-case Latin
+    letters, digits and signs goes part by part to the tokenizer's merges, as
+    its normalisation leaves such a word whole and its pattern gives these
+    parts; all others pass through the whole tokenizer.
 
-    A run of texts is cut into words and those are made distinct in Arrow, so
-    Python sees each word once for a run.  A new word of lower-case Latin
-    letters goes to the tokenizer's merges at once, as its normalisation and
-    word pattern leave such a word whole; words that mix letters with digits or
-    signs are put together from their parts under the same pattern; all others
-    pass through the whole tokenizer.
+    A memo that outgrows its bound keeps the words that were used most, up to
+    half of it.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
-        import os
-
+    def __init__(self, path: str, memo: int = MEMO, run: int = RUN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memo, self.once, self.again = Tokenizer.from_file(path), memo, {}, {}
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.merges.encode(MARK).ids
-        self.again[""] = b""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.by_word = (spec["normalizer"], spec["pre_tokenizer"], model["type"], model.get("dropout")) == (NORMALIZER, SPLITTER, "BPE", None) and all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+        self.tokenizer, self.memo, self.run = Tokenizer.from_file(path), memo, run
+        self.model, mapped = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # ASCII signs and letters stand for themselves in the vocabulary; other letters as the signs of their bytes.
+        self.bytes = {ord(c): mapped.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        self.code = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=False))]
+        self.words, self.ids, self.used = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64)
+        del spec, model
+        release_memory()
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -86,60 +112,109 @@ class WordEncoder:
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
-    def _whole(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.once[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _letters(self, new: list[str]) -> None:
-        """Words of lower-case letters, many at a time with a mark of one token between."""
-        if len(self.mark) != 1:
-            return self._whole(new)
-        runs = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        for run, e in zip(runs, self.merges.encode_batch_fast([f" {MARK} ".join(r) for r in runs]), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark[0])
-            for w, x, y in zip(run, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
-                self.once[w] = data[x:y]
-
-    def learn(self, new: list[str]) -> None:
-        once, again = self.once, self.again
-        letters, mixed, other = set(), [], []
+    def _whole(self, new: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(new), 1000):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new[i : i + 1000], add_special_tokens=False)]
+        return out
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of each of the distinct words ``new``."""
+        parts: dict[str, bytes] = {}
+        merge, code, letters = self.model.tokenize, self.code, self.bytes
+
+        def part(p: str) -> bytes:
+            found = parts.get(p)
+            if found is None:
+                parts[p] = found = b"".join([code[t.id] for t in merge(p if p.isascii() else p.translate(letters))])
+            return found
+
+        out: list[bytes | None] = []
         for w in new:
-            if (w.isascii() and w.isalpha() and w.islower()) or _LETTERS.fullmatch(w):
-                letters.add(w)
+            if w.isascii() and w.isalpha() and w.islower():
+                out.append(b"".join([code[t.id] for t in merge(w)]))
             elif _MIXED.fullmatch(w) and "<|" not in w:
-                mixed.append((w, _PARTS.findall(w)))
+                out.append(b"".join([part(p) for p in _PARTS.findall(w)]))
             else:
-                other.append(w)
-        parts = {p for _, ps in mixed for p in ps if p not in again and p not in once}
-        few = {p for p in parts if not _LETTERS.fullmatch(p)}
-        self._letters([*letters, *(parts - few - letters)])
-        self._whole([*other, *few])
-        for w, ps in mixed:
-            once[w] = b"".join([again[p] if p in again else once[p] for p in ps])
+                out.append(None)
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(other, self._whole([new[i] for i in other]), strict=True):
+            out[i] = x
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts`` in order, and how many each text has."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.string()), " ")
         coded = words.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.again.get, distinct))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        seen = [distinct[i] for i in gaps if distinct[i] in self.once]
-        self.learn([distinct[i] for i in gaps if distinct[i] not in self.once])
-        for i in gaps:
-            found[i] = self.once[distinct[i]]
-        if len(self.again) + len(seen) > self.memo:
-            self.again = {"": b""}
-        for w in seen:
-            self.again[w] = self.once.pop(w)
-        if len(self.once) > self.memo:
-            self.once = {}
-        taken = pa.array(found, pa.binary()).take(coded.indices)
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().copy()
+        new = coded.dictionary.filter(pa.array(missing))
+        place[missing] = len(self.words) + np.arange(len(new))
+        every = pa.concat_arrays([self.ids, pa.array(self.learn(new.to_pylist()), pa.binary())])
+        taken = every.take(pa.array(place)).take(coded.indices)
+        self.used[place[~missing]] += 1
+        self._remember(new, every)
         ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1).astype(np.int64) // 4
         ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
         return ids, np.diff(ends[words.offsets.to_numpy()])
 
+    def _remember(self, new: pa.Array, every: pa.Array) -> None:
+        words = pa.concat_arrays([self.words, new])
+        used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        own = pc.binary_length(words).to_numpy()
+        size = own + pc.binary_length(every).to_numpy() + 16  # two offsets and the count
+        keep = own <= LONG_WORD
+        if size[keep].sum() > self.memo:
+            best = np.argsort(-used * keep, kind="stable")
+            best = best[keep[best]]
+            best = best[np.cumsum(size[best]) <= self.memo // 2]
+            keep = np.zeros(len(words), bool)
+            keep[best] = True
+            used //= 2
+        if keep.all():
+            self.words, self.ids, self.used = words, every, used
+        else:
+            mask = pa.array(keep)
+            self.words, self.ids, self.used = words.filter(mask), every.filter(mask), used[keep]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in order, and how many each text has."""
+        if not self.by_word:
+            found = [x for t in texts for x in self._whole([t])]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        if sum(map(len, texts)) <= self.run:
+            return self._encode(texts) if texts else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        ids, counts, held, owners, n = [], np.zeros(len(texts), np.int64), [], [], 0
+        for i, t in enumerate(texts):
+            for piece in _cut(t, self.run):
+                if held and n + len(piece) > self.run:
+                    got, each = self._encode(held)
+                    ids.append(got)
+                    np.add.at(counts, owners, each)
+                    held, owners, n = [], [], 0
+                held.append(piece)
+                owners.append(i)
+                n += len(piece)
+        got, each = self._encode(held)
+        ids.append(got)
+        np.add.at(counts, owners, each)
+        return np.concatenate(ids), counts
+
+
+def _cut(text: str, size: int) -> Iterator[str]:
+    """Pieces of about ``size`` characters that end before a blank; without one a piece is longer."""
+    start = 0
+    while len(text) - start > size:
+        end = max(text.rfind(c, start + 1, start + size + 1) for c in " \n\t\r")
+        if end < 0:
+            found = [x for c in " \n\t\r" if (x := text.find(c, start + size)) >= 0]
+            if not found:
+                break
+            end = min(found)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
 
 def _latin1(text: str) -> bool:
     try:
@@ -149,13 +224,6 @@ def _latin1(text: str) -> bool:
     return True
 
 
-#: The tokenizer's word pattern on lower-case Latin-1: letters, single digits, runs of signs.  An apostrophe may start a
-#: contraction, so words that hold one are left to the tokenizer.
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_MIXED = re.compile(r"[!-&(-@\[-`{-~a-zß-öø-ÿ]+")
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-
-
 def _runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[pa.Table]:
     """Batches put together to about ``size`` bytes of text."""
     held, n = [], 0
@@ -173,8 +241,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", t
     """Encode ``docs`` with the vocabulary file and write them under ``path``; returns :func:`read` of it."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("seq", F.monotonically_increasing_id())
+    body = F.coalesce(column(docs, text), F.lit(""))
+    rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # The hash and the row's number split what repeats a doc_id; rows that are equal in all else are equal in their ids.
+    order = ["doc_id", "hash", "row"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.at(vocabulary)

@@ -188,10 +188,58 @@ def test_words_spliced_as_the_library_does():
     path = vocabulary("word_bpe_49k.json")
     texts = ["".join(rng.choice(WORDS) + rng.choice([" ", "\n", "\t", "", "  "]) for _ in range(rng.randrange(25))) for _ in range(800)] + ["", " ", "x" * 5000]
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    for memo in (1_000_000, 10):
-        ids, n = tokens.WordEncoder(path, memo).encode(texts)
-        again = np.split(ids, np.cumsum(n)[:-1])
-        assert [x.tolist() for x in again] == want
+    texts[100] = " ".join(texts[:100])  # cut where runs are short
+    want[100] = Tokenizer.from_file(path).encode(texts[100], add_special_tokens=False).ids
+    for memo, run in ((1_000_000, 1 << 20), (10, 1 << 20), (300, 50)):
+        encoder = tokens.WordEncoder(path, memo, run)
+        for _ in range(2):
+            ids, n = encoder.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert tokens.WordEncoder(path).encode([])[0].tolist() == []
+
+
+def test_memo_is_bounded_in_bytes_whatever_the_words():
+    encoder = tokens.WordEncoder(vocabulary("word_bpe_49k.json"), 100_000)
+    rng = random.Random(4)
+    for size in (5, 40, 300, 5000):
+        for _ in range(5):
+            words = ["".join(rng.choices("abcdefg", k=size)) for _ in range(100_000 // size)]
+            encoder.encode([" ".join(words), "often seen"])
+            assert encoder.words.nbytes + encoder.ids.nbytes + encoder.used.nbytes <= 110_000
+            assert max(map(len, encoder.words.to_pylist())) <= tokens.LONG_WORD
+    assert "often" in encoder.words.to_pylist()
+
+
+def test_another_vocabulary_gets_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary("word_bpe_49k.json"), encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    texts = ["The Cat x1", "", "İ it's"]
+    encoder = tokens.WordEncoder(path)
+    ids, n = encoder.encode(texts)
+    assert not encoder.by_word
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_row_indexes_and_bloom_filters_skip(spark):
+    n = 5000
+    rows = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text")).coalesce(1)
+    table = tokens.write(rows, vocabulary("word_bpe_49k.json"), new_path(spark, "tokens"))
+
+    def scanned(where):
+        df = table.where(where)
+        df.collect()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().get("numOutputRows").get().value()
+
+    assert 0 < scanned("doc_id = 4000") <= tokens.ROW_INDEX  # the others by their row index
+    assert scanned("doc_id = 4001") == 0  # within the bounds, so by the Bloom filter
+    assert scanned("doc_id >= 0") == n
 
 
 def test_token_files(spark):
@@ -201,7 +249,8 @@ def test_token_files(spark):
     texts, ids = ["b c", None, "", "a " * 3000, "same", "same"], [7, -3, None, 2, 5, 5]
     path = new_path(spark, "tokens")
     table = tokens.write(docs(spark, texts, ids).withColumn("ids", F.lit(1)).withColumn("seq", F.lit("x")), vocabulary("word_bpe_49k.json"), path)
-    order = sorted(range(6), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+    place = {r.t: r.h for r in docs(spark, texts).select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(range(6), key=lambda i: (ids[i] is not None, ids[i] or 0, place[texts[i] or ""]))
     start = 0
     got = tokens.digests(table).collect()
     left = sorted(got, key=lambda r: r.start)
