@@ -1,9 +1,9 @@
 """Quality rules by weak supervision.
 
 Rules vote good (1), bad (-1) or abstain (0) on each document.  Expectation
-maximisation estimates, from the votes alone, how often each rule is right on
-good and on bad documents; the posterior probability of good replaces the usual
-"every rule must pass".
+maximisation estimates, from the votes alone, how often each rule is right when
+it votes; the posterior probability of good replaces the usual "every rule must
+pass".
 
 Only the table of distinct vote patterns, at most 3 to the number of rules,
 reaches the driver, so the fit costs the same at any corpus size while its
@@ -18,10 +18,13 @@ are ignored and may have any name.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column, key, numbered
 from quarry.storage import let, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -86,12 +89,12 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns of ``docs`` and the long columns ``FEATURES``, each with ``prefix``."""
     keep = docs.columns if keep is None else keep
-    f = features(F.col(text))
-    raw = docs.select(*[F.col(c) for c in keep], *[v.alias(f"{prefix}_raw_{k}") for k, v in f.items()])
+    f = features(column(docs, text))
+    raw = docs.select(*[column(docs, c) for c in keep], *[v.alias(f"{prefix}_raw_{k}") for k, v in f.items()])
     r = lambda k: F.col(f"{prefix}_raw_{k}")
     w, lines = r("_w"), r("_lines")
     made = {"n_words": w["n_words"], "word_chars": w["word_chars"], "n_symbols": r("n_symbols"), "n_dup_lines": lines["dup"], "n_repeat_words": w["n_repeat_words"], "n_distinct": w["n_distinct"], "n_lines": lines["n"], "n_upper": r("n_upper"), "n_alnum": r("n_alnum")}
-    return raw.select(*[F.col(c) for c in keep], *[v.alias(prefix + k) for k, v in made.items()])
+    return raw.select(*[column(raw, c) for c in keep], *[v.alias(prefix + k) for k, v in made.items()])
 
 
 def rules(prefix: str = "") -> dict[str, Column]:
@@ -124,43 +127,44 @@ def rules(prefix: str = "") -> dict[str, Column]:
     return {k: vote(x, -1) for k, x in bad.items()} | {k: vote(x, 1) for k, x in good.items()}
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, start: float = 0.8, smooth: float = 2.0) -> tuple[float, list[float]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], settled: float = 1e-9, start: float = 0.8, smooth: float = 2.0) -> tuple[float, list[float]]:
     """Accuracies by expectation maximisation over counted vote patterns.
 
     Returns the share of good documents and the probability of each rule that
     its vote is right, given that it votes.  Every rule starts at ``start``
     with ``smooth`` pseudo-votes of that accuracy.  Accuracies stay within 0.55
     and 0.995, so that a rule can't turn into its opposite or overrule all
-    others; the share stays within 0.05 and 0.95.
+    others; the share stays within 0.05 and 0.95.  Rounds end when no figure
+    moves by more than ``settled``, or after 1000.
     """
-    clip = lambda x, a, b: min(max(x, a), b)
     m = len(patterns[0][0]) if patterns else 0
-    prior, acc = 0.5, [start] * m
-    for _ in range(rounds):
-        good, total, right, votes = 0.0, 0, [0.0] * m, [0.0] * m
-        for pattern, n in patterns:
-            p = posterior_of(pattern, prior, acc)
-            total += n
-            good += p * n
-            for j, v in enumerate(pattern):
-                if v:
-                    votes[j] += n
-                    right[j] += (p if v > 0 else 1 - p) * n
-        if not total:
+    if not patterns or not sum(n for _, n in patterns):
+        return 0.5, [start] * m
+    votes = np.array([p for p, _ in patterns], dtype=np.float64).reshape(len(patterns), m)
+    counts = np.array([n for _, n in patterns], dtype=np.float64)
+    voted = counts @ np.abs(votes)
+    prior, acc = 0.5, np.full(m, start)
+    for _ in range(1000):
+        base, w = weights(prior, acc)
+        good = 1 / (1 + np.exp(-(base + votes @ w)))
+        right = (counts * good) @ (votes > 0) + (counts * (1 - good)) @ (votes < 0)
+        before = np.append(acc, prior)
+        prior = float(np.clip(counts @ good / counts.sum(), 0.05, 0.95))
+        acc = np.clip((right + start * smooth) / (voted + smooth), 0.55, 0.995)
+        if np.abs(np.append(acc, prior) - before).max() <= settled:
             break
-        prior = clip(good / total, 0.05, 0.95)
-        acc = [clip((right[j] + start * smooth) / (votes[j] + smooth), 0.55, 0.995) for j in range(m)]
-    return prior, acc
+    return prior, acc.tolist()
 
 
-def weights(prior: float, acc: list[float]) -> tuple[float, list[float]]:
+def weights(prior: float, acc: Sequence[float]) -> tuple[float, np.ndarray]:
     """Log odds of good: at first, and what a good vote of each rule adds (a bad one subtracts)."""
-    return math.log(prior / (1 - prior)), [math.log(a / (1 - a)) for a in acc]
+    a = np.asarray(acc, dtype=np.float64)
+    return math.log(prior / (1 - prior)), np.log(a / (1 - a))
 
 
-def posterior_of(pattern: tuple[int, ...], prior: float, acc: list[float]) -> float:
+def posterior_of(pattern: tuple[int, ...], prior: float, acc: Sequence[float]) -> float:
     base, w = weights(prior, acc)
-    return 1 / (1 + math.exp(-(base + sum(x * v for x, v in zip(w, pattern, strict=True)))))
+    return float(1 / (1 + np.exp(-(base + w @ np.array(pattern, dtype=np.float64)))))
 
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5, prefix: str = "") -> DataFrame:
@@ -179,7 +183,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
     base, w = weights(*fit(patterns)) if patterns else (0.0, [0.0] * len(names))
     odds = F.lit(base)
     for name, weight in zip(names, w, strict=True):
-        odds = odds + F.col(name) * F.lit(weight)
+        odds = odds + F.col(name) * F.lit(float(weight))
     n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     out = table.withColumn(f"{prefix}base_failed", (n < 20) | (r * 100 > n * 30)).withColumn(f"{prefix}posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}posterior") >= threshold))
@@ -187,7 +191,5 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with the columns of ``docs`` and no others."""
-    prefix = "_quality_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    return judge(docs, text, docs.columns, threshold, prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
+    rows = numbered(docs)
+    return judge(rows, key(docs, text), rows.columns, threshold, "_").where(F.col("_kept")).select(*rows.columns).toDF(*docs.columns)

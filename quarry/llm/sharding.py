@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column, key, numbered
 from quarry.storage import materialize, ranged, running_total
 
 LAW = "bytes"
@@ -27,9 +28,9 @@ SNAP = 0.005
 
 def assign(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of each document."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(docs, text), F.lit(""))
     lean = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        column(docs, doc_id).alias("doc_id"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("_h"),
@@ -55,10 +56,12 @@ def write_shards(docs: DataFrame, shards: int, path: str, doc_id: str = "doc_id"
     Rows that repeat a doc_id and a text get the slots of that pair in any order.
     """
     placed = assign(docs, shards, doc_id, text)
-    key = lambda d, c: F.row_number().over(Window.partitionBy(d, c).orderBy(F.lit(0)))
-    left = docs.withColumn("_crc", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    left = left.withColumn("_k", key(F.col(doc_id), F.col("_crc")))
-    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), "shard", "slot").withColumn("_n", key(F.col("_id"), F.col("_c")))
+    rows, doc_id, text = numbered(docs), key(docs, doc_id), key(docs, text)
+    nth = lambda d, c: F.row_number().over(Window.partitionBy(d, c).orderBy(F.lit(0)))
+    left = rows.withColumn("_crc", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    left = left.withColumn("_k", nth(F.col(doc_id), F.col("_crc")))
+    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).withColumn("_n", nth(F.col("_id"), F.col("_c")))
     joined = left.join(right, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_c")) & (F.col("_k") == F.col("_n")))
-    joined.drop("_crc", "_k", "_id", "_c", "_n").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = joined.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").select("_shard", *rows.columns, "_slot")
+    out.toDF("shard", *docs.columns, "slot").write.partitionBy("shard").parquet(path)
     return placed

@@ -21,8 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from quarry.llm.columns import column
 from quarry.session import ship
 
 CHUNK = 1 << 14
@@ -114,4 +114,4 @@ def count(docs: DataFrame, model: str, text: str = "text", keep: list[str] | Non
             yield pa.array([n for i in range(0, len(some), 500) for n in counter.counts(some[i : i + 500])], pa.int64())
 
     keep = docs.columns if keep is None else keep
-    return docs.select(*keep, run(F.col(text)).alias("n_tokens"))
+    return docs.select(*[column(docs, c) for c in keep], run(column(docs, text)).alias("n_tokens"))

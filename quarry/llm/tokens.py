@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import column
+from quarry.llm.columns import key, numbered
 from quarry.session import release_memory, ship
 from quarry.storage import materialize, running_total, small_batches
 
@@ -241,8 +241,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", t
     """Encode ``docs`` with the vocabulary file and write them under ``path``; returns :func:`read` of it."""
     spark = docs.sparkSession
     ship(spark)
-    body = F.coalesce(column(docs, text), F.lit(""))
-    rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    plain = numbered(docs)
+    body = F.coalesce(F.col(key(docs, text)), F.lit(""))
+    rows = plain.select(F.col(key(docs, doc_id)).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"), F.monotonically_increasing_id().alias("row"))
     # The hash and the row's number split what repeats a doc_id; rows that are equal in all else are equal in their ids.
     order = ["doc_id", "hash", "row"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
