@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column
 from quarry.session import ship
-from quarry.storage import materialize, small_batches
+from quarry.storage import broadcast_if_small, materialize, small_batches
 
 #: name -> (version, pattern, flags, group whose length counts, least length, literals of which a lower-cased text must hold one)
 RULES = {
@@ -35,6 +36,8 @@ RULES = {
     "slack": (1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 1, ("xox",)),
     "url_login": (1, r"\b[a-z][a-z0-9+.-]*://[^\s/@:]+:[^\s/@]+@", re.I | re.A, 0, 1, ("://",)),
 }
+#: Unseen blobs are broadcast up to this many rows (a digest, a path and rule names each, about 300 bytes), else joined by a shuffle.
+BROADCAST_BLOBS = 100_000
 BASE = ["assign", "access", "hex"]
 FINDING = "array<struct<start:int,rank:int,end:int,kind:string,rule:string>>"
 LEDGER = f"blob string, scanned array<string>, findings {FINDING}"
@@ -46,6 +49,51 @@ def rule_id(kind: str, rules: dict = RULES) -> str:
 
 #: A run of 16 or more; its matches are those of [0-9a-f]+ that are long enough, and it skips short runs faster.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
+_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_LOGIN = re.compile(r"://[^\s/@:]++:[^\s/@]++@", re.A)
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+
+
+def _jwts(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the pattern; where a start in a run of its characters fails, all later ones in that run do."""
+    at = text.find("eyJ")
+    while at >= 0:
+        if m := _JWT.match(text, at):
+            yield m.span()
+            at = text.find("eyJ", m.end())
+        elif at and (text[at - 1].isalnum() or text[at - 1] == "_"):  # no word boundary
+            at = text.find("eyJ", at + 1)
+        else:
+            at = text.find("eyJ", _JWT_RUN.match(text, at).end())
+
+
+def _logins(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the pattern, each found at its ``://`` and led back to the first place where its scheme may start."""
+    done, at = 0, text.find("://")
+    while at >= 0:
+        m, start = _LOGIN.match(text, at), at
+        while m and start > done and text[start - 1] in _SCHEME:
+            start -= 1
+        while m and start < at:
+            before = text[start - 1] if start else " "
+            if text[start].isalpha() and not (before.isascii() and (before.isalnum() or before == "_")):
+                yield start, m.end()
+                done = m.end()
+                break
+            start += 1
+        at = text.find("://", max(at + 1, done))
+
+
+#: The linear search of patterns that a plain search would start anew at each place of a long run.
+_LINEAR = {"jwt": _jwts, "url_login": _logins}
+
+
+def _spans(kind: str, pattern: str, flags: int, group: int, least: int, text: str) -> Iterator[tuple[int, int]]:
+    if kind in _LINEAR and pattern == RULES[kind][1]:
+        return _LINEAR[kind](text)
+    found = _LONG_HEX if pattern == "[0-9a-f]+" and least == 16 else re.compile(pattern, flags)
+    return (m.span() for m in found.finditer(text) if m.end(group) - m.start(group) >= least)
 
 
 def find(text: str, kinds: list[str], rules: dict = RULES) -> list[dict]:
@@ -58,10 +106,7 @@ def find(text: str, kinds: list[str], rules: dict = RULES) -> list[dict]:
             low = text.lower() if low is None else low
             if not any(x in low for x in literals):
                 continue
-        found = _LONG_HEX if pattern == "[0-9a-f]+" and least == 16 else re.compile(pattern, flags)
-        for m in found.finditer(text):
-            if m.end(group) - m.start(group) >= least:
-                out.append({"start": m.start(), "rank": rank, "end": m.end(), "kind": kind, "rule": rule_id(kind, rules)})
+        out += [{"start": a, "rank": rank, "end": b, "kind": kind, "rule": rule_id(kind, rules)} for a, b in _spans(kind, pattern, flags, group, least, text)]
     return sorted(out, key=lambda x: (x["start"], x["rank"]))
 
 
@@ -74,7 +119,7 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
     spark = versions.sparkSession
     ship(spark)
     want = [rule_id(k, rules) for k in rules]
-    v = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    v = versions.select(column(versions, path).alias("path"), F.coalesce(column(versions, text), F.lit("")).alias("text"))
     v = v.withColumn("blob", F.sha2("text", 256))
     ids = materialize(v.select("path", "blob"), "secret-paths")
     # One path speaks for each blob; its rows are few bytes each, and no blob's rows meet in a task.
@@ -83,6 +128,8 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
         todo = todo.join(seen, "blob", "left").select("blob", "at", F.array_except(F.array(*map(F.lit, want)), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        # Where little is new, no text is shuffled.
+        todo = broadcast_if_small(materialize(todo, "secret-unseen"), BROADCAST_BLOBS)
     else:
         todo = todo.withColumn("todo", F.array(*map(F.lit, want)))
     todo = todo.withColumnRenamed("blob", "b")
