@@ -15,13 +15,18 @@ Defined cases: a null html is an empty payload; a null page_id is written with
 an empty id, is never the target of a revisit that has another choice, and
 revisits the largest id of its group; rows that repeat the largest page_id of
 their payload are all responses; an empty table writes no archive and gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored.  Headers, blocks and members may have
+any length: they are hashed as they are read, and only the payload cell of a
+record beyond ``HOLD`` bytes is null, its digest and length being there.  A
+member that doesn't inflate to its end is a gap with all that it holds, as no
+digest covers the headers.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,8 +44,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_BYTES = 1000
 #: Revisits are broadcast up to this many rows (about 40 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: A record that inflates beyond this is quarantined, so that no member can exhaust a worker.
-MAX_RECORD = 256 << 20
+#: Payloads beyond this are checked and measured but not handed out; a Spark cell holds less than 2 GB.
+HOLD = 1 << 30
 STEP = 1 << 16
 
 MANIFEST = "file string, bytes long, records long"
@@ -48,32 +53,38 @@ RECORD = "file string, offset long, record_id string, record_type string, uri st
 GAP = "file string, start long, end long, reason string"
 
 
-def sha1_32(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+def sha1_32(digest: bytes) -> str:
+    return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record; a revisit keeps the HTTP header and the digest and length of its payload."""
-    block = HTTP + payload if kind == "response" else HTTP
+def record(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z") -> list[bytes]:
+    """The parts of one WARC record; a revisit keeps the HTTP header and the digest and length of its payload."""
+    block = [HTTP, payload] if kind == "response" else [HTTP]
+    whole = hashlib.sha1()
+    for x in block:
+        whole.update(x)
     head = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<{record_id}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", uri),
-        ("WARC-Payload-Digest", sha1_32(payload)),
-        ("WARC-Block-Digest", sha1_32(block)),
+        ("WARC-Payload-Digest", sha1_32(hashlib.sha1(payload).digest())),
+        ("WARC-Block-Digest", sha1_32(whole.digest())),
         ("X-Payload-Length", str(len(payload))),
     ]
     if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to}>")]
-    head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
+    head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(sum(map(len, block))))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head)
-    return VERSION + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return [VERSION + lines.encode() + b"\r\n", *block, b"\r\n\r\n"]
 
 
-def member(data: bytes, level: int = 3) -> bytes:
+def member(parts: list[bytes], level: int = 3) -> Iterator[bytes]:
+    """A gzip member of ``parts``, piece by piece."""
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return c.compress(data) + c.flush()
+    for x in parts:
+        yield c.compress(x)
+    yield c.flush()
 
 
 def page_urn(page_id) -> str:
@@ -108,11 +119,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 payload, uri = html.encode(), url if isinstance(url, str) else ""
                 uri = uri.replace("\r", "%0D").replace("\n", "%0A")
                 if pd.isna(target):
-                    data = member(record("response", page_urn(page_id), uri, payload))
+                    parts = record("response", page_urn(page_id), uri, payload)
                 else:
-                    data = member(record("revisit", page_urn(page_id), uri, payload, page_urn(target)))
-                out.write(data)
-                n, size = n + 1, size + len(data)
+                    parts = record("revisit", page_urn(page_id), uri, payload, page_urn(target))
+                for data in member(parts):
+                    out.write(data)
+                    size += len(data)
+                n += 1
         if out is not None:
             out.close()
             yield pd.DataFrame({"file": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
@@ -143,89 +156,138 @@ class Bad(Exception):
     """A failed check; its text is the reason in the log."""
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one whole record, with every check made."""
-    if not data.startswith(b"WARC/1."):
-        raise Bad("no version line")
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    if not sep:
-        raise Bad("header does not end")
-    fields = {}
-    for line in head.split(b"\r\n")[1:]:
-        k, colon, v = line.partition(b":")
-        if not colon:
-            raise Bad("malformed header line")
-        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
-        raise Bad("no content length")
-    n = int(fields["content-length"])
-    if len(rest) < n or rest[n:] != b"\r\n\r\n":
-        raise Bad("length does not fit")
-    block = rest[:n]
-    if fields.get("warc-block-digest", d := sha1_32(block)) != d:
-        raise Bad("block digest differs")
-    return fields, block
+class Broken(Bad):
+    """The gzip member itself can't be read on."""
 
 
-def _row(file: str, offset: int, fields: dict[str, str], block: bytes, payloads: bool) -> dict:
-    kind = fields.get("warc-type", "")
-    payload = block.partition(b"\r\n\r\n")[2] if "application/http" in fields.get("content-type", "") else block
-    digest, length = fields.get("warc-payload-digest"), len(payload)
-    if kind == "revisit":
-        length = int(fields["x-payload-length"]) if fields.get("x-payload-length", "").isdigit() else None
-        payload = None
-    elif digest is not None and digest != sha1_32(payload):
-        raise Bad("payload digest differs")
-    try:
-        bare = hashlib.sha1(payload).hexdigest() if payload is not None else base64.b32decode(digest.partition(":")[2]).hex() if digest else None
-    except ValueError:
-        raise Bad("malformed payload digest") from None
-    strip = lambda x: x.strip("<>") if x else None
-    return {"file": file, "offset": offset, "record_id": strip(fields.get("warc-record-id")), "record_type": kind, "uri": fields.get("warc-target-uri"), "refers_to_id": strip(fields.get("warc-refers-to")), "payload_digest": bare, "payload_bytes": length, "payload": payload if payloads else None}
+class Member:
+    """Seek and read over the content of the gzip member at ``offset``; ``end`` is the file's offset after it."""
+
+    def __init__(self, f, offset: int):
+        self.f, self.offset, self.end, self.at = f, offset, None, 0
+        self._restart()
+
+    def _restart(self) -> None:
+        self.z, self.taken, self.tail, self.start, self.data = zlib.decompressobj(31), self.offset, b"", 0, bytearray()
+
+    def seek(self, offset: int) -> None:
+        self.at = offset
+        if offset < self.start:
+            self._restart()
+
+    def read(self, n: int) -> bytes:
+        while self.start + len(self.data) < self.at + n and not self.z.eof:
+            old = min(self.at, self.start + len(self.data)) - STEP - self.start
+            if old > STEP:  # what a search may go back to stays
+                del self.data[:old]
+                self.start += old
+            if not self.tail:
+                self.f.seek(self.taken)
+                self.tail = self.f.read(STEP)
+                if not self.tail:
+                    raise Broken("member is cut off")
+                self.taken += len(self.tail)
+            try:
+                self.data += self.z.decompress(self.tail, 4 * STEP)
+            except zlib.error:
+                raise Broken("member does not inflate") from None
+            self.tail = self.z.unconsumed_tail
+        if self.z.eof:
+            self.end = self.taken - len(self.z.unused_data)
+        out = bytes(self.data[self.at - self.start : self.at - self.start + n])
+        self.at += len(out)
+        return out
 
 
-def _inflate(f, offset: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``offset`` and the offset after it."""
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch("[0-9]{1,18}", value) else None
+
+
+def _differs(stated: str | None, digest: bytes) -> bool:
+    """Whether a SHA-1 is stated and is another one."""
+    label, _, value = (stated or "").partition(":")
+    return label.lower() == "sha1" and value.strip().upper() not in (sha1_32(digest)[5:], digest.hex().upper())
+
+
+def _fields(f, offset: int) -> tuple[dict[str, str], int]:
+    """The header fields of the record at ``offset`` and where its block starts."""
     f.seek(offset)
-    d, out, size, at = zlib.decompressobj(31), [], 0, offset
-    while not d.eof:
+    head, line, done = bytearray(), 0, -1
+    while done < 0:
         chunk = f.read(STEP)
+        known = max(0, len(head) - 3)
+        head += chunk
+        if not head.startswith(b"WARC/1."):
+            raise Bad("no version line")
+        done = head.find(b"\r\n\r\n", known)
+        while (end := head.find(b"\r\n", line)) >= 0 and (done < 0 or end <= done):
+            if line and head.find(b":", line, end) < 0:
+                raise Bad("malformed header line" if end > line or done >= 0 else "header does not end")
+            line = end + 2
+        if done < 0 and not chunk:
+            raise Bad("header does not end")
+    fields = {}
+    for x in bytes(head[:done]).split(b"\r\n")[1:]:
+        k, _, v = x.partition(b":")
+        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+    return fields, offset + done + 4
+
+
+def parse(f, offset: int, size: int | None, payloads: bool = True) -> tuple[dict, int]:
+    """The row of the record at ``offset`` and the offset after it.
+
+    Every check is made; ``size`` is where the file ends, if known.
+    """
+    fields, at = _fields(f, offset)
+    n = _number(fields.get("content-length"))
+    if n is None:
+        raise Bad("no content length")
+    if size is not None and at + n + 4 > size:
+        raise Bad("length does not fit")
+    kind = fields.get("warc-type", "")
+    http = "application/http" in fields.get("content-type", "")
+    block, body, length, held = hashlib.sha1(), hashlib.sha1(), 0, []
+    keep = payloads and kind != "revisit" and n <= HOLD
+    head = b"" if http else None  # the end of what was read of the HTTP header, None once it is over
+    f.seek(at)
+    left = n
+    while left:
+        chunk = f.read(min(left, 4 * STEP))
         if not chunk:
-            raise Bad("member is cut off")
-        at += len(chunk)
+            raise Bad("length does not fit")
+        left -= len(chunk)
+        block.update(chunk)
+        if head is not None:
+            both = head + chunk
+            cut = both.find(b"\r\n\r\n")
+            head, chunk = (both[-3:], b"") if cut < 0 else (None, both[cut + 4 :])
+        body.update(chunk)
+        length += len(chunk)
+        if keep:
+            held.append(chunk)
+    if f.read(4) != b"\r\n\r\n":
+        raise Bad("length does not fit")
+    if _differs(fields.get("warc-block-digest"), block.digest()):
+        raise Bad("block digest differs")
+    digest = fields.get("warc-payload-digest")
+    if kind != "revisit":
+        if _differs(digest, body.digest()):
+            raise Bad("payload digest differs")
+        bare = body.hexdigest()
+    else:
+        length = _number(fields.get("x-payload-length"))
+        value = (digest or "").partition(":")[2].strip()
         try:
-            part = d.decompress(chunk, MAX_RECORD + 1 - size)
-        except zlib.error:
-            raise Bad("member does not inflate") from None
-        out.append(part)
-        size += len(part)
-        if size > MAX_RECORD or d.unconsumed_tail:
-            raise Bad("record is too large")
-    return b"".join(out), at - len(d.unused_data)
-
-
-def _plain(f, offset: int) -> tuple[bytes, int]:
-    """The bytes of the uncompressed record at ``offset`` and the offset after it."""
-    f.seek(offset)
-    head = f.read(STEP)
-    if not head.startswith(b"WARC/1."):
-        raise Bad("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("header does not end")
-    n = next((x.partition(b":")[2].strip() for x in head[:end].split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
-    if not n.isdigit() or int(n) > MAX_RECORD:
-        raise Bad("no content length" if not n.isdigit() else "record is too large")
-    size = end + 4 + int(n) + 4
-    f.seek(offset)
-    data = f.read(size)
-    if len(data) < size:
-        raise Bad("record is cut off")
-    return data, offset + size
+            bare = None if digest is None else value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else base64.b32decode(value, casefold=True).hex()
+        except ValueError:
+            raise Bad("malformed payload digest") from None
+    strip = lambda x: x.strip("<>") if x else None
+    row = {"record_id": strip(fields.get("warc-record-id")), "record_type": kind, "uri": fields.get("warc-target-uri"), "refers_to_id": strip(fields.get("warc-refers-to")), "payload_digest": bare, "payload_bytes": length, "payload": b"".join(held) if keep else None}
+    return row, at + n + 4
 
 
-def _next(f, offset: int, mark: bytes, size: int) -> int:
-    """The first offset from ``offset`` on where ``mark`` stands, else ``size``."""
+def _next(f, offset: int, mark: bytes, size: int | None = None) -> int:
+    """The first offset from ``offset`` on where ``mark`` stands, else the end."""
     keep = b""
     f.seek(offset)
     at = offset
@@ -236,31 +298,84 @@ def _next(f, offset: int, mark: bytes, size: int) -> int:
             return at - len(keep) + found
         at += len(chunk)
         keep = data[-(len(mark) - 1) :]
-    return size
+    return at if size is None else size
+
+
+def _members(f, offset: int, payloads: bool) -> Iterator[tuple[str, dict | str | int]]:
+    """("record", row), ("gap", reason) of each run without one, and last ("end", offset after) or ("broken", reason)."""
+    inner, at, sure = Member(f, offset), 0, False
+    try:
+        while True:
+            inner.seek(at)
+            if not inner.read(1):
+                break
+            try:
+                row, at = parse(inner, at, None, payloads)
+            except Broken:
+                raise
+            except Bad as e:
+                begin, at = at, _next(inner, at + 1, b"WARC/1.")
+                yield "gap", f"{e} (bytes {begin} to {at} of the member)"
+                continue
+            if not sure:  # the member's own check comes before its first record counts
+                inner.seek(at)
+                while inner.read(STEP):
+                    pass
+                sure = True
+            yield "record", row
+    except Broken as e:
+        yield "broken", str(e)
+        return
+    yield "end", inner.end
 
 
 def salvage(f, size: int, file: str, payloads: bool = True) -> Iterator[tuple[str, dict]]:
-    """("record", row) for each valid record and ("gap", row) for each run of bytes without one."""
-    f.seek(0)
+    """("record", row) for each valid record and ("gap", row) for each run of bytes without one.
+
+    A gzip member that holds bad records beside good ones is a gap of its own,
+    whose reason names the bytes of its content.
+    """
     zipped = True if size == 0 else _sniff(f, size)
-    mark, take = (b"\x1f\x8b\x08", _inflate) if zipped else (b"WARC/1.", _plain)
+    mark = b"\x1f\x8b\x08" if zipped else b"WARC/1."
     offset, gap, why = 0, None, ""
+
+    def ended(at: int) -> Iterator[tuple[str, dict]]:
+        if gap is not None and gap < at:
+            yield "gap", {"file": file, "start": gap, "end": at, "reason": why}
+
     while offset < size:
-        try:
-            data, after = take(f, offset)
-            row = _row(file, offset, *parse(data), payloads)
-        except Bad as e:
-            if gap is None:
-                gap, why = offset, str(e)
-            offset = _next(f, offset + 1, mark, size)
-            continue
-        if gap is not None:
-            yield "gap", {"file": file, "start": gap, "end": offset, "reason": why}
+        if not zipped:
+            try:
+                row, after = parse(f, offset, size, payloads)
+            except Bad as e:
+                gap, why = (offset, str(e)) if gap is None else (gap, why)
+                offset = _next(f, offset + 1, mark, size)
+                continue
+            yield from ended(offset)
             gap = None
-        yield "record", row
-        offset = after
-    if gap is not None:
-        yield "gap", {"file": file, "start": gap, "end": size, "reason": why}
+            yield "record", {"file": file, "offset": offset} | row
+            offset = after
+            continue
+        found, gaps = False, []
+        for kind, what in _members(f, offset, payloads):
+            if kind == "record":
+                if not found:
+                    yield from ended(offset)
+                    gap, found = None, True
+                yield "record", {"file": file, "offset": offset} | what
+            elif kind == "gap":
+                gaps.append(what)
+            elif kind == "broken":
+                gap, why = (offset, what) if gap is None else (gap, why)
+                offset = _next(f, offset + 1, mark, size)
+            elif found:
+                for reason in gaps:
+                    yield "gap", {"file": file, "start": offset, "end": what, "reason": reason}
+                offset = what
+            else:
+                gap, why = (offset, gaps[0] if gaps else "member is empty") if gap is None else (gap, why)
+                offset = what
+    yield from ended(size)
 
 
 def _sniff(f, size: int) -> bool:
@@ -272,7 +387,7 @@ def _sniff(f, size: int) -> bool:
 def read(manifest: DataFrame, payloads: bool = True, batch: int = 500, gaps: bool = False) -> DataFrame:
     """The valid records of the archives in column ``file`` of ``manifest``, or their gaps.
 
-    Each archive is read by one task with a buffer of one record.
+    Each archive is read by one task, which holds one batch of payloads at most.
     """
     ship(manifest.sparkSession)
     files = manifest.select("file")
