@@ -22,67 +22,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column
 from quarry.session import ship
-from quarry.storage import small_batches
+from quarry.storage import materialize, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = 3
-#: Above this many languages the broadcast matrix (256 KB each) is refused.
+#: Above this many languages the broadcast matrix (256 KB each) is refused, before anything of it is collected.
 MAX_LANGUAGES = 1000
-#: Characters hashed at once; bounds a worker's arrays to about 100 MB.
-CHUNK = 1 << 20
+#: Characters hashed at once; bounds a worker's arrays to about 20 MB.
+CHUNK = 1 << 17
 
 UNKNOWN = "und"
-_letter = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x110000)])
+
+
+def _folded(point: int) -> int:
+    """The code point in lower case, the first if there are several; 0 for what is no letter."""
+    c = chr(point)
+    return ord(c.lower()[0]) if c.isalpha() else 0
+
+
+_fold = np.array([0 if 0xD800 <= i < 0xE000 else _folded(i) for i in range(0x110000)], dtype=np.uint32)
 
 
 def _points(text: str) -> np.ndarray:
-    """Code points of ``text`` in lower case, each run of non-letters as one 0, with 0 at both ends."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    c = np.where(_letter[c], c, 0)
-    c = np.concatenate(([0], c, [0]))
+    """Code points of ``text`` in lower case, each run of non-letters as one 0."""
+    c = _fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
     return c[(c != 0) | np.concatenate(([True], c[:-1] != 0))]
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """Buckets of the 1- to 3-grams of ``points`` that hold a letter."""
+def grams(points: np.ndarray, lead: int = 0) -> np.ndarray:
+    """Buckets of the 1- to 3-grams of ``points`` that hold a letter and end after the first ``lead`` points."""
     h, out = np.zeros(len(points), np.int64), []
     for n in range(1, ORDERS + 1):
-        h = h[: len(points) - n + 1] * 0x01000193 + points[n - 1 :] + n
+        h = h[: max(0, len(points) - n + 1)] * 0x01000193 + points[n - 1 :] + n
         mixed = (h ^ (h >> 15)) * 0x2545F491 & 0x7FFFFFFF
         bucket = (mixed >> 11) % BUCKETS
-        inside = points[: len(points) - n + 1] != 0
-        for k in range(1, n):
-            inside |= points[k : len(points) - n + 1 + k] != 0
-        out.append(bucket[inside])
+        inside = np.zeros(len(bucket), bool)
+        for k in range(n):
+            inside |= points[k : k + len(bucket)] != 0
+        first = max(0, lead - n + 1)
+        out.append(bucket[first:][inside[first:]])
     return np.concatenate(out)
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
-    """The whole text's grams, a bounded run of characters at a time; runs share ORDERS - 1 points."""
-    p = _points(text)
-    if len(p) <= CHUNK:
-        yield grams(p)
-        return
-    for a in range(0, len(p), CHUNK):
-        g = p[max(0, a - (ORDERS - 1)) : a + CHUNK]
-        if a == 0:
-            yield grams(g)
-        else:  # only grams that end in this run
-            yield _ending(g, ORDERS - 1)
-
-
-def _ending(points: np.ndarray, lead: int) -> np.ndarray:
-    h, out = np.zeros(len(points), np.int64), []
-    for n in range(1, ORDERS + 1):
-        h = h[: len(points) - n + 1] * 0x01000193 + points[n - 1 :] + n
-        bucket = (((h ^ (h >> 15)) * 0x2545F491 & 0x7FFFFFFF) >> 11) % BUCKETS
-        inside = points[: len(points) - n + 1] != 0
-        for k in range(1, n):
-            inside |= points[k : len(points) - n + 1 + k] != 0
-        first = max(0, lead - n + 1)
-        out.append(bucket[first:][inside[first:]])
-    return np.concatenate(out)
+    """The whole text's grams, ``CHUNK`` characters at a time; a boundary stands at both ends of the text."""
+    kept = np.zeros(1, np.int64)
+    for a in range(0, len(text) + 1, CHUNK):
+        p = _points(text[a : a + CHUNK])
+        if a + CHUNK > len(text):
+            p = np.append(p, 0)
+        p = p[(p != 0) | np.concatenate((kept[-1:] != 0, p[:-1] != 0))]
+        yield grams(np.concatenate((kept, p)), len(kept) if a else 0)
+        kept = np.concatenate((kept, p))[1 - ORDERS :]
 
 
 def count(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -104,8 +97,11 @@ def count(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
             yield pd.DataFrame({"lang": lang_, "bucket": at.astype(np.int32), "n": total[at]})
 
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    return rows.mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return _learnable(labelled, text, lang).mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _learnable(labelled: DataFrame, text: str, lang: str) -> DataFrame:
+    return labelled.select(column(labelled, text).alias("text"), column(labelled, lang).alias("lang")).where("text is not null and lang is not null")
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -114,10 +110,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: fl
     The driver gets at most languages x ``BUCKETS`` counts.
     """
     with small_batches(labelled.sparkSession):
-        counts = count(labelled, text, lang).toPandas()
+        counted = materialize(count(labelled, text, lang), "language-counts")
+    n = counted.agg(F.count_distinct("lang")).first()[0]
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages; the matrix is bounded to {MAX_LANGUAGES}")
+    counts = counted.toPandas()
     langs = sorted(counts["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded to {MAX_LANGUAGES}")
     table = np.zeros((BUCKETS, len(langs)))
     table[counts["bucket"].to_numpy(), np.searchsorted(langs, counts["lang"].to_numpy(dtype=object).astype(str)) if langs else []] = counts["n"]
     sums = table.sum(axis=0)
