@@ -20,43 +20,54 @@ by :func:`mixed_documents`.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column, key, numbered
 from quarry.llm.quality import words_of
-from quarry.storage import materialize, ranged, running_total
+from quarry.storage import broadcast_if_small, materialize, ranged, running_total
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 REPEATS = 2
-#: The driver computes targets from one row for each source, up to so many.
-MAX_SOURCES = 1_000_000
+#: Sources are broadcast up to this many rows (about 60 bytes each), else joined by a shuffle.
+BROADCAST_SOURCES = 500_000
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, repeats: int = REPEATS) -> list[float]:
-    """Words to take of each source; ``weights`` repeat along ``sizes``.
+def targets(per: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, int]:
+    """(_source, source_size, target) for the written ``per`` (source, source_size), and all words together.
 
-    Sources above ``repeats`` times their size stop there, and what they leave
-    is shared again by weight until none is above.
+    ``weights`` repeat along the sources by code point, null last.  Sources
+    above ``repeats`` times their size stop there, and what they leave is shared
+    again by weight.  In the order in which sources reach their limit as the
+    unit grows, those before the first that stays within it are full; running
+    totals of that order find it, so only one row reaches the driver.
     """
-    n = len(sizes)
-    w = [weights[i % len(weights)] for i in range(n)]
-    out: list[Fraction] = [Fraction(0)] * n
-    left, open_ = share * sum(sizes), list(range(n))
-    while open_ and left > 0:
-        unit = left / sum(w[i] for i in open_)
-        full = [i for i in open_ if unit * w[i] > repeats * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * w[i]
-            break
-        for i in full:
-            out[i] = Fraction(repeats * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return [float(x) for x in out]
+    by_name = [F.asc_nulls_last("source")]
+    named = running_total(ranged(per, by_name, "mix-names"), {"_k": F.lit(1).cast("long")}, by_name).drop("_pid")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_k") % len(weights) + 1).cast("int"))
+    weighed = named.withColumn("_w", weight.cast("long"))
+    reach = [(F.col("source_size").cast("decimal(38,0)") * (lcm(*weights) / F.col("_w")).cast("int")).cast("decimal(38,0)").alias("_reach")]
+    line = ["_reach", "_k"]
+    filled = running_total(ranged(weighed.select("*", *reach), line, "mix-reach"), {"_given": F.col("source_size") * repeats, "_light": F.col("_w")}, line).drop("_pid")
+    filled = materialize(filled, "mix-filled")
+    total, heavy = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    d = share.denominator
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    left = F.lit(Decimal(share.numerator * total)) - whole("_given") * d
+    within = left.cast("decimal(38,0)") * F.col("_w") <= whole("source_size") * (heavy - F.col("_light")) * (d * repeats)
+    first = filled.where(within).agg(F.min(F.struct("_light", "_given"))).first()[0]
+    full = F.col("source_size").cast("double") * repeats
+    if first is None:
+        target = full
+    else:
+        words, rest = share.numerator * total - d * first["_given"], d * (heavy - first["_light"])
+        target = F.when(F.col("_light") < first["_light"], full).otherwise((F.col("_w") * F.lit(Decimal(words)).cast("decimal(38,0)")).cast("double") / float(rest))
+    return filled.select(F.col("source").alias("_source"), "source_size", target.alias("target")), total
 
 
 def _order_of(doc_id: Column, text: Column, seed: int) -> list[Column]:
@@ -67,21 +78,18 @@ def _order_of(doc_id: Column, text: Column, seed: int) -> list[Column]:
 
 def queue(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
     """Each queued copy, ``_round`` 0 or 1, of each document, with ``took`` for those within the budget."""
-    spark = docs.sparkSession
-    lean = docs.select(F.col(source).alias("source"), *_order_of(F.col(doc_id), F.col(text), seed), F.size(words_of(F.col(text))).cast("long").alias("size"))
+    body = column(docs, text)
+    lean = docs.select(column(docs, source).alias("source"), *_order_of(column(docs, doc_id), body, seed), F.size(words_of(body)).cast("long").alias("size"))
     order = ["source", "_r", "doc_id", "_x"]
     table = ranged(materialize(lean, "mix-sizes"), order, "mix-order")
-    per = table.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    per = sorted(per, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
-    goal = targets([r[1] for r in per])
-    sources = spark.createDataFrame([(r[0], r[1], t) for r, t in zip(per, goal, strict=True)], "_source string, source_size long, target double")
-    budget = int(2 * SHARE * sum(r[1] for r in per))  # twice the words to take, so that halves are whole
+    per = materialize(table.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    sources, total = targets(per)
+    sources = broadcast_if_small(sources, BROADCAST_SOURCES)
+    budget = int(2 * SHARE * total)  # twice the words to take, so that halves are whole
 
     # (source, _n) is unique: _n counts a source's documents in its order.
     queued = running_total(table, {"_before": F.col("size"), "_n": F.lit(1).cast("long")}, order, within=["source"])
-    queued = queued.drop("_pid").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    queued = queued.drop("_pid").join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     again = F.when(F.col("target") > F.col("source_size"), F.sequence(F.lit(0), F.lit(REPEATS - 1))).otherwise(F.array(F.lit(0)))
     rounds = queued.withColumn("_round", F.explode(again))
     finish = (F.col("_before") + F.col("size") + F.col("_round") * F.col("source_size")) / F.col("target")
@@ -105,10 +113,12 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     What is taken is a prefix of each source's shuffled order in each round, so
     one cutoff for each (source, round) decides and no text is shuffled.
     """
-    took = queue(docs, doc_id, text, source, seed).where("took")
+    rows = numbered(docs)
+    doc_id, text, source = (key(docs, c) for c in (doc_id, text, source))
+    took = queue(rows, doc_id, text, source, seed).where("took")
     ends = took.groupBy(F.col("source").alias("_src"), "_round").agg(F.max(F.struct("_r", "doc_id", "_x")).alias("_end"))
     ends = materialize(ends.groupBy("_src").agg(F.collect_list("_end").alias("_ends")), "mix-ends")  # a row for each source
     at = F.struct(*_order_of(F.col(doc_id), F.col(text), seed))
-    out = docs.join(F.broadcast(ends), F.col(source).eqNullSafe(F.col("_src")))
+    out = rows.join(broadcast_if_small(ends, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_src")))
     copies = F.filter(F.col("_ends"), lambda e: at <= e)
-    return out.withColumn("_copy", F.explode(copies)).select(*[docs[c] for c in docs.columns])
+    return out.withColumn("_copy", F.explode(copies)).select(*rows.columns).toDF(*docs.columns)
