@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column, key, numbered
 from quarry.session import ship
 from quarry.storage import broadcast_if_small, materialize, small_batches
 
@@ -46,6 +47,8 @@ DISTANCE = 4
 SEED = 42
 #: An upper node of more fingerprints is searched by several tasks.
 HOT = 200_000
+#: Dropped documents are broadcast up to this many rows (about 80 bytes each), else joined by a shuffle of the texts.
+BROADCAST_IDS = 500_000
 #: Children of a node.
 FAN = 16
 #: Pairs compared at once, and pairs of nodes expanded at once, each into FAN * FAN at most; they bound a worker's arrays.
@@ -280,31 +283,29 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, least: in
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every vertex: alternating large-star and small-star until nothing changes.
 
-    Each vertex ends on the smallest (signed) vertex of its component.
+    Each vertex ends on the smallest (signed) vertex of its component.  Both
+    sides of a join are written tables, so that it has plain exchanges and the
+    hub of a large component, a hot key, is split by adaptive execution.
     """
     edges = materialize(edges.where("u <> v").distinct(), "components")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     state = mark(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    while state[0]:
         # Large star: each larger neighbour of a vertex links to the smallest of it and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components-large")
         # Small star: a vertex and its smaller neighbours link to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = mark(edges)
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
@@ -323,7 +324,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, least:
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of each document."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
     with small_batches(docs.sparkSession):
         prints = materialize(with_fingerprints(d, keep=["doc_id"]), "simhash-prints")
     return classes(prints, distance).drop("root")
@@ -334,22 +335,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
 
     Of rows that repeat that doc_id the one with the smallest text hash stays.
     """
-    own = "_fp"
-    while own in docs.columns:
-        own = "_" + own
+    rows = numbered(docs)
+    doc_id, text = key(docs, doc_id), key(docs, text)
     with small_batches(docs.sparkSession):
-        table = materialize(with_fingerprints(docs, text, own), "simhash-documents")
-    lean = table.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("fp"))
-    found = materialize(classes(lean, distance), "simhash-found")
+        table = materialize(with_fingerprints(rows, text, "_fp"), "simhash-documents")
+    found = materialize(classes(table.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp")), distance), "simhash-found")
     names = F.expr("doc_id <=> component_id")
-    dropped = found.where(~names).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
-    left = table.join(dropped, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col(own) == F.col("_f")), "left_anti")
+    dropped = materialize(found.where(~names).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct(), "simhash-dropped")
+    left = table.join(broadcast_if_small(dropped, BROADCAST_IDS), F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")), "left_anti")
     # Components whose naming doc_id is in several rows.
     again = materialize(found.where(names).groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "simhash-repeats")
     if again.isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*rows.columns).toDF(*docs.columns)
     prints = found.join(again, "root", "left_semi").select(F.col("fp").alias("_f"), F.col("root").alias("_root")).distinct()
-    here = F.col(own) == F.col("_f")
-    row = F.struct(*docs.columns)
+    here = F.col("_fp") == F.col("_f")
+    row = F.struct(*rows.columns)
     one = left.join(prints, here).groupBy("_root").agg(F.min_by(row, F.xxhash64(F.col(text))).alias("_row")).select("_row.*")
-    return left.join(prints, here, "left_anti").select(*docs.columns).unionByName(one)
+    return left.join(prints, here, "left_anti").select(*rows.columns).unionByName(one).toDF(*docs.columns)
