@@ -25,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import column, key, numbered
 from quarry.llm.quality import SPACE
 from quarry.storage import broadcast_if_small, let, materialize
 
 WINDOW = 5
 CONTAINMENT = 0.8
-#: Benchmark windows are broadcast up to this many (about 60 bytes each), else joined by a shuffle.
+#: Benchmark windows are broadcast up to this many (item, window) pairs (about 60 bytes each), else joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Ids of flagged documents are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -123,8 +124,8 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     reach ``containment``. ``short`` also seeks items below ``window`` words
     within longer documents.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    b = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    d = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
+    b = bench.select(column(bench, item_id).alias("item_id"), column(bench, item_text).alias("text"))
     t, p = template_words(F.col("text")), plain_words(F.col("text"))
     has_slots = F.exists(t, lambda x: x.rlike(f"[{NUMBER}{UNIT}{NAME}]"))
     made = b.select("item_id", "text", F.array_distinct(windows(t, window)).alias("w"), F.array_distinct(windows(p, window, plain=True)).alias("p"), F.size(t).alias("n_words"), F.size(p).alias("n_plain"), has_slots.alias("has_slots"))
@@ -132,13 +133,16 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     lengths, plain_lengths = (tuple(sorted(r[0] for r in items.where(F.col(c).between(1, window - 1)).select(c).distinct().collect())) if short else () for c in ("n_words", "n_plain"))
     per_item = items.select("item_id", "has_slots", F.lit(False).alias("plain"), "n_windows", F.explode("w").alias("h")).unionByName(items.select("item_id", "has_slots", F.lit(True).alias("plain"), F.size("p").cast("long").alias("n_windows"), F.explode("p").alias("h")))
     posting = per_item.groupBy("h").agg(F.collect_set(F.struct("item_id", "has_slots", "plain", "n_windows")).alias("items"))
+    posting = materialize(posting, "bench-windows")
+    few = (posting.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_WINDOWS
+    # Texts that share a doc_id are told apart by their hash, so that none makes up for what another lacks.
     hits = (
-        d.select("doc_id", F.explode(F.concat(windows(t, window, lengths), windows(p, window, plain_lengths, plain=True))).alias("h"))
-        .join(broadcast_if_small(materialize(posting, "bench-windows"), BROADCAST_WINDOWS), "h")
-        .select("doc_id", "h", F.explode("items").alias("i"))
-        .select("doc_id", "h", "i.*")
+        d.select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.concat(windows(t, window, lengths), windows(p, window, plain_lengths, plain=True))).alias("h"))
+        .join(F.broadcast(posting) if few else posting, "h")
+        .select("doc_id", "version", "h", F.explode("items").alias("i"))
+        .select("doc_id", "version", "h", "i.*")
     )
-    found = hits.groupBy("doc_id", "item_id", "plain").agg(F.count_distinct("h").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("has_slots").alias("has_slots"))
+    found = hits.groupBy("doc_id", "version", "item_id", "plain").agg(F.count_distinct("h").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("has_slots").alias("has_slots"))
     enough = found.where(F.col("matched") >= containment * F.col("n_windows"))
     counts = lambda c: F.coalesce(F.max(F.when(~F.col("plain"), F.col(c))), F.max(c)).alias(c)
     candidates = materialize(enough.groupBy("doc_id", "item_id").agg(counts("matched"), counts("n_windows"), (F.max("plain") | ~F.max("has_slots")).alias("word_for_word")), "bench-candidates")
@@ -187,5 +191,6 @@ def _checked(d: DataFrame, items: DataFrame, candidates: DataFrame, window: int,
 
 def drop_leaked(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with the columns of ``docs``."""
-    ids = materialize(leaks(docs, bench, doc_id, text, short=True).select(F.col("doc_id").alias("_leaked")).distinct(), "bench-leaked")
-    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), F.col(doc_id).eqNullSafe(F.col("_leaked")), "left_anti").select(*docs.columns)
+    rows, doc_id = numbered(docs), key(docs, doc_id)
+    ids = materialize(leaks(rows, bench, doc_id, key(docs, text), short=True).select(F.col("doc_id").alias("_leaked")).distinct(), "bench-leaked")
+    return rows.join(broadcast_if_small(ids, BROADCAST_IDS), F.col(doc_id).eqNullSafe(F.col("_leaked")), "left_anti").select(*rows.columns).toDF(*docs.columns)
