@@ -5,6 +5,7 @@ import io
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,21 @@ def test_base_spans_of_any_text(text):
     assert got == base_spans(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "abcdefgh", "ABCDEFGH12", ".", "-", "_", "a", "://", "u", ":", "@", "/", " ", "é", "9", "+", "http"]), max_size=25).map("".join))
+def test_linear_patterns_find_what_the_patterns_do(text):
+    for kind in ("jwt", "url_login"):
+        _, pattern, flags, *_ = secrets.RULES[kind]
+        assert [(x["start"], x["end"]) for x in secrets.find(text, [kind])] == [m.span() for m in re.finditer(pattern, text, flags)]
+
+
+@pytest.mark.parametrize("text", ["a-" * 500_000 + " x://", "eyJ-" * 250_000, "eyJaaaaaaaa." * 80_000, "a.b://c:" * 120_000, "://" * 300_000, "password" + " " * 900_000, "-----BEGIN " * 90_000, "ghp_" * 250_000, "xox" + "b-" * 400_000, "f" * 15 + ("g" + "f" * 15) * 60_000])
+def test_a_million_characters_take_linear_time(text):
+    begin = time.process_time()
+    secrets.find(text, list(secrets.RULES))
+    assert time.process_time() - begin < 2
+
+
 def test_ledger_scans_only_what_it_lacks(spark, monkeypatch):
     ledger = new_path(spark, "ledger")
     df = docs(spark, SECRETS + SECRETS[:1], [*range(len(SECRETS)), 100]).withColumn("blob", F.lit(1)).withColumn("findings", F.lit("clash"))
@@ -78,7 +94,15 @@ def test_ledger_scans_only_what_it_lacks(spark, monkeypatch):
 
 
 def archive(n=6, level=3):
-    return [warc.member(warc.record("response", f"urn:page:{i}", f"http://x/{i}", random.Random(i).randbytes(300) + bytes([i]) * 50), level) for i in range(n)]
+    return [packed(one(i), level) for i in range(n)]
+
+
+def one(i, payload=None):
+    return b"".join(warc.record("response", f"urn:page:{i}", f"http://x/{i}", random.Random(i).randbytes(300) + bytes([i]) * 50 if payload is None else payload))
+
+
+def packed(data, level=3):
+    return b"".join(warc.member([data], level))
 
 
 def walked(data):
@@ -108,7 +132,7 @@ def test_cuts_junk_and_plain_archives():
     assert ids == [f"urn:page:{i}" for i in range(5)] and gaps == [(len(whole) - len(parts[5]), len(whole) - 20)]
     fake = parts[0] + b"\x1f\x8b\x08 not a member" + parts[1]
     assert walked(fake)[0] == ["urn:page:0", "urn:page:1"]
-    records = [warc.record("response", f"urn:page:{i}", "u", b"p" * i) for i in range(4)]
+    records = [one(i, b"p" * i) for i in range(4)]
     plain = bytearray(b"".join(records))
     assert walked(bytes(plain)) == ([f"urn:page:{i}" for i in range(4)], [])
     plain[len(records[0]) + len(records[1]) - 6] ^= 1
@@ -116,6 +140,51 @@ def test_cuts_junk_and_plain_archives():
     assert walked(b"") == ([], []) and walked(b"nothing here") == ([], [(0, 12)])
 
 
+@pytest.mark.parametrize("field", ["Content-Length: \u00b2", "Content-Length: " + "9" * 5000, "X-Payload-Length: \u00b2", "no colon"])
+def test_odd_numbers_and_lines_cost_one_record(field):
+    name = field.split(":")[0]
+    odd = b"".join(warc.record("revisit", "urn:page:1", "u", b"x", "urn:page:0")).decode()
+    odd = re.sub(rf"{name}: \d+", field, odd) if ":" in field else odd.replace("\r\n", "\r\nno colon\r\n", 1)
+    data = [one(0), odd.encode(), one(2)]
+    lost = not field.startswith("X-")
+    want = [f"urn:page:{i}" for i in (0, 1, 2) if not (lost and i == 1)]
+    for parts in (data, [packed(x) for x in data]):
+        ids, gaps = walked(b"".join(parts))
+        assert ids == want and gaps == ([(len(parts[0]), len(parts[0] + parts[1]))] if lost else [])
+
+
+def test_several_records_in_a_member():
+    both = packed(one(0) + one(1))
+    assert walked(both + packed(one(2))) == (["urn:page:0", "urn:page:1", "urn:page:2"], [])
+    bad = one(1).replace(b"HTTP/1.1 200", b"HTTP/1.1 404")  # the digests differ
+    for middle in (bad, b"junk", one(1)[:-30]):
+        mixed = packed(one(0) + middle + one(2))
+        assert walked(mixed + packed(one(3))) == (["urn:page:0", "urn:page:2", "urn:page:3"], [(0, len(mixed))])
+    cut = both[:-4]  # without its check nothing of a member counts
+    assert walked(cut + packed(one(3))) == (["urn:page:3"], [(0, len(cut))])
+    bare = re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]+\r\n", b"", one(0))
+    assert walked(packed(bare)) == (["urn:page:0"], [])
+    many = [one(i) for i in range(250)]
+    assert walked(packed(b"".join(many)))[0] == [f"urn:page:{i}" for i in range(250)]
+
+
+def test_long_headers_and_payloads():
+    long_ = one(1).replace(b"WARC-Date", b"X-Note: " + b"y" * 300_000 + b"\r\nWARC-Date")
+    big = one(2, random.Random(3).randbytes(3_000_000))
+    for parts in ([one(0), long_, big], [packed(x) for x in (one(0), long_, big)]):
+        data = b"".join(parts)
+        rows = [r for k, r in warc.salvage(warc.Window(io.BytesIO(data)), len(data), "f") if k == "record"]
+        assert [r["record_id"] for r in rows] == ["urn:page:0", "urn:page:1", "urn:page:2"]
+        assert rows[2]["payload"] == random.Random(3).randbytes(3_000_000) and rows[2]["payload_bytes"] == 3_000_000
+
+
+def test_payloads_beyond_the_hold_keep_their_digest(monkeypatch):
+    monkeypatch.setattr(warc, "HOLD", 500)
+    data = packed(one(0, b"z" * 900)) + packed(one(1, b"z"))
+    rows = [r for _, r in warc.salvage(warc.Window(io.BytesIO(data)), len(data), "f")]
+    assert [(r["payload"], r["payload_bytes"], r["payload_digest"]) for r in rows] == [(None, 900, hashlib.sha1(b"z" * 900).hexdigest()), (b"z", 1, hashlib.sha1(b"z").hexdigest())]
+
+
 def test_pages_round_trip(spark):
     big, huge = "é" * 600, "x" * 200_000
     rows = [(1, "u", big), (2, "u", big), (3, "u", "small"), (4, "u", "small"), (5, None, None), (6, "u\r\nX: y", ""), (7, "u", huge), (8, "u", huge), (8, "u", huge), (None, "u", big), (-9, "u", big + "a")]
@@ -167,6 +236,46 @@ def test_language_edges(spark):
     assert probe.select(language.predict(F.col("text"), none, spark).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def grams_py(text):
+    """Folded 1- to 3-grams that hold a letter; every run of other characters is one boundary, as are the ends."""
+    low = re.sub("\0+", "\0", "".join(["\0", *(c.lower()[0] if c.isalpha() else "\0" for c in text), "\0"]))
+    return [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1) if low[i : i + n].strip("\0")]
+
+
+def bucket_py(gram):
+    h = 0
+    for n, c in enumerate(gram, 1):
+        h = h * 0x01000193 + ord(c) * (c != "\0") + n
+    # Each prefix adds its length; the hash of the whole gram is mixed.
+    return (((h ^ (h >> 15)) * 0x2545F491 & 0x7FFFFFFF) >> 11) % language.BUCKETS
+
+
+def test_predictions_against_a_plain_classifier(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcde é", "bb": "defgh ß", "cc": "abfgh İ", "zz": "xyzΣ1 "}
+    rows = [(i, "".join(rng.choices(letters[x], k=rng.randrange(60))), x) for i, x in enumerate(rng.choices([*letters], k=200))]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "unlabelled", None), (902, "12 !", "bb")], "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    model = language.train(df)
+    counts = {x: Counter(bucket_py(g) for _, t, y in rows if y == x for g in grams_py(t)) for x in letters}
+    total = {x: sum(c.values()) + 0.5 * language.BUCKETS for x, c in counts.items()}
+    tests = ["".join(rng.choices("abcdefghéßİxyzΣ1 ", k=rng.randrange(40))) for _ in range(200)] + ["", "12"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "i long, text string").select("i", language.predict(F.col("text"), model, spark).alias("p")).collect()
+    for r in got:
+        g = [bucket_py(x) for x in grams_py(tests[r.i])]
+        if not g:
+            assert tuple(r.p) == ("und", 0.0)
+            continue
+        score = {x: sum(np.log(counts[x][b] + 0.5) - np.log(total[x]) for b in g) for x in letters}
+        best = max(score.values())
+        assert score[r.p.lang_pred] == pytest.approx(best) and r.p.score == pytest.approx(1 / sum(np.exp(v - best) for v in score.values()))
+
+
+def test_too_many_languages_are_refused_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="3 languages"):
+        language.train(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string"))
+
+
 def test_long_texts_count_every_gram(monkeypatch):
     text = "".join(random.Random(0).choice("abc é.") for _ in range(5000))
     whole = Counter(language.grams(language._points(text)).tolist())
@@ -424,8 +533,10 @@ def test_stages_take_empty_and_odd_tables(spark):
 
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp int"
     odd = spark.createDataFrame([(None, None, None, None, None, "x", 1), (1, "", "en", None, 0, None, None), (1, "", "en", None, 0, None, None), (2, "word " * 20_000, "en", "s", None, "k", 2)], schema)
-    for table in (odd, odd.limit(0)):
+    clash = ["_d", "_f", "_fp", "_leaked", "_src", "_ends", "_copy", "_row", "_root", "_n_words", "c0", "c3", "a.b", "a`b", "TEXT", "Doc_Id", "took", "item_id", "h", "seq", "ids"]
+    clashing = odd.select("*", *[F.lit(i) for i in range(len(clash))]).toDF(*odd.columns, *clash)
+    for table in (odd, odd.limit(0), clashing):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, SF)
-            assert out.columns == odd.columns and out.count() <= 2 * table.count(), name
+            assert out.columns == table.columns and out.count() <= 2 * table.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()

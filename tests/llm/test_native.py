@@ -174,6 +174,69 @@ def test_short_items_within_documents(spark):
     assert sorted(r.doc_id for r in left.collect()) == [4, 6]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_leaks_against_brute_force_with_slots(spark, seed):
+    """Documents with no, one or several instances of items, exact, re-parameterised or inconsistent."""
+    rng = random.Random(seed)
+    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor amet sit elit sed do eiusmod tempor magna aliqua".split()) for _ in range(n))
+    shapes = ["alpha beta {0} gamma delta epsilon {1} zeta eta theta {0} iota", "one two three {0} four five six seven {1} eight nine", "plain words only without any slot at all here"]
+    fill = lambda s, v: s.format(*v)
+    values = [("11", "22"), ("7", "95"), ("", "")]
+    items = [fill(s, v) for s, v in zip(shapes, values, strict=True)]
+    texts, want = [], {}
+    for doc in range(40):
+        parts = [filler(rng.randrange(3, 20))]
+        for _ in range(rng.randrange(4)):
+            i, how = rng.randrange(3), rng.choice(["exact", "other", "torn"])
+            if how == "exact" or i == 2:
+                parts.append(items[i])
+                kind = 0
+            elif how == "other":
+                parts.append(fill(shapes[i], rng.sample([str(x) for x in range(100, 999)], 2)))
+                kind = 1
+            elif i == 0:  # the two places of one slot differ, so it is a shared template
+                parts.append("alpha beta 301 gamma delta epsilon 302 zeta eta theta 303 iota")
+                kind = None
+            else:
+                continue
+            if kind is not None:
+                want[doc, i] = min(kind, want.get((doc, i), 1))
+            parts.append(filler(rng.randrange(3, 20)))
+        texts.append(" ".join(parts))
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs(spark, texts), bench(spark, items), short=True).collect()}
+    assert got == {k: ("verbatim", "reparameterised")[v] for k, v in want.items()}
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Of word problems planted with other names, numbers and units at least nine in ten are found, and no clean text is."""
+    rng = random.Random(12)
+    names = "Maria Laura Peter Jonas Aisha Wei Olga Pablo Nina Tom".split()
+    things = "pencils apples marbles books stickers coins".split()
+    shapes = [
+        "{a} bought {x} {t}. {a} gave {y} {t} to {b}. How many {t} does {a} have left?",
+        "A train leaves the station at {x} km per hour while {b} waits {y} minutes for {a} on the platform.",
+        "If {a} can paint the fence in {x} hours and {b} needs {y} hours, how long do they take together?",
+        "{a} and {b} share {x} {t} so that {a} gets {y} more {t} than {b}. How many does each of them get?",
+    ]
+    fill = lambda s, t: s.format(a=rng.choice(names[:5]), b=rng.choice(names[5:]), x=rng.randrange(100, 1000), y=rng.randrange(10, 100), t=t)
+    picked = [(s, rng.choice(things)) for s in shapes for _ in range(5)]
+    items = [fill(s, t) for s, t in picked]
+    prose = lambda n: " ".join(rng.choice("the river ran past old stones while birds sang over quiet fields of green barley".split()) for _ in range(n)) + "."
+    planted = [f"{prose(30)} {fill(s, t)} {prose(30)}" for s, t in picked]
+    clean = [prose(80) for _ in range(60)]
+    got = decontaminate.leaks(docs(spark, planted + clean), bench(spark, items), short=True).collect()
+    hit = {(r.doc_id, r.item_id) for r in got}
+    assert sum((i, i) in hit for i in range(len(items))) >= 0.9 * len(items)
+    assert all(d < len(items) for d, _ in hit)
+
+
+def test_texts_of_one_doc_id_do_not_add_up(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    halves = ["one two three four five six seven eight", "five six seven eight nine ten eleven twelve"]
+    assert decontaminate.leaks(docs(spark, halves, ids=[3, 3]), bench(spark, [item]), short=True).count() == 0
+    assert decontaminate.leaks(docs(spark, [*halves, item], ids=[3, 3, 3]), bench(spark, [item]), short=True).count() == 1
+
+
 # Sharding
 
 
@@ -202,6 +265,33 @@ def test_shards_are_balanced_contiguous_and_gapless(spark, seed):
     assert sorted(map(tuple, sharding.assign(df, 8).collect())) == sorted(map(tuple, rows))
 
 
+def test_shards_against_a_plain_version(spark):
+    """Documents in the order of hash, crc, size and id, cut at equal targets; small groups stay with their first."""
+    rng = random.Random(9)
+    texts = [rng.choice(["hot text"] * 3 + [None, "", "é" * rng.randrange(40), "w " * rng.randrange(60)]) for _ in range(700)]
+    df = docs(spark, texts)
+    rows = {r.doc_id: r for r in sharding.assign(df, 8).collect()}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    size = {i: len((t or "").encode()) + 1 for i, t in enumerate(texts)}
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in enumerate(texts)}
+    order = sorted(size, key=lambda i: (hashes[i], crc[i], size[i], i))
+    total, before, shard = sum(size.values()), 0, {}
+    for i in order:
+        shard[i] = min(7, before * 8 // total)
+        before += size[i]
+    groups = defaultdict(list)
+    for i in order:
+        groups[hashes[i], crc[i]].append(i)
+    for g in groups.values():
+        if sum(size[i] for i in g) * 8 <= sharding.SNAP * total:
+            shard.update(dict.fromkeys(g, shard[g[0]]))
+    slot = Counter()
+    for i in order:
+        r = rows[i]
+        assert (r.size, r.text_crc32, r.shard, r.slot) == (size[i], crc[i], shard[i], slot[shard[i]])
+        slot[shard[i]] += 1
+
+
 def test_shard_edges(spark, tmp_path):
     assert sharding.assign(docs(spark, []).limit(0), 8).count() == 0
     few = sharding.assign(docs(spark, ["a", "b"]), 8).collect()
@@ -234,11 +324,26 @@ def targets_py(sizes):
     return [float(x) for x in out]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 1000), max_size=9))
-def test_targets(sizes):
-    got = mixing.targets(sizes)
-    assert got == pytest.approx(targets_py(sizes)) and sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes))
+def test_targets(spark):
+    rng = random.Random(6)
+    cases = [[], [0], [5], [0, 0, 7], [10, 10, 10], [1, 1000, 1], [1000, 1, 1, 1], *([rng.choice([0, rng.randrange(1000), 10**12]) for _ in range(rng.randrange(2, 30))] for _ in range(5))]
+    for sizes in cases:
+        names = [chr(97 + i) if i < 25 else None if i == len(sizes) - 1 else f"z{i}" for i in range(len(sizes))]
+        per = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long")
+        rows, total = mixing.targets(per)
+        found = {r["_source"]: r.target for r in rows.collect()}
+        got = [found[x] for x in names]
+        assert total == sum(sizes) and got == pytest.approx(targets_py(sizes)) and sum(got) == pytest.approx(1.5 * total) and all(t <= 2 * n + 1e-9 for t, n in zip(got, sizes))
+
+
+def test_mix_makes_no_rows_in_python(spark, monkeypatch):
+    _, _, df = mixed(spark)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    assert mixing.mix(df).count() and mixing.mixed_documents(df).count()
 
 
 def mixed(spark):
