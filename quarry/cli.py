@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.embed import embedder
 from quarry.functions.text import iso_now
 from quarry.operators import grep, muse, notes, search
-from quarry.plans.index import index, pull, push
+from quarry.plans.index import ask, edit_note, index, pull, push
 from quarry.plans.store import Store
 from quarry.sources.files import read_captures, read_folder
 
@@ -75,20 +75,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def structure(spark: SparkSession, store: Store, a: argparse.Namespace, now: str) -> dict[str, str]:
-    """The change that the arguments ask for, written to the store's notes."""
-    table = store.read("note")
-    claim = notes.claim_of(table, a.id)
-    if a.heartbeat:
-        change = notes.heartbeat(claim, now, a.lease)
-    elif a.challenge:
-        change = notes.challenge(claim, a.challenge, now)
-    elif a.steal:
-        change = notes.steal(claim, a.steal, now, a.grace, a.lease)
-    else:
-        change = {} if a.who is None else notes.take(claim, a.who, now, a.lease, a.force)
-    change |= {f: v for f in ("type", "place", "due", "state", "closes") if (v := getattr(a, f)) is not None}
-    store.commit(note=notes.structured(table, notes.events_of(spark, a.id, change, 1, now)))
-    return change
+    """The change that the arguments ask for, appended to the store's note events."""
+
+    def change(claim: notes.Claim) -> dict[str, str]:
+        if a.heartbeat:
+            out = notes.heartbeat(claim, now, a.lease)
+        elif a.challenge:
+            out = notes.challenge(claim, a.challenge, now)
+        elif a.steal:
+            out = notes.steal(claim, a.steal, now, a.grace, a.lease)
+        else:
+            out = {} if a.who is None else notes.take(claim, a.who, now, a.lease, a.force)
+        return out | {f: v for f in ("type", "place", "due", "state", "closes") if (v := getattr(a, f)) is not None}
+
+    return edit_note(store, a.id, change, now)
 
 
 def run(spark: SparkSession, a: argparse.Namespace, out=print) -> int:
@@ -105,7 +105,7 @@ def run(spark: SparkSession, a: argparse.Namespace, out=print) -> int:
         if (embed := embedder(a.model)) is not None:
             model = os.path.basename(a.model)
             vectors = spark.createDataFrame([("q", a.query)], "qid string, text string").select("qid", embed(F.col("text")).alias("vec"))
-        found = search.ask(store.read("chunk"), store.read("source"), {"q": a.query}, a.k, vectors, model, a.min_cos)
+        found = ask(store, {"q": a.query}, a.k, vectors, model, a.min_cos)
         rows = search.hit_lines(found).orderBy("rank").collect()
         for r in rows:
             out(r.line)
@@ -130,7 +130,7 @@ def run(spark: SparkSession, a: argparse.Namespace, out=print) -> int:
         out(notes.note_id(now))
     elif a.verb == "notes":
         picked = {f: getattr(a, f) for f in ("place", "type", "state", "who", "since", "grep", "closes", "unclaimed", "stale", "stale_after", "pending", "last")}
-        for r in notes.query(store.read("note"), now, most=a.max, **picked).collect():
+        for r in notes.query(store.notes(), now, most=a.max, **picked).collect():
             out("\t".join((r.note_id, r.ts, r.type, r.place, r.who, r.state, r.text)))
     elif a.verb == "structure":
         out(f"{a.id} " + " ".join(f"{k}={v}" for k, v in structure(spark, store, a, now).items()))
@@ -141,7 +141,8 @@ def run(spark: SparkSession, a: argparse.Namespace, out=print) -> int:
     elif a.verb == "serve":
         from quarry.serve import Api, serve
 
-        serve(Api(spark, store, a.captures), a.port).serve_forever()
+        embed = embedder(a.model)
+        serve(Api(spark, store, a.captures, embed=embed, model_id=os.path.basename(a.model) if embed else None), a.port).serve_forever()
     return 0
 
 

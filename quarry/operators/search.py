@@ -29,6 +29,9 @@ LITERAL_TERMS = 8
 #: Query vectors scored in one scan.
 QUERIES = 10_000
 
+#: Contents that are looked up by a filter; more by a join.
+PUSHED = 1000
+
 # Words whose presence orders nothing.
 STOP_WORDS = (
     "the and for that with this from are was not but its one all any can will has have had then than when what where who how some more most "
@@ -105,6 +108,34 @@ def literal_leg(chunks: DataFrame, queries: dict[str, str], most: int | None = P
     return ranked(hits.withColumn("cos", F.lit(None).cast("double")), LIT, [F.desc("score")], most)
 
 
+def raw_words(chunks: DataFrame) -> DataFrame:
+    """(word, content_hash, chunk_ix): each chunk's distinct blank-separated words, folded.
+
+    A literal term holds no blank, so a chunk holds it exactly if one of these does.
+    """
+    words = F.array_distinct(F.split(ascii_lower(F.col("chunk_text")), r"[\x00-\x20]+", -1))
+    return distinct_chunks(chunks).select(F.explode(words).alias("word"), "content_hash", "chunk_ix").where("word <> ''")
+
+
+def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, str], most: int | None = POOL) -> DataFrame:
+    """:func:`literal_leg` over the stored :func:`raw_words`; of ``chunks`` only the keys are read."""
+    spark = words.sparkSession
+    asked = [(q, t) for q, text in queries.items() for t in literal_terms(text)]
+    every = sorted({t for _, t in asked})
+    if not every:
+        return literal_leg(chunks, {}, most)
+    has = lambda t: F.contains(F.col("word"), F.lit(t))
+    held = words.where(reduce(Column.__or__, map(has, every))).select("content_hash", "chunk_ix", F.explode(F.filter(F.array(*map(F.lit, every)), has)).alias("term")).distinct()
+    held = materialize(held, "literal-hits")
+    epochs = chunks.groupBy("content_hash", "chunk_ix").agg(F.count("*").alias("n"))
+    df = held.join(epochs, ["content_hash", "chunk_ix"]).groupBy("term").agg(F.sum("n").alias("df"))
+    n = chunks.count()
+    weight = df.where(F.col("df") < n).select("term", (1.0 / F.col("df")).alias("weight"))
+    pairs = F.broadcast(spark.createDataFrame(asked, "qid string, term string"))
+    hits = held.join(F.broadcast(weight), "term").join(pairs, "term").groupBy("qid", "content_hash", "chunk_ix").agg(F.sum("weight").alias("score"))
+    return ranked(hits.withColumn("cos", F.lit(None).cast("double")), LIT, [F.desc(F.round("score", 9))], most)
+
+
 # Keyword leg
 
 
@@ -245,24 +276,31 @@ def dressed(results: DataFrame, chunks: DataFrame, source: DataFrame, width: int
     before they are grouped, so no more than those is shuffled.
     """
     results = materialize(results, "ask-results")
-    here = F.broadcast(results.select("content_hash").distinct())
-    chunks, source = (x.join(here, "content_hash", "left_semi") for x in (chunks, source))
+    here = results.select("content_hash").distinct()
+    few = [r[0] for r in here.limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:  # a filter that skips row groups of a sorted table
+        chunks, source = (x.where(F.col("content_hash").isin(few)) for x in (chunks, source))
+    else:
+        chunks, source = (x.join(F.broadcast(here), "content_hash", "left_semi") for x in (chunks, source))
     texts = distinct_chunks(chunks).select("content_hash", "chunk_ix", prefix(F.col("chunk_text"), width).alias("excerpt"), is_cut(F.col("chunk_text"), width).alias("_cut"))
     out = F.broadcast(results).join(texts, ["content_hash", "chunk_ix"]).join(source_of(source), "content_hash", "left")
     out = fragment_flags(out, chunks, F.col("_cut")).drop("_cut")
     return out.withColumn("source", F.coalesce("path", F.lit("(source path unknown)"))).withColumn("citation", F.concat_ws("#", "content_hash", F.col("chunk_ix").cast("string")))
 
 
-def ask(chunks: DataFrame, source: DataFrame, queries: dict[str, str], k: int = 5, vectors: DataFrame | None = None, model_id: str | None = None, min_cos: float = 0.0, index: DataFrame | None = None, stats: DataFrame | None = None, pool: int = POOL) -> DataFrame:
+def ask(chunks: DataFrame, source: DataFrame, queries: dict[str, str], k: int = 5, vectors: DataFrame | None = None, model_id: str | None = None, min_cos: float = 0.0, index: DataFrame | None = None, stats: DataFrame | None = None, pool: int = POOL, words: DataFrame | None = None, tokens: Callable[[str], list[str]] = plain_words_py) -> DataFrame:
     """The top ``k`` chunks of each query with everything that they carry.
 
     Without ``vectors`` (qid, vec) only the keyword and literal legs run.
+    ``index``, ``stats`` and ``words`` are stored tables, ``tokens`` cuts
+    queries as the index was cut; without them the chunks' texts are scanned.
     """
     size = pool_size(k)
-    if index is None:
-        index = postings(chunks, only=sorted({t for q in queries.values() for p in phrases(q) for t in p}))
+    terms = sorted({t for q in queries.values() for p in phrases(q, tokens) for t in p})
+    index = postings(chunks, only=terms) if index is None else index.where(F.col("term").isin(terms))
     stats = doc_lengths(chunks) if stats is None else stats
-    legs = keyword_leg(index, stats, queries, size).unionByName(literal_leg(chunks, queries, size))
+    literal = literal_leg(chunks, queries, size) if words is None else literal_leg_stored(words, chunks, queries, size)
+    legs = keyword_leg(index, stats, queries, size, tokens).unionByName(literal)
     if vectors is not None and model_id is not None:
         legs = legs.unionByName(vector_leg(chunks, vectors, model_id, size))
     return dressed(confident(fuse(legs, k, pool), min_cos), chunks, source)

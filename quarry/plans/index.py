@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import ingest, notes
-from quarry.plans.store import Store
+from quarry.functions.words import porter_udf, porter_words
+from quarry.operators import ingest, notes, search
+from quarry.plans.store import Conflict, Store
 from quarry.schema import NO_MODEL
 from quarry.storage import materialize
 
@@ -21,38 +23,108 @@ class Report:
     retired: int
 
 
-def index(store: Store, scanned: DataFrame, authority: set[str], folder: str = ".", embed=None, model_id: str = NO_MODEL, captures: DataFrame | None = None, incremental: bool = False, mark: tuple[str, int] | None = None) -> Report:
+def index(store: Store, scanned: DataFrame, authority: set[str], folder: str = ".", embed=None, model_id: str = NO_MODEL, captures: DataFrame | None = None, incremental: bool = False, mark: tuple[str, int] | None = None, same: DataFrame | None = None) -> Report:
     """Bring the store to what ``scanned`` (path, text, mtime, and readable if known) tells.
 
     Rows without text but unreadable are kept as they were; rows with empty
     text are withdrawn.  ``embed`` maps a chunk-text column to vectors.  An
     incremental run has no authority, so it retires no source; what an edited
-    source no longer has is collected all the same.
+    source no longer has is collected all the same.  ``same`` (path) are sources
+    that were found unchanged and so not read.  Notes' field events are a table
+    of their own, which ``captures`` leaves alone.
     """
-    source, chunks = store.read("source"), store.read("chunk")
+    at = store.pointer()
+    source, chunks = store.read("source", at), store.read("chunk", at)
     if "readable" not in scanned.columns:
         scanned = scanned.withColumn("readable", F.col("text").isNotNull())
     contents = materialize(ingest.compose(scanned.where("readable")), "index-contents")
     kept = scanned.where(~F.col("readable")).select("path")
     seen = contents.select("path").unionByName(kept)
+    if same is not None:
+        seen = seen.unionByName(same.select("path"))
     rights = set() if incremental else authority
     gone = ingest.retired(source, seen, rights, folder).select("path")
     after = materialize(ingest.upsert(source.join(gone, "path", "left_anti"), contents.drop("text")), "index-source")
     fresh = ingest.new_chunks(contents, chunks, model_id)
     if embed is not None:
         fresh = fresh.withColumn("embedding", embed(F.col("chunk_text")))
-    live = materialize(ingest.collect_garbage(chunks.unionByName(fresh), after), "index-chunks")
+    fresh = materialize(ingest.collect_garbage(fresh, after), "index-fresh")
     extra = {} if captures is None else {"note": notes.one_each(notes.project(captures))}
     n_gone = gone.count()
-    version = store.commit(mark=mark, source=after, chunk=live, **extra)
-    return Report(version, after.count(), live.count(), n_gone)
+    old = materialize(chunks.select("content_hash").distinct(), "index-known")
+    garbage = not old.join(after, "content_hash", "left_anti").isEmpty()
+    changes = keyword_index(store, at, old, fresh, after if garbage else None)
+    if garbage:
+        live = materialize(ingest.collect_garbage(chunks, after).unionByName(fresh), "index-chunks")
+        version = store.commit(mark=mark, at=at, source=after, chunk=live, **changes, **extra)
+    else:
+        version = store.commit(mark=mark, at=at, source=after, append={"chunk": fresh} | {t: changes.pop(t) for t in ("posting", "word")}, **changes, **extra)
+    return Report(version, after.count(), store.read("chunk").count(), n_gone)
+
+
+def keyword_index(store: Store, at: dict, old: DataFrame, fresh: DataFrame, source: DataFrame | None) -> dict[str, DataFrame]:
+    """posting, word and stat after a run.
+
+    ``fresh`` holds its new chunks and ``old`` the contents that had chunks
+    before; only contents without any are tokenised.  Given ``source``, the
+    tables are whole and without contents that it lacks; else ``posting`` and
+    ``word`` are what is to be appended.
+    """
+    added = fresh.join(old, "content_hash", "left_anti")
+    posting = materialize(search.postings(added, porter_udf()), "index-posting")
+    word = search.raw_words(added)
+    lengths = search.distinct_chunks(added).select(F.size(porter_udf()(F.col("chunk_text"))).alias("dl"))
+    if source is None:
+        before = store.read("stat", at).select("n", "total")
+        stat = before.unionByName(lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return {"posting": posting, "word": word, "stat": stat}
+    posting = ingest.collect_garbage(store.read("posting", at), source).unionByName(posting)
+    word = ingest.collect_garbage(store.read("word", at), source).unionByName(word)
+    live = ingest.collect_garbage(store.read("chunk", at).select("content_hash", "chunk_ix"), source).unionByName(fresh.select("content_hash", "chunk_ix"))
+    n = live.agg(F.count_distinct("content_hash", "chunk_ix").alias("n"))
+    return {"posting": posting, "word": word, "stat": n.crossJoin(posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))}
+
+
+def rebuilt(store: Store) -> str:
+    """Build the keyword tables of all chunks anew, as after a merge."""
+    at = store.pointer()
+    chunks = store.read("chunk", at)
+    none = store.spark.createDataFrame([], "content_hash string")
+    return store.commit(at=at, reads=("chunk",), **keyword_index(store, {"tables": {}}, none, search.distinct_chunks(chunks), None))
+
+
+def ask(store: Store, queries: dict[str, str], k: int = 5, vectors: DataFrame | None = None, model_id: str | None = None, min_cos: float = 0.0) -> DataFrame:
+    """:func:`quarry.operators.search.ask` over the stored keyword tables of one version."""
+    at = store.pointer()
+    get = lambda t: store.read(t, at)
+    stats = get("stat").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    return search.ask(get("chunk"), get("source"), queries, k, vectors, model_id, min_cos, get("posting"), stats, words=get("word"), tokens=porter_words)
+
+
+def edit_note(store: Store, note_id: str, change: Callable[[notes.Claim], dict[str, str]], now: str) -> dict[str, str]:
+    """Append the events of ``change`` of the note's claim.
+
+    The claim is read again and the change made anew whenever another edit came
+    between, so of two that race for a note one sees the other's.
+    """
+    while True:
+        at = store.pointer()
+        fields = change(notes.claim_of(store.notes(at), note_id))
+        try:
+            if fields:
+                store.commit(at=at, reads=("note",), append={"note_event": notes.events_of(store.spark, note_id, fields, at["number"] + 1, now)})
+            return fields
+        except Conflict:
+            continue
 
 
 def pull(store: Store, peer: Store) -> str:
     """Merge another store's chunks and sources in; what is here wins."""
-    chunk = ingest.merge(store.read("chunk"), peer.read("chunk"), ["content_hash", "model_id", "chunk_ix"])
-    source = ingest.merge(store.read("source"), peer.read("source"), ["path"])
-    return store.commit(chunk=chunk, source=source)
+    at = store.pointer()
+    chunk = ingest.merge(store.read("chunk", at), peer.read("chunk"), ["content_hash", "model_id", "chunk_ix"])
+    source = ingest.merge(store.read("source", at), peer.read("source"), ["path"])
+    store.commit(at=at, chunk=materialize(chunk, "pull-chunk"), source=materialize(source, "pull-source"))
+    return rebuilt(store)
 
 
 def push(store: Store, peer: Store) -> str:

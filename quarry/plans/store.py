@@ -1,22 +1,35 @@
-"""The versioned store: immutable Parquet folders and a pointer that names the current one.
-
-A run writes a new version whole and moves the pointer last, so readers see
-the old tables or the new ones and a failed run leaves only an unreferenced
-folder.  The pointer is one small file written through Hadoop's file system and
-renamed into place.
+"""The versioned store: immutable Parquet folders and a log whose newest entry names the current ones.
+
+An entry lists the folders of each table, so a commit writes only what it
+changes: a replaced table gets one new folder, an appended one a further
+folder, and all others keep theirs.  Entries are numbered and created
+exclusively, after the data, so readers see the old tables or the new ones, a
+failed run leaves only unreferenced folders, and of two commits on one state
+the later one sees the other's: it goes on if that left its tables alone and is
+refused if not.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.schema import CHUNK, NOTE, SOURCE
+from quarry.schema import CHUNK, NOTE, NOTE_EVENT, POSTING, SOURCE, STAT, WORD
+
+TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE, "note_event": NOTE_EVENT, "posting": POSTING, "word": WORD, "stat": STAT}
+#: Tables that are looked up by these columns are written in their order, so that a filter skips files and row groups.
+SORTED = {"chunk": ["content_hash", "chunk_ix"], "posting": ["term", "content_hash"], "word": ["word", "content_hash"]}
+RECIPE = 2
+#: A table of more folders is put together by the next commit that appends to it.
+FOLDERS = 50
+
 
-TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE}
-RECIPE = 1
+class Conflict(Exception):
+    """Another commit changed a table that this one read or writes."""
 
 
 class Store:
@@ -27,56 +40,109 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read_text(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{name}")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString(), wholetext=True).first()[0]
+    def _log(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/_log")
+        return sorted(int(n[:-5]) for s in fs.listStatus(p) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit()) if fs.exists(p) else []
 
-    def _write_text(self, name: str, text: str) -> None:
-        fs, p = self._fs(f"{self.path}/{name}")
-        _, tmp = self._fs(f"{self.path}/.{name}.{uuid.uuid4().hex}")
+    def _entry(self, n: int) -> str:
+        return f"{self.path}/_log/{n:012d}.json"
+
+    def _publish(self, n: int, text: str) -> bool:
+        """Create entry ``n`` whole; false if it is there already."""
+        fs, p = self._fs(self._entry(n))
+        _, tmp = self._fs(f"{self.path}/_log/.{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        # One call replaces the file, so that a reader finds the old pointer or the new one.
+        if fs.getUri().getScheme() == "file":  # its rename looks first and then moves; a link is one step
+            try:
+                os.link(tmp.toUri().getPath(), p.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(tmp, False)
         jvm = self.spark._jvm
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
+        how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(context.makeQualified(tmp), context.makeQualified(p), how)
+        try:
+            context.rename(context.makeQualified(tmp), context.makeQualified(p), how)
+            return True
+        except Exception:
+            if fs.exists(p):
+                fs.delete(tmp, False)
+                return False
+            raise
 
     def pointer(self) -> dict:
-        text = self._read_text("CURRENT")
-        return json.loads(text) if text else {"version": None, "recipe": RECIPE, "mark": None}
-
-    def read(self, table: str) -> DataFrame:
-        v = self.pointer()["version"]
-        if v is None:
+        """The newest entry: version, number, recipe, mark and the folders of each table."""
+        log = self._log()
+        if not log:
+            return {"version": None, "number": 0, "recipe": RECIPE, "mark": None, "tables": {}}
+        return json.loads(self.spark.read.text(self._entry(log[-1]), wholetext=True).first()[0])
+
+    def read(self, table: str, at: dict | None = None) -> DataFrame:
+        """A table as the entry ``at`` has it, the newest by default."""
+        folders = (at or self.pointer())["tables"].get(table, [])
+        if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{v}/{table}")
-
-    def commit(self, mark: tuple[str, int] | None = None, **tables: DataFrame) -> str:
-        """Write every table of a new version, then point at it; tables left out are carried over."""
-        old = self.pointer()
-        version = f"v={(int(old['version'].split('=')[1].split('-')[0]) + 1) if old['version'] else 1:06d}-{uuid.uuid4().hex[:8]}"
-        for name in TABLES:
-            df = tables[name] if name in tables else self.read(name)
-            writer = df.select(*TABLES[name].fieldNames()).write
-            (writer.partitionBy("model_id") if name == "chunk" else writer).parquet(f"{self.path}/{version}/{name}")
-        self._write_text("CURRENT", json.dumps({"version": version, "recipe": RECIPE, "mark": mark if mark is not None else old["mark"]}))
-        return version
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{f}") for f in folders])
+
+    def notes(self, at: dict | None = None) -> DataFrame:
+        """The captured notes with their field events put in."""
+        from quarry.operators.notes import structured
+
+        at = at or self.pointer()
+        return structured(self.read("note", at), self.read("note_event", at))
+
+    def _write(self, version: str, name: str, df: DataFrame) -> str:
+        out = df.select(*TABLES[name].fieldNames())
+        if name in SORTED:
+            out = out.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
+        folder = f"{version}/{name}"
+        (out.write.partitionBy("model_id") if name == "chunk" else out.write).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def commit(self, mark: tuple[str, int] | None = None, at: dict | None = None, reads: tuple[str, ...] = (), append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> str:
+        """Write ``tables`` anew and ``append`` to others, then publish; tables left out stay as they are.
+
+        ``at`` is the entry that the caller worked on.  If a later one changed
+        a table that is written here or named in ``reads``, :class:`Conflict` is
+        raised and nothing is published.
+        """
+        at = at or self.pointer()
+        append = dict(append or {})
+        for name in [n for n in append if len(at["tables"].get(n, [])) >= FOLDERS]:
+            tables[name] = self.read(name, at).unionByName(append.pop(name).select(*TABLES[name].fieldNames()))
+        version = f"v={at['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+        written = {name: self._write(version, name, df) for name, df in {**tables, **append}.items()}
+        while True:
+            now = self.pointer()
+            changed = sorted(t for t in {*written, *reads} if now["tables"].get(t) != at["tables"].get(t))
+            if changed:
+                raise Conflict(f"changed meanwhile: {', '.join(changed)}")
+            folders = now["tables"] | {n: [f] if n in tables else [*now["tables"].get(n, []), f] for n, f in written.items()}
+            entry = {"version": version, "number": now["number"] + 1, "recipe": RECIPE, "mark": mark if mark is not None else now["mark"], "tables": folders}
+            if self._publish(entry["number"], json.dumps(entry)):
+                return version
 
     def snapshot(self) -> dict[str, DataFrame]:
         """All tables of one version; later commits don't touch them."""
-        return {t: self.read(t) for t in TABLES}
+        at = self.pointer()
+        return {t: self.read(t, at) for t in TABLES}
 
     def drop_old(self, keep: int = 2) -> list[str]:
-        """Delete all but the newest ``keep`` versions, never the current one."""
+        """Delete all but the newest ``keep`` entries, and the version folders that none of these names."""
+        log = self._log()
         fs, p = self._fs(self.path)
+        kept = [json.loads(self.spark.read.text(self._entry(n), wholetext=True).first()[0]) for n in log[-keep:]]
+        used = {f.split("/")[0] for e in kept for fs_ in e["tables"].values() for f in fs_}
+        # Folders of commits that are still being written have higher numbers than any entry.
+        top = log[-1] if log else 0
         names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v="))
-        gone = [n for n in names[:-keep] if n != self.pointer()["version"]]
+        gone = [n for n in names if n not in used and int(n[2:].split("-")[0]) <= top]
+        for n in log[:-keep]:
+            fs.delete(self._fs(self._entry(n))[1], False)
         for n in gone:
             fs.delete(self._fs(f"{self.path}/{n}")[1], True)
         return gone

@@ -26,6 +26,38 @@ SOURCE = StructType([
 NOTE_FIELDS = ["note_id", "ts", "type", "place", "who", "due", "state", "closes", "claimed", "lease", "challenge", "stolen_from", "text", "source_path"]
 NOTE = StructType([StructField(f, StringType()) for f in NOTE_FIELDS])
 
+#: Field events, appended only; ``seq`` rises with the commits.
+NOTE_EVENT = StructType([
+    StructField("note_id", StringType()),
+    StructField("field", StringType()),
+    StructField("value", StringType()),
+    StructField("seq", LongType()),
+    StructField("ts", StringType()),
+])
+
+#: The keyword index: a row for each stem and chunk.
+POSTING = StructType([
+    StructField("term", StringType()),
+    StructField("content_hash", StringType()),
+    StructField("chunk_ix", IntegerType()),
+    StructField("dl", IntegerType()),
+    StructField("positions", ArrayType(IntegerType())),
+    StructField("tf", IntegerType()),
+])
+
+#: The literal index: a row for each blank-separated word, folded, and chunk.
+WORD = StructType([
+    StructField("word", StringType()),
+    StructField("content_hash", StringType()),
+    StructField("chunk_ix", IntegerType()),
+])
+
+#: Indexed chunks and their stems together, one row.
+STAT = StructType([
+    StructField("n", LongType()),
+    StructField("total", LongType()),
+])
+
 SCANNED = StructType([
     StructField("path", StringType()),
     StructField("text", StringType()),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import iso_now, link_for, link_label
 from quarry.operators import notes, search
+from quarry.plans.index import ask, edit_note
 from quarry.plans.store import Store
 
 PAGE = "<!doctype html><title>quarry</title><form action=/api/ask><input name=q><button>ask</button></form>"
@@ -26,8 +27,9 @@ def as_json(rows: DataFrame) -> list[dict]:
 class Api:
     """The routes as plain functions of parameters, so that tests need no socket."""
 
-    def __init__(self, spark: SparkSession, store: Store, captures: str, base: str = "", reindex=None):
+    def __init__(self, spark: SparkSession, store: Store, captures: str, base: str = "", reindex=None, embed=None, model_id: str | None = None):
         self.spark, self.store, self.captures, self.base, self.run = spark, store, captures, base, reindex
+        self.embed, self.model_id = embed, model_id
 
     def get(self, path: str, q: dict[str, str]) -> tuple[int, object]:
         if path == "/":
@@ -40,8 +42,10 @@ class Api:
             if not q.get("q"):
                 return 400, {"error": "q is missing"}
             k = min(max(int(q.get("k", "5") or 5), 1), 40)
-            chunks, source = self.store.read("chunk"), self.store.read("source")
-            found = search.ask(chunks, source, {"q": q["q"]}, k, min_cos=float(q.get("minCos", "0") or 0))
+            vectors = None
+            if self.embed is not None:
+                vectors = self.spark.createDataFrame([("q", q["q"])], "qid string, text string").select("qid", self.embed(F.col("text")).alias("vec"))
+            found = ask(self.store, {"q": q["q"]}, k, vectors, self.model_id, float(q.get("minCos", "0") or 0))
             out = found.withColumn("link", link_for(self.base, F.col("path"))).withColumn("label", link_label(F.col("path"))).orderBy("rank")
             return 200, {"query": q["q"], "results": as_json(out)}
         if path == "/api/chunk":
@@ -51,7 +55,7 @@ class Api:
             keys = ("place", "type", "state", "who", "since", "grep", "closes")
             only = {k: q[k] for k in keys if q.get(k)}
             flags = {k: q.get(k) == "1" for k in ("unclaimed", "stale", "last")}
-            rows = notes.query(self.store.read("note"), iso_now(), **only, **flags, pending=path == "/api/pending")
+            rows = notes.query(self.store.notes(), iso_now(), **only, **flags, pending=path == "/api/pending")
             return 200, {"notes": as_json(rows)}
         return 404, {"error": "no such page"}
 
@@ -69,26 +73,25 @@ class Api:
                 f.write(block)
             return 200, {"id": notes.note_id(now)}
         if path == "/api/structure":
-            try:
-                claim = notes.claim_of(self.store.read("note"), body["id"])
-                now = iso_now()
+            now = iso_now()
+
+            def change(claim: notes.Claim) -> dict[str, str]:
                 if "who" in body:
-                    change = notes.take(claim, body["who"], now, body.get("lease", ""), bool(body.get("force")))
+                    out = notes.take(claim, body["who"], now, body.get("lease", ""), bool(body.get("force")))
                 elif body.get("heartbeat"):
-                    change = notes.heartbeat(claim, now, body.get("lease", ""))
+                    out = notes.heartbeat(claim, now, body.get("lease", ""))
                 elif body.get("challenge"):
-                    change = notes.challenge(claim, body["challenge"], now)
+                    out = notes.challenge(claim, body["challenge"], now)
                 elif body.get("steal"):
-                    change = notes.steal(claim, body["steal"], now, body.get("grace", "60s"), body.get("lease", ""))
+                    out = notes.steal(claim, body["steal"], now, body.get("grace", "60s"), body.get("lease", ""))
                 else:
-                    change = {}
+                    out = {}
+                return out | {k: body[k] for k in ("type", "place", "due", "state", "closes") if k in body}
+
+            try:
+                return 200, edit_note(self.store, body["id"], change, now)
             except (KeyError, notes.Refused) as e:
                 return 409, {"error": str(e)}
-            change |= {k: body[k] for k in ("type", "place", "due", "state", "closes") if k in body}
-            old = self.store.read("note")
-            events = notes.events_of(self.spark, body["id"], change, 1, now)
-            self.store.commit(note=notes.structured(old, events))
-            return 200, change
         if path == "/api/reindex":
             if self.run is None:
                 return 501, {"error": "no index run is set up"}
