@@ -8,6 +8,7 @@ predecessor.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from quarry.llm import decontaminate, mixing, quality, simhash, tokens
 from quarry.llm.queries import vocabulary
 from quarry.storage import delete, materialize, new_path, recording
 
-_left: dict[str, list[str]] = {}
+#: Tables of the last stage, in this thread of control.
+_left: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
 
 
 def _stage(f):
@@ -24,12 +26,11 @@ def _stage(f):
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
         if f is not _first:
-            delete(spark, _left.pop(app, []))
+            delete(spark, list(_left.get()))
         with recording() as paths:
             out = f(spark, docs, sf_dir)
-        _left[app] = paths
+        _left.set(tuple(paths))
         return out
 
     return run

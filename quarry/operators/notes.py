@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import KEY_SIZES, duration_py, ere, iso_plus, normalize_key_py
 from quarry.schema import NOTE, NOTE_FIELDS, NOTE_TYPES
 from quarry.session import ship
+from quarry.storage import reached
 
 #: Field lines of a block and the column each one sets.
 LINES = {"note": "note_id", "at": "ts", "type": "type", "place": "place", "who": "who", "due": "due", "state": "state", "closes": "closes", "claimed": "claimed", "lease": "lease", "challenge": "challenge", "stolen-from": "stolen_from"}
@@ -46,7 +47,8 @@ def parse_blocks(text: str, path: str) -> list[dict]:
     """The notes of a capture file in order.
 
     ``@key value`` lines set fields; a blank line or a new ``@note`` ends a
-    block; other lines join to the text, which is cut at ``TEXT_BYTES`` bytes.
+    block; other lines join to the text.  The data model's text holds
+    ``TEXT_BYTES`` bytes, and what goes beyond is cut, as notes are one line.
     Blocks without an id are dropped.
     """
     out, cur = [], {}
@@ -107,10 +109,10 @@ def unknown_types(notes: DataFrame) -> DataFrame:
 # Queries
 
 
-def query(notes: DataFrame, now: str, place: str = "", type: str = "", state: str = "", who: str = "", since: str = "", grep: str = "", closes: str = "", unclaimed: bool = False, stale: bool = False, stale_after: str = "1d", pending: bool = False, last: bool = False, most: int | None = None) -> DataFrame:
+def query(notes: DataFrame, now: str, place: str = "", type: str = "", state: str = "", who: str = "", since: str = "", grep: str = "", closes: str = "", unclaimed: bool = False, stale: bool = False, stale_after: str = "1d", pending: bool = False, last: bool = False, most: int | None = 50) -> DataFrame:
     """Notes by the given filters, an empty one being none; newest first, pending ones oldest first.
 
-    A claim is stale when its lease is over, or when it has no lease and is
+    ``most`` is the reader's page, 0 its default of 50; None gives all rows.  A claim is stale when its lease is over, or when it has no lease and is
     older than ``stale_after``; one without a claim time is undecided and never
     stale.
     """
@@ -134,7 +136,8 @@ def query(notes: DataFrame, now: str, place: str = "", type: str = "", state: st
         over = ((lease != "") & (lease < now)) | ((lease == "") & (claimed != "") & (claimed < edge))
         out = out.where((F.coalesce("who", F.lit("")) != "") & over)
     order = [F.asc("ts") if pending else F.desc("ts"), F.col("note_id")]
-    return out.orderBy(*order).limit(1 if last else most if most and most > 0 else 50)
+    out = out.orderBy(*order)
+    return out if most is None and not last else out.limit(1 if last else most if most and most > 0 else 50)
 
 
 def pending(notes: DataFrame, now: str, most: int = 100) -> DataFrame:
@@ -144,16 +147,8 @@ def pending(notes: DataFrame, now: str, most: int = 100) -> DataFrame:
 
 def closing_chain(notes: DataFrame, start: str) -> DataFrame:
     """(note_id, depth): what ``start`` closes, what that closes and so on; loops end."""
-    spark = notes.sparkSession
-    notes.select("note_id", "closes").where(F.col("closes") != "").createOrReplaceTempView("_closing")
-    return spark.sql(
-        """WITH RECURSIVE chain(note_id, depth) AS (
-             SELECT cast(:start AS string), 0
-             UNION ALL
-             SELECT c.closes, chain.depth + 1 FROM chain JOIN _closing c ON c.note_id = chain.note_id WHERE chain.depth < 100
-           ) SELECT note_id, min(depth) AS depth FROM chain GROUP BY note_id""",
-        args={"start": start},
-    )
+    edges = notes.where(F.col("closes") != "").select(F.col("note_id").alias("src"), F.col("closes").alias("dst"))
+    return reached(edges, start).withColumnRenamed("node", "note_id")
 
 
 # Field events and claims

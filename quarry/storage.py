@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` of the session wins. Where it is unset, a local
     master gets a temporary folder of its own and any other master a folder
-    under the warehouse, which a cluster shares.
+    under the warehouse, unless that is local to each machine, which is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -29,17 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
         else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-shared"
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if fs.getUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            _own[app] = fs.makeQualified(path).toString().rstrip("/") + "/quarry-shared"
     return _own[app]
 
 
-_recorders: list[list[str]] = []
+#: The open recordings of this thread of control, so that runs beside each other keep theirs apart.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    for r in _recorders:
+    for r in _recorders.get():
         r.append(path)
     if spark.sparkContext.applicationId not in _cleaned:
         _cleaned.add(spark.sparkContext.applicationId)
@@ -59,11 +65,11 @@ def _at_exit(spark: SparkSession) -> None:
 def recording():
     """Collects the paths that :func:`new_path` gives out meanwhile, to :func:`delete` them later."""
     paths: list[str] = []
-    _recorders.append(paths)
+    token = _recorders.set((*_recorders.get(), paths))
     try:
         yield paths
     finally:
-        _recorders.remove(paths)
+        _recorders.reset(token)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -157,3 +163,22 @@ def running_total(df: DataFrame, values: dict[str, Column], keys: list, pid: str
     out = local.join(F.broadcast(start), on, "left")
     keep = [F.col(c) for c in df.columns]
     return out.select(*keep, *[(F.col(f"_l_{c}") + F.col(f"_s_{c}")).alias(c) for c in values])
+
+
+def reached(edges: DataFrame, start: str) -> DataFrame:
+    """(node, depth): all that edges (src, dst) reach from ``start``, itself at 0, by the fewest steps.
+
+    Each round joins the distinct new nodes with the edges and leaves out what
+    was reached before, so loops end and paths that meet again don't multiply.
+    """
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null"), "reached-edges")
+    done = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("depth"))
+    done = front = materialize(done, "reached")
+    depth = 0
+    while True:
+        depth += 1
+        near = edges.join(broadcast_if_small(front.select(F.col("node").alias("src")), 100_000), "src").select(F.col("dst").alias("node")).distinct()
+        front = materialize(near.join(done, "node", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if front.isEmpty():
+            return done
+        done = done.unionByName(front)

@@ -289,6 +289,73 @@ def test_service(spark, tmp_path):
     assert api.post("/api/reindex", local, {})[0] == 501
 
 
+def test_edits_outlive_index_runs_and_races_have_one_winner(spark, tmp_path, monkeypatch):
+    from quarry.plans import index as runs
+    from quarry.plans.store import Conflict
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    files = spark.createDataFrame([("./barn.md", "horses\n", 1)], "path string, text string, mtime long")
+    captures = spark.createDataFrame([("captures/2024-01.md", "@note 1\n@at 2024-01-01\nmend it\n\n@note 2\n@at 2024-01-02\nold one\n")], "path string, text string")
+    index(s, files, {"file"}, captures=captures)
+    api = Api(spark, s, str(tmp_path / "captures"))
+    local = {"x-quarry-local": "1"}
+    assert api.post("/api/structure", local, {"id": "1", "type": "task", "state": "open", "closes": "2"})[0] == 200
+    assert api.post("/api/structure", local, {"id": "1", "who": "ann", "lease": "2h"})[0] == 200
+    for _ in range(2):
+        index(s, files, {"file"}, captures=captures)
+        got = {r.note_id: r for r in s.notes().collect()}
+        assert (got["1"].type, got["1"].state, got["1"].who, got["2"].state) == ("task", "open", "ann", "closed")
+        assert api.get("/api/notes", {"type": "task", "who": "ann"})[1]["notes"][0]["text"] == "mend it"
+    assert api.post("/api/structure", local, {"id": "1", "who": ""})[0] == 200
+
+    # Bob claims between another claim's reading and its commit.
+    real, once = s.commit, []
+
+    def late(**kw):
+        if not once:
+            once.append(1)
+            runs.edit_note(s, "1", lambda c: notes.take(c, "bob", "2024-02-01"), "2024-02-01")
+        return real(**kw)
+
+    monkeypatch.setattr(s, "commit", late)
+    with pytest.raises(notes.Refused, match="bob"):
+        runs.edit_note(s, "1", lambda c: notes.take(c, "cat", "2024-02-02"), "2024-02-02")
+    assert {r.who for r in s.notes().where("note_id = '1'").collect()} == {"bob"}
+    at = s.pointer()
+    real(source=s.read("source"))
+    with pytest.raises(Conflict):
+        real(at=at, source=s.read("source"))
+    chunk = s.pointer()["tables"]["chunk"]
+    real(at=at, note=s.read("note"))  # what others changed is none of its tables
+    assert s.pointer()["tables"]["chunk"] == chunk
+
+
+def test_stored_index_answers_as_a_scan_does(spark, tmp_path):
+    from quarry.functions.words import porter_udf, porter_words
+    from quarry.plans import index as runs
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    texts = {"./a": "Running horses near the X-42 trough\n" * 50, "./b": "the horse runs\nABC_9 abc_9x\n", "./c": "receipts and forms\n", "./d": "horse receipts\n"}
+    put = lambda names: spark.createDataFrame([(n, texts[n], 1) for n in names], "path string, text string, mtime long")
+    index(s, put(["./a", "./c"]), {"file"})
+    index(s, put(["./b", "./d"]), set(), incremental=True)
+    asked = {"q1": "horses running", "q2": "abc_9 receipt", "q3": "X-42"}
+    for names in (list(texts), ["./a", "./b"]):
+        index(s, put(names), {"file"})
+        chunks = s.read("chunk")
+        terms = sorted({t for q in asked.values() for t in porter_words(q)})
+        scan = search.ask(chunks, s.read("source"), asked, 5, index=search.postings(chunks, porter_udf(), terms), stats=search.doc_lengths(chunks, porter_udf()), tokens=porter_words)
+        cols = ["qid", "rank", "citation", "source", "excerpt", "legs", "frag", "chunk_count"]
+        got = runs.ask(s, asked, 5)
+        rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
+        assert rows(got) == rows(scan) and {r.qid for r in got.collect()} == set(asked)
+    assert "PushedFilters: [In(content_hash" in got._jdf.queryExecution().toString()
+    literal = search.literal_leg_stored(s.read("word"), s.read("chunk"), asked)
+    plan = literal._jdf.queryExecution().toString()
+    assert "chunk_text" not in plan.split("== Physical Plan ==")[1]
+    assert search.literal_leg_stored(s.read("word"), s.read("chunk"), {}).count() == 0
+
+
 def test_command_line(spark, tmp_path):
     from quarry.cli import parser, run
 
