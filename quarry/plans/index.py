@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.words import porter_udf, porter_words
+from quarry.functions.words import plain_words, plain_words_py, porter_udf, porter_words
 from quarry.operators import ingest, notes, search
 from quarry.plans.store import Conflict, Store
 from quarry.schema import NO_MODEL
@@ -71,9 +71,10 @@ def keyword_index(store: Store, at: dict, old: DataFrame, fresh: DataFrame, sour
     ``word`` are what is to be appended.
     """
     added = fresh.join(old, "content_hash", "left_anti")
-    posting = materialize(search.postings(added, porter_udf()), "index-posting")
+    cut = porter_udf() if store.stemmed else plain_words
+    posting = materialize(search.postings(added, cut), "index-posting")
     word = search.raw_words(added)
-    lengths = search.distinct_chunks(added).select(F.size(porter_udf()(F.col("chunk_text"))).alias("dl"))
+    lengths = search.distinct_chunks(added).select(F.size(cut(F.col("chunk_text"))).alias("dl"))
     if source is None:
         before = store.read("stat", at).select("n", "total")
         stat = before.unionByName(lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
@@ -98,7 +99,7 @@ def ask(store: Store, queries: dict[str, str], k: int = 5, vectors: DataFrame |
     at = store.pointer()
     get = lambda t: store.read(t, at)
     stats = get("stat").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    return search.ask(get("chunk"), get("source"), queries, k, vectors, model_id, min_cos, get("posting"), stats, words=get("word"), tokens=porter_words)
+    return search.ask(get("chunk"), get("source"), queries, k, vectors, model_id, min_cos, get("posting"), stats, words=get("word"), tokens=porter_words if store.stemmed else plain_words_py)
 
 
 def edit_note(store: Store, note_id: str, change: Callable[[notes.Claim], dict[str, str]], now: str) -> dict[str, str]:

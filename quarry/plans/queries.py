@@ -17,8 +17,10 @@ from quarry.functions import text as T
 from quarry.functions.text import ascii_lower
 from quarry.functions.vector import dot
 from quarry.operators import evaluation, grep, ingest, memory, muse, notes, search
+from quarry.plans import index as runs
+from quarry.plans.store import Store
 from quarry.sources import artifacts
-from quarry.storage import materialize
+from quarry.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,10 +260,14 @@ def term_weights(spark: SparkSession, d: str) -> DataFrame:
 
 _PHRASES = [(q, n, i, len(p), t) for q, text in ASKED.items() for n, p in enumerate(search.phrases(text)) for i, t in enumerate(p)]
 TERMS = sorted({t for *_, t in _PHRASES})
-KEYWORD = f"""{CHUNK}, words AS (SELECT content_hash, chunk_ix, [x for x in string_split_regex({LOW}, '[^a-z0-9]+') if x <> ''] AS w FROM chunk),
+_VALUES = f"""asked(qid, phrase, off, size, term) AS (VALUES {", ".join(f"('{q}', {n}, {i}, {k}, '{t}')" for q, n, i, k, t in _PHRASES)})"""
+
+
+def _keyword(asked: str) -> str:
+    return f"""{CHUNK}, words AS (SELECT content_hash, chunk_ix, [x for x in string_split_regex({LOW}, '[^a-z0-9]+') if x <> ''] AS w FROM chunk),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 post AS (SELECT content_hash, chunk_ix, len(w) AS dl, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM words),
-asked(qid, phrase, off, size, term) AS (VALUES {", ".join(f"('{q}', {n}, {i}, {k}, '{t}')" for q, n, i, k, t in _PHRASES)}),
+{asked},
 starts AS (SELECT qid, phrase, size, content_hash, chunk_ix, dl, pos - off AS s, count(*) AS held FROM post JOIN asked USING (term) GROUP BY ALL),
 tfs AS (SELECT qid, phrase, content_hash, chunk_ix, dl, count(*) AS tf FROM starts WHERE held = size GROUP BY ALL),
 dfs AS (SELECT qid, phrase, count(*) AS df FROM tfs GROUP BY ALL),
@@ -269,6 +275,9 @@ bm AS (SELECT qid, content_hash, chunk_ix, sum(greatest(ln((n - df + 0.5) / (df
 keyword AS (SELECT qid, content_hash, chunk_ix, 1 AS leg, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, content_hash, chunk_ix) AS INT) AS leg_rank FROM bm)"""
 
 
+KEYWORD = _keyword(_VALUES)
+
+
 @query(f"WITH {KEYWORD} SELECT qid, content_hash, chunk_ix, leg_rank FROM keyword WHERE leg_rank <= 40")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     c = indexed(spark, d)
@@ -303,6 +312,87 @@ def ask(spark: SparkSession, d: str) -> DataFrame:
     return out.select("qid", "rank", "citation", "source", F.translate("excerpt", "\n\r", "  ").alias("excerpt"), "chunk_count", "frag")
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def built(spark: SparkSession, d: str) -> Store:
+    """A store of documents with its keyword tables, cut by the tokenizer that SQL shares."""
+    store = Store(spark, new_path(spark, "store"), stemmed=False)
+    runs.index(store, scanned(spark, d).drop("doc_id"), {"file"})
+    return store
+
+
+def store_of(spark: SparkSession, d: str) -> Store:
+    """:func:`built` once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores or _stores[key].pointer()["version"] is None:
+        _stores[key] = built(spark, d)
+    return _stores[key]
+
+
+@query(f"""WITH {_keyword(_VALUES)}, raw AS (SELECT DISTINCT content_hash, chunk_ix, unnest(string_split_regex({LOW}, '[\\x00-\\x20]+')) AS word FROM chunk)
+SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT term, content_hash, chunk_ix FROM post)) AS postings, (SELECT count(*) FROM post) AS tokens, (SELECT count(*) FROM raw WHERE word <> '') AS words""")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    store = built(spark, d)
+    count = lambda t, c: store.read(t).agg(F.count("*").alias(c))
+    return count("chunk", "chunks").crossJoin(count("posting", "postings")).crossJoin(store.read("stat").select(F.col("total").alias("tokens"))).crossJoin(count("word", "words"))
+
+
+@query(SQL["ask"])
+def ask_indexed(spark: SparkSession, d: str) -> DataFrame:
+    out = runs.ask(store_of(spark, d), ASKED, 5)
+    return out.select("qid", "rank", "citation", "source", F.translate("excerpt", "\n\r", "  ").alias("excerpt"), "chunk_count", "frag")
+
+
+def _fused(legs: str, size: int, k: int, p: str = "") -> str:
+    """CTEs that end in ``{p}fused``: the pool, the sums and the ranks of ``legs`` (qid, content_hash, chunk_ix, leg, leg_rank, cos)."""
+    return f"""{p}each AS (SELECT qid, content_hash, chunk_ix, leg, min(leg_rank) AS leg_rank, max(cos) AS cos FROM {legs} WHERE leg_rank <= {size} GROUP BY ALL),
+{p}found AS (SELECT qid, content_hash, chunk_ix, min(CASE leg WHEN 1 THEN 0 WHEN 4 THEN 1 ELSE 2 END * 1000 + leg_rank) AS first, sum(1.0 / (60 + leg_rank)) AS rrf, CAST(bit_or(leg) AS INT) AS legs, max(cos) AS cos FROM {p}each GROUP BY ALL),
+{p}slots AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first, content_hash, chunk_ix) AS slot FROM {p}found),
+{p}pool AS (SELECT *, max(cos) OVER (PARTITION BY qid) AS best_cos, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, content_hash, chunk_ix) AS INT) AS rank FROM {p}slots WHERE slot <= 40),
+{p}fused AS (SELECT * FROM {p}pool WHERE rank <= {k})"""
+
+
+def _first_chunk_vectors(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    """Chunks of which the first of each document has the vector with the document's smallest id."""
+    own = ingest.compose(scanned(spark, d).withColumn("mtime", F.col("doc_id"))).groupBy("content_hash").agg(F.min("mtime").alias("vec_id"))
+    e = own.join(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("_e")), "vec_id").select("content_hash", F.lit(0).alias("chunk_ix"), "_e")
+    return c.join(e, ["content_hash", "chunk_ix"], "left").withColumn("embedding", F.col("_e")).drop("_e")
+
+
+VECTORS = f"""vec AS (SELECT content_hash, 0 AS chunk_ix, embedding FROM (SELECT content_hash, min(mtime // 3600) AS vec_id FROM source GROUP BY 1) JOIN embeddings USING (vec_id)),
+cosines AS (SELECT qid, content_hash, chunk_ix, {DOT.format(a="v.embedding", b="q.vec")} AS cos FROM vec v, asked_vec q),
+vector AS (SELECT qid, content_hash, chunk_ix, 2 AS leg, CAST(row_number() OVER (PARTITION BY qid ORDER BY cos DESC, content_hash, chunk_ix) AS INT) AS leg_rank, cos FROM cosines)"""
+THREE = f"""{KEYWORD}, {LITERAL.removeprefix(CHUNK + ', ')}, asked_vec AS (SELECT CASE vec_id WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS qid, CASE WHEN vec_id = 3 THEN [-x for x in embedding] ELSE embedding END AS vec FROM embeddings WHERE vec_id IN (1, 2, 3)), {VECTORS},
+legs AS (SELECT *, CAST(NULL AS DOUBLE) AS cos FROM keyword UNION ALL SELECT *, NULL FROM literal UNION ALL SELECT * FROM vector), {_fused("legs", 20, 5)}"""
+
+
+def _three(spark: SparkSession, d: str) -> DataFrame:
+    c = materialize(_first_chunk_vectors(spark, d, chunks(spark, d)), "embedded-chunks")
+    e = read(spark, d, "embeddings").where("vec_id in (1, 2, 3)")
+    turned = F.when(F.col("vec_id") == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    vectors = e.select(F.element_at(F.array(*map(F.lit, "abc")), F.col("vec_id").cast("int")).alias("qid"), turned.alias("vec"))
+    legs = search.keyword_leg(search.postings(c, only=TERMS), search.doc_lengths(c), ASKED, 20).unionByName(search.literal_leg(c, ASKED, 20))
+    return search.fuse(legs.unionByName(search.vector_leg(c, vectors, "none", 20)), 5)
+
+
+@query(f"WITH {THREE} SELECT qid, rank, content_hash, chunk_ix, legs, round(cos, 6) AS cos, round(best_cos, 6) AS best_cos FROM fused WHERE best_cos IS NULL OR best_cos >= 0.9")
+def ask_vectors(spark: SparkSession, d: str) -> DataFrame:
+    out = search.confident(_three(spark, d), 0.9)
+    return out.select("qid", "rank", "content_hash", "chunk_ix", F.col("legs").cast("int").alias("legs"), F.round("cos", 6).alias("cos"), F.round("best_cos", 6).alias("best_cos"))
+
+
+@query(f"WITH {THREE} SELECT qid, count(*) AS n_suppressed, round(max(best_cos), 6) AS best_cos FROM fused WHERE best_cos < 0.9 GROUP BY qid")
+def suppressed_answers(spark: SparkSession, d: str) -> DataFrame:
+    return search.suppressed(_three(spark, d), 0.9).withColumn("best_cos", F.round("best_cos", 6))
+
+
+@query(f"WITH {CHUNK} SELECT content_hash, chunk_ix, sha256(chunk_text) AS chunk_hash FROM chunk WHERE content_hash = (SELECT max(content_hash) FROM source) AND chunk_ix = 0")
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    wanted = source(spark, d).agg(F.max("content_hash")).first()[0]
+    return search.lookup(chunks(spark, d), wanted, 0).select("content_hash", "chunk_ix", ingest.content_hash(F.col("chunk_text")).alias("chunk_hash"))
+
+
 @query(f"WITH {CHUNK}, ext AS (SELECT content_hash, max(chunk_ix) AS mx FROM chunk GROUP BY 1) SELECT content_hash, chunk_ix, mx + 1 AS chunk_count, (CASE WHEN chunk_ix > 0 THEN 1 ELSE 0 END) + (CASE WHEN chunk_ix < mx THEN 2 ELSE 0 END) + (CASE WHEN length(chunk_text) > 140 THEN 4 ELSE 0 END) AS frag FROM chunk JOIN ext USING (content_hash)")
 def fragment_flags(spark: SparkSession, d: str) -> DataFrame:
     c = indexed(spark, d)
@@ -381,6 +471,13 @@ def oldest_tertile(spark: SparkSession, d: str) -> DataFrame:
     return aged.orderBy("age", "content_hash", "chunk_ix").limit(aged.count() // 3).select("content_hash", "chunk_ix", "age")
 
 
+@query(f"WITH {EMBEDDED}, age AS (SELECT content_hash, min(vec_id % 97) AS age FROM embedded WHERE vec_id % 97 > 0 GROUP BY 1) SELECT count(*) AS usable, count(DISTINCT age) AS distinct_ages FROM embedded JOIN age USING (content_hash) WHERE model_id = 'mini'")
+def age_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = embedded(spark, d)
+    aged = muse.oldest(e.where("model_id = 'mini'"), e.select("content_hash", (F.col("vec_id") % 97).alias("mtime")))
+    return aged.agg(F.count("*").alias("usable"), F.count_distinct("age").alias("distinct_ages"))
+
+
 @query()
 def muse_run(spark: SparkSession, d: str) -> DataFrame:
     e = embedded(spark, d)
@@ -402,9 +499,9 @@ def notes_last(spark: SparkSession, d: str) -> DataFrame:
     return notes.query(note_rows(spark, d), NOW, place="zone-5", last=True).select("note_id", "ts")
 
 
-@query(f"WITH {NOTE} SELECT note_id, who, lease, claimed FROM note WHERE who <> '' AND ((lease <> '' AND lease < '{NOW}') OR (lease = '' AND claimed <> '' AND claimed < '2024-01-17T00:00:00.000000Z')) ORDER BY ts DESC, note_id LIMIT 100000")
+@query(f"WITH {NOTE} SELECT note_id, who, lease, claimed FROM note WHERE who <> '' AND ((lease <> '' AND lease < '{NOW}') OR (lease = '' AND claimed <> '' AND claimed < '2024-01-17T00:00:00.000000Z'))")
 def stale_claims(spark: SparkSession, d: str) -> DataFrame:
-    return notes.query(note_rows(spark, d), NOW, stale=True, stale_after="3d", most=100_000).select("note_id", "who", "lease", "claimed")
+    return notes.query(note_rows(spark, d), NOW, stale=True, stale_after="3d", most=None).select("note_id", "who", "lease", "claimed")
 
 
 @query(f"WITH {NOTE} SELECT note_id, ts FROM note WHERE type = '' ORDER BY ts, note_id LIMIT 100")
@@ -422,7 +519,7 @@ def notes_closing(spark: SparkSession, d: str) -> DataFrame:
     return notes.query(note_rows(spark, d), NOW, closes="n101").select("note_id", "closes")
 
 
-@query(f"WITH RECURSIVE {NOTE}, chain AS (SELECT 'n104' AS note_id, 0 AS depth UNION ALL SELECT n.closes, depth + 1 FROM chain c JOIN note n USING (note_id) WHERE n.closes <> '' AND depth < 100) SELECT note_id, CAST(min(depth) AS INT) AS depth FROM chain GROUP BY note_id")
+@query(f"WITH RECURSIVE {NOTE}, chain AS (SELECT 'n104' AS note_id, 0 AS depth UNION ALL SELECT n.closes, depth + 1 FROM chain c JOIN note n USING (note_id) WHERE n.closes <> '') SELECT note_id, CAST(min(depth) AS INT) AS depth FROM chain GROUP BY note_id")
 def closes_chain(spark: SparkSession, d: str) -> DataFrame:
     return notes.closing_chain(note_rows(spark, d), "n104")
 
@@ -465,39 +562,76 @@ def anchor_resolve(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.resolve(chunks(spark, d), _labelled(spark, d))
 
 
-# The run that is scored ranks chunks by their distance in length from the anchor.
-RANKED = f"{GOLD}, run AS (SELECT item_id AS qid, content_hash, chunk_ix, row_number() OVER (PARTITION BY item_id ORDER BY abs(length(chunk_text) - length(text)), content_hash, chunk_ix) AS rank FROM chunk, benchmark), hits AS (SELECT qid, min(rank) AS rank FROM run JOIN gold ON qid = id AND run.content_hash = gold.content_hash AND run.chunk_ix = gold.chunk_ix WHERE rank <= 200 GROUP BY qid)"
+# The evaluated run asks with the benchmark's texts, every fourth item with the text of the one before, which is its trap.
+# The words whose presence orders nothing, as the oracle's own list.
+STOP_SQL = "'the','and','for','that','with','this','from','are','was','not','but','its','one','all','any','can','will','has','have','had','then','than','when','what','where','who','how','some','more','most','other','into','out','over','under','about','only','same','such','each','per','see','use','used','using','been','being','does','did','here','there','their','would','could','should','must','may','might','you','your','they','them','doing','why','which','while','also','just','like','very','much','cost','costs','get','gets'"
+_FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASKS = r"""asks AS (SELECT b.item_id AS id, CASE WHEN b.item_id % 4 = 1 THEN p.text ELSE b.text END AS q, b.text AS anchor, CASE WHEN b.item_id % 4 = 1 THEN p.text ELSE '' END AS trap FROM benchmark b LEFT JOIN benchmark p ON p.item_id = b.item_id - 1),
+pieces AS (SELECT id AS qid, unnest(string_split_regex(q, '[\x00-\x20]+')) AS piece, generate_subscripts(string_split_regex(q, '[\x00-\x20]+'), 1) AS n FROM asks),
+cut AS (SELECT qid, n, [x for x in string_split_regex(FOLDED, '[^a-z0-9]+') if x <> ''] AS w FROM pieces),
+asked AS (SELECT qid, n AS phrase, unnest(range(0, len(w))) AS off, len(w) AS size, unnest(w) AS term FROM cut WHERE len(w) > 0)""".replace("FOLDED", _FOLD.format(x="piece"))
+_LITERAL = r"""toks AS (SELECT qid, n, rtrim(trim(piece, '"''`(),;:[]{}<>*!?'), '.') AS t FROM pieces),
+kept AS (SELECT qid, n, t, regexp_matches(t, '[A-Za-z0-9]') AND (regexp_matches(t, '[0-9_\-/.:]') OR len(regexp_extract_all(t, '[A-Z]')) >= 2) AS hard FROM toks WHERE strlen(t) >= 3),
+passes AS (SELECT qid, FOLDED AS term, min(CASE WHEN hard THEN 0 ELSE 13 - least(strlen(t), 12) END * 1000000 + n) AS place FROM kept WHERE hard OR t NOT IN (STOP) GROUP BY ALL),
+terms AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS r FROM passes) WHERE r <= 8),
+held AS (SELECT term, content_hash, chunk_ix FROM (SELECT DISTINCT term FROM terms) JOIN chunk ON contains(LOWER, term)),
+rare AS (SELECT term, 1.0 / count(*) AS weight FROM held GROUP BY term HAVING count(*) < (SELECT count(*) FROM chunk)),
+literal AS (SELECT qid, content_hash, chunk_ix, 4 AS leg, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(sum(weight), 9) DESC, content_hash, chunk_ix) AS INT) AS leg_rank FROM terms JOIN held USING (term) JOIN rare USING (term) GROUP BY qid, content_hash, chunk_ix)""".replace("FOLDED", _FOLD.format(x="t")).replace("STOP", STOP_SQL).replace("LOWER", LOW)
+EVALUATED = f"""{_keyword(_ASKS)}, {_LITERAL}, asked_vec AS (SELECT vec_id AS qid, embedding AS vec FROM embeddings JOIN benchmark ON item_id = vec_id), {VECTORS},
+two AS (SELECT *, CAST(NULL AS DOUBLE) AS cos FROM keyword UNION ALL SELECT *, NULL FROM literal), three AS (SELECT * FROM two UNION ALL SELECT * FROM vector), {_fused("three", 40, 10, "h_")}, {_fused("two", 40, 10, "k_")},
+gold AS (SELECT id, content_hash, chunk_ix FROM asks JOIN chunk ON contains(chunk_text, anchor)), traps AS (SELECT id, content_hash, chunk_ix FROM asks JOIN chunk ON trap <> '' AND contains(chunk_text, trap)),
+ranks AS (SELECT id, anchor, trap, (SELECT min(rank) FROM h_fused f JOIN gold g USING (content_hash, chunk_ix) WHERE f.qid = a.id AND g.id = a.id) AS rank, (SELECT min(rank) FROM k_fused f JOIN gold g USING (content_hash, chunk_ix) WHERE f.qid = a.id AND g.id = a.id) AS deg_rank,
+(SELECT min(leg_rank) FROM keyword f JOIN gold g USING (content_hash, chunk_ix) WHERE f.qid = a.id AND g.id = a.id) AS bm25_rank, (SELECT min(rank) FROM h_fused f JOIN traps g USING (content_hash, chunk_ix) WHERE f.qid = a.id AND g.id = a.id) AS trap_rank,
+(SELECT count(*) FROM keyword f WHERE f.qid = a.id) AS bm25_matches, (SELECT count(*) FROM gold g WHERE g.id = a.id) AS n_gold,
+(SELECT min(rank) FROM h_fused f WHERE f.qid = a.id AND f.content_hash IN (SELECT g.content_hash FROM gold g WHERE g.id = a.id) AND NOT EXISTS (SELECT 1 FROM gold x WHERE x.id = a.id AND x.content_hash = f.content_hash AND x.chunk_ix = f.chunk_ix)) AS neighbour_rank FROM asks a)"""
+
+
+def _asks(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "benchmark").select("item_id", "text")
+    before = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("_before"))
+    odd = F.col("item_id") % 4 == 1
+    q = b.join(before, "item_id", "left").select("item_id", F.col("item_id").cast("string").alias("id"), F.when(odd, F.col("_before")).otherwise(F.col("text")).alias("query"), F.col("text").alias("anchor"), F.when(odd, F.col("_before")).otherwise("").alias("trap"))
+    return q.withColumn("split", F.when(F.col("item_id") % 3 == 0, "test").otherwise("dev")).withColumn("expect", F.lit("indexed"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome of each benchmark item under three legs, with the keyword and literal legs as the degraded run."""
+    q = materialize(_asks(spark, d), "asks")
+    asked = {r["id"]: r["query"] for r in q.select("id", "query").collect()}  # a labelled set is small
+    c = materialize(_first_chunk_vectors(spark, d, chunks(spark, d)), "embedded-chunks")
+    terms = sorted({t for text in asked.values() for p in search.phrases(text) for t in p})
+    index, stats = materialize(search.postings(c, only=terms), "eval-postings"), search.doc_lengths(c)
+    ranking = materialize(evaluation.full_ranking(index, stats, asked), "eval-ranking")
+    words = materialize(search.raw_words(c), "eval-words")
+    two = ranking.where("leg_rank <= 40").unionByName(search.literal_leg_stored(words, c, asked))
+    two = materialize(two, "eval-legs")
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vec")).join(q.select(F.col("id").alias("qid")), "qid", "left_semi")
+    hybrid = materialize(search.fuse(two.unionByName(search.vector_leg(c, vectors, "none")), 10), "eval-hybrid")
+    return evaluation.outcomes(q, hybrid, search.fuse(two, 10), ranking, evaluation.resolve(c, q), evaluation.resolve(c, q, "trap"), 40)
+
+
+@query(f"WITH {EVALUATED} SELECT CASE WHEN id % 3 = 0 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 9) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS r5, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS rk, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks GROUP BY 1")
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.scores(_evaluated(spark, d), ["split"])
+    return out.select("split", "n", *[F.round(c, 9).alias(c) for c in ("r1", "r5", "rk", "mrr")])
 
 
-def _run(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+@query(f"""WITH {EVALUATED} SELECT CAST(id AS VARCHAR) AS id, n_gold, rank, deg_rank, bm25_rank, bm25_matches, neighbour_rank, trap_rank, CASE WHEN n_gold = 0 THEN 'NOT_INDEXED' WHEN rank > 1 AND trap_rank < rank THEN 'STALE_OUTRANKS' WHEN rank = 1 THEN 'HIT@1' WHEN rank <= 5 THEN 'HIT@5' WHEN rank IS NOT NULL THEN 'HIT@K'
+WHEN trap_rank IS NOT NULL THEN 'STALE_OUTRANKS' WHEN neighbour_rank IS NOT NULL THEN 'NEIGHBOUR_CHUNK' WHEN bm25_rank IS NULL AND deg_rank IS NULL THEN 'BOTH_LEGS_MISSED' WHEN bm25_rank IS NULL THEN 'KEYWORD_NO_MATCH' WHEN bm25_rank > 40 THEN 'KEYWORD_TOO_DEEP' ELSE 'FUSED_OUT' END AS diagnosis FROM ranks""")
+def diagnose(spark: SparkSession, d: str) -> DataFrame:
+    out = _evaluated(spark, d)
+    return out.select("id", "n_gold", "rank", "deg_rank", "bm25_rank", "bm25_matches", "neighbour_rank", "trap_rank", "diagnosis")
 
-    b = F.broadcast(read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").alias("_n")))
-    far = chunks(spark, d).select("content_hash", "chunk_ix", F.length("chunk_text").alias("_c")).crossJoin(b).withColumn("_d", F.abs(F.col("_c") - F.col("_n")))
-    return far.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_d", "content_hash", "chunk_ix"))).where("rank <= 200").select("qid", "content_hash", "chunk_ix", "rank")
 
+@query(f"WITH {EVALUATED} SELECT CASE WHEN rank IS NOT NULL AND deg_rank IS NULL THEN 'helped' WHEN rank IS NULL AND deg_rank IS NOT NULL THEN 'hurt' WHEN rank > deg_rank THEN 'demoted' WHEN rank < deg_rank THEN 'promoted' ELSE 'same' END AS effect, count(*) AS n FROM ranks GROUP BY 1")
+def against_control(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.against_control(_evaluated(spark, d))
 
-@query(f"WITH {RANKED} SELECT CASE WHEN item_id % 3 = 0 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 9) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS r5, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS rk, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM benchmark LEFT JOIN hits ON qid = item_id GROUP BY 1")
-def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    q = _labelled(spark, d)
-    gold = evaluation.resolve(chunks(spark, d), q)
-    found = q.join(evaluation.first_rank(_run(spark, d), gold), "id", "left")
-    out = evaluation.scores(found, ["split"])
-    return out.select("split", "n", *[F.round(c, 9).alias(c) for c in ("r1", "r5", "rk", "mrr")])
 
-
-@query(f"""WITH {RANKED}, ng AS (SELECT id, count(*) AS n_gold FROM gold GROUP BY id),
-other AS (SELECT r.qid, min(rank) AS neighbour FROM run r JOIN (SELECT DISTINCT id, content_hash FROM gold) g ON g.id = r.qid AND g.content_hash = r.content_hash LEFT JOIN gold x ON x.id = r.qid AND x.content_hash = r.content_hash AND x.chunk_ix = r.chunk_ix WHERE x.id IS NULL AND rank <= 200 GROUP BY r.qid)
-SELECT item_id AS id, coalesce(n_gold, 0) AS n_gold, CASE WHEN n_gold IS NULL THEN 'NOT_INDEXED' WHEN rank = 1 THEN 'HIT@1' WHEN rank <= 5 THEN 'HIT@5' WHEN rank IS NOT NULL THEN 'HIT@K' WHEN neighbour IS NOT NULL THEN 'NEIGHBOUR_CHUNK' ELSE 'BOTH_LEGS_MISSED' END AS diagnosis
-FROM benchmark LEFT JOIN ng ON ng.id = item_id LEFT JOIN hits ON hits.qid = item_id LEFT JOIN other ON other.qid = item_id""")
-def diagnose(spark: SparkSession, d: str) -> DataFrame:
-    q = _labelled(spark, d)
-    c = indexed(spark, d)
-    gold = evaluation.resolve(c, q)
-    none = spark.createDataFrame([], "qid long, content_hash string, chunk_ix int, leg_rank int")
-    traps = evaluation.resolve(c, q, "trap")
-    out = evaluation.outcomes(q, _run(spark, d), none.withColumnRenamed("leg_rank", "rank"), none, gold, traps, 40)
-    return out.select("id", "n_gold", "diagnosis")
+@query(f"WITH {CHUNK}, {_ASKS}, gold AS (SELECT DISTINCT id, content_hash, chunk_ix FROM asks JOIN chunk ON contains(chunk_text, anchor)), traps AS (SELECT DISTINCT id, content_hash, chunk_ix FROM asks JOIN chunk ON trap <> '' AND contains(chunk_text, trap)) SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id NOT IN (SELECT id FROM gold) THEN 'anchor resolves to no chunk' WHEN trap <> '' AND id NOT IN (SELECT id FROM traps) THEN 'trap resolves to no chunk' ELSE 'trap and gold share a chunk' END AS defect FROM asks WHERE id NOT IN (SELECT id FROM gold) OR (trap <> '' AND (id NOT IN (SELECT id FROM traps) OR id IN (SELECT id FROM traps JOIN gold USING (id, content_hash, chunk_ix))))")
+def query_defects(spark: SparkSession, d: str) -> DataFrame:
+    q, c = _asks(spark, d), indexed(spark, d)
+    return evaluation.defects(q, evaluation.resolve(c, q), evaluation.resolve(c, q, "trap"))
 
 
 @query(f"WITH {GOLD}, ng AS (SELECT id, count(*) AS n_gold FROM gold GROUP BY id) SELECT CASE WHEN item_id % 2 = 0 THEN 'file' ELSE 'wiki' END AS artifact, count(*) AS n, count(n_gold) AS covered, 0 AS closed FROM benchmark LEFT JOIN ng ON id = item_id GROUP BY 1")
@@ -610,6 +744,36 @@ def ticket_report(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.tickets(rows).select("path", "text")
 
 
+@query("SELECT 'note:' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) AS path, 'tech note ' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) || ' on ' || strftime(o_orderdate, '%Y-%m-%dT00:00:00') || ' by clerk ' || o_custkey || chr(10) || chr(10) || 'Order ' || o_orderkey || chr(10) || chr(10) || 'body ' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS text FROM orders WHERE o_orderstatus = 'O'")
+def tech_notes(spark: SparkSession, d: str) -> DataFrame:
+    event, blob = _orders_as_events(spark, d)
+    o = read(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("objid"))
+    event = event.join(o, "objid").withColumn("type", F.lit("e")).withColumn("tagid", F.col("objid"))
+    name = F.substring(F.sha2(F.col("rid").cast("string"), 256), 1, 16)
+    body = F.concat(F.lit("D 2020\nC Order\\s"), F.col("rid").cast("string"), F.lit("\nW 15\nbody "), F.lpad(F.col("rid").cast("string"), 10, "0"), F.lit("\nZ x\n"))
+    tag = blob.select(F.col("rid").alias("tagid"), F.concat(F.lit("event-"), name).alias("tagname"))
+    return artifacts.technotes(event, blob.withColumn("content", body), tag).select("path", "text")
+
+
+@query("SELECT 'attach:' || sha256('a' || page_id) AS path, CASE WHEN page_id % 5 <> 0 THEN 'attachment file ' || page_id || ' on ' || url || ' at 1970-01-01T00:00:00' || chr(10) || chr(10) || html END AS text FROM pages WHERE page_id % 3 <> 0")
+def page_attachments(spark: SparkSession, d: str) -> DataFrame:
+    p, i = read(spark, d, "pages"), F.col("page_id")
+    key = F.sha2(F.concat(F.lit("a"), i.cast("string")), 256)
+    attachment = p.select(F.concat(F.lit("file "), i.cast("string")).alias("filename"), F.col("url").alias("target"), key.alias("src"), F.lit(2440587.5).alias("mtime"), (i % 3 != 0).alias("isLatest"))
+    content = F.encode(F.col("html"), "UTF-8")
+    blob = p.select(key.alias("uuid"), F.when(i % 5 == 0, F.concat(F.unhex(F.lit("6100")), content)).otherwise(content).alias("content"))
+    return artifacts.attachments(attachment, blob).select("path", "text")
+
+
+@query("SELECT 'uv:page ' || page_id AS path, 'unversioned file page ' || page_id || chr(10) || chr(10) || url AS text FROM pages")
+def unversioned_pages(spark: SparkSession, d: str) -> DataFrame:
+    p, name = read(spark, d, "pages"), F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    now = p.select(name.alias("name"), F.encode("url", "UTF-8").alias("content"), F.lit(2).alias("mtime"))
+    old = p.select(name.alias("name"), F.encode("html", "UTF-8").alias("content"), F.lit(1).alias("mtime"))
+    own = p.select(F.concat(F.lit("quarry/"), name).alias("name"), F.encode("url", "UTF-8").alias("content"), F.lit(1).alias("mtime"))
+    return artifacts.unversioned(now.unionByName(old).unionByName(own)).select("path", "text")
+
+
 # Memories and calendar
 
 _MEM = "mem AS (SELECT 'm' || event_id AS id, props AS text, event_type AS about, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS valid_from, event_id % 13 = 0 AS retracted FROM events), edge AS (SELECT 'm' || event_id AS successor, 'm' || (event_id - event_id % 7 - 1) AS predecessor FROM events WHERE event_id % 7 IN (1, 2) AND event_id > 7)"
@@ -637,11 +801,25 @@ def memory_contested(spark: SparkSession, d: str) -> DataFrame:
     return memory.contested(*_memories(spark, d))
 
 
-@query(f"WITH RECURSIVE {_MEM}, chain AS (SELECT 'm100' AS id, 0 AS depth UNION ALL SELECT predecessor, depth + 1 FROM chain JOIN edge ON successor = id WHERE depth < 100) SELECT c.id, CAST(min(depth) AS INT) AS depth, any_value(text) AS text FROM chain c LEFT JOIN mem USING (id) GROUP BY c.id")
+@query(f"WITH RECURSIVE {_MEM}, chain AS (SELECT 'm100' AS id, 0 AS depth UNION ALL SELECT predecessor, depth + 1 FROM chain JOIN edge ON successor = id) SELECT c.id, CAST(min(depth) AS INT) AS depth, any_value(text) AS text FROM chain c LEFT JOIN mem USING (id) GROUP BY c.id")
 def memory_why(spark: SparkSession, d: str) -> DataFrame:
     return memory.why(*_memories(spark, d), "m100")
 
 
+@query(f"WITH {_MEM} SELECT id FROM mem WHERE about = 'view' AND NOT retracted AND id NOT IN (SELECT predecessor FROM edge JOIN mem s ON s.id = successor WHERE NOT s.retracted)")
+def memory_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return memory.warn_about(*_memories(spark, d), "view").select("id")
+
+
+@query("WITH w AS (SELECT doc_id AS id, 'p' || (doc_id % 400) AS witness_path, sha256(CAST(doc_id AS VARCHAR)) AS witness_hash FROM documents) SELECT id FROM w LEFT JOIN (SELECT 'p' || doc_id AS path, sha256(CAST(doc_id AS VARCHAR)) AS now FROM documents WHERE doc_id < 300) s ON path = witness_path WHERE witness_hash IS DISTINCT FROM now")
+def stale_witnesses(spark: SparkSession, d: str) -> DataFrame:
+    x, i = read(spark, d, "documents"), F.col("doc_id")
+    digest = F.sha2(i.cast("string"), 256)
+    mem = x.select(i.alias("id"), F.concat(F.lit("p"), (i % 400).cast("string")).alias("witness_path"), digest.alias("witness_hash"))
+    now = x.where("doc_id < 300").select(F.concat(F.lit("p"), i.cast("string")).alias("path"), digest.alias("content_hash"))
+    return memory.stale_witness(mem, now).select("id")
+
+
 @query("""WITH s AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 5) * 40000 AS e FROM orders)
 SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.s < b.e AND b.s < a.e WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND a.s < a.e AND b.s < b.e""")
 def calendar_overlaps(spark: SparkSession, d: str) -> DataFrame:

@@ -33,8 +33,10 @@ class Conflict(Exception):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """``stemmed`` tells how the keyword tables are cut: into stems or into plain words, the same in every run."""
+
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool = True):
+        self.spark, self.path, self.stemmed = spark, path.rstrip("/"), stemmed
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
