@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import excerpt
 from quarry.functions.vector import dot
 from quarry.operators.search import source_of
+from quarry.storage import materialize, ranged, running_total
 
 SAMPLE = 400
 SKIP_MULT, WINDOW_MULT, WINDOW_SHARE = 3, 4, 0.05
@@ -21,7 +22,10 @@ MASK = (1 << 64) - 1
 
 
 class Random:
-    """SplitMix64 seeding of xorshift64*; draws are remainders."""
+    """SplitMix64 seeding of xorshift64*; draws are remainders.
+
+    Fixed values: the shifts and multipliers are those of the published generators.
+    """
 
     def __init__(self, seed: int):
         z = (seed + 0x9E3779B97F4A7C15) & MASK
@@ -65,8 +69,6 @@ def numbered(chunks: DataFrame, model_id: str) -> DataFrame:
 
     Numbers come from range partitions and their counts.
     """
-    from quarry.storage import ranged, running_total
-
     own = chunks.where((F.col("model_id") == model_id) & F.col("embedding").isNotNull()).drop("model_id")
     keys = ["content_hash", "chunk_ix"]
     return running_total(ranged(own, keys, "muse-order"), {"row": F.lit(1).cast("long")}, keys).drop("_pid")
@@ -105,12 +107,23 @@ def band_size(n: int, k: int) -> tuple[int, int]:
 
 
 def neighbours(rows: DataFrame, seed_hash: str, seed_ix: int, most: int) -> DataFrame:
-    """(content_hash, chunk_ix, chunk_text, cos, rank) of the seed's nearest others; ranks count every one."""
+    """(content_hash, chunk_ix, cos, rank) of the seed's ``most`` nearest others, with their partition as ``_pid``.
+
+    Ranks come from range partitions of the cosines and their counts, so no
+    task holds more than one of these.
+    """
     here = (F.col("content_hash") == seed_hash) & (F.col("chunk_ix") == seed_ix)
     seed = rows.where(here).select(F.col("embedding").alias("seed"))
-    near = rows.where(~here).crossJoin(F.broadcast(seed)).select("content_hash", "chunk_ix", "chunk_text", dot(F.col("embedding"), F.col("seed")).alias("cos"))
-    top = near.orderBy(F.desc("cos"), "content_hash", "chunk_ix").limit(most)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "content_hash", "chunk_ix")))
+    near = rows.where(~here).crossJoin(F.broadcast(seed)).select("content_hash", "chunk_ix", dot(F.col("embedding"), F.col("seed")).alias("cos"))
+    order = [F.desc("cos"), F.col("content_hash"), F.col("chunk_ix")]
+    placed = running_total(ranged(near, order, "muse-near"), {"_before": F.lit(1).cast("long")}, order)
+    return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).where(F.col("rank") <= most).drop("_before")
+
+
+def in_order(near: DataFrame, which: Column | None = None) -> DataFrame:
+    """The rows of written :func:`neighbours` that ``which`` keeps, with their place ``i`` from 0, written."""
+    some = near if which is None else near.where(which)
+    return materialize(running_total(some, {"i": F.lit(1).cast("long")}, ["rank"]), "muse-band")
 
 
 def oldest(rows: DataFrame, source: DataFrame) -> DataFrame:
@@ -119,6 +132,18 @@ def oldest(rows: DataFrame, source: DataFrame) -> DataFrame:
     return rows.join(age, "content_hash")
 
 
+def by_age(aged: DataFrame) -> DataFrame:
+    """:func:`oldest` with each chunk's place ``row`` from 0, the oldest first."""
+    order = ["age", "content_hash", "chunk_ix"]
+    return running_total(ranged(aged.select("age", "content_hash", "chunk_ix"), order, "muse-age"), {"row": F.lit(1).cast("long")}, order).drop("_pid")
+
+
+def oldest_tertile(aged: DataFrame) -> DataFrame:
+    """The oldest third of the chunks with a known age."""
+    placed = materialize(by_age(aged), "muse-ages")
+    return placed.where(F.col("row") < placed.count() // 3)
+
+
 def strata(n: int, k: int) -> list[tuple[int, int]]:
     return [(s * n // k, (s + 1) * n // k) for s in range(k)]
 
@@ -142,46 +167,64 @@ class Info:
     results: list[dict] = field(default_factory=list)
 
 
-def pick(cand: list[dict], k: int, info: Info, rng: Random, seed_hash: str, same_source: bool) -> None:
-    """Band, relaxations and the stratified pick over candidates in rank order."""
-    related = lambda i, strict: [c for c in cand[i:] if c["cos"] >= info.floor and (not strict or c["content_hash"] != seed_hash)]
-    band = related(info.skip, not same_source)
-    if len(band) < k and not same_source:
-        band = related(info.skip, False)
-    if len(band) < k and len(cand[info.skip :]) > len(band):
-        band = cand[info.skip :]
+def chosen_band(near: DataFrame, k: int, info: Info, seed_hash: str, same_source: bool) -> DataFrame:
+    """The band of written :func:`neighbours`, or what it is relaxed to, in order; ``info`` tells how."""
+    after, related, other = F.col("rank") > info.skip, F.col("cos") >= info.floor, F.col("content_hash") != seed_hash
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    n_strict, n_loose, n_after, n_all = near.agg(count(after & related & other), count(after & related), count(after), F.count("*")).first()
+    which, n = (after & related, n_loose) if same_source or n_strict < k else (after & related & other, n_strict)
+    if n < k and n_after > n:
+        which, n = after, n_after
         info.degraded |= FLOOR
         info.floor = NO_FLOOR
-    if not band and cand:
-        band = cand
+    if not n and n_all:
+        which, n = None, n_all
         info.degraded |= SKIP
         info.skip = 0
-    if len(band) < k:
+    if n < k:
         info.degraded |= THIN
-    info.n_band, info.band_docs = len(band), len({c["content_hash"] for c in band})
+    band = in_order(near, which)
+    info.n_band, info.band_docs = n, band.agg(F.count_distinct("content_hash")).first()[0]
+    return band
+
+
+def pick(band: DataFrame, k: int, info: Info, rng: Random, seed_hash: str, same_source: bool) -> None:
+    """One chunk of each stratum: the first from a drawn place on whose document has none yet.
+
+    Of a stratum at most ``k`` documents, each with its nearest chunk to the
+    drawn place, reach the driver; fewer than that are in use.
+    """
+    bounds = [(lo, hi) for lo, hi in strata(info.n_band, k) if hi > lo]
+    if not bounds:
+        return
+    draws = [rng.below(hi - lo) for lo, hi in bounds]
+    lo, size, at = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in zip(*[(a, b - a, d) for (a, b), d in zip(bounds, draws, strict=True)], strict=True))
+    stratum = sum((F.when(F.col("i") >= a, 1).otherwise(0) for a, _ in bounds[1:]), F.lit(1))
+    of = lambda xs: F.element_at(xs, F.col("s"))
+    placed = band.withColumn("s", stratum).withColumn("far", F.pmod(F.col("i") - of(lo) - of(at), of(size)))
+    docs = placed.groupBy("s", "content_hash").agg(F.min(F.struct("far", "chunk_ix", "cos", "rank")).alias("best"))
+    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("best.far"))).where(F.col("n") <= k)
+    turns: dict[int, list] = {}
+    for r in first.select("s", "content_hash", "best.*").orderBy("s", "far").collect():
+        turns.setdefault(r["s"], []).append(r)
     used: set[str] = set()
-    for lo, hi in strata(len(band), k):
-        if hi <= lo:
-            continue
-        at = rng.below(hi - lo)
-        turn = [lo + (at + t) % (hi - lo) for t in range(hi - lo)]
-        chosen = next((j for j in turn if band[j]["content_hash"] not in used), None)
-        if chosen is None:
-            chosen = turn[0]
+    for _, turn in sorted(turns.items()):
+        got = next((r for r in turn if r["content_hash"] not in used), None)
+        if got is None:
+            got = turn[0]
             info.degraded |= REPEAT
-        used.add(band[chosen]["content_hash"])
-        info.results.append(band[chosen])
+        used.add(got["content_hash"])
+        info.results.append({c: got[c] for c in ("content_hash", "chunk_ix", "cos", "rank")})
     info.result_docs = len(used)
-    if not same_source and any(r["content_hash"] == seed_hash for r in info.results):
+    if not same_source and seed_hash in used:
         info.degraded |= SAME_SOURCE
 
 
 def muse(chunks: DataFrame, source: DataFrame, k: int = 5, seed: int = 1, at: tuple[str, int] | None = None, old: bool = False, same_source: bool = False, model_id: str | None = None, own_model: str | None = None, chars: int = 240) -> Info:
     """``k`` chunks across the band of the seed; ``seed`` makes the run repeatable.
 
-    The band is a twentieth of the corpus; its ids, cosines and ranks reach the
-    driver, texts only of what is returned.  :func:`band` gives the same band
-    as a DataFrame where a twentieth is too much for a driver.
+    The band is a twentieth of the corpus and stays distributed; the driver gets
+    the seed, the bounded sample of the floor and at most k * k candidates.
     """
     k, chars = (5 if k <= 0 else min(k, 32)), max(1, min(chars, 1000))
     info = Info()
@@ -205,7 +248,7 @@ def muse(chunks: DataFrame, source: DataFrame, k: int = 5, seed: int = 1, at: tu
                 info.degraded |= NO_BIAS
             else:
                 place = rng.below(max(1, info.age_usable // 3))
-                found = aged.orderBy("age", "content_hash", "chunk_ix").limit(place + 1).orderBy(F.desc("age"), F.desc("content_hash"), F.desc("chunk_ix")).select("content_hash", "chunk_ix").first()
+                found = by_age(aged).where(F.col("row") == place).select("content_hash", "chunk_ix").first()
         if found is None:
             found = rows.where(F.col("row") == rng.below(n)).select("content_hash", "chunk_ix").first()
     info.seed = (found[0], found[1])
@@ -215,9 +258,8 @@ def muse(chunks: DataFrame, source: DataFrame, k: int = 5, seed: int = 1, at: tu
     info.skip, info.window = band_size(n, k)
     if info.skip < SKIP_MULT * k:
         info.degraded |= TINY
-    near = neighbours(rows, *info.seed, info.skip + info.window)
-    cand = [r.asDict() for r in near.select("content_hash", "chunk_ix", "cos", "rank").orderBy("rank").collect()]
-    pick(cand, k, info, rng, info.seed[0], same_source)
+    near = materialize(neighbours(rows, *info.seed, info.skip + info.window), "muse-ranked")
+    pick(chosen_band(near, k, info, info.seed[0], same_source), k, info, rng, info.seed[0], same_source)
     spark = chunks.sparkSession
     if info.results:
         ids = spark.createDataFrame([(r["content_hash"], r["chunk_ix"]) for r in info.results], "content_hash string, chunk_ix int")
@@ -231,10 +273,8 @@ def muse(chunks: DataFrame, source: DataFrame, k: int = 5, seed: int = 1, at: tu
 def band(rows: DataFrame, seed_hash: str, seed_ix: int, n: int, k: int, floor: float) -> DataFrame:
     """The strict band as a DataFrame with stratum numbers, before any draw."""
     skip, window = band_size(n, k)
-    near = neighbours(rows, seed_hash, seed_ix, skip + window)
-    strict = near.where((F.col("rank") > skip) & (F.col("cos") >= floor) & (F.col("content_hash") != seed_hash))
-    w = Window.orderBy("rank")
-    total = Window.partitionBy()
-    placed = strict.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(total))
+    near = materialize(neighbours(rows, seed_hash, seed_ix, skip + window), "muse-ranked")
+    placed = in_order(near, (F.col("rank") > skip) & (F.col("cos") >= floor) & (F.col("content_hash") != seed_hash))
     # The stratum whose bounds s * n // k and (s + 1) * n // k hold the place.
-    return placed.withColumn("stratum", F.floor(((F.col("_i") + 1) * k - 1) / F.col("_n")).cast("int")).drop("_i", "_n")
+    stratum = F.floor(((F.col("i") + 1) * k - 1) / placed.count()).cast("int")
+    return placed.withColumn("stratum", stratum).drop("i", "_pid")

@@ -468,7 +468,7 @@ def oldest_tertile(spark: SparkSession, d: str) -> DataFrame:
     e = embedded(spark, d)
     src = e.select("content_hash", (F.col("vec_id") % 97).alias("mtime"))
     aged = muse.oldest(e.where("model_id = 'mini'"), src)
-    return aged.orderBy("age", "content_hash", "chunk_ix").limit(aged.count() // 3).select("content_hash", "chunk_ix", "age")
+    return muse.oldest_tertile(aged).select("content_hash", "chunk_ix", "age")
 
 
 @query(f"WITH {EMBEDDED}, age AS (SELECT content_hash, min(vec_id % 97) AS age FROM embedded WHERE vec_id % 97 > 0 GROUP BY 1) SELECT count(*) AS usable, count(DISTINCT age) AS distinct_ages FROM embedded JOIN age USING (content_hash) WHERE model_id = 'mini'")

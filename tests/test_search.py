@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,56 @@ def test_muse_repeats_and_stays_in_the_band(spark):
     assert all(r["excerpt"].startswith("text ") and r["source"].startswith("p") for r in a.results)
 
 
+def muse_py(vecs, k, seed, same_source=False):
+    """The picks over all candidates in one list, in the order of their cosines."""
+    keys = sorted(vecs)
+    rng = muse.Random(seed)
+    seed_key = keys[rng.below(len(keys))]
+    stride = -(-len(keys) // min(len(keys), muse.SAMPLE))
+    floor = muse.upper_median(np.array([vecs[x] for x in keys[::stride]][: muse.SAMPLE], np.float32))
+    skip, window = muse.band_size(len(keys), k)
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b))
+    near = sorted((-dot(vecs[x], vecs[seed_key]), x) for x in keys if x != seed_key)[: skip + window]
+    some = lambda strict: [x for c, x in near[skip:] if -c >= floor and not (strict and x[0] == seed_key[0])]
+    band = some(not same_source)
+    if len(band) < k:
+        band = some(False)
+    if len(band) < k and len(near) - skip > len(band):
+        band = [x for _, x in near[skip:]]
+    band = band or [x for _, x in near]
+    out, used = [], set()
+    for s in range(k):
+        lo, hi = s * len(band) // k, (s + 1) * len(band) // k
+        if hi <= lo:
+            continue
+        at = rng.below(hi - lo)
+        turn = [band[lo + (at + t) % (hi - lo)] for t in range(hi - lo)]
+        out.append(next((x for x in turn if x[0] not in used), turn[0]))
+        used.add(out[-1][0])
+    return out
+
+
+@pytest.mark.parametrize("k,seed,same", [(3, 1, False), (5, 2, True), (8, 3, False), (32, 4, False)])
+def test_muse_against_one_list(spark, k, seed, same):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(130, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    vecs = {(f"h{i // 4:03d}", i % 4): x.tolist() for i, x in enumerate(v)}
+    chunks = spark.createDataFrame([(h, "m", i, "text", x) for (h, i), x in vecs.items()], "content_hash string, model_id string, chunk_ix int, chunk_text string, embedding array<float>")
+    source = chunks.selectExpr("content_hash as path", "content_hash", "0L as mtime", "'' as ts").distinct()
+    got = muse.muse(chunks, source, k, seed=seed, same_source=same)
+    assert [(r["content_hash"], r["chunk_ix"]) for r in got.results] == muse_py(vecs, k, seed, same)
+
+
+def test_no_task_of_muse_holds_the_corpus(spark, monkeypatch):
+    c, _ = vectors(spark)
+    plans = []
+    real = muse.materialize
+    monkeypatch.setattr(muse, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    muse.band(muse.numbered(c, "m"), *muse.numbered(c, "m").select("content_hash", "chunk_ix").first(), 60, 3, -2.0).collect()
+    assert plans and all("SinglePartition" not in p or "sum(_t_" in p for p in plans)
+
+
 def test_muse_edges(spark):
     c, s = vectors(spark)
     one = c.limit(1)
