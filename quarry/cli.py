@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.embed import embedder
 from quarry.functions.text import iso_now
-from quarry.operators import grep, muse, notes, search
+from quarry.operators import grep, ingest, muse, notes, search
 from quarry.plans.index import ask, edit_note, index, pull, push
 from quarry.plans.store import Store
-from quarry.sources.files import read_captures, read_folder
+from quarry.schema import NO_MODEL
+from quarry.sources.files import list_folder, read_captures, read_listed
+from quarry.storage import materialize
 
 
 def parser() -> argparse.ArgumentParser:
@@ -95,10 +97,14 @@ def run(spark: SparkSession, a: argparse.Namespace, out=print) -> int:
     store, now = Store(spark, a.store), iso_now()
     if a.verb == "index":
         captures = read_captures(spark, a.captures) if os.path.isdir(a.captures) and os.listdir(a.captures) else None
-        scan = read_folder(spark, a.dir)
-        rights = {"file"} if scan.where(~F.col("complete")).isEmpty() and os.path.isdir(a.dir) else set()
+        listing = materialize(list_folder(spark, a.dir), "listing")
+        rights = {"file"} if listing.where(~F.col("complete")).isEmpty() and os.path.isdir(a.dir) else set()
         embed = embedder(a.model)
-        r = index(store, scan, rights, a.dir, embed, os.path.basename(a.model) if embed else "none", captures)
+        model = os.path.basename(a.model) if embed else NO_MODEL
+        same = ingest.unchanged(listing.select("path", "mtime"), store.read("source"), store.read("chunk"), model).select("path")
+        same = materialize(same, "unchanged")
+        scan = read_listed(listing.join(same, "path", "left_anti"))
+        r = index(store, scan, rights, a.dir, embed, model, captures, same=same)
         out(f"{r.sources} sources, {r.chunks} chunks, {r.retired} retired, {r.version}")
     elif a.verb == "ask":
         vectors, model = None, None

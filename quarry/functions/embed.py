@@ -32,12 +32,21 @@ def _session(folder: str):
     return _sessions[folder]
 
 
-def embed_one(folder: str, text: str) -> list[float]:
+#: Texts of one call of the model.
+BATCH = 32
+
+
+def embed_batch(folder: str, texts: list[str]) -> list[list[float]]:
+    """The vectors of a few texts in one call; shorter ones are padded and masked."""
     session, pieces, names = _session(folder)
-    ids = np.array([pieces.encode(text)], dtype=np.int64)
-    feed = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
+    rows = [pieces.encode(t) for t in texts]
+    ids = np.zeros((len(rows), max(map(len, rows))), dtype=np.int64)
+    mask = np.zeros_like(ids)
+    for i, r in enumerate(rows):
+        ids[i, : len(r)], mask[i, : len(r)] = r, 1
+    feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
     hidden = session.run(None, {k: v for k, v in feed.items() if k in names})[0]
-    return mean_pooled(hidden[0]).tolist()
+    return [mean_pooled(h[: len(r)]).tolist() for h, r in zip(hidden, rows, strict=True)]
 
 
 def embedder(folder: str | None) -> Callable[[Column], Column] | None:
@@ -48,7 +57,14 @@ def embedder(folder: str | None) -> Callable[[Column], Column] | None:
 
     @pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_one(folder, t) if isinstance(t, str) and t else None)
+        out: list = [None] * len(texts)
+        # Texts of like length stand together, so that little is padded.
+        todo = sorted((i for i, t in enumerate(texts) if isinstance(t, str) and t), key=lambda i: len(texts.iloc[i]))
+        for i in range(0, len(todo), BATCH):
+            some = todo[i : i + BATCH]
+            for j, v in zip(some, embed_batch(folder, [texts.iloc[j] for j in some]), strict=True):
+                out[j] = v
+        return pd.Series(out, dtype=object)
 
     return run
 

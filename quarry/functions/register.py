@@ -18,10 +18,6 @@ class _Chunks:
             yield ix, "".join(parts[at : at + lines])
 
 
-def _odd(text: str) -> bool:
-    return any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x85  ")
-
-
 def _lines(text: str) -> list[str]:
     parts = text.split("\n")
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])

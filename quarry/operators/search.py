@@ -11,12 +11,14 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import ascii_lower, is_cut, prefix
+from quarry.functions.text import ascii_lower, is_cut, prefix, trim_excerpt
 from quarry.functions.vector import dot
-from quarry.functions.words import plain_words, plain_words_py
+from quarry.functions.words import plain_words, plain_words_py, porter_words, snippet
+from quarry.session import ship
 from quarry.storage import materialize
 
 POOL, PER_HIT, RRF_K, EXCERPT = 40, 4, 60.0, 140
@@ -306,10 +308,27 @@ def ask(chunks: DataFrame, source: DataFrame, queries: dict[str, str], k: int =
     return dressed(confident(fuse(legs, k, pool), min_cos), chunks, source)
 
 
+def with_snippets(results: DataFrame, chunks: DataFrame, queries: dict[str, str], width: int = 24) -> DataFrame:
+    """``results`` with ``snippet``: the window of ``width`` words of the chunk with most of the query's words, these in marks."""
+    from pyspark.sql.functions import pandas_udf
+
+    ship(results.sparkSession)
+    terms = {q: set(porter_words(text)) for q, text in queries.items()}
+
+    @pandas_udf("string")
+    def run(qids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([snippet(t, terms[q], width) for q, t in zip(qids, texts, strict=True)], dtype=object)
+
+    few = [r[0] for r in results.select("content_hash").distinct().limit(PUSHED + 1).collect()]
+    some = chunks.where(F.col("content_hash").isin(few)) if len(few) <= PUSHED else chunks
+    texts = distinct_chunks(some).select("content_hash", "chunk_ix", "chunk_text")
+    return F.broadcast(results).join(texts, ["content_hash", "chunk_ix"]).withColumn("snippet", run("qid", "chunk_text")).drop("chunk_text")
+
+
 def hit_lines(results: DataFrame) -> DataFrame:
     """One printable line for each result, with marks where the document goes on."""
     flag = lambda bit: F.col("frag").bitwiseAND(F.lit(bit)) != 0
-    body = F.concat(F.when(flag(HEAD), F.lit("[...] ")).otherwise(F.lit("")), F.regexp_replace("excerpt", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), F.when(flag(TAIL) | flag(CUT), F.lit(" [...]")).otherwise(F.lit("")))
+    body = F.concat(F.when(flag(HEAD), F.lit("[...] ")).otherwise(F.lit("")), trim_excerpt(F.col("excerpt")), F.when(flag(TAIL) | flag(CUT), F.lit(" [...]")).otherwise(F.lit("")))
     line = F.concat(F.format_string("[%d] rrf=%.4f  %s  %s", "rank", "rrf", "citation", "source"), F.lit("\n    "), body)
     return results.select("qid", "rank", line.alias("line"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.text import ascii_lower
 from quarry.functions.vector import dot
-from quarry.operators import evaluation, grep, ingest, memory, muse, notes, search
+from quarry.operators import evaluation, grep, ingest, memory, muse, notes, options, search
 from quarry.plans import index as runs
 from quarry.plans.store import Store
 from quarry.sources import artifacts
@@ -641,6 +641,57 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.coverage(q.join(gold, "id", "left").na.fill(0, ["n_gold"]))
 
 
+@query(f"WITH {EVALUATED}, n AS (SELECT qid, count(*) AS n FROM keyword GROUP BY qid) SELECT list_sort(list(n))[len(list(n)) // 2 + 1] AS median_matches FROM n")
+def median_selectivity(spark: SparkSession, d: str) -> DataFrame:
+    asked = {r["id"]: r["query"] for r in _asks(spark, d).select("id", "query").collect()}
+    c = indexed(spark, d)
+    terms = sorted({t for text in asked.values() for p in search.phrases(text) for t in p})
+    return evaluation.selectivity(evaluation.full_ranking(search.postings(c, only=terms), search.doc_lengths(c), asked))
+
+
+# Options
+
+@query("WITH h AS (SELECT doc_id % 7 AS qid, source AS content_hash, length(text) % 5 AS chunk_ix, CAST(doc_id % 101 AS DOUBLE) AS score FROM documents) SELECT CAST(qid AS VARCHAR) AS qid, content_hash, CAST(chunk_ix AS INT) AS chunk_ix, max(score) AS score FROM h GROUP BY ALL")
+def best_form(spark: SparkSession, d: str) -> DataFrame:
+    x, i = read(spark, d, "documents"), F.col("doc_id")
+    return options.best_form(x.select((i % 7).cast("string").alias("qid"), F.col("source").alias("content_hash"), (F.length("text") % 5).cast("int").alias("chunk_ix"), (i % 101).cast("double").alias("score")))
+
+
+@query(f"WITH {KEYWORD}, df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT term, content_hash, chunk_ix FROM post) GROUP BY term) SELECT term, df FROM df WHERE df <= 0.1 * (SELECT n FROM stats)")
+def rare_terms(spark: SparkSession, d: str) -> DataFrame:
+    c = indexed(spark, d)
+    return options.without_common(search.postings(c), c.count(), 0.1).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT p, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY p), v AS (SELECT vec_id, p, CAST(x AS DOUBLE) - m AS x FROM e JOIN m USING (p)), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1) SELECT vec_id, round(max(x / n), 6) AS largest, round(sum(x / n), 5) AS total FROM v JOIN n USING (vec_id) GROUP BY 1")
+def centred_vectors(spark: SparkSession, d: str) -> DataFrame:
+    out = options.centred(read(spark, d, "embeddings"), ["vec_id"])
+    return out.select("vec_id", F.round(F.array_max("embedding"), 6).alias("largest"), F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 5).alias("total"))
+
+
+@query(f"WITH {CHUNK} SELECT content_hash, CAST(chunk_ix // 3 AS INT) AS chunk_ix, 3 AS scale, sha256(string_agg(chunk_text, '' ORDER BY chunk.chunk_ix)) AS chunk_hash FROM chunk GROUP BY 1, 2")
+def coarse_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return options.scaled(chunks(spark, d), 3).select("content_hash", "chunk_ix", "scale", ingest.content_hash(F.col("chunk_text")).alias("chunk_hash"))
+
+
+@query("WITH r AS (SELECT DISTINCT 's' || (user_id % 12) AS store_id, user_id % 12 < 9 AS local FROM events), h AS (SELECT 's' || (user_id % 12) AS store_id, count(*) AS n FROM events WHERE user_id % 12 < 7 GROUP BY 1) SELECT store_id, local, coalesce(n, 0) AS n_hits FROM r LEFT JOIN h USING (store_id)")
+def store_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e, i = read(spark, d, "events"), F.col("user_id") % 12
+    name = F.concat(F.lit("s"), i.cast("string")).alias("store_id")
+    return options.answered_from(e.where(i < 7).select(name), e.select(name, (i < 9).alias("local")).distinct())
+
+
+@query(f"WITH {NOTE} SELECT note_id, ts FROM note WHERE state = 'open' AND ts < '2024-01-13T00:00:00.000000Z'")
+def quiet_notes(spark: SparkSession, d: str) -> DataFrame:
+    return options.quiet(note_rows(spark, d), NOW, 7).select("note_id", "ts")
+
+
+@query(f"WITH {NOTE} SELECT note_id, ts FROM note WHERE state = 'open' AND who = (SELECT max(who) FROM note WHERE state = 'open') ORDER BY ts, note_id LIMIT 3")
+def focus_notes(spark: SparkSession, d: str) -> DataFrame:
+    n = note_rows(spark, d)
+    return options.focus(n, n.where("state = 'open'").agg(F.max("who")).first()[0]).select("note_id", "ts")
+
+
 # Text functions
 
 _PATH = "CASE page_id % 9 WHEN 0 THEN 'wiki:Page ' || url WHEN 1 THEN 'ticket:' || sha256(url) WHEN 2 THEN 'forum:' || sha256(url) WHEN 3 THEN 'ckin:' || sha256(url) WHEN 4 THEN 'attach:' || sha256(url) WHEN 5 THEN 'uv:a b/' || page_id || '*~.txt' WHEN 6 THEN 'newns:' || page_id WHEN 7 THEN './docs/a b' || page_id || '.md' ELSE '' END"

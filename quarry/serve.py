@@ -14,6 +14,7 @@ from quarry.functions.text import iso_now, link_for, link_label
 from quarry.operators import notes, search
 from quarry.plans.index import ask, edit_note
 from quarry.plans.store import Store
+from quarry.storage import materialize
 
 PAGE = "<!doctype html><title>quarry</title><form action=/api/ask><input name=q><button>ask</button></form>"
 CAPTURE_PAGE = "<!doctype html><title>capture</title><p>POST /api/capture with X-Quarry-Local and a text."
@@ -46,6 +47,7 @@ class Api:
             if self.embed is not None:
                 vectors = self.spark.createDataFrame([("q", q["q"])], "qid string, text string").select("qid", self.embed(F.col("text")).alias("vec"))
             found = ask(self.store, {"q": q["q"]}, k, vectors, self.model_id, float(q.get("minCos", "0") or 0))
+            found = search.with_snippets(materialize(found, "served"), self.store.read("chunk"), {"q": q["q"]})
             out = found.withColumn("link", link_for(self.base, F.col("path"))).withColumn("label", link_label(F.col("path"))).orderBy("rank")
             return 200, {"query": q["q"], "results": as_json(out)}
         if path == "/api/chunk":

@@ -164,6 +164,31 @@ def frames(data: bytes, end: str = FRAME_END) -> tuple[list[tuple[str, str, byte
     return out, False
 
 
+def framed(spark, outputs: dict[str, tuple[bytes, str]]) -> tuple[DataFrame, set[str]]:
+    """Rows (path, text, mtime) of framed outputs by namespace, and the namespaces that were seen whole.
+
+    An output comes with the status of :func:`captured`.  One that failed, or
+    whose end line is missing, still gives its rows but no authority, so a run
+    retires nothing of that namespace; a payload with a NUL is seen without text.
+    """
+    rows, whole = [], set()
+    for ns, (data, status) in outputs.items():
+        found, ended = frames(data)
+        for key, head, payload in found:
+            body = None if b"\0" in payload[:8192] else payload.decode("utf-8", "replace")
+            rows.append((f"{ns}:{key}", None if body is None else f"{head}\n\n{body}" if head else body, 0))
+        if ended and status == "ok":
+            whole.add(ns)
+    return spark.createDataFrame(rows, "path string, text string, mtime long"), whole
+
+
+def exported(spark, pages: dict[str, tuple[bytes, str]], listed: str) -> tuple[DataFrame, set[str]]:
+    """Wiki pages by name with the status of each export; authority needs the list and every export."""
+    rows = [(f"wiki:{name}", data.decode("utf-8", "replace") if status == "ok" else None, 0) for name, (data, status) in pages.items()]
+    whole = listed == "ok" and all(status == "ok" for _, status in pages.values())
+    return spark.createDataFrame(rows, "path string, text string, mtime long"), {"wiki"} if whole else set()
+
+
 def captured(command: list[str], timeout: float = 600) -> tuple[bytes, str]:
     """Output of a command and ``ok``, ``failed`` or ``unavailable``."""
     import subprocess

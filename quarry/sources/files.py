@@ -75,8 +75,8 @@ class _Files(InputPartition):
 class FolderReader(DataSourceReader):
     """Partitions hold about ``bytes`` of files each."""
 
-    def __init__(self, folder: str, size: int):
-        self.folder, self.size = folder, size
+    def __init__(self, folder: str, size: int, texts: bool = True):
+        self.folder, self.size, self.texts = folder, size, texts
 
     def partitions(self) -> list[InputPartition]:
         files, complete = walk(self.folder)
@@ -93,7 +93,7 @@ class FolderReader(DataSourceReader):
         names = ["path", "text", "mtime", "readable", "is_binary", "complete"]
         for i in range(0, len(part.files), 256):
             some = part.files[i : i + 256]
-            got = [read_one(p) for p, _ in some]
+            got = [read_one(p) if self.texts else (None, True, False) for p, _ in some]
             yield pa.RecordBatch.from_arrays([
                 pa.array([p for p, _ in some], pa.string()),
                 pa.array([g[0] for g in got], pa.string()),
@@ -113,7 +113,7 @@ class Folder(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return FolderReader(self.options["path"].rstrip("/") or "/", int(self.options.get("bytes", 32 << 20)))
+        return FolderReader(self.options["path"].rstrip("/") or "/", int(self.options.get("bytes", 32 << 20)), self.options.get("texts", "true") == "true")
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +122,28 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("quarry_files").option("path", folder).load()
 
 
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, mtime, complete) of :func:`read_folder`'s rows, without opening a file."""
+    ship(spark)
+    spark.dataSource.register(Folder)
+    return spark.read.format("quarry_files").option("path", folder).option("texts", "false").load().select("path", "mtime", "complete")
+
+
+def read_listed(listing: DataFrame) -> DataFrame:
+    """The files of a listing, as :func:`read_folder` reads them."""
+    ship(listing.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                some = b.slice(i, 256)
+                got = [read_one(p) for p in some["path"].to_pylist()]
+                made = [pa.array([g[0] for g in got], pa.string()), some["mtime"], pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_()), some["complete"]]
+                yield pa.RecordBatch.from_arrays([some["path"], *made], names=["path", "text", "mtime", "readable", "is_binary", "complete"])
+
+    return listing.select("path", "mtime", "complete").mapInArrow(run, SCHEMA)
+
+
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the monthly capture files."""
     from pyspark.sql import functions as F

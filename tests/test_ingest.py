@@ -159,6 +159,56 @@ def test_frames():
     assert artifacts.captured(["false"])[1] == "failed"
 
 
+def test_only_whole_streams_have_authority(spark):
+    whole, cut = b"k1 3 head\nabc\nk2 3 \na\0b\n#quarry-eof", b"k1 3 head\nabc\n"
+    rows, rights = artifacts.framed(spark, {"forum": (whole, "ok"), "ckin": (cut, "ok"), "tchg": (whole, "failed")})
+    assert rights == {"forum"} and rows.count() == 5
+    assert {r.path: r.text for r in rows.collect()}["forum:k1"] == "head\n\nabc" and rows.where("path = 'forum:k2'").first().text is None
+    pages = {"A": (b"text", "ok"), "B": (b"", "failed")}
+    rows, rights = artifacts.exported(spark, pages, "ok")
+    assert rights == set() and {r.path: r.text for r in rows.collect()} == {"wiki:A": "text", "wiki:B": None}
+    assert artifacts.exported(spark, {"A": (b"text", "ok")}, "ok")[1] == {"wiki"} and artifacts.exported(spark, {}, "failed")[1] == set()
+
+
+def test_unchanged_files_are_not_read(spark, tmp_path):
+    from quarry.cli import parser, run
+
+    at = tmp_path / "docs"
+    at.mkdir()
+    (at / "a.md").write_text("alpha\n")
+    (at / "b.md").write_text("beta\n")
+    args = parser().parse_args(["--store", f"file://{tmp_path}/store", "--captures", str(tmp_path / "none"), "index", str(at)])
+    lines = []
+    run(spark, args, lines.append)
+    stamp = os.stat(at / "a.md")
+    (at / "a.md").write_text("other\n")
+    os.utime(at / "a.md", (stamp.st_atime, stamp.st_mtime))  # the same time, so it counts as unchanged
+    (at / "b.md").write_text("gamma\n")
+    os.utime(at / "b.md", (stamp.st_atime, stamp.st_mtime + 9))
+    run(spark, args, lines.append)
+    assert {r.chunk_text for r in Store(spark, f"file://{tmp_path}/store").read("chunk").collect()} == {"alpha\n", "gamma\n"} and "2 sources, 2 chunks, 0 retired" in lines[-1]
+
+
+@pytest.mark.parametrize("budget", [1, 3, 7, 100])
+def test_token_chunks(spark, budget):
+    from quarry.operators import options
+
+    texts = ["a b\nc\n\nd e f g\nh", "", "one two three four five six seven eight", "x\n" * 9]
+    got = options.token_chunks(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), budget).orderBy("i", "chunk_ix").collect()
+    want = []
+    for i, t in enumerate(texts):
+        out, used = [], 0
+        for line in t.splitlines(keepends=True):
+            n = len(line.split())
+            if out and used + n <= budget:
+                out[-1], used = out[-1] + line, used + n
+            else:
+                out.append(line)
+                used = n
+        want += [(i, ix, x) for ix, x in enumerate(out)]
+    assert [tuple(r) for r in got] == want
+
+
 def test_cards():
     m = "D x\nH A\\stitle\nW 9\nH noé ab\nZ\n"
     at, body = artifacts.counted_body(m)

@@ -328,6 +328,7 @@ def test_service(spark, tmp_path):
     api = Api(spark, s, str(tmp_path / "captures"), "http://x")
     ok, out = api.get("/api/ask", {"q": "horses at the trough", "k": "99"})
     assert ok == 200 and out["results"][0]["path"] == "./barn.md" and out["results"][0]["link"] == "http://x/file?name=barn.md&ci=tip"
+    assert out["results"][0]["snippet"] == "[horses] near [the] water [trough]\n"
     h = out["results"][0]["content_hash"]
     assert api.get("/api/chunk", {"hash": h, "ix": "0"})[1]["chunk_text"].startswith("horses") and api.get("/api/chunk", {"hash": "no"})[0] == 404
     assert api.get("/api/health", {})[1]["chunks"] == 2 and api.get("/api/pending", {})[1]["notes"][0]["note_id"] == "1" and api.get("/api/ask", {})[0] == 400 and api.get("/x", {})[0] == 404
