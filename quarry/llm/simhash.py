@@ -15,7 +15,8 @@ square.  Nodes emit a star for each component they find, not their pairs.
 
 ``r`` grows with the number of fingerprints so that upper nodes stay small;
 every choice finds all links.  An upper node of more than ``HOT`` fingerprints
-is cut into blocks, and each pair of blocks is a task of its own.
+is cut by the same rule into lower ones, on the bits that its mask leaves; what
+is still larger is cut into blocks, and each pair of blocks is a task of its own.
 
 Components are joined across nodes by alternating large-star and small-star
 rounds on written tables.
@@ -122,6 +123,18 @@ def tables(n: int, distance: int = DISTANCE, least: int = 1) -> list[int]:
     return [sum(c) for c in combinations(b, r)]
 
 
+def finer(mask: int, distance: int = DISTANCE, r: int = 2) -> list[int]:
+    """Masks of the tables below a node with ``mask``: all choices of r of distance + r runs of the other bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // (distance + r) for i in range(distance + r + 1)]
+    runs = [sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(runs, r)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 class Forest:
     """Trees over fingerprints sorted by (upper node, Gray rank), one for each upper node."""
 
@@ -233,27 +246,37 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, least: in
     ship(spark)
     n = prints.count()
     masks = tables(n, distance, least)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("tab", "key"))
-    sizes = materialize(keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "simhash-nodes")
-    large = sizes.where(F.col("n") > hot).select("tab", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
-    some_large = not large.isEmpty()
-    plain = sizes.where(F.col("n") <= hot).select("tab", "key")
-    # Lone fingerprints end here.
-    single = keyed.join(plain, ["tab", "key"], "left_semi").select("tab", "key", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    work = single
-    if some_large:
-        cut = keyed.join(broadcast_if_small(large, 100_000), ["tab", "key"]).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        pairs = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        work = single.unionByName(pairs.select("tab", "key", "fp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")))
-    parts = work.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j")
+    below = lambda ms: F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in ms])
+    node = ["tab", "key", "sub", "part"]
+    keyed = prints.select("fp", F.posexplode(below(masks)).alias("tab", "key")).select("fp", "tab", "key", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part"))
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of nodes that one task may hold, lone fingerprints left out, and the larger nodes with their sizes."""
+        sizes = materialize(rows.groupBy(*node).agg(F.count("*").alias("n")).where(F.col("n") > 1), "simhash-nodes")
+        return rows.join(sizes.where(F.col("n") <= hot).select(*node), node, "left_semi"), sizes.where(F.col("n") > hot)
+
+    one = [F.lit(0).alias("i"), F.lit(0).alias("j")]
+    plain, large = parted(keyed)
+    work = plain.select("fp", *node, *one)
+    if not large.isEmpty():
+        deep = F.element_at(F.array(*[below(finer(m, distance)) for m in masks]), F.col("tab") + 1)
+        lower = keyed.join(broadcast_if_small(large.select(*node), 100_000), node, "left_semi").select("fp", "tab", "key", F.posexplode(deep).alias("sub", "part"))
+        plain, large = parted(lower)
+        work = work.unionByName(plain.select("fp", *node, *one))
+        if not large.isEmpty():
+            parts = large.select(*node, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+            cut = lower.join(broadcast_if_small(parts, 100_000), node).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+            pairs = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            work = work.unionByName(pairs.select("fp", *node, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")))
+    dealt = [*node, "i", "j"]
+    parts = work.repartition(*dealt).sortWithinPartitions(*dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
 
         def search(t: pa.Table, whole: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-            cols = [t[c].to_numpy() for c in ("tab", "key", "i", "j")]
+            cols = [t[c].to_numpy() for c in dealt]
             new = np.zeros(len(t), bool)
             new[:1] = True
             for c in cols:

@@ -420,7 +420,7 @@ def planted(n=260, seed=0):
     return out
 
 
-@pytest.mark.parametrize(("least", "hot"), [(1, 200_000), (2, 200_000), (3, 200_000), (1, 20)])
+@pytest.mark.parametrize(("least", "hot"), [(1, 200_000), (2, 200_000), (3, 200_000), (1, 20), (1, 3), (2, 4)])
 def test_components_against_brute_force(spark, least, hot):
     prints = planted()
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
