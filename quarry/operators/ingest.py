@@ -152,13 +152,28 @@ def corpus_fingerprint(source: DataFrame, volatile: tuple[str, ...] = ("uv",)) -
     """16 hex digits that name the corpus: of the sorted ``path hash`` lines outside volatile namespaces.
 
     The digest is of one string, so the list of paths meets in one task; it
-    holds names and hashes only, and serves evaluation corpora.
+    serves evaluation corpora.  :func:`corpus_digest` names larger ones.
     """
     keep = source.where(~namespace(F.col("path")).isin(list(volatile)))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "content_hash"))), lambda x: F.concat(x["path"], F.lit(" "), x["content_hash"], F.lit("\n")))
     return keep.agg(F.substring(F.sha2(F.array_join(lines, ""), 256), 1, 16).alias("fingerprint"), F.count("*").alias("n_sources"))
 
 
+def corpus_digest(source: DataFrame, volatile: tuple[str, ...] = ("uv",), digits: int = 3) -> DataFrame:
+    """16 hex digits that name a corpus of any size, and its sources.
+
+    The lines of :func:`corpus_fingerprint` are dealt by the first ``digits`` of
+    their path's SHA-256; each group is sorted and digested by itself, and the
+    digest of the groups' digests in order is the name.
+    """
+    keep = source.where(~namespace(F.col("path")).isin(list(volatile)))
+    lines = lambda x: F.transform(F.sort_array(x), lambda y: F.concat(y["path"], F.lit(" "), y["content_hash"], F.lit("\n")))
+    group = F.substring(F.sha2("path", 256), 1, digits).alias("g")
+    each = keep.groupBy(group).agg(F.sha2(F.array_join(lines(F.collect_list(F.struct("path", "content_hash"))), ""), 256).alias("h"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: F.concat(x["g"], x["h"])), "")
+    return each.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_sources"))
+
+
 # The high-water mark
 
 

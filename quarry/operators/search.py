@@ -31,6 +31,8 @@ LITERAL_TERMS = 8
 #: Query vectors scored in one scan.
 QUERIES = 10_000
 
+#: Literal terms that are looked for by one expression; more by a join over their first ``GRAM`` characters.
+TERMS_AT_ONCE, GRAM = 32, 3
 #: Contents that are looked up by a filter; more by a join.
 PUSHED = 1000
 
@@ -100,6 +102,8 @@ def literal_leg(chunks: DataFrame, queries: dict[str, str], most: int | None = P
     spark = chunks.sparkSession
     terms = {q: literal_terms(text) for q, text in queries.items()}
     every = sorted({t for ts in terms.values() for t in ts})
+    if len(every) > TERMS_AT_ONCE:
+        return literal_leg_stored(raw_words(chunks), chunks, queries, most)
     weight = dict(zip(every, term_weights(chunks, every), strict=True))
     low = ascii_lower(F.col("chunk_text"))
     held = {t: F.when(F.contains(low, F.lit(t)), F.lit(w)).otherwise(F.lit(0.0)) for t, w in weight.items() if w}
@@ -119,6 +123,12 @@ def raw_words(chunks: DataFrame) -> DataFrame:
     return distinct_chunks(chunks).select(F.explode(words).alias("word"), "content_hash", "chunk_ix").where("word <> ''")
 
 
+def _grams(word: Column, n: int) -> Column:
+    """All runs of ``n`` characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))
+    return F.when(F.length(word) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, str], most: int | None = POOL) -> DataFrame:
     """:func:`literal_leg` over the stored :func:`raw_words`; of ``chunks`` only the keys are read."""
     spark = words.sparkSession
@@ -126,9 +136,16 @@ def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, s
     every = sorted({t for _, t in asked})
     if not every:
         return literal_leg(chunks, {}, most)
-    has = lambda t: F.contains(F.col("word"), F.lit(t))
-    held = words.where(reduce(Column.__or__, map(has, every))).select("content_hash", "chunk_ix", F.explode(F.filter(F.array(*map(F.lit, every)), has)).alias("term")).distinct()
-    held = materialize(held, "literal-hits")
+    has = lambda t: F.contains(F.col("word"), t)
+    if len(every) <= TERMS_AT_ONCE:  # one filter that the scan may skip by
+        held = words.where(reduce(Column.__or__, [has(F.lit(t)) for t in every])).select("content_hash", "chunk_ix", F.explode(F.filter(F.array(*map(F.lit, every)), has)).alias("term"))
+    else:  # the distinct words' character grams meet the terms' first ones
+        heads = F.broadcast(spark.createDataFrame([(t[:GRAM], t) for t in every], "gram string, term string"))
+        grams = F.concat(*[_grams(F.col("word"), n) for n in sorted({len(t[:GRAM]) for t in every})])
+        each = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram"))
+        found = each.join(heads, "gram").where(has(F.col("term"))).select("word", "term")
+        held = words.join(found, "word").select("content_hash", "chunk_ix", "term")
+    held = materialize(held.distinct(), "literal-hits")
     epochs = chunks.groupBy("content_hash", "chunk_ix").agg(F.count("*").alias("n"))
     df = held.join(epochs, ["content_hash", "chunk_ix"]).groupBy("term").agg(F.sum("n").alias("df"))
     n = chunks.count()

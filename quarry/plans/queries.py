@@ -225,6 +225,11 @@ def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return ingest.corpus_fingerprint(source(spark, d))
 
 
+@query(f"WITH {SOURCE}, g AS (SELECT substr(sha256(path), 1, 3) AS g, sha256(string_agg(path || ' ' || content_hash || chr(10), '' ORDER BY path, content_hash)) AS h, count(*) AS n FROM source GROUP BY 1) SELECT substr(sha256(string_agg(g || h, '' ORDER BY g)), 1, 16) AS digest, CAST(sum(n) AS BIGINT) AS n_sources FROM g")
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.corpus_digest(source(spark, d))
+
+
 @query(f"WITH {EMBEDDED} SELECT model_id, count(*) AS n FROM embedded GROUP BY model_id")
 def model_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.models(embedded(spark, d))

@@ -382,7 +382,7 @@ def test_edits_outlive_index_runs_and_races_have_one_winner(spark, tmp_path, mon
     assert s.pointer()["tables"]["chunk"] == chunk
 
 
-def test_stored_index_answers_as_a_scan_does(spark, tmp_path):
+def test_stored_index_answers_as_a_scan_does(spark, tmp_path, monkeypatch):
     from quarry.functions.words import porter_udf, porter_words
     from quarry.plans import index as runs
 
@@ -406,6 +406,9 @@ def test_stored_index_answers_as_a_scan_does(spark, tmp_path):
     plan = literal._jdf.queryExecution().toString()
     assert "chunk_text" not in plan.split("== Physical Plan ==")[1]
     assert search.literal_leg_stored(s.read("word"), s.read("chunk"), {}).count() == 0
+    few = sorted(map(tuple, literal.collect()))
+    monkeypatch.setattr(search, "TERMS_AT_ONCE", 0)
+    assert few and sorted(map(tuple, search.literal_leg_stored(s.read("word"), s.read("chunk"), asked).collect())) == few
 
 
 def test_command_line(spark, tmp_path):
