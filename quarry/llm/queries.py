@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
+from quarry.llm import decontaminate, language, licenses, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
 from quarry.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents"))
+    at, base = F.transform("base", lambda x: x["at"]), F.transform("base", lambda x: x["label"])
+    said = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    found = F.transform("found", lambda x: x["label"])
+    return out.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), said(base).alias("base_labels"), said(F.concat(base, found)).alias("labels"), "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -93,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_orc": op8_token_orc,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: SQL has neither a fit by expectation maximisation, nor code-point spans of matches, nor n-gram hashing, CRC-32, XXH64 or
