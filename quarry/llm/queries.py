@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language, licenses, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
+from quarry.llm import decontaminate, divergence, language, licenses, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
 from quarry.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents"))
     at, base = F.transform("base", lambda x: x["at"]), F.transform("base", lambda x: x["label"])
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_orc": op8_token_orc,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -135,4 +140,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, any_value(size) AS size, CAST(any_value(ss) AS BIGINT) AS source_size, any_value(target) AS target,
                CAST(sum(CASE WHEN 2 * ahead + size <= 2 * t THEN size ELSE 0 END) AS BIGINT) AS taken, source
         FROM a GROUP BY doc_id, source, n""",
+    # Every kept term against every group, zeros and all.
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT lang, source, id, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM c GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        own AS (SELECT c.lang, c.source, c.term, count(*) AS n FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+        gt AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 5)) // (coalesce(gt.total, 0)::HUGEINT + 5 * l.v) AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total::HUGEINT + 5 * l.v) AS q
+              FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+              LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every_ AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                 UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every_)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
