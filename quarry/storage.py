@@ -139,22 +139,20 @@ def running_total(df: DataFrame, values: dict[str, Column], keys: list, pid: str
     """Add exclusive running totals over the global order ``keys`` of a :func:`ranged` table.
 
     Each partition is summed on its own; the per-partition totals, one row per
-    partition (and per value of ``within``), are prefix-summed and added back.
-    No task sees more than one range partition.
+    partition, are prefix-summed and added back.  No task sees more than one
+    range partition.
 
     ``values`` maps each new column to the long or decimal expression it sums.
     ``within`` starts the totals anew for each value of those columns, which
     must lead ``keys``.
     """
     within = within or []
-    part = df.groupBy(pid, *within).agg(*[F.sum(v).alias(f"_t_{c}") for c, v in values.items()])
-    order = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    before = order.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    start = part.select(
-        F.col(pid).alias("_p"),
-        *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)],
-        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in values],
-    )
+    if within:
+        start = _carried(df, values, pid, within)
+    else:
+        part = df.groupBy(pid).agg(*[F.sum(v).alias(f"_t_{c}") for c, v in values.items()])
+        before = Window.partitionBy(F.lit(0)).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+        start = part.select(F.col(pid).alias("_p"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in values])
     on = F.col(pid) == F.col("_p")
     for i, c in enumerate(within):
         on = on & F.col(c).eqNullSafe(F.col(f"_w{i}"))
@@ -162,7 +160,24 @@ def running_total(df: DataFrame, values: dict[str, Column], keys: list, pid: str
     local = df.select("*", *[F.coalesce(F.sum(v).over(rows), F.lit(0)).alias(f"_l_{c}") for c, v in values.items()])
     out = local.join(F.broadcast(start), on, "left")
     keep = [F.col(c) for c in df.columns]
-    return out.select(*keep, *[(F.col(f"_l_{c}") + F.col(f"_s_{c}")).alias(c) for c in values])
+    return out.select(*keep, *[(F.col(f"_l_{c}") + F.coalesce(f"_s_{c}", F.lit(0))).alias(c) for c in values])
+
+
+def _carried(df: DataFrame, values: dict[str, Column], pid: str, within: list[str]) -> DataFrame:
+    """(_p, _w0.., _s_*): what earlier partitions hold of the group that each range partition begins with.
+
+    Only a partition's last group can go on in the next one, so one row for
+    each partition is enough, however many groups there are.
+    """
+    ends = df.groupBy(F.col(pid).alias("_p")).agg(F.min(F.struct(*within)).alias("_lo"), F.max(F.struct(*within)).alias("_hi"))
+    ends = materialize(ends, "range-ends")
+    totals = [F.sum(v).alias(f"_t_{c}") for c, v in values.items()]
+    last = df.join(F.broadcast(ends), (F.col(pid) == F.col("_p")) & F.struct(*within).eqNullSafe(F.col("_hi"))).groupBy("_p").agg(F.first("_hi").alias("_w"), *totals)
+    asked = ends.select("_p", F.col("_lo").alias("_w"), F.lit(0).alias("_k"))
+    held = last.withColumn("_k", F.lit(1)).unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("_w").orderBy("_p", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    summed = held.select("_p", "_w", "_k", *[F.sum(f"_t_{c}").over(before).alias(f"_s_{c}") for c in values])
+    return summed.where("_k = 0").select("_p", *[F.col("_w")[c].alias(f"_w{i}") for i, c in enumerate(within)], *[f"_s_{c}" for c in values])
 
 
 def reached(edges: DataFrame, start: str) -> DataFrame:
