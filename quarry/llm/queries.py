@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, divergence, language, licenses, mixing, quality, secrets, sharding, simhash, token_counts, tokens, warc
+from quarry.llm import decontaminate, divergence, language, licenses, mixing, prefix_trie, quality, secrets, sharding, simhash, token_counts, tokens, warc
 from quarry.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    out = prefix_trie.trie(read(spark, sf_dir, "conversations"), shared=F.crc32(conv.cast("string")) % 9, base=conv - conv % 5, most=8)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents"))
     at, base = F.transform("base", lambda x: x["at"]), F.transform("base", lambda x: x["label"])
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -161,4 +168,25 @@ ORACLE_SQL: dict[str, str] = {
                  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every_)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    # CRC-32 bit by bit; nodes as lists of the digests of their turns.
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS b,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+        k AS (SELECT c, c - c % 5 AS base, n,
+                     CAST(xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda a, ch:
+                         list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(a, ch)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS BIGINT) AS h FROM n),
+        v AS (SELECT k.*, least(h, coalesce(m.n, 0)) AS taken FROM k LEFT JOIN n m ON m.c = k.base),
+        r AS (SELECT v.c, t.pos AS d, t.x, t.b FROM v JOIN t ON t.c = v.base AND t.pos <= v.h
+              UNION ALL SELECT v.c, v.taken + t.pos - v.h, t.x, t.b FROM v JOIN t ON t.c = v.c AND t.pos > v.h),
+        p AS (SELECT c, d, b, string_agg(x, ',') OVER w AS node, count(*) OVER (PARTITION BY c) AS len FROM r WINDOW w AS (PARTITION BY c ORDER BY d)
+              UNION ALL SELECT v.c, 0, 0, '', (SELECT count(*) FROM r WHERE r.c = v.c) FROM v),
+        g AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d) AS ends FROM p GROUP BY d, node),
+        e AS (SELECT child.*, up.node AS up, up.conv_id AS up_id FROM g child LEFT JOIN g up ON up.d = child.d - 1 AND (up.d = 0 OR starts_with(child.node, up.node || ','))),
+        kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM e WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN kids ON kids.d = e.d AND kids.node = e.node),
+        s AS (SELECT a.d, a.node, sum(CAST(z.n_children = 0 AS BIGINT)) AS n_leaves, sum((z.n_convs - 1) * z.b) AS saved FROM f a JOIN f z ON z.d >= a.d AND (a.d = 0 OR z.node = a.node OR starts_with(z.node, a.node || ',')) GROUP BY ALL)
+        SELECT conv_id, CAST(f.d AS BIGINT) AS depth, up_id AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM f JOIN s ON s.d = f.d AND s.node = f.node""",
 }
