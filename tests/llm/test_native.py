@@ -402,3 +402,34 @@ def test_mixed_rows_are_the_mix(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     twice = docs(spark, ["a b c", "a b c", "d e"], ["s", "s", None], [1, 1, None])
     assert mixing.mix(twice).count() == 3
+
+
+# Number tables and other languages
+
+
+def test_number_tables_are_quick_and_no_leak(spark):
+    import time
+
+    rng = random.Random(2)
+    numbers = lambda n: " ".join(str(rng.randrange(100)) for _ in range(n))
+    first, large = [numbers(100) for _ in range(2)], [numbers(5000) for _ in range(4)]
+    items = [numbers(60) for _ in range(20)] + ["3 1 4 8 5 9 2 6"]
+    scores = "Box scores of the week: 12 77 45 98 31 60 22 were all recorded."
+    begin = time.time()
+    assert decontaminate.leaks(docs(spark, [*first, *large, scores, "so " + items[0]]), bench(spark, items), short=True).select("doc_id", "item_id", "kind").collect() == [(7, 0, "verbatim")]
+    assert time.time() - begin < 60
+
+
+def test_repeated_templates_need_their_places(spark):
+    item = "add 3 plus 4 plus 5 plus 6 plus 7 plus 8 plus 9 to it"
+    assert kinds(spark, ["we add 1 plus 2 plus 0 plus 9 plus 4", "they said " + item, "plus 1 plus 2 " * 2000], [item]) == {(1, 0): "verbatim"}
+
+
+def test_nouns_in_capitals_are_no_parameters(spark):
+    german = "Der Hund jagt die Katze durch den Garten und der Vater ruft."
+    other = "Der Lehrer jagt die Maus durch den Wald und der Bruder ruft."
+    train = "Ein Zug fährt mit 80 km/h ab, während Anna noch 15 Minuten am Bahnsteig steht und auf ihn wartet, bis er kommt."
+    french = "Marie achète 12 pommes au marché et en donne 5 à Paul, combien de pommes lui reste-t-il donc à la fin ?"
+    spanish = "Si Pedro tiene 14 libros y regala 6 libros a su hermana Elena, cuántos libros le quedan entonces en casa?"
+    texts = [other, "Und dann: " + german, train.replace("80", "95").replace("Anna", "Paula").replace("15", "40"), french.replace("Marie", "Claire").replace("12", "31").replace("5 à Paul", "8 à Jean"), spanish.replace("Pedro", "Luis").replace("Elena", "Sara").replace("14", "90"), french.replace("pommes", "poires").replace("marché", "village").replace("donne", "vend")]
+    assert kinds(spark, texts, [german, train, french, spanish]) == {(1, 0): "verbatim", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 3): "reparameterised"}
