@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import excerpt
 from quarry.functions.vector import dot
-from quarry.operators.search import source_of
-from quarry.storage import materialize, ranged, running_total
+from quarry.functions.words import plain_words
+from quarry.operators.nearest import nearest
+from quarry.operators.search import distinct_chunks, keyword_leg, phrases, source_of
+from quarry.session import ship
+from quarry.storage import broadcast_if_small, materialize, ranged, running_total
 
 SAMPLE = 400
 SKIP_MULT, WINDOW_MULT, WINDOW_SHARE = 3, 4, 0.05
@@ -278,3 +283,101 @@ def band(rows: DataFrame, seed_hash: str, seed_ix: int, n: int, k: int, floor: f
     # The stratum whose bounds s * n // k and (s + 1) * n // k hold the place.
     stratum = F.floor(((F.col("i") + 1) * k - 1) / placed.count()).cast("int")
     return placed.withColumn("stratum", stratum).drop("i", "_pid")
+
+
+# Musing on a text
+
+
+#: A text of fewer characters is one probe; of a longer one come as many paragraphs at most.
+SHORT, PROBES = 400, 8
+#: Candidates of each probe, and how much words shared with the probe and likeness to what is chosen count against one.
+PER_PROBE, SHARED_WORDS, LIKENESS = 40, 0.3, 0.5
+#: Candidates are broadcast up to this many rows (about 100 bytes each), else joined by a shuffle.
+BROADCAST_CANDIDATES = 200_000
+#: Rarest words that a probe without a vector is sought by.
+RAREST = 5
+
+
+def probes_of(text: str, short: int = SHORT, most: int = PROBES) -> list[str]:
+    """A working text as probes: itself if short, else its first paragraphs."""
+    if len(text) < short:
+        return [text.strip()] if text.strip() else []
+    return [p.strip() for p in re.split(r"\n[\x20\t]*\n", text) if p.strip()][:most]
+
+
+def with_neighbours(found: DataFrame, keep: list[str]) -> DataFrame:
+    """The found chunks (``keep``, content_hash, chunk_ix) and those before and after them, each once."""
+    beside = F.explode(F.array(F.col("chunk_ix") - 1, F.col("chunk_ix"), F.col("chunk_ix") + 1))
+    return found.select(*keep, "content_hash", beside.alias("chunk_ix")).where("chunk_ix >= 0").distinct()
+
+
+def _greedy(k: int, likeness: float):
+    """``k`` rows of a context, one for each source: the most relevant less its likeness to what is chosen already."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["content_hash", "chunk_ix"]).reset_index(drop=True)
+        v = np.array(rows["embedding"].tolist(), dtype=np.float64)
+        rel, like = rows["rel"].to_numpy(), np.full(len(rows), -np.inf)
+        source, free = rows["source"].to_numpy(), np.ones(len(rows), bool)
+        out = []
+        while len(out) < k and free.any():
+            score = np.where(np.isneginf(like), rel, rel - likeness * like)
+            i = int(np.argmax(np.where(free, np.round(score, 9), -np.inf)))  # the first of equals, which is the first key
+            out.append((i, score[i]))
+            free &= source != source[i]
+            like = np.maximum(like, v @ v[i])
+        chosen = rows.iloc[[i for i, _ in out]]
+        return pd.DataFrame({"ctx": chosen["ctx"].to_numpy(), "rank": np.arange(1, len(out) + 1, dtype=np.int32), "content_hash": chosen["content_hash"].to_numpy(), "chunk_ix": chosen["chunk_ix"].to_numpy(), "source": chosen["source"].to_numpy(), "rel": chosen["rel"].to_numpy(), "score": [s for _, s in out]})
+
+    return run
+
+
+def context(chunks: DataFrame, source: DataFrame, probes: DataFrame, model_id: str, k: int = 5, per_probe: int = PER_PROBE, shared_words: float = SHARED_WORDS, likeness: float = LIKENESS) -> DataFrame:
+    """(ctx, rank, content_hash, chunk_ix, source, rel, score): what a working text brings to mind, unlike itself and each other.
+
+    ``probes`` is (ctx, probe, text, vec), any number of contexts at once; vec
+    null is no probe. One scan finds the ``per_probe`` nearest chunks of each
+    probe; their neighbours in the same document join them. A candidate's
+    relevance is its best cosine less ``shared_words`` for the part of the
+    probe's words that it holds, as plain retrieval finds those anyway. Then
+    each context picks ``k``, one for each source: at each step the one whose
+    relevance, less ``likeness`` times its greatest cosine with those picked, is
+    highest, ties by (content_hash, chunk_ix).
+
+    Candidates of a context number at most 3 * ``per_probe`` for each probe.
+    """
+    ship(chunks.sparkSession)
+    probes = materialize(probes.where("vec is not null").withColumn("_id", F.monotonically_increasing_id()), "muse-probes")
+    own = distinct_chunks(chunks.where((F.col("model_id") == model_id) & F.col("embedding").isNotNull()))
+    hits = nearest(own, probes.select(F.col("_id").alias("qid"), "vec"), ["content_hash", "chunk_ix"], "embedding", per_probe)
+    near = materialize(with_neighbours(hits.withColumnRenamed("qid", "_id"), ["_id"]), "muse-near")
+    asked = probes.select("_id", "ctx", "vec", F.array_distinct(plain_words(F.col("text"))).alias("_asked"))
+    pairs = own.join(broadcast_if_small(near, BROADCAST_CANDIDATES), ["content_hash", "chunk_ix"]).join(broadcast_if_small(asked, BROADCAST_CANDIDATES // 10), "_id")
+    held = F.size(F.array_intersect("_asked", plain_words(F.col("chunk_text")))) / F.greatest(F.size("_asked"), F.lit(1))
+    rel = dot(F.col("embedding"), F.col("vec")) - shared_words * held
+    best = pairs.groupBy("ctx", "content_hash", "chunk_ix").agg(F.max(rel).alias("rel"), F.first("embedding").alias("embedding"))
+    named = best.join(source_of(source).select("content_hash", "path"), "content_hash", "left").withColumn("source", F.coalesce("path", "content_hash")).drop("path")
+    ctx = probes.schema["ctx"].dataType.simpleString()
+    return named.groupBy("ctx").applyInPandas(_greedy(k, likeness), f"ctx {ctx}, rank int, content_hash string, chunk_ix int, source string, rel double, score double")
+
+
+def context_by_words(chunks: DataFrame, source: DataFrame, index: DataFrame, stats: DataFrame, probes: dict[str, str], k: int = 5, rarest: int = RAREST) -> DataFrame:
+    """:func:`context` without a model: (ctx, rank, content_hash, chunk_ix, source) by the probe's rarest words, one for each source.
+
+    ``probes`` maps a context to its text. A neighbour stands right after the
+    chunk that it joins.
+    """
+    spark = chunks.sparkSession
+    words = {c: sorted({t for p in phrases(text) for t in p}) for c, text in probes.items()}
+    every = sorted({w for ws in words.values() for w in ws})
+    df = dict(map(tuple, index.where(F.col("term").isin(every)).groupBy("term").agg(F.count("*")).collect()))  # a number for each word of the probes
+    asked = {c: " ".join(sorted((w for w in ws if w in df), key=lambda w: (df[w], w))[:rarest]) for c, ws in words.items()}
+    hits = keyword_leg(index, stats, {c: q for c, q in asked.items() if q}, 4 * k).select(F.col("qid").alias("ctx"), "content_hash", "chunk_ix", "leg_rank")
+    beside = F.explode(F.array(*[F.struct((F.col("chunk_ix") + d).alias("chunk_ix"), F.lit(abs(d)).alias("away")) for d in (0, -1, 1)]))
+    there = distinct_chunks(chunks).select("content_hash", "chunk_ix")
+    near = hits.select("ctx", "content_hash", "leg_rank", beside.alias("b")).select("ctx", "content_hash", "b.chunk_ix", "leg_rank", "b.away").join(there, ["content_hash", "chunk_ix"], "left_semi")
+    named = near.join(source_of(source).select("content_hash", "path"), "content_hash", "left").withColumn("source", F.coalesce("path", "content_hash"))
+    order = ["leg_rank", "away", "content_hash", "chunk_ix"]
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("ctx", "source").orderBy(*order))).where("_n = 1")
+    out = first.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(*order))).where(F.col("rank") <= k)
+    return out.select("ctx", "rank", "content_hash", "chunk_ix", "source") if words else spark.createDataFrame([], "ctx string, rank int, content_hash string, chunk_ix int, source string")

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, is_cut, prefix, trim_excerpt
-from quarry.functions.vector import dot
 from quarry.functions.words import plain_words, plain_words_py, porter_words, snippet
+from quarry.operators.nearest import nearest
 from quarry.session import ship
 from quarry.storage import materialize
 
@@ -28,8 +28,6 @@ HEAD, TAIL, CUT = 1, 2, 4
 LEG_ORDER = {FTS: 0, LIT: 1, VEC: 2}
 K1, B = 1.2, 0.75
 LITERAL_TERMS = 8
-#: Query vectors scored in one scan.
-QUERIES = 10_000
 
 #: Literal terms that are looked for by one expression; more by a join over their first ``GRAM`` characters.
 TERMS_AT_ONCE, GRAM = 32, 3
@@ -208,25 +206,11 @@ def keyword_leg(index: DataFrame, stats: DataFrame, queries: dict[str, str], mos
 # Vector leg
 
 
-def vector_leg(chunks: DataFrame, queries: DataFrame, model_id: str, most: int | None = POOL) -> DataFrame:
-    """Exact cosine of every embedded chunk of the epoch; ``queries`` is (qid, vec), unit vectors.
-
-    All of ``queries`` meets every chunk, so it is broadcast behind a check of
-    its size; larger sets are dealt by qid to blocks of about ``QUERIES``.
-    """
-    asked = queries.select("qid", "vec")
-    if asked.limit(QUERIES + 1).count() > QUERIES:
-        n = -(-asked.count() // QUERIES)
-        dealt = materialize(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n))), "vector-queries")
-        blocks = [dealt.where(F.col("block") == i).drop("block") for i in range(n)]
-    else:
-        blocks = [asked]
+def vector_leg(chunks: DataFrame, queries: DataFrame, model_id: str, most: int = POOL) -> DataFrame:
+    """Exact cosine of every embedded chunk of the epoch; ``queries`` is (qid, vec), unit vectors."""
     own = chunks.where((F.col("model_id") == model_id) & F.col("embedding").isNotNull()).select("content_hash", "chunk_ix", "embedding")
-    legs = []
-    for block in blocks:
-        hits = own.crossJoin(F.broadcast(block)).select("qid", "content_hash", "chunk_ix", dot(F.col("embedding"), F.col("vec")).alias("cos"))
-        legs.append(ranked(hits, VEC, [F.desc("cos")], most))
-    return reduce(DataFrame.unionByName, legs)
+    hits = nearest(own, queries, ["content_hash", "chunk_ix"], "embedding", most)
+    return hits.select("qid", "content_hash", "chunk_ix", F.lit(VEC).alias("leg"), F.col("rank").alias("leg_rank"), "cos")
 
 
 # Fusion

@@ -468,6 +468,34 @@ def muse_band(spark: SparkSession, d: str) -> DataFrame:
     return muse.band(rows, "h000003", 5, n, 5, muse.floor_of(rows, n)).select("content_hash", "chunk_ix", "rank", F.round("cos", 6).alias("cos"), "stratum")
 
 
+def _steps(k: int, likeness: float) -> str:
+    """Greedy picks as one CTE a step: ``picked{i}`` holds the first i picks of each context."""
+    out = "picked0 AS (SELECT *, 0.0 AS score, 0 AS rank FROM cand WHERE false)"
+    for i in range(1, k + 1):
+        like = f"SELECT c.ctx, c.content_hash, c.chunk_ix, max({DOT.format(a='c.embedding', b='p.embedding')}) AS l FROM cand c JOIN picked{i - 1} p ON p.ctx = c.ctx GROUP BY ALL"
+        free = f"SELECT c.*, c.rel - coalesce({likeness} * l, 0) AS score FROM cand c LEFT JOIN ({like}) USING (ctx, content_hash, chunk_ix) WHERE NOT EXISTS (SELECT 1 FROM picked{i - 1} p WHERE p.ctx = c.ctx AND p.source = c.source)"
+        out += f", picked{i} AS (SELECT * FROM picked{i - 1} UNION ALL SELECT *, {i} FROM ({free}) QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY round(score, 9) DESC, content_hash, chunk_ix) = 1)"
+    return out
+
+
+@query(f"""WITH {EMBEDDED}, own AS (SELECT *, 'vector ' || vec_id AS chunk_text, 's' || (vec_id // 30) AS source FROM embedded WHERE model_id = 'mini'),
+probe AS (SELECT vec_id // 400 AS ctx, vec_id AS probe, 'vector ' || vec_id AS text, embedding AS vec FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT ctx, probe, content_hash, chunk_ix, {DOT.format(a='embedding', b='vec')} AS c, len(list_intersect(string_split(text, ' '), string_split(chunk_text, ' '))) / 2.0 AS held FROM own, probe),
+top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY probe ORDER BY c DESC, content_hash, chunk_ix) <= 20),
+near AS (SELECT DISTINCT probe, content_hash, unnest([chunk_ix - 1, chunk_ix, chunk_ix + 1]) AS chunk_ix FROM top),
+rel AS (SELECT ctx, content_hash, chunk_ix, max(c - 0.3 * held) AS rel FROM near JOIN s USING (probe, content_hash, chunk_ix) GROUP BY ALL),
+first AS (SELECT content_hash, min(source) AS source FROM own GROUP BY ALL),
+cand AS (SELECT ctx, content_hash, chunk_ix, rel, embedding, first.source FROM rel JOIN own USING (content_hash, chunk_ix) JOIN first USING (content_hash)),
+{_steps(3, 0.5)}
+SELECT ctx, CAST(rank AS INT) AS rank, content_hash, chunk_ix, source, round(rel, 6) AS rel, round(score, 6) AS score FROM picked3""")
+def muse_context(spark: SparkSession, d: str) -> DataFrame:
+    e = embedded(spark, d)
+    src = e.where("model_id = 'mini'").select("content_hash", F.concat(F.lit("s"), F.floor(F.col("vec_id") / 30).cast("string")).alias("path"), F.lit("").alias("ts"))
+    probes = e.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 400).alias("ctx"), F.col("vec_id").alias("probe"), F.col("chunk_text").alias("text"), F.col("embedding").alias("vec"))
+    out = muse.context(e, src, probes, "mini", 3, per_probe=20)
+    return out.withColumns({c: F.round(c, 6) for c in ("rel", "score")})
+
+
 @query(f"WITH {EMBEDDED}, age AS (SELECT content_hash, min(vec_id % 97) AS age FROM embedded WHERE vec_id % 97 > 0 GROUP BY 1) SELECT content_hash, chunk_ix, age FROM (SELECT content_hash, chunk_ix, age, row_number() OVER (ORDER BY age, content_hash, chunk_ix) AS r, count(*) OVER () AS n FROM embedded JOIN age USING (content_hash) WHERE model_id = 'mini') WHERE r <= n // 3")
 def oldest_tertile(spark: SparkSession, d: str) -> DataFrame:
     e = embedded(spark, d)
