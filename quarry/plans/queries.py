@@ -21,6 +21,7 @@ from quarry.plans import index as runs
 from quarry.plans.store import Store
 from quarry.sources import artifacts
 from quarry.storage import materialize, new_path
+from quarry.streaming import leases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -918,3 +919,39 @@ def calendar_fields(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").where("event_type in ('click', 'view')")
     deltas = e.select(F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("event_id"), F.when(F.col("event_type") == "click", "title").otherwise("place").alias("field"), F.col("props").alias("value"), "ts", F.col("event_id").alias("seq"))
     return memory.calendar(deltas).select("event_id", "title", "place")
+
+
+#: An order's rule by its key; those in braces end 200 days after they begin.
+RULES = ["", "FREQ=DAILY;INTERVAL=3;UNTIL={}", "FREQ=WEEKLY;BYDAY=MO,WE,FR;COUNT=20", "FREQ=WEEKLY;INTERVAL=2;UNTIL={}", "FREQ=MONTHLY;BYMONTHDAY=31,-2;COUNT=9", "FREQ=MONTHLY;BYDAY=2TU,-1FR", "FREQ=YEARLY", "FREQ=MONTHLY;INTERVAL=2;BYMONTH=2,3,4;BYDAY=SA"]
+
+
+@query("""WITH e AS (SELECT o_orderkey AS k, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS b, CAST(o_orderkey % 30 AS BIGINT) * 3600 AS len, CAST(o_orderdate AS DATE) AS d0 FROM orders),
+x AS (SELECT *, CAST(unnest(generate_series(d0, least(CASE WHEN k % 8 IN (1, 3) THEN d0 + 200 ELSE DATE '1998-04-06' END, DATE '1998-04-06'), INTERVAL 1 DAY)) AS DATE) AS d FROM e WHERE k % 8 <> 0),
+f AS (SELECT *, (date_part('year', d) - date_part('year', d0)) * 12 + date_part('month', d) - date_part('month', d0) AS m, day(d) AS dd, day(last_day(d)) AS ld, isodow(d) AS w FROM x),
+g AS (SELECT k, b, len, d0, d, row_number() OVER (PARTITION BY k ORDER BY d) AS n FROM f WHERE CASE k % 8 WHEN 1 THEN (d - d0) % 3 = 0 WHEN 2 THEN w IN (1, 3, 5) WHEN 3 THEN (d - d0) % 14 = 0 WHEN 4 THEN dd = 31 OR dd = ld - 1
+WHEN 5 THEN (w = 2 AND (dd + 6) // 7 = 2) OR (w = 5 AND dd > ld - 7) WHEN 6 THEN m % 12 = 0 AND dd = day(d0) ELSE m % 2 = 0 AND month(d) IN (2, 3, 4) AND w = 6 END),
+s AS (SELECT k, len, b + to_days(CAST(d - d0 AS INT)) AS t, b FROM g WHERE n <= CASE k % 8 WHEN 2 THEN 20 WHEN 4 THEN 9 ELSE 1000000 END UNION ALL SELECT k, len, b, b FROM e WHERE k % 8 = 0),
+kept AS (SELECT k, t, len FROM s WHERE NOT (k % 16 = 1 AND t = b + INTERVAL 3 DAY) AND NOT (k % 16 = 2 AND t = b) UNION ALL SELECT k, TIMESTAMP '1998-03-20 10:00:00', 3600 FROM e WHERE k % 32 = 2)
+SELECT k AS event_id, CAST(epoch(t) AS BIGINT) AS starts, CAST(epoch(t) AS BIGINT) + len AS ends FROM kept WHERE t < TIMESTAMP '1998-04-05' AND t + to_seconds(len) > TIMESTAMP '1998-03-10'""")
+def calendar_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.to_timestamp(F.col("o_orderdate").cast("date"))
+    at = lambda seconds: F.date_format(F.timestamp_seconds(day.cast("long") + k % 24 * 3600 + seconds), "yyyy-MM-dd HH:mm:ss")
+    rule = F.element_at(F.array(*map(F.lit, RULES)), (k % 8 + 1).cast("int"))
+    until = F.date_format(F.date_add(day.cast("date"), 200), "yyyyMMdd")
+    o = read(spark, d, "orders").select(k.alias("event_id"), at(0).alias("begin"), at(k % 30 * 3600).alias("end"), F.replace(rule, F.lit("{}"), until).alias("rule"), F.when(k % 16 == 1, F.array(at(259200))).alias("exdates"))
+    moved = o.where("event_id % 16 = 2").select("event_id", F.col("begin").alias("recurrence_id"), F.lit("1998-03-20 10:00:00").alias("begin"), F.lit("1998-03-20 11:00:00").alias("end"), (F.col("event_id") % 32 != 2).alias("cancelled"))
+    out = memory.occurrences(o, "1998-03-10", "1998-04-05", moved)
+    return out.select("event_id", F.col("starts").cast("long").alias("starts"), F.col("ends").cast("long").alias("ends"))
+
+
+@query("""WITH e AS (SELECT 'n' || user_id AS note_id, event_id, ts, CASE WHEN event_type = 'signup' THEN NULL WHEN event_type = 'error' THEN 'thief' ELSE 'user-' || user_id END AS who,
+CASE WHEN event_type <> 'signup' THEN ts + to_hours(CAST(1 + event_id % 48 AS INT)) END AS lease FROM events),
+n AS (SELECT *, lead(ts) OVER w AS next, max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM e WINDOW w AS (PARTITION BY note_id ORDER BY ts, event_id))
+SELECT note_id, who, CAST(epoch_us(lease) AS BIGINT) AS lease FROM n WHERE lease < next OR (next IS NULL AND lease < mark)""")
+def lease_expiries(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads no single file
+    i, kind = F.col("event_id"), F.col("event_type")
+    lease = F.when(kind != "signup", F.timestamp_micros(F.unix_micros(F.col("ts")) + (i % 48 + 1) * 3_600_000_000))
+    events = e.withColumn("ts", F.col("ts").cast("timestamp")).select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("note_id"), F.when(kind == "error", "thief").when(kind != "signup", F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("who"), lease.alias("lease"), F.col("ts").alias("at"), i.alias("seq"))
+    found = spark.read.schema(leases.EXPIRED).parquet(leases.run_once(spark, leases.expiries(events)))
+    return found.select("note_id", "who", F.unix_micros("lease").alias("lease"))
