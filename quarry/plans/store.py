@@ -7,6 +7,17 @@ exclusively, after the data, so readers see the old tables or the new ones, a
 failed run leaves only unreferenced folders, and of two commits on one state
 the later one sees the other's: it goes on if that left its tables alone and is
 refused if not.
+
+``source``, and ``ref`` that turns it round, are dealt to buckets by their
+key's hash, and the entry names the folders of each bucket one by one: a base
+and deltas on it, of which the newest row of a key counts.  A commit that merges
+rows in writes a delta for the buckets that it touches and reads no other.  The
+deltas of a bucket become one when there are many, and a new base when they
+have grown as large as that, so what a commit writes goes with its rows and not
+with the store.
+
+Contents that no path has any more are told by ``dead`` and left out on
+reading; the next full run drops their chunks, postings and words.
 """
 
 from __future__ import annotations
@@ -16,16 +27,46 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from quarry.schema import CHUNK, NOTE, NOTE_EVENT, POSTING, SOURCE, STAT, WORD
+from quarry.schema import CHUNK, DEAD, NOTE, NOTE_EVENT, POSTING, REF, SOURCE, STAT, WORD
+from quarry.storage import broadcast_if_small, materialize
 
 TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE, "note_event": NOTE_EVENT, "posting": POSTING, "word": WORD, "stat": STAT}
 #: Tables that are looked up by these columns are written in their order, so that a filter skips files and row groups.
 SORTED = {"chunk": ["content_hash", "chunk_ix"], "posting": ["term", "content_hash"], "word": ["word", "content_hash"]}
-RECIPE = 2
+#: Tables that other tables' keys lead to; a snapshot makes its own.
+INTERNAL = {"ref": REF, "dead": DEAD}
+#: Bucketed tables: by which column a row's bucket is told, and of which columns one row counts.
+KEYED = {"source": ("path", ["path"]), "ref": ("content_hash", ["content_hash", "path"])}
+#: Tables of contents, from which :data:`DEAD` takes away.
+OF_CONTENTS = ("chunk", "posting", "word")
+RECIPE = 3
 #: A table of more folders is put together by the next commit that appends to it.
 FOLDERS = 50
+#: Buckets of a keyed table, and deltas of one that become one.
+BUCKETS, DELTAS = 64, 16
+#: Withdrawn contents are broadcast up to this many (64 bytes each), else joined by a shuffle.
+BROADCAST_DEAD = 200_000
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_in(folder: str) -> int:
+    return int(folder.rsplit("=", 1)[1])
+
+
+def is_delta(folder: str) -> bool:
+    return "-delta/" in folder
+
+
+def newest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The row of each key with the highest ``seq``."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
 
 
 class Conflict(Exception):
@@ -85,10 +126,45 @@ class Store:
 
     def read(self, table: str, at: dict | None = None) -> DataFrame:
         """A table as the entry ``at`` has it, the newest by default."""
-        folders = (at or self.pointer())["tables"].get(table, [])
+        at = at or self.pointer()
+        if table in KEYED:
+            return self.merged(table, at)
+        rows = self._appended(table, at)
+        if table in OF_CONTENTS and at["tables"].get("dead"):
+            rows = rows.join(broadcast_if_small(self.dead(at), BROADCAST_DEAD), "content_hash", "left_anti")
+        return rows
+
+    def _schema(self, table: str) -> StructType:
+        return (TABLES | INTERNAL)[table]
+
+    def _appended(self, table: str, at: dict) -> DataFrame:
+        """The rows of all folders, of withdrawn contents too."""
+        schema, folders = self._schema(table), at["tables"].get(table, [])
         if not folders:
-            return self.spark.createDataFrame([], TABLES[table])
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{f}") for f in folders])
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders])
+
+    def dead(self, at: dict) -> DataFrame:
+        """(content_hash) of the contents that no path has."""
+        return newest(self._appended("dead", at), ["content_hash"]).where("gone").select("content_hash")
+
+    def _kept(self, table: str, folders: list[str]) -> DataFrame:
+        """The stored rows of a keyed table's folders."""
+        schema = StructType([*self._schema(table).fields, StructField("seq", LongType()), StructField("gone", BooleanType())])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def merged(self, table: str, at: dict, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of a keyed table that count, of some buckets only or of all; buckets without deltas are read as they are."""
+        of: dict[int, list[str]] = {}
+        for f in at["tables"].get(table, []):
+            if buckets is None or bucket_in(f) in buckets:
+                of.setdefault(bucket_in(f), []).append(f)
+        plain = [f for fs in of.values() if len(fs) == 1 for f in fs]
+        mixed = [f for fs in of.values() if len(fs) > 1 for f in fs]
+        rows = self._kept(table, plain)
+        if mixed:
+            rows = rows.unionByName(newest(self._kept(table, mixed), KEYED[table][1]))
+        return rows.where("not gone").select(*self._schema(table).fieldNames())
 
     def notes(self, at: dict | None = None) -> DataFrame:
         """The captured notes with their field events put in."""
@@ -97,34 +173,77 @@ class Store:
         at = at or self.pointer()
         return structured(self.read("note", at), self.read("note_event", at))
 
-    def _write(self, version: str, name: str, df: DataFrame) -> str:
-        out = df.select(*TABLES[name].fieldNames())
+    def _write(self, version: str, name: str, df: DataFrame) -> list[str]:
+        out = df.select(*self._schema(name).fieldNames())
+        if name in KEYED:
+            return self._write_buckets(version, name, out.withColumns({"seq": F.lit(0).cast("long"), "gone": F.lit(False)}))
         if name in SORTED:
             out = out.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
         folder = f"{version}/{name}"
         (out.write.partitionBy("model_id") if name == "chunk" else out.write).parquet(f"{self.path}/{folder}")
-        return folder
+        return [folder]
+
+    def _write_buckets(self, version: str, name: str, rows: DataFrame, delta: bool = False) -> list[str]:
+        """Write stored rows by bucket and give the folders that came of it."""
+        key = KEYED[name][0]
+        folder = f"{version}/{name}-delta" if delta else f"{version}/{name}"
+        rows.withColumn("bucket", bucket_of(key)).repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return sorted(f"{folder}/{n}" for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("bucket="))
+
+    def _bytes(self, folder: str) -> int:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return fs.getContentSummary(p).getLength()
+
+    def _merge(self, version: str, name: str, rows: DataFrame, number: int, before: list[str]) -> list[str]:
+        """The folders of a keyed table after ``rows`` (with ``gone``) are merged in; touched buckets with many deltas are put together."""
+        rows = rows.select(*self._schema(name).fieldNames(), F.lit(number).cast("long").alias("seq"), "gone")
+        fresh = self._write_buckets(version, name, rows, delta=True)
+        after = [*before, *fresh]
+        touched = {bucket_in(f) for f in fresh}
+        of: dict[int, list[str]] = {}
+        for f in after:
+            of.setdefault(bucket_in(f), []).append(f)
+        full, some = [], []
+        for b in sorted(touched):
+            deltas, base = [f for f in of[b] if is_delta(f)], [f for f in of[b] if not is_delta(f)]
+            if len(deltas) >= DELTAS:
+                (full if sum(map(self._bytes, deltas)) >= sum(map(self._bytes, base)) else some).append(b)
+        made: list[str] = []
+        if full:
+            parts = [f for b in full for f in of[b]]
+            made += self._write_buckets(f"{version}/full", name, newest(self._kept(name, parts), KEYED[name][1]).where("not gone"))
+        if some:
+            parts = [f for b in some for f in of[b] if is_delta(f)]
+            made += self._write_buckets(f"{version}/some", name, newest(self._kept(name, parts), KEYED[name][1]), delta=True)
+        gone = {f for b in full for f in of[b]} | {f for b in some for f in of[b] if is_delta(f)}
+        return [f for f in after if f not in gone] + made
 
-    def commit(self, mark: tuple[str, int] | None = None, at: dict | None = None, reads: tuple[str, ...] = (), append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> str:
-        """Write ``tables`` anew and ``append`` to others, then publish; tables left out stay as they are.
+    def commit(self, mark: tuple[str, int] | None = None, at: dict | None = None, reads: tuple[str, ...] = (), append: dict[str, DataFrame] | None = None, merge: dict[str, DataFrame] | None = None, **tables: DataFrame) -> str:
+        """Write ``tables`` anew, ``append`` to others and ``merge`` rows into keyed ones, then publish; tables left out stay as they are.
 
         ``at`` is the entry that the caller worked on.  If a later one changed
         a table that is written here or named in ``reads``, :class:`Conflict` is
-        raised and nothing is published.
+        raised and nothing is published.  Rows to merge have a column ``gone``
+        that takes their key away.
         """
         at = at or self.pointer()
-        append = dict(append or {})
+        append, merge = dict(append or {}), merge or {}
         for name in [n for n in append if len(at["tables"].get(n, [])) >= FOLDERS]:
-            tables[name] = self.read(name, at).unionByName(append.pop(name).select(*TABLES[name].fieldNames()))
+            tables[name] = self._appended(name, at).unionByName(append.pop(name).select(*self._schema(name).fieldNames()))
         version = f"v={at['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
-        written = {name: self._write(version, name, df) for name, df in {**tables, **append}.items()}
+        if "source" in tables:
+            tables["source"] = materialize(tables["source"].select(*SOURCE.fieldNames()), "store-source")
+            tables.setdefault("ref", tables["source"].select("content_hash", "path"))
+        folders = {name: self._write(version, name, df) for name, df in tables.items()}
+        folders |= {name: [*at["tables"].get(name, []), *self._write(version, name, df)] for name, df in append.items()}
+        folders |= {name: self._merge(version, name, df, at["number"] + 1, at["tables"].get(name, [])) for name, df in merge.items()}
         while True:
             now = self.pointer()
-            changed = sorted(t for t in {*written, *reads} if now["tables"].get(t) != at["tables"].get(t))
+            changed = sorted(t for t in {*folders, *reads} if now["tables"].get(t) != at["tables"].get(t))
             if changed:
                 raise Conflict(f"changed meanwhile: {', '.join(changed)}")
-            folders = now["tables"] | {n: [f] if n in tables else [*now["tables"].get(n, []), f] for n, f in written.items()}
-            entry = {"version": version, "number": now["number"] + 1, "recipe": RECIPE, "mark": mark if mark is not None else now["mark"], "tables": folders}
+            entry = {"version": version, "number": now["number"] + 1, "recipe": RECIPE, "mark": mark if mark is not None else now["mark"], "tables": now["tables"] | folders}
             if self._publish(entry["number"], json.dumps(entry)):
                 return version
 

@@ -22,6 +22,19 @@ SOURCE = StructType([
     StructField("ts", StringType()),
 ])
 
+#: Which paths have a content, by content.
+REF = StructType([
+    StructField("content_hash", StringType()),
+    StructField("path", StringType()),
+])
+
+#: Contents that no path has any more (``gone``), or has again; the highest ``seq`` of a content counts.
+DEAD = StructType([
+    StructField("content_hash", StringType()),
+    StructField("gone", BooleanType()),
+    StructField("seq", LongType()),
+])
+
 #: All strings; an absent field is '' and never null. ts and the like are ISO-8601 UTC, whose order as text is time's order.
 NOTE_FIELDS = ["note_id", "ts", "type", "place", "who", "due", "state", "closes", "claimed", "lease", "challenge", "stolen_from", "text", "source_path"]
 NOTE = StructType([StructField(f, StringType()) for f in NOTE_FIELDS])

@@ -270,3 +270,56 @@ def test_lapsed_leases(spark):
 def test_namespaces(spark, path):
     got = spark.createDataFrame([(path,)], "p string").select(ingest.namespace(F.col("p"))).first()[0]
     assert got == {"wiki:x": "wiki", "foo:x": "?"}.get(path, "")
+
+
+# Buckets of the store
+
+
+def _written(path, version):
+    return sum(f.stat().st_size for f in (path / "store").glob(f"{version}/**/*.parquet"))
+
+
+def test_a_batch_writes_what_it_brings_however_large_the_store_is(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store", stemmed=False)
+    names = lambda n, p: [(f"./{p}/{i}.md", f"text {p} {i} " + "word " * 20, i + 1) for i in range(n)]
+    index(s, files(spark, names(200, "a")), {"file"})
+    batch = lambda p: _written(tmp_path, index(s, files(spark, names(5, p)), set(), incremental=True).version)
+    small = batch("b")
+    touched = {f.split("/")[0] for f in s.pointer()["tables"]["source"]}
+    assert len(touched) == 2  # the other buckets keep their folders
+    index(s, files(spark, names(200, "a") + names(5, "b") + names(2000, "c")), {"file"})
+    assert batch("d") < 1.3 * small
+    assert s.read("source").count() == 2210 and s.read("chunk").count() == 2210
+
+
+def test_deltas_are_put_together_and_give_the_same(spark, tmp_path, monkeypatch):
+    from quarry.plans import store as stores
+
+    monkeypatch.setattr(stores, "DELTAS", 3)
+    monkeypatch.setattr(stores, "BUCKETS", 2)
+    s, want = Store(spark, f"file://{tmp_path}/store", stemmed=False), {}
+    for n in range(8):
+        rows = [(f"./{i}.md", f"text {i} {n % 3}", n + 1) for i in range(n, 12, 2)]
+        index(s, files(spark, rows), set(), incremental=n > 0)
+        want |= {p: (t, m) for p, t, m in rows}
+    got = s.read("source").join(s.read("chunk"), "content_hash").collect()
+    assert {r.path: (r.chunk_text, r.mtime) for r in got} == want and len(got) == len(want)
+    assert max(sum(f"bucket={b}" in f for f in s.pointer()["tables"]["source"]) for b in (0, 1)) <= 3
+    stat = s.read("stat").first()
+    live = {t for t, _ in want.values()}
+    assert (stat.n, stat.total) == (len(live), 3 * len(live)) and s.read("chunk").count() == len(live)
+    assert {r.term for r in s.read("posting").collect()} == {w for t in live for w in t.split()}
+
+
+def test_a_content_that_comes_back_is_not_written_again(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store", stemmed=False)
+    put = lambda t, n: index(s, files(spark, [("./x", t, n)]), set(), incremental=n > 1)
+    put("first words", 1)
+    put("other words", 2)
+    assert [r.chunk_text for r in s.read("chunk").collect()] == ["other words"]
+    chunk = s.pointer()["tables"]["chunk"]
+    put("first words", 3)
+    assert [r.chunk_text for r in s.read("chunk").collect()] == ["first words"] and s.pointer()["tables"]["chunk"] == chunk
+    assert s.read("stat").first()[:] == (1, 2)
+    index(s, files(spark, [("./x", "first words", 4)]), {"file"})  # a full run drops what is dead
+    assert s.pointer()["tables"]["dead"] and s.dead(s.pointer()).count() == 0 and s._appended("chunk", s.pointer()).count() == 1
