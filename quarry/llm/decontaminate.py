@@ -85,27 +85,30 @@ def windows(words: Column, window: int = WINDOW, lengths: tuple[int, ...] = (),
     """The 64-bit hashes of all ``window``-word runs, in order; of the whole if it is shorter.
 
     Runs of ``lengths`` follow, if they hold a letter or, when ``plain``, a
-    digit. Plain runs and templates never share a hash.
+    digit. Plain runs and templates never share a hash. Each word is hashed
+    once, and a run is a hash of its words' hashes.
     """
     mark = [F.lit(1)] if plain else []
     sayable = r"[\p{L}\p{Nd}]" if plain else r"\p{L}"
 
-    def body(w: Column) -> Column:
+    def body(x: Column) -> Column:
+        w, h = x["w"], x["h"]
+
         def runs(n: int, at: Column) -> Column:
-            return F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n), *mark))
+            return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)], *mark))
 
         def places(n: int) -> Column:
-            return F.sequence(F.lit(1), F.size(w) - (n - 1))
+            return F.sequence(F.lit(0), F.size(h) - n)
 
-        whole = F.array(F.xxhash64(w, *mark))
+        whole = F.array(F.xxhash64(h, *mark))
         none = F.slice(whole, 1, 0)
-        out = F.when(F.size(w) >= window, runs(window, places(window))).when(F.size(w) > 0, whole).otherwise(none)
+        out = F.when(F.size(h) >= window, runs(window, places(window))).when(F.size(h) > 0, whole).otherwise(none)
         for n in lengths:
-            said = F.filter(places(n), lambda i: F.exists(F.slice(w, i, n), lambda x: x.rlike(sayable)))
-            out = F.concat(out, F.when(F.size(w) >= n, runs(n, said)).otherwise(none))
+            said = F.filter(places(n), lambda i: F.exists(F.slice(w, i + 1, n), lambda x: x.rlike(sayable)))
+            out = F.concat(out, F.when(F.size(h) >= n, runs(n, said)).otherwise(none))
         return out
 
-    return let(words, body)
+    return let(let(words, lambda w: F.struct(w.alias("w"), F.transform(w, lambda y: F.xxhash64(y)).alias("h"))), body)
 
 
 def _slotted(text: Column, window: int, lengths: tuple[int, ...] = ()) -> Column:
@@ -121,7 +124,7 @@ def _slotted(text: Column, window: int, lengths: tuple[int, ...] = ()) -> Column
     def body(p: Column) -> Column:
         def made(n: int) -> Column:
             run = lambda i: F.slice(p, i, n)
-            one = lambda i: F.struct(F.xxhash64(F.transform(run(i), lambda x: x["t"])).alias("h"), i.alias("pos"), F.transform(run(i), slot).alias("slots"))
+            one = lambda i: F.struct(F.xxhash64(F.transform(run(i), lambda x: F.xxhash64(x["t"]))).alias("h"), i.alias("pos"), F.transform(run(i), slot).alias("slots"))
             return F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (n - 1), F.lit(1))), one)
 
         first = made(window)
@@ -154,13 +157,11 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     posting = materialize(per_item.groupBy("h").agg(F.collect_list(F.struct("item", "plain", "n_windows")).alias("items")), "bench-windows")
     few = (posting.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_WINDOWS
     # Texts that share a doc_id are told apart by their hash, so that none makes up for what another lacks.
-    own = F.array_distinct(F.concat(windows(t, window, lengths), windows(p, window, plain_lengths, plain=True)))
-    hits = (
-        d.select("doc_id", F.xxhash64("text").alias("version"), F.explode(own).alias("h"))
-        .join(F.broadcast(posting) if few else posting, "h")
-        .select("doc_id", "version", "h", F.inline("items"))
-    )
-    found = hits.groupBy("doc_id", "version", "item", "plain").agg(F.count_distinct("h").alias("matched"), F.max("n_windows").alias("n_windows"))
+    each = d.select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.concat(windows(t, window, lengths), windows(p, window, plain_lengths, plain=True))).alias("h"))
+    # A window that a text repeats is one hit, before the items that hold it are named.
+    held = each.join(F.broadcast(posting.select("h")) if few else posting.select("h"), "h", "left_semi").distinct()
+    hits = held.join(F.broadcast(posting) if few else posting, "h").select("doc_id", "version", "h", F.inline("items"))
+    found = hits.groupBy("doc_id", "version", "item", "plain").agg(F.count("h").alias("matched"), F.max("n_windows").alias("n_windows"))
     enough = found.where(F.col("matched") >= containment * F.col("n_windows"))
     counts = lambda c: F.coalesce(F.max(F.when(~F.col("plain"), F.col(c))), F.max(c)).alias(c)
     candidates = materialize(enough.groupBy("doc_id", "item").agg(counts("matched"), counts("n_windows"), F.max("plain").alias("word_for_word")), "bench-candidates")
