@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.search import distinct_chunks, keyword_leg
-from quarry.storage import broadcast_if_small
+from quarry.operators.search import distinct_chunks, keyword_leg, word_grams, words_holding
+from quarry.storage import broadcast_if_small, materialize
 
-#: Labelled queries that are broadcast to every chunk.
+#: Labelled queries and what leads to their chunks are broadcast up to this many rows (about 200 bytes each), else joined by a shuffle.
 LABELLED = 100_000
 
 QUERY = "id string, split string, class string, expect string, artifact string, query string, anchor string, trap string"
@@ -20,10 +20,44 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(chunks: DataFrame, queries: DataFrame, text: str = "anchor") -> DataFrame:
-    """(id, content_hash, chunk_ix): the chunks that hold the query's ``text``; empty texts resolve to none."""
-    asked = broadcast_if_small(queries.where(F.coalesce(text, F.lit("")) != "").select("id", F.col(text).alias("_t")), LABELLED)
+    """(id, content_hash, chunk_ix): the chunks that hold the query's ``text``; empty texts resolve to none.
+
+    Blanks cut texts into words. What stands between a text's first and last
+    word are whole words of any chunk that holds it, so the rarest of them
+    leads by a hash join to few chunks, which are then searched. A text of one
+    or two words may stand within others; its longest part leads to the
+    corpus' words that hold it, and these to the chunks. A text of blanks alone
+    is sought in all chunks.
+    """
+    blank = r"[\x00-\x20]+"
+    asked = queries.where(F.coalesce(text, F.lit("")) != "").select("id", F.col(text).alias("_t"))
+    parts = F.split("_t", blank, -1)
+    inner = F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != ""))
+    longest = F.element_at(F.array_sort(F.transform(parts, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
+    asked = materialize(asked.select("id", "_t", inner.alias("_inner"), longest.alias("_part")), "anchors")
     here = distinct_chunks(chunks).select("content_hash", "chunk_ix", "chunk_text")
-    return here.join(asked, F.contains(F.col("chunk_text"), F.col("_t"))).select("id", "content_hash", "chunk_ix")
+    words = here.select("content_hash", "chunk_ix", F.explode(F.array_distinct(F.split("chunk_text", blank, -1))).alias("_w"))
+    few = lambda df: broadcast_if_small(df, LABELLED)
+
+    each = asked.select("id", F.explode("_inner").alias("_w"))
+    keys = materialize(each.select("_w").distinct(), "anchor-words")
+    df = words.join(few(keys), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_df"))
+    rarest = each.join(df, "_w", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_w"))["_w"].alias("_w"))
+    leads = rarest
+    loose = asked.where((F.size("_inner") == 0) & (F.col("_part") != "")).select("id", "_part")
+    sought = [r[0] for r in loose.select("_part").distinct().collect()]  # of a labelled set, which people write
+    if sought:
+        vocabulary = words.select(F.col("_w").alias("word")).where("word <> ''")
+        holding = words_holding(word_grams(vocabulary), sought)
+        leads = leads.unionByName(holding.join(few(loose), F.col("term") == F.col("_part")).select("id", F.col("word").alias("_w")))
+    leads = materialize(leads.join(few(asked.select("id", "_t")), "id"), "anchor-leads")
+    near = words.join(few(leads), "_w").select("id", "_t", "content_hash", "chunk_ix").distinct()
+    found = here.join(few(materialize(near, "anchor-near")), ["content_hash", "chunk_ix"]).where(F.contains("chunk_text", "_t"))
+    out = found.select("id", "content_hash", "chunk_ix")
+    empty = asked.where((F.size("_inner") == 0) & (F.col("_part") == ""))
+    if not empty.isEmpty():
+        out = out.unionByName(here.join(few(empty), F.contains("chunk_text", "_t")).select(*out.columns))
+    return out.distinct()
 
 
 def defects(queries: DataFrame, gold: DataFrame, traps: DataFrame) -> DataFrame:

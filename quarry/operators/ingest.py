@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import artifact_time
 from quarry.schema import CHUNK_LINES, NAMESPACES, NO_MODEL
+from quarry.storage import broadcast_if_small, materialize
+
+#: Open branches of a digest tree are broadcast up to this many (20 bytes each), else joined by a shuffle.
+BROADCAST_BRANCHES = 500_000
 
 
 def content_hash(text: Column) -> Column:
@@ -174,6 +178,52 @@ def corpus_digest(source: DataFrame, volatile: tuple[str, ...] = ("uv",), digits
     return each.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_sources"))
 
 
+# The digest tree
+
+
+def digest_tree(source: DataFrame, digits: int = 4) -> DataFrame:
+    """(level, prefix, digest, n), written: a tree over the sources by the hexadecimal digits of their path's SHA-256.
+
+    A leaf, at level ``digits``, adds up two numbers of each source's digest, so
+    nothing is gathered however many it holds; a node above digests its
+    children, sixteen at most. Level 0 names the whole. Sources that stand
+    twice count twice.
+    """
+    line = F.sha2(F.concat_ws(" ", F.col("path"), F.coalesce("content_hash", F.lit(""))), 256)
+    number = lambda at: F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(20,0)")
+    leaves = source.groupBy(F.substring(F.sha2("path", 256), 1, digits).alias("prefix")).agg(F.sum(number(1)).alias("a"), F.sum(number(16)).alias("b"), F.count("*").alias("n"))
+    said = F.concat_ws(":", *[F.col(c).cast("string") for c in ("a", "b", "n")])
+    level = materialize(leaves.select("prefix", F.sha2(said, 256).alias("digest"), "n"), "digest-leaves")
+    out = level.select(F.lit(digits).alias("level"), "prefix", "digest", "n")
+    for i in range(digits - 1, -1, -1):
+        children = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat(x["prefix"], x["digest"])), ",")
+        level = level.groupBy(F.substring("prefix", 1, i).alias("prefix")).agg(F.sha2(children, 256).alias("digest"), F.sum("n").alias("n"))
+        out = out.unionByName(level.select(F.lit(i).alias("level"), "prefix", "digest", "n"))
+    return materialize(out, "digest-tree")
+
+
+def corpus_difference(mine: DataFrame, theirs: DataFrame, my_tree: DataFrame | None = None, their_tree: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """(path, change, mine, theirs): what two corpora have differently, ``added`` and ``removed`` as seen from ``mine``.
+
+    Given their stored :func:`digest_tree`, only branches whose digests differ
+    are walked, and only sources below leaves that differ are compared.
+    Paths are taken to stand once in a corpus.
+    """
+    my_tree = digest_tree(mine, digits) if my_tree is None else my_tree
+    their_tree = digest_tree(theirs, digits) if their_tree is None else their_tree
+    spark = mine.sparkSession
+    open_ = materialize(spark.range(1).select(F.lit("").alias("prefix")), "digest-open")
+    for i in range(digits + 1):
+        at = lambda tree: tree.where(F.col("level") == i).select("prefix", "digest").join(broadcast_if_small(open_.withColumnRenamed("prefix", "_p"), BROADCAST_BRANCHES), F.substring("prefix", 1, max(i - 1, 0)) == F.col("_p"), "left_semi")  # noqa: B023, E731
+        both = at(my_tree).join(at(their_tree).withColumnRenamed("digest", "_other"), "prefix", "full_outer")
+        open_ = materialize(both.where(~F.col("digest").eqNullSafe(F.col("_other"))).select("prefix"), "digest-open")
+    leaves = broadcast_if_small(open_, BROADCAST_BRANCHES)
+    below = lambda s: s.select("path", "content_hash").join(leaves, F.substring(F.sha2("path", 256), 1, digits) == F.col("prefix"), "left_semi")
+    both = below(mine).withColumnRenamed("content_hash", "mine").join(below(theirs).withColumnRenamed("content_hash", "theirs"), "path", "full_outer")
+    change = F.when(F.col("mine").isNull(), "added").when(F.col("theirs").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select("path", change.alias("change"), "mine", "theirs")
+
+
 # The high-water mark
 
 

@@ -19,7 +19,7 @@ from quarry.functions.text import ascii_lower, is_cut, prefix, trim_excerpt
 from quarry.functions.words import plain_words, plain_words_py, porter_words, snippet
 from quarry.operators.nearest import nearest
 from quarry.session import ship
-from quarry.storage import materialize
+from quarry.storage import broadcast_if_small, materialize
 
 POOL, PER_HIT, RRF_K, EXCERPT = 40, 4, 60.0, 140
 FTS, VEC, LIT = 1, 2, 4
@@ -31,8 +31,10 @@ LITERAL_TERMS = 8
 
 #: Literal terms that are looked for by one expression; more by a join over their first ``GRAM`` characters.
 TERMS_AT_ONCE, GRAM = 32, 3
-#: Contents that are looked up by a filter; more by a join.
+#: Contents and words that are looked up by a filter; more by a join.
 PUSHED = 1000
+#: Places of missed terms, and words that hold a term, are broadcast up to this many rows (about 60 bytes each), else joined by a shuffle.
+BROADCAST_PLACES = 500_000
 
 # Words whose presence orders nothing.
 STOP_WORDS = (
@@ -127,24 +129,60 @@ def _grams(word: Column, n: int) -> Column:
     return F.when(F.length(word) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, str], most: int | None = POOL) -> DataFrame:
-    """:func:`literal_leg` over the stored :func:`raw_words`; of ``chunks`` only the keys are read."""
+def word_grams(words: DataFrame) -> DataFrame:
+    """(gram, word): the runs of ``GRAM`` characters of the distinct words; shorter words have themselves."""
+    each = words.select("word").distinct()
+    own = F.when(F.length("word") >= GRAM, F.array_distinct(_grams(F.col("word"), GRAM))).otherwise(F.array("word"))
+    return each.select(F.explode(own).alias("gram"), "word")
+
+
+def words_holding(grams: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, word): the words of :func:`word_grams` that hold each term.
+
+    A word that has all of a term's grams is looked at; a term below ``GRAM``
+    characters has none, so words are then found by grams that begin or end
+    with it, or are it.
+    """
+    spark = grams.sparkSession
+    long = {t: sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) for t in terms if len(t) >= GRAM}
+    short = [t for t in terms if t and len(t) < GRAM]
+    found = spark.createDataFrame([], "term string, word string")
+    if long:
+        asked = F.broadcast(spark.createDataFrame([(g, t, len(gs)) for t, gs in long.items() for g in gs], "gram string, term string, n int"))
+        every = sorted({g for gs in long.values() for g in gs})
+        some = grams.where(F.col("gram").isin(every)) if len(every) <= PUSHED else grams
+        met = some.join(asked, "gram").groupBy("term", "word").agg(F.count_distinct("gram").alias("_have"), F.max("n").alias("_n")).where("_have = _n")
+        found = found.unionByName(met.where(F.contains("word", "term")).select("term", "word"))
+    if short:
+        has = grams.where(reduce(Column.__or__, [F.contains("gram", F.lit(t)) for t in short]))
+        of = F.explode(F.filter(F.array(*map(F.lit, short)), lambda t: F.contains("gram", t)))
+        found = found.unionByName(has.select(of.alias("term"), "word").distinct())
+    return found
+
+
+def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, str], most: int | None = POOL, grams: DataFrame | None = None) -> DataFrame:
+    """:func:`literal_leg` over the stored :func:`raw_words`; of ``chunks`` only the keys are read.
+
+    Given the stored ``grams`` of the words, only the words that hold a term
+    are read, by a filter that skips row groups if they are few.
+    """
     spark = words.sparkSession
     asked = [(q, t) for q, text in queries.items() for t in literal_terms(text)]
     every = sorted({t for _, t in asked})
     if not every:
         return literal_leg(chunks, {}, most)
-    has = lambda t: F.contains(F.col("word"), t)
-    if len(every) <= TERMS_AT_ONCE:  # one filter that the scan may skip by
-        held = words.where(reduce(Column.__or__, [has(F.lit(t)) for t in every])).select("content_hash", "chunk_ix", F.explode(F.filter(F.array(*map(F.lit, every)), has)).alias("term"))
-    else:  # the distinct words' character grams meet the terms' first ones
-        heads = F.broadcast(spark.createDataFrame([(t[:GRAM], t) for t in every], "gram string, term string"))
-        grams = F.concat(*[_grams(F.col("word"), n) for n in sorted({len(t[:GRAM]) for t in every})])
-        each = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram"))
-        found = each.join(heads, "gram").where(has(F.col("term"))).select("word", "term")
-        held = words.join(found, "word").select("content_hash", "chunk_ix", "term")
+    if grams is None:
+        grams = word_grams(words)
+    found = materialize(words_holding(grams, every), "literal-words")
+    few = [r[0] for r in found.select("word").distinct().limit(PUSHED + 1).collect()]
+    some = words.where(F.col("word").isin(few)) if len(few) <= PUSHED else words
+    held = some.join(broadcast_if_small(found, BROADCAST_PLACES), "word").select("content_hash", "chunk_ix", "term")
     held = materialize(held.distinct(), "literal-hits")
-    epochs = chunks.groupBy("content_hash", "chunk_ix").agg(F.count("*").alias("n"))
+    # Epochs are counted of the chunks that hold a term only.
+    here = held.select("content_hash").distinct()
+    near = [r[0] for r in here.limit(PUSHED + 1).collect()]
+    own = chunks.where(F.col("content_hash").isin(near)) if len(near) <= PUSHED else chunks
+    epochs = own.groupBy("content_hash", "chunk_ix").agg(F.count("*").alias("n"))
     df = held.join(epochs, ["content_hash", "chunk_ix"]).groupBy("term").agg(F.sum("n").alias("df"))
     n = chunks.count()
     weight = df.where(F.col("df") < n).select("term", (1.0 / F.col("df")).alias("weight"))
@@ -291,18 +329,18 @@ def dressed(results: DataFrame, chunks: DataFrame, source: DataFrame, width: int
     return out.withColumn("source", F.coalesce("path", F.lit("(source path unknown)"))).withColumn("citation", F.concat_ws("#", "content_hash", F.col("chunk_ix").cast("string")))
 
 
-def ask(chunks: DataFrame, source: DataFrame, queries: dict[str, str], k: int = 5, vectors: DataFrame | None = None, model_id: str | None = None, min_cos: float = 0.0, index: DataFrame | None = None, stats: DataFrame | None = None, pool: int = POOL, words: DataFrame | None = None, tokens: Callable[[str], list[str]] = plain_words_py) -> DataFrame:
+def ask(chunks: DataFrame, source: DataFrame, queries: dict[str, str], k: int = 5, vectors: DataFrame | None = None, model_id: str | None = None, min_cos: float = 0.0, index: DataFrame | None = None, stats: DataFrame | None = None, pool: int = POOL, words: DataFrame | None = None, grams: DataFrame | None = None, tokens: Callable[[str], list[str]] = plain_words_py) -> DataFrame:
     """The top ``k`` chunks of each query with everything that they carry.
 
     Without ``vectors`` (qid, vec) only the keyword and literal legs run.
-    ``index``, ``stats`` and ``words`` are stored tables, ``tokens`` cuts
+    ``index``, ``stats``, ``words`` and ``grams`` are stored tables, ``tokens`` cuts
     queries as the index was cut; without them the chunks' texts are scanned.
     """
     size = pool_size(k)
     terms = sorted({t for q in queries.values() for p in phrases(q, tokens) for t in p})
     index = postings(chunks, only=terms) if index is None else index.where(F.col("term").isin(terms))
     stats = doc_lengths(chunks) if stats is None else stats
-    literal = literal_leg(chunks, queries, size) if words is None else literal_leg_stored(words, chunks, queries, size)
+    literal = literal_leg(chunks, queries, size) if words is None else literal_leg_stored(words, chunks, queries, size, grams)
     legs = keyword_leg(index, stats, queries, size, tokens).unionByName(literal)
     if vectors is not None and model_id is not None:
         legs = legs.unionByName(vector_leg(chunks, vectors, model_id, size))
@@ -339,14 +377,51 @@ def lookup(chunks: DataFrame, content_hash: str, chunk_ix: int) -> DataFrame:
     return distinct_chunks(chunks.where((F.col("content_hash") == content_hash) & (F.col("chunk_ix") == chunk_ix)))
 
 
+def _edits(length: Column) -> Column:
+    """How many edits a missed term of that length may have."""
+    return F.when(length >= 8, 2).when(length >= 4, 1).otherwise(0)
+
+
+def _cut(word: Column, n: int) -> Column:
+    """(n, k, length, piece): ``word`` in ``n`` pieces of about equal length."""
+    size = F.length(word)
+    at = lambda k: F.floor(size * k / n).cast("int")
+    return F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), size.alias("length"), F.substr(word, at(k) + 1, at(k + 1) - at(k)).alias("piece")) for k in range(n)])
+
+
+def word_pieces(vocabulary: DataFrame, word: str = "suggestion") -> DataFrame:
+    """``vocabulary`` with (n, k, length, piece): each word in two and in three pieces, for :func:`corrected` to meet."""
+    w = F.col(word)
+    return vocabulary.where(F.length(w) >= 3).select("*", F.inline(F.concat(_cut(w, 2), _cut(w, 3))))
+
+
 def corrected(terms: list[str], index: DataFrame, spark: SparkSession) -> DataFrame:
     """(term, suggestion, distance) for query terms that the index lacks: the nearest index term.
 
     The allowed edits grow with the length; exact terms are never replaced.
+    Of a word in one piece more than it has edits, one piece stays whole and
+    moves by no more places than there are edits.  So missed terms and words
+    meet on (length, piece) by hash, and only those that do are compared.
     """
-    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
     vocabulary = index.groupBy(F.col("term").alias("suggestion")).agg(F.countDistinct("content_hash", "chunk_ix").alias("df"))
-    missed = asked.join(vocabulary, F.col("term") == F.col("suggestion"), "left_anti").withColumn("edits", F.when(F.length("term") >= 8, 2).when(F.length("term") >= 4, 1).otherwise(0))
-    near = vocabulary.join(F.broadcast(missed), F.abs(F.length("suggestion") - F.length("term")) <= F.col("edits")).withColumn("distance", F.levenshtein("term", "suggestion")).where("distance <= edits")
+    vocabulary = materialize(vocabulary, "typo-vocabulary")
+    missed = asked.join(vocabulary, F.col("term") == F.col("suggestion"), "left_anti").withColumn("edits", _edits(F.length("term"))).where("edits > 0")
+    length = F.length("term")
+    # What a word of each allowed length has as its k-th piece stands in the term at one of these places.
+    shifts = lambda f: F.transform(F.sequence(-F.col("edits"), F.col("edits")), f)
+    n = F.col("edits") + 1
+    at = lambda size, k: F.floor(size * k / n).cast("int")
+
+    def key(d: Column, k: Column, s: Column) -> Column:
+        size = length + d
+        start, end = at(size, k), at(size, k + 1)
+        here = F.when((start + s >= 0) & (end + s <= length), F.substr(F.col("term"), start + s + 1, end - start))
+        return F.struct(n.alias("n"), k.alias("k"), size.alias("length"), here.alias("piece"))
+
+    keys = F.flatten(F.flatten(shifts(lambda d: F.transform(F.sequence(F.lit(0), F.col("edits")), lambda k: shifts(lambda s: key(d, k, s))))))
+    places = missed.select("term", "edits", F.inline(F.array_distinct(keys))).where("piece is not null")
+    met = word_pieces(vocabulary).join(broadcast_if_small(materialize(places, "typo-places"), BROADCAST_PLACES), ["n", "k", "length", "piece"])
+    near = met.select("term", "edits", "suggestion", "df").distinct().withColumn("distance", F.levenshtein("term", "suggestion")).where("distance <= edits")
     w = Window.partitionBy("term").orderBy("distance", F.desc("df"), "suggestion")
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("term", "suggestion", "distance")

@@ -72,7 +72,7 @@ def index(store: Store, scanned: DataFrame, authority: set[str], folder: str = "
         live = materialize(ingest.collect_garbage(chunks, after).unionByName(fresh), "index-chunks")
         version = store.commit(mark=mark, at=at, source=after, chunk=live, dead=ingest.empty(store.spark, DEAD), **changes, **extra)
     else:
-        version = store.commit(mark=mark, at=at, source=after, append={"chunk": fresh} | {t: changes.pop(t) for t in ("posting", "word")}, **changes, **extra)
+        version = store.commit(mark=mark, at=at, source=after, append={"chunk": fresh} | {t: changes.pop(t) for t in ("posting", "word", "gram")}, **changes, **extra)
     return Report(store, version, n_gone, store.pointer())
 
 
@@ -129,27 +129,28 @@ def _increment(store: Store, at: dict, contents: DataFrame, embed, model_id: str
 
 
 def keyword_index(store: Store, at: dict, old: DataFrame, fresh: DataFrame, source: DataFrame | None) -> dict[str, DataFrame]:
-    """posting, word and stat after a run.
+    """posting, word, gram and stat after a run.
 
     ``fresh`` holds its new chunks and ``old`` the contents that had chunks
     before; only contents without any are tokenised.  Given ``source``, the
-    tables are whole and without contents that it lacks; else ``posting`` and
-    ``word`` are what is to be appended.
+    tables are whole and without contents that it lacks; else ``posting``,
+    ``word`` and ``gram`` are what is to be appended.
     """
     added = fresh.join(old, "content_hash", "left_anti")
     cut = porter_udf() if store.stemmed else plain_words
     posting = materialize(search.postings(added, cut), "index-posting")
-    word = search.raw_words(added)
+    word = materialize(search.raw_words(added), "index-word")
+    gram = search.word_grams(word)
     lengths = search.distinct_chunks(added).select(F.size(cut(F.col("chunk_text"))).alias("dl"))
     if source is None:
         before = store.read("stat", at).select("n", "total")
         stat = before.unionByName(lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        return {"posting": posting, "word": word, "stat": stat}
+        return {"posting": posting, "word": word, "gram": gram, "stat": stat}
     posting = ingest.collect_garbage(store.read("posting", at), source).unionByName(posting)
-    word = ingest.collect_garbage(store.read("word", at), source).unionByName(word)
+    word = materialize(ingest.collect_garbage(store.read("word", at), source).unionByName(word), "index-words")
     live = ingest.collect_garbage(store.read("chunk", at).select("content_hash", "chunk_ix"), source).unionByName(fresh.select("content_hash", "chunk_ix"))
     n = live.agg(F.count_distinct("content_hash", "chunk_ix").alias("n"))
-    return {"posting": posting, "word": word, "stat": n.crossJoin(posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))}
+    return {"posting": posting, "word": word, "gram": search.word_grams(word), "stat": n.crossJoin(posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))}
 
 
 def rebuilt(store: Store) -> str:
@@ -165,7 +166,7 @@ def ask(store: Store, queries: dict[str, str], k: int = 5, vectors: DataFrame |
     at = store.pointer()
     get = lambda t: store.read(t, at)
     stats = get("stat").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    return search.ask(get("chunk"), get("source"), queries, k, vectors, model_id, min_cos, get("posting"), stats, words=get("word"), tokens=porter_words if store.stemmed else plain_words_py)
+    return search.ask(get("chunk"), get("source"), queries, k, vectors, model_id, min_cos, get("posting"), stats, words=get("word"), grams=get("gram") if at["tables"].get("gram") else None, tokens=porter_words if store.stemmed else plain_words_py)
 
 
 def edit_note(store: Store, note_id: str, change: Callable[[notes.Claim], dict[str, str]], now: str) -> dict[str, str]:

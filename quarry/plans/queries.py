@@ -231,6 +231,14 @@ def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.corpus_digest(source(spark, d))
 
 
+@query(f"""WITH {SOURCE}, a AS (SELECT path, content_hash AS mine FROM source WHERE mtime % 18000 <> 0), b AS (SELECT path, CASE WHEN mtime % 25200 = 0 THEN 'edited' ELSE content_hash END AS theirs FROM source WHERE mtime % 39600 <> 0)
+SELECT path, CASE WHEN mine IS NULL THEN 'added' WHEN theirs IS NULL THEN 'removed' ELSE 'changed' END AS change, mine, theirs FROM a FULL JOIN b USING (path) WHERE mine IS DISTINCT FROM theirs""")
+def corpus_difference(spark: SparkSession, d: str) -> DataFrame:
+    s = materialize(source(spark, d), "sources")
+    edited = s.where("mtime % 39600 <> 0").withColumn("content_hash", F.when(F.col("mtime") % 25200 == 0, "edited").otherwise(F.col("content_hash")))
+    return ingest.corpus_difference(s.where("mtime % 18000 <> 0"), edited, digits=3)
+
+
 @query(f"WITH {EMBEDDED} SELECT model_id, count(*) AS n FROM embedded GROUP BY model_id")
 def model_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.models(embedded(spark, d))

@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from quarry.schema import CHUNK, DEAD, NOTE, NOTE_EVENT, POSTING, REF, SOURCE, STAT, WORD
+from quarry.schema import CHUNK, DEAD, GRAMS, NOTE, NOTE_EVENT, POSTING, REF, SOURCE, STAT, WORD
 from quarry.storage import broadcast_if_small, materialize
 
-TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE, "note_event": NOTE_EVENT, "posting": POSTING, "word": WORD, "stat": STAT}
+TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE, "note_event": NOTE_EVENT, "posting": POSTING, "word": WORD, "gram": GRAMS, "stat": STAT}
 #: Tables that are looked up by these columns are written in their order, so that a filter skips files and row groups.
-SORTED = {"chunk": ["content_hash", "chunk_ix"], "posting": ["term", "content_hash"], "word": ["word", "content_hash"]}
+SORTED = {"chunk": ["content_hash", "chunk_ix"], "posting": ["term", "content_hash"], "word": ["word", "content_hash"], "gram": ["gram", "word"]}
 #: Tables that other tables' keys lead to; a snapshot makes its own.
 INTERNAL = {"ref": REF, "dead": DEAD}
 #: Bucketed tables: by which column a row's bucket is told, and of which columns one row counts.

@@ -65,6 +65,12 @@ WORD = StructType([
     StructField("chunk_ix", IntegerType()),
 ])
 
+#: Which words have a run of three characters; the words themselves may be gone.
+GRAMS = StructType([
+    StructField("gram", StringType()),
+    StructField("word", StringType()),
+])
+
 #: Indexed chunks and their stems together, one row.
 STAT = StructType([
     StructField("n", LongType()),
