@@ -36,14 +36,14 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import column
+from quarry.llm.columns import key, numbered
 from quarry.session import release_memory, ship
 from quarry.storage import broadcast_if_small, materialize, small_batches
 
@@ -113,8 +113,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, n, counts), written: the kept terms with (source, n) for each source; without a term: all sources of the language."""
     ship(docs.sparkSession)
-    filled = lambda c: F.coalesce(column(docs, c).cast("string"), F.lit(""))
-    rows = docs.select(filled(lang).alias("lang"), filled(source).alias("source"), filled(text).alias("text"))
+    filled = lambda c: F.coalesce(F.col(key(docs, c)).cast("string"), F.lit(""))
+    rows = numbered(docs).select(filled(lang).alias("lang"), filled(source).alias("source"), filled(text).alias("text"))
     counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, df long")
     # Dealt by term, so that both groupings need this one exchange.
     cells = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -138,41 +138,45 @@ def groups_of(vocab: DataFrame) -> DataFrame:
     return materialize(out.withColumn("z", _share(F.lit(0), F.col("total"), F.col("terms"))), "divergence-groups")
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each two sources what the distinct vectors add; rows come by (lang, a, b), the blocks of the two sides."""
-    names = ["lang", "lo", "hi", "x"]
-    at, sums = None, np.zeros((BLOCK, BLOCK), np.int64)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        if at is not None:
-            lang, a, b = at
-            i, j = np.nonzero(sums)
-            keep = (i < j) if a == b else slice(None)
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array((a * BLOCK + i).astype(np.int32)), pa.array((b * BLOCK + j).astype(np.int32)), pa.array(sums[i, j])], names=names)
-            sums[:] = 0
-
-    def lists(col: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
-        values = col.values
-        return col.offsets.to_numpy(), [values.field(k).to_numpy() for k in ("s", "p", "z")]
-
-    for batch in batches:
-        lo, (ls, lp, lz) = lists(batch.column(4))
-        ro, (rs, rp, rz) = lists(batch.column(5))
-        times = batch.column(3).to_numpy()
-        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-            if key != at:
-                yield from out()
-                at = key
-            i = slice(lo[k], lo[k + 1])
-            s, p, z = ls[i], lp[i][:, None], lz[i][:, None]
-            if key[1] == key[2]:
-                t, q, y = ls[i], lp[i], lz[i]
-            else:
-                j = slice(ro[k], ro[k + 1])
-                t, q, y = rs[j], rp[j], rz[j]
-            sums[np.ix_(s % BLOCK, t % BLOCK)] += times[k] * (np.abs(p - q) - np.abs(p - y) - np.abs(q - z) + np.abs(z - y))
-    yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "lo", "hi", "x"]
+        at, sums = None, np.zeros((block, block), np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if at is not None:
+                lang, a, b = at
+                i, j = np.nonzero(sums)
+                keep = (i < j) if a == b else slice(None)
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array((a * block + i).astype(np.int32)), pa.array((b * block + j).astype(np.int32)), pa.array(sums[i, j])], names=names)
+                sums[:] = 0
+
+        def lists(col: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+            values = col.values
+            return col.offsets.to_numpy(), [values.field(k).to_numpy() for k in ("s", "p", "z")]
+
+        for batch in batches:
+            lo, (ls, lp, lz) = lists(batch.column(4))
+            ro, (rs, rp, rz) = lists(batch.column(5))
+            times = batch.column(3).to_numpy()
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if key != at:
+                    yield from out()
+                    at = key
+                i = slice(lo[k], lo[k + 1])
+                s, p, z = ls[i], lp[i][:, None], lz[i][:, None]
+                if key[1] == key[2]:
+                    t, q, y = ls[i], lp[i], lz[i]
+                else:
+                    j = slice(ro[k], ro[k + 1])
+                    t, q, y = rs[j], rp[j], rz[j]
+                sums[np.ix_(s % block, t % block)] += times[k] * (np.abs(p - q) - np.abs(p - y) - np.abs(q - z) + np.abs(z - y))
+        yield from out()
+
+    return run
 
 
 def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     cut = vectors.select("lang", "vector", "times", F.inline(both))
     cut = cut.select("lang", "a", "b", "times", of("a").alias("left"), F.when(F.col("a") < F.col("b"), of("b")).otherwise(F.slice(of("a"), 1, 0)).alias("right"))
     dealt = cut.repartition("lang", "a", "b", F.pmod(F.xxhash64("left", "right"), F.lit(SALTS))).sortWithinPartitions("lang", "a", "b")
-    apart = dealt.mapInArrow(_apart, schema)
+    apart = dealt.mapInArrow(_apart(BLOCK), schema)
 
     # How many terms of a group have which share, so that a group is as large as its distinct counts.
     hist = cells.groupBy("lang", "s", "p").agg(F.count("*").alias("h")).groupBy("lang", "s").agg(F.sort_array(F.collect_list(F.struct("p", "h"))).alias("hist"))

@@ -32,7 +32,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import column
+from quarry.llm.columns import key, numbered
 from quarry.storage import broadcast_if_small, let, materialize
 
 #: Words of a template that the index holds, at most.
@@ -131,9 +131,9 @@ def measure(docs: DataFrame, phrases: list[list[str]], words: set[str], doc_id:
         stored = F.filter(m["hits"], lambda x: x["w"].isin(sorted(words)))
         return F.struct(m["n_words"].alias("n_words"), stored.alias("hits"), F.flatten(each).alias("spots"))
 
-    found = let(let(words_of(column(docs, text)), body), spots)
+    found = let(let(words_of(F.col(key(docs, text))), body), spots)
     # A generator, so that the columns of one row come from one evaluation.
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), column(docs, doc_id).alias("doc_id"), F.inline(F.array(found)))
+    rows = numbered(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(key(docs, doc_id)).alias("doc_id"), F.inline(F.array(found)))
     return materialize(rows, "license-words")
 
 

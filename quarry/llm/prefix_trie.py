@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import column
+from quarry.llm.columns import key, numbered
 from quarry.session import ship
 from quarry.storage import delete, materialize, ranged, recording, running_total
 
@@ -45,9 +45,10 @@ BLOCK = 4096
 
 def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, pos, digest, bytes), written: each conversation's turns with their places from 1."""
-    said = lambda c: F.coalesce(column(conversations, c).cast("string"), F.lit(""))
+    own = lambda c: F.col(key(conversations, c))
+    said = lambda c: F.coalesce(own(c).cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(F.concat(F.length(said(role)).cast("string"), F.lit(":"), said(role), said(text)), 256))
-    lean = conversations.select(column(conversations, conv_id).cast("long").alias("conv"), column(conversations, turn).alias("turn"), digest.alias("digest"), F.octet_length(said(text)).cast("long").alias("bytes"))
+    lean = numbered(conversations).select(own(conv_id).cast("long").alias("conv"), own(turn).alias("turn"), digest.alias("digest"), F.octet_length(said(text)).cast("long").alias("bytes"))
     order = ["conv", "turn", "digest"]
     placed = running_total(ranged(lean.where("conv is not null"), order, "trie-order"), {"before": F.lit(1).cast("long")}, order, within=["conv"])
     return materialize(placed.select("conv", (F.col("before") + 1).alias("pos"), "digest", "bytes"), "trie-turns")
