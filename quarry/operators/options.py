@@ -56,13 +56,6 @@ def focus(notes: DataFrame, who: str, most: int = 3) -> DataFrame:
     return mine.orderBy(F.when(F.col("due") == "", 1).otherwise(0), "due", "ts", "note_id").limit(most)
 
 
-def superseding(memory: DataFrame, about: str, words: list[str], most: int = 5) -> DataFrame:
-    """Memories on the same subject that share most words with a new one: what it may supersede, before it is written."""
-    same = memory.where((F.col("about") == about) & ~F.col("retracted"))
-    shared = F.size(F.array_intersect(F.array_distinct(plain_words(F.col("text"))), F.array(*map(F.lit, sorted(set(words)))))) if words else F.lit(0)
-    return same.select("id", shared.alias("shared")).where("shared > 0").orderBy(F.desc("shared"), "id").limit(most)
-
-
 def token_chunks(contents: DataFrame, budget: int, tokens=plain_words, text: str = "text") -> DataFrame:
     """``contents`` in chunks of whole lines with at most ``budget`` tokens each; a longer line stands alone."""
     keep = [c for c in contents.columns if c != text]

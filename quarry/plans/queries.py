@@ -963,3 +963,19 @@ def lease_expiries(spark: SparkSession, d: str) -> DataFrame:
     events = e.withColumn("ts", F.col("ts").cast("timestamp")).select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("note_id"), F.when(kind == "error", "thief").when(kind != "signup", F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("who"), lease.alias("lease"), F.col("ts").alias("at"), i.alias("seq"))
     found = spark.read.schema(leases.EXPIRED).parquet(leases.run_once(spark, leases.expiries(events)))
     return found.select("note_id", "who", F.unix_micros("lease").alias("lease"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, string_split(p_name || ' ' || lower(p_type), ' ') AS w, [p_brand, p_type] AS about, p_partkey % 11 = 0 AS retracted FROM part),
+cur AS (SELECT * FROM m WHERE NOT retracted AND id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 = 0 AND (p_partkey + 7) % 11 <> 0 AND p_partkey + 7 IN (SELECT p_partkey FROM part))),
+a AS (SELECT p_partkey AS qid, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS w, [p_brand] AS about FROM part WHERE p_partkey % 100 = 0),
+df AS (SELECT word, count(*) AS df FROM (SELECT id, unnest(list_distinct(w)) AS word FROM cur) GROUP BY word),
+p AS (SELECT qid, id, unnest(list_intersect(a.w, list_distinct(cur.w))) AS word FROM a, cur WHERE list_has_any(a.about, cur.about) AND qid <> id),
+s AS (SELECT qid, id, count(*) AS shared, sum(ln(1 + (SELECT count(*) FROM cur) / CAST(df AS DOUBLE))) AS score FROM p JOIN df USING (word) GROUP BY ALL)
+SELECT qid, CAST(rank AS INT) AS rank, id, shared, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 3""")
+def remember_candidates(spark: SparkSession, d: str) -> DataFrame:
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    text = F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("text")
+    mem = p.select(k.alias("id"), text, F.array("p_brand", "p_type").alias("about"), (k % 11 == 0).alias("retracted"))
+    edge = p.where("p_partkey % 5 = 0").select((k + 7).alias("successor"), k.alias("predecessor"))
+    claims = p.where("p_partkey % 100 = 0").select(k.alias("qid"), text, F.array("p_brand").alias("about"))
+    return memory.remember_candidates(mem, edge, claims).withColumn("score", F.round("score", 6))

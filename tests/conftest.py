@@ -14,6 +14,10 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
+        # Small tables: compiling costs more than it saves.
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{shared}")

@@ -275,3 +275,27 @@ def ingest_hash(text):
     import hashlib
 
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Memories in fences
+
+
+def test_blocks_in_fences_and_not_in_quotes(spark):
+    one = "```memory\nid: mem-1\nclaim: the well is dry\n  since May\nabout: well, barn ,well\nvalid-from: 2024-01-01\nother: x\n```\n"
+    text = "# notes\n" + one + "````\n" + one.replace("mem-1", "mem-2") + "````\n~~~ memory\nclaim: hay is wet\nactor: ann\n~~~\n```memory\nabout: nothing\n```\n   ```memory\nclaim: unclosed"
+    assert [(m["id"][:5], m["claim"]) for m in memory.blocks_of(text)] == [("mem-1", "the well is dry since May"), (memory.blocks_of(text)[1]["id"][:5], "hay is wet"), (memory.blocks_of(text)[2]["id"][:5], "unclosed")]
+    edited = text.replace("# notes", "# other").replace("hay is wet", "hay is dry")
+    later = one.replace("dry", "full").replace("2024-01-01", "2024-02-01")
+    rows = [("h1", text), ("h2", edited), ("h3", later), ("h4", None), ("h5", ""), ("h6", "no memory here")]
+    got = {r.id: r for r in memory.contained(spark.createDataFrame(rows, "content_hash string, text string")).collect()}
+    assert len(got) == 4 and got["mem-1"].claim == "the well is full since May" and got["mem-1"].about == ["well", "barn"] and got["mem-1"].content_hash == "h3"
+    assert {r.claim for r in got.values()} == {"the well is full since May", "hay is wet", "hay is dry", "unclosed"}
+
+
+def test_candidates_share_a_subject_and_words(spark):
+    rows = [("a", "the well is dry", ["well"], False), ("b", "the well is full", ["well", "barn"], False), ("c", "the well is old", ["roof"], False), ("d", "hay", ["well"], False), ("e", "well dry dry", ["well"], True), ("f", "the dry well", ["barn"], False)]
+    m = spark.createDataFrame(rows, "id string, text string, about array<string>, retracted boolean")
+    e = spark.createDataFrame([("b", "a")], "successor string, predecessor string")
+    claims = spark.createDataFrame([("q", "The well: dry again", ["well", "barn"]), ("b", "well", ["well"]), ("n", "zebra", ["well"]), ("z", None, None)], "qid string, text string, about array<string>")
+    got = [(r.qid, r["rank"], r.id, r.shared) for r in memory.remember_candidates(m, e, claims).orderBy("qid", "rank").collect()]
+    assert got == [("q", 1, "f", 3), ("q", 2, "b", 2)]
