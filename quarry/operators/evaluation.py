@@ -40,8 +40,9 @@ def resolve(chunks: DataFrame, queries: DataFrame, text: str = "anchor") -> Data
     few = lambda df: broadcast_if_small(df, LABELLED)
 
     each = asked.select("id", F.explode("_inner").alias("_w"))
-    keys = materialize(each.select("_w").distinct(), "anchor-words")
-    df = words.join(few(keys), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_df"))
+    keys = each.select("_w").distinct()
+    n_words = asked.agg(F.coalesce(F.sum(F.size("_inner")), F.lit(0))).first()[0]
+    df = words.join(F.broadcast(keys) if n_words <= LABELLED else keys, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_df"))
     rarest = each.join(df, "_w", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_w"))["_w"].alias("_w"))
     leads = rarest
     loose = asked.where((F.size("_inner") == 0) & (F.col("_part") != "")).select("id", "_part")
@@ -50,7 +51,7 @@ def resolve(chunks: DataFrame, queries: DataFrame, text: str = "anchor") -> Data
         vocabulary = words.select(F.col("_w").alias("word")).where("word <> ''")
         holding = words_holding(word_grams(vocabulary), sought)
         leads = leads.unionByName(holding.join(few(loose), F.col("term") == F.col("_part")).select("id", F.col("word").alias("_w")))
-    leads = materialize(leads.join(few(asked.select("id", "_t")), "id"), "anchor-leads")
+    leads = materialize(leads.join(asked.select("id", "_t"), "id"), "anchor-leads")
     near = words.join(few(leads), "_w").select("id", "_t", "content_hash", "chunk_ix").distinct()
     found = here.join(few(materialize(near, "anchor-near")), ["content_hash", "chunk_ix"]).where(F.contains("chunk_text", "_t"))
     out = found.select("id", "content_hash", "chunk_ix")

@@ -19,7 +19,7 @@ from quarry.functions.text import ascii_lower, is_cut, prefix, trim_excerpt
 from quarry.functions.words import plain_words, plain_words_py, porter_words, snippet
 from quarry.operators.nearest import nearest
 from quarry.session import ship
-from quarry.storage import broadcast_if_small, materialize
+from quarry.storage import broadcast_if_small, materialize, ranged, running_total
 
 POOL, PER_HIT, RRF_K, EXCERPT = 40, 4, 60.0, 140
 FTS, VEC, LIT = 1, 2, 4
@@ -78,10 +78,18 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def ranked(hits: DataFrame, leg: int, order: list[Column], most: int | None) -> DataFrame:
-    """``hits`` with leg and leg_rank, at most ``most`` for each query."""
-    w = Window.partitionBy("qid").orderBy(*order, "content_hash", "chunk_ix")
-    out = hits.withColumn("leg_rank", F.row_number().over(w))
-    out = out if most is None else out.where(F.col("leg_rank") <= most)
+    """``hits`` with leg and leg_rank, at most ``most`` for each query.
+
+    Without a limit the ranks come from range partitions and their counts, so a
+    query that matches everything is spread over many tasks.
+    """
+    if most is None:
+        line = ["qid", *order, "content_hash", "chunk_ix"]
+        placed = running_total(ranged(hits, line, "ranked"), {"_before": F.lit(1).cast("long")}, line, within=["qid"])
+        out = placed.withColumn("leg_rank", (F.col("_before") + 1).cast("int"))
+    else:
+        w = Window.partitionBy("qid").orderBy(*order, "content_hash", "chunk_ix")
+        out = hits.withColumn("leg_rank", F.row_number().over(w)).where(F.col("leg_rank") <= most)
     return out.select("qid", "content_hash", "chunk_ix", F.lit(leg).alias("leg"), "leg_rank", "cos")
 
 

@@ -649,7 +649,11 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     two = materialize(two, "eval-legs")
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vec")).join(q.select(F.col("id").alias("qid")), "qid", "left_semi")
     hybrid = materialize(search.fuse(two.unionByName(search.vector_leg(c, vectors, "none")), 10), "eval-hybrid")
-    return evaluation.outcomes(q, hybrid, search.fuse(two, 10), ranking, evaluation.resolve(c, q), evaluation.resolve(c, q, "trap"), 40)
+    # Anchors and traps are sought in one pass.
+    kinds = F.inline(F.array(*[F.struct(F.struct("id", F.lit(t).alias("kind")).alias("id"), F.col(t).alias("sought")) for t in ("anchor", "trap")]))
+    found = materialize(evaluation.resolve(c, q.select(kinds), "sought"), "eval-found")
+    of = lambda t: found.where(F.col("id.kind") == t).select(F.col("id.id").alias("id"), "content_hash", "chunk_ix")
+    return evaluation.outcomes(q, hybrid, search.fuse(two, 10), ranking, of("anchor"), of("trap"), 40)
 
 
 @query(f"WITH {EVALUATED} SELECT CASE WHEN id % 3 = 0 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 9) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS r5, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS rk, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranks GROUP BY 1")
