@@ -43,7 +43,7 @@ MEMO = 20 << 20
 #: Words of more bytes are not remembered.
 LONG_WORD = 64
 #: Characters of text that are encoded together.
-RUN = 4 << 20
+RUN = 1 << 20
 ROW_INDEX = 1000
 SCHEMA = "doc_id long, seq long, n_tokens int, ids array<int>"
 _loaded: dict[str, WordEncoder] = {}
