@@ -17,6 +17,8 @@ from quarry.storage import reached
 #: Field lines of a block and the column each one sets.
 LINES = {"note": "note_id", "at": "ts", "type": "type", "place": "place", "who": "who", "due": "due", "state": "state", "closes": "closes", "claimed": "claimed", "lease": "lease", "challenge": "challenge", "stolen-from": "stolen_from"}
 TEXT_BYTES = 1023
+#: Parsed notes that a worker hands over at once.
+ROWS_AT_ONCE = 5000
 EVENT = "note_id string, field string, value string, seq long, ts string"
 
 
@@ -81,10 +83,15 @@ def project(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=[*NOTE_FIELDS, "seq"])
         for b in batches:
+            rows = []  # a frame for each file would cost more than its parsing
             for path, text in zip(b["path"], b["text"], strict=True):
-                rows = parse_blocks(text or "", path)
-                yield pd.DataFrame([r | {"seq": i} for i, r in enumerate(rows)], columns=[*NOTE_FIELDS, "seq"])
+                rows += [r | {"seq": i} for i, r in enumerate(parse_blocks(text or "", path))]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     schema = ", ".join(f"{f} string" for f in NOTE_FIELDS) + ", seq int"
     return files.select("path", "text").mapInPandas(run, schema)
