@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import artifact_time
 from quarry.schema import CHUNK_LINES, NAMESPACES, NO_MODEL
-from quarry.storage import broadcast_if_small, materialize
+from quarry.storage import broadcast_if_small, distinct_by, materialize
 
 #: Open branches of a digest tree are broadcast up to this many (20 bytes each), else joined by a shuffle.
 BROADCAST_BRANCHES = 500_000
@@ -45,10 +45,13 @@ def compose(scanned: DataFrame) -> DataFrame:
 
 
 def new_chunks(contents: DataFrame, chunks: DataFrame, model_id: str = NO_MODEL, lines: int = CHUNK_LINES) -> DataFrame:
-    """Chunks of the contents of which ``chunks`` has none under ``model_id``; each content once."""
+    """Chunks of the contents of which ``chunks`` has none under ``model_id``; each content once.
+
+    Contents are dealt out by their hash, so that a few large files are worked on by all tasks.
+    """
     known = chunks.where(F.col("model_id") == model_id).select("content_hash").distinct()
-    fresh = contents.select("content_hash", "text").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
-    out = chunk(fresh, lines)
+    fresh = distinct_by(contents.select("content_hash", "text"), ["content_hash"]).join(known, "content_hash", "left_anti")
+    out = chunk(fresh.repartition("content_hash"), lines)
     return out.select("content_hash", F.lit(model_id).alias("model_id"), "chunk_ix", "chunk_text", F.lit(None).cast("array<float>").alias("embedding"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import iso_plus
 from quarry.functions.words import plain_words
 from quarry.operators.ingest import lines_of
+from quarry.storage import broadcast_if_small, materialize
+
+#: Common terms are broadcast up to this many (about 30 bytes each), else joined by a shuffle.
+BROADCAST_COMMON = 500_000
 
 
 def best_form(hits: DataFrame) -> DataFrame:
@@ -17,8 +21,8 @@ def best_form(hits: DataFrame) -> DataFrame:
 
 def without_common(index: DataFrame, n: int, share: float = 0.5) -> DataFrame:
     """Postings without the terms that more than ``share`` of the ``n`` chunks hold."""
-    common = index.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") > share * n).select("term")
-    return index.join(common, "term", "left_anti")
+    common = materialize(index.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") > share * n).select("term"), "common-terms")
+    return index.join(broadcast_if_small(common, BROADCAST_COMMON), "term", "left_anti")
 
 
 def centred(chunks: DataFrame, key: list[str]) -> DataFrame:

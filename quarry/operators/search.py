@@ -19,7 +19,7 @@ from quarry.functions.text import ascii_lower, is_cut, prefix, trim_excerpt
 from quarry.functions.words import plain_words, plain_words_py, porter_words, snippet
 from quarry.operators.nearest import nearest
 from quarry.session import ship
-from quarry.storage import broadcast_if_small, materialize, ranged, running_total
+from quarry.storage import broadcast_if_small, distinct_by, let, materialize, ranged, running_total
 
 POOL, PER_HIT, RRF_K, EXCERPT = 40, 4, 60.0, 140
 FTS, VEC, LIT = 1, 2, 4
@@ -74,7 +74,7 @@ def literal_terms(query: str, most: int = LITERAL_TERMS) -> list[str]:
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """One row for each (content_hash, chunk_ix); its text is the same in all epochs."""
-    return chunks.dropDuplicates(["content_hash", "chunk_ix"])
+    return distinct_by(chunks, ["content_hash", "chunk_ix"])
 
 
 def ranked(hits: DataFrame, leg: int, order: list[Column], most: int | None) -> DataFrame:
@@ -147,20 +147,23 @@ def word_grams(words: DataFrame) -> DataFrame:
 def words_holding(grams: DataFrame, terms: list[str]) -> DataFrame:
     """(term, word): the words of :func:`word_grams` that hold each term.
 
-    A word that has all of a term's grams is looked at; a term below ``GRAM``
-    characters has none, so words are then found by grams that begin or end
-    with it, or are it.
+    The words that have a term's rarest gram are looked at; a term below
+    ``GRAM`` characters has none, so words are then found by grams that begin or
+    end with it, or are it.
     """
     spark = grams.sparkSession
     long = {t: sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) for t in terms if len(t) >= GRAM}
     short = [t for t in terms if t and len(t) < GRAM]
     found = spark.createDataFrame([], "term string, word string")
     if long:
-        asked = F.broadcast(spark.createDataFrame([(g, t, len(gs)) for t, gs in long.items() for g in gs], "gram string, term string, n int"))
-        every = sorted({g for gs in long.values() for g in gs})
-        some = grams.where(F.col("gram").isin(every)) if len(every) <= PUSHED else grams
-        met = some.join(asked, "gram").groupBy("term", "word").agg(F.count_distinct("gram").alias("_have"), F.max("n").alias("_n")).where("_have = _n")
-        found = found.unionByName(met.where(F.contains("word", "term")).select("term", "word"))
+        of_gram = lambda gs: grams.where(F.col("gram").isin(gs)) if len(gs) <= PUSHED else grams.join(F.broadcast(spark.createDataFrame([(g,) for g in gs], "gram string")), "gram", "left_semi")
+        n = dict(map(tuple, of_gram(sorted({g for gs in long.values() for g in gs})).groupBy("gram").count().collect()))  # of the batch's terms
+        lead = {t: min(gs, key=lambda g: (n.get(g, 0), g)) for t, gs in long.items()}
+        lead = {t: g for t, g in lead.items() if g in n}
+        if lead:
+            asked = F.broadcast(spark.createDataFrame([(g, t) for t, g in lead.items()], "gram string, term string"))
+            met = of_gram(sorted(set(lead.values()))).join(asked, "gram").where(F.contains("word", "term"))
+            found = found.unionByName(met.select("term", "word").distinct())
     if short:
         has = grams.where(reduce(Column.__or__, [F.contains("gram", F.lit(t)) for t in short]))
         of = F.explode(F.filter(F.array(*map(F.lit, short)), lambda t: F.contains("gram", t)))
@@ -180,7 +183,7 @@ def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, s
     if not every:
         return literal_leg(chunks, {}, most)
     if grams is None:
-        grams = word_grams(words)
+        grams = word_grams(materialize(words.select("word").distinct(), "literal-vocabulary"))
     found = materialize(words_holding(grams, every), "literal-words")
     few = [r[0] for r in found.select("word").distinct().limit(PUSHED + 1).collect()]
     some = words.where(F.col("word").isin(few)) if len(few) <= PUSHED else words
@@ -206,13 +209,28 @@ def postings(chunks: DataFrame, tokens: Callable[[Column], Column] = plain_words
     """(term, content_hash, chunk_ix, positions, tf, dl): the inverted index of the distinct chunks.
 
     ``only`` restricts it to some terms, so that a scan without a stored index
-    groups and shuffles no more than the queries need.
+    makes no more than the queries need. A chunk is one row, so its places are
+    sorted and cut by term within it and no token is shuffled.
     """
     words = distinct_chunks(chunks).select("content_hash", "chunk_ix", tokens(F.col("chunk_text")).alias("w"))
-    each = words.select("content_hash", "chunk_ix", F.size("w").alias("dl"), F.posexplode("w").alias("at", "term"))
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
     if only is not None:
-        each = each.where(F.col("term").isin(only))
-    return each.groupBy("term", "content_hash", "chunk_ix", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions")).withColumn("tf", F.size("positions"))
+        placed = F.filter(placed, lambda x: x["term"].isin(only))
+
+    def entries(s: Column) -> Column:
+        first = F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i))
+        return let(F.filter(first, lambda i: i.isNotNull()), lambda f: F.transform(f, lambda i, n: entry(s, i, F.coalesce(F.get(f, n + 1), F.size(s)))))
+
+    def entry(s: Column, start: Column, end: Column) -> Column:
+        return F.struct(F.get(s, start)["term"].alias("term"), F.transform(F.slice(s, start + 1, end - start), lambda x: x["at"]).alias("positions"))
+
+    rows = words.select("content_hash", "chunk_ix", F.size("w").alias("dl"), F.inline(let(F.sort_array(placed), entries)))
+    return rows.select("term", "content_hash", "chunk_ix", "dl", "positions", F.size("positions").alias("tf"))
+
+
+def chunk_terms(chunks: DataFrame, tokens: Callable[[Column], Column] = plain_words) -> DataFrame:
+    """(term, content_hash, chunk_ix): :func:`postings` without places, for what only counts chunks."""
+    return distinct_chunks(chunks).select(F.explode(F.array_distinct(tokens(F.col("chunk_text")))).alias("term"), "content_hash", "chunk_ix")
 
 
 def doc_lengths(chunks: DataFrame, tokens: Callable[[Column], Column] = plain_words) -> DataFrame:
@@ -410,9 +428,10 @@ def corrected(terms: list[str], index: DataFrame, spark: SparkSession) -> DataFr
     Of a word in one piece more than it has edits, one piece stays whole and
     moves by no more places than there are edits.  So missed terms and words
     meet on (length, piece) by hash, and only those that do are compared.
+    ``index`` has one row for each term and chunk.
     """
     asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-    vocabulary = index.groupBy(F.col("term").alias("suggestion")).agg(F.countDistinct("content_hash", "chunk_ix").alias("df"))
+    vocabulary = index.groupBy(F.col("term").alias("suggestion")).agg(F.count("*").alias("df"))
     vocabulary = materialize(vocabulary, "typo-vocabulary")
     missed = asked.join(vocabulary, F.col("term") == F.col("suggestion"), "left_anti").withColumn("edits", _edits(F.length("term"))).where("edits > 0")
     length = F.length("term")
