@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.search import distinct_chunks, keyword_leg, word_grams, words_holding
+from quarry.functions.words import plain_words_py
+from quarry.operators.search import B, FTS, K1, distinct_chunks, keyword_leg, phrases, ranked, word_grams, words_holding
+from quarry.session import ship
 from quarry.storage import broadcast_if_small, materialize
 
 #: Labelled queries and what leads to their chunks are broadcast up to this many rows (about 200 bytes each), else joined by a shuffle.
@@ -77,24 +86,152 @@ def full_ranking(index: DataFrame, stats: DataFrame, queries: dict[str, str], **
     return keyword_leg(index, stats, queries, None, **kw)
 
 
+def scored(chunks: DataFrame, queries: dict[str, str], k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, content_hash, chunk_ix, score): the keyword leg's whole result without ranks, for many queries.
+
+    A query of common words meets most chunks, so nothing is shuffled for each
+    pair of the two: the phrases of all queries are counted chunk by chunk,
+    and with their document frequencies each chunk's scores are summed where
+    it lies. A written row holds a chunk's scores of all queries. Queries and
+    chunks are cut into plain words.
+    """
+    spark = chunks.sparkSession
+    cut = [(q, tuple(p)) for q, text in queries.items() for p in phrases(text)]
+    if not cut:
+        return spark.createDataFrame([], "qid string, content_hash string, chunk_ix int, score double")
+    every = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in cut))}
+    names = list(queries)
+    ship(spark)
+    places = distinct_chunks(chunks).select("content_hash", "chunk_ix", "chunk_text").mapInArrow(_counter(list(every)), "content_hash string, chunk_ix int, dl int, phrases array<int>, tfs array<int>")
+    counted = materialize(places, "phrase-counts")
+    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+    df = dict(map(tuple, counted.select(F.explode("phrases").alias("p")).groupBy("p").count().collect()))  # of the labelled set's phrases
+    idf = [max(math.log((n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)), 1e-6) for i in range(len(every))]
+    at = {q: i for i, q in enumerate(names)}
+    pairs = sorted(Counter((every[p], at[q]) for q, p in cut).items())
+    summed = counted.where(F.size("phrases") > 0).mapInArrow(_scorer([(p, q, times) for (p, q), times in pairs], idf, len(names), avgdl, k1, b), "content_hash string, chunk_ix int, qids array<int>, scores array<double>")
+    summed = materialize(summed, "chunk-scores")
+    each = summed.select("content_hash", "chunk_ix", F.inline(F.arrays_zip(F.col("qids").alias("_q"), F.col("scores").alias("score"))))
+    return each.join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "_q int, qid string")), "_q").select("qid", "content_hash", "chunk_ix", F.round("score", 9).alias("score"))
+
+
+def _counter(asked: list[tuple[str, ...]]):
+    """Batches of chunks to batches of their sizes and of how often each phrase stands in them."""
+    # A tree of words; under None is the number of the phrase that ends there.
+    tree: dict = {}
+    for i, p in enumerate(asked):
+        node = tree
+        for t in p:
+            node = node.setdefault(t, {})
+        node[None] = i
+
+    def count(words: list[str]) -> Counter:
+        out: Counter = Counter()
+        for i, w in enumerate(words):
+            node, j = tree.get(w), i
+            while node is not None:
+                if None in node:
+                    out[node[None]] += 1
+                j += 1
+                node = node.get(words[j]) if j < len(words) else None
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 1000):
+                b = big.slice(k, 1000)
+                words = [plain_words_py(t or "") for t in b.column("chunk_text").to_pylist()]
+                found = [count(w) for w in words]
+                lists = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column("content_hash"), b.column("chunk_ix"), pa.array([len(w) for w in words], pa.int32()), *lists], ["content_hash", "chunk_ix", "dl", "phrases", "tfs"])
+
+    return run
+
+
+def _scorer(pairs: list[tuple[int, int, int]], idf: list[float], n_queries: int, avgdl: float, k1: float, b: float):
+    """Batches of phrase counts to batches of BM25 sums; ``pairs`` are (phrase, query, times), sorted."""
+    phrase, query, times = np.array(pairs, dtype=np.int64).T
+    weight = np.array(idf)
+    begin = np.searchsorted(phrase, np.arange(len(idf)))
+    size = np.searchsorted(phrase, np.arange(len(idf)), side="right") - begin
+    step = max(1, 200_000 // n_queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, step):
+                rows = big.slice(k, step)
+                held, tf = rows.column("phrases"), rows.column("tfs").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+                p, dl = held.flatten().to_numpy(zero_copy_only=False), rows.column("dl").to_numpy(zero_copy_only=False)[row]
+                part = weight[p] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                each = np.repeat(np.arange(len(p)), size[p])  # a phrase of a chunk, once for each query that asks it
+                at = begin[p][each] + np.arange(len(each)) - np.repeat(np.cumsum(size[p]) - size[p], size[p])
+                key = row[each] * n_queries + query[at]
+                sums = np.bincount(key, part[each] * times[at], rows.num_rows * n_queries)
+                met = np.flatnonzero(sums)
+                ends = pa.array(np.searchsorted(met, np.arange(rows.num_rows + 1) * n_queries), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((met % n_queries, pa.int32()), (sums[met], pa.float64()))]
+                yield pa.RecordBatch.from_arrays([rows.column("content_hash"), rows.column("chunk_ix"), *lists], ["content_hash", "chunk_ix", "qids", "scores"])
+
+    return run
+
+
+def matches(hits: DataFrame) -> DataFrame:
+    """(qid, matches): how many chunks each query met."""
+    return hits.groupBy("qid").agg(F.count("*").alias("matches"))
+
+
+def best(hits: DataFrame, most: int) -> DataFrame:
+    """The keyword leg of :func:`scored` hits, at most ``most`` for each query.
+
+    Whole points of score are counted first, so only hits that may be among
+    the best are sorted.
+    """
+    points = F.floor("score").cast("int")
+    n = hits.groupBy("qid", points.alias("_p")).agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("qid").orderBy(F.desc("_p"))
+    floor = n.withColumn("_sum", F.sum("_n").over(above)).groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("_sum") >= most, F.col("_p"))), F.lit(0)).alias("_floor"))
+    some = hits.join(F.broadcast(materialize(floor, "score-floors")), "qid").where(points >= F.col("_floor")).drop("_floor")  # a row for each query
+    return ranked(some.withColumn("cos", F.lit(None).cast("double")), FTS, [F.desc("score")], most)
+
+
+def placed(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """(id, bm25_rank, bm25_matches): the rank of each query's first gold chunk among :func:`scored` hits, and their number.
+
+    The rank is one more than the hits before it, so nothing is sorted.
+    """
+    order = F.struct((-F.col("score")).alias("s"), F.col("content_hash").alias("h"), F.col("chunk_ix").alias("i"))
+    wanted = broadcast_if_small(materialize(gold.select(F.col("id").alias("qid"), "content_hash", "chunk_ix").distinct(), "gold"), LABELLED)
+    first = hits.join(wanted, ["qid", "content_hash", "chunk_ix"]).groupBy("qid").agg(F.min(order).alias("_first"))
+    first = broadcast_if_small(materialize(first, "first-gold"), LABELLED)
+    before = F.count(F.when(order < F.col("_first"), 1))
+    near = hits.join(first, "qid", "left").groupBy(F.col("qid").alias("id"))
+    return near.agg(F.when(F.max(F.col("_first").isNotNull()), before + 1).cast("int").alias("bm25_rank"), F.count("*").alias("bm25_matches"))
+
+
 def first_rank(hits: DataFrame, targets: DataFrame, name: str = "rank") -> DataFrame:
     """(id, rank of the first target hit); ``hits`` is (qid, content_hash, chunk_ix, rank)."""
     return hits.withColumnRenamed("qid", "id").join(targets, ["id", "content_hash", "chunk_ix"]).groupBy("id").agg(F.min("rank").alias(name))
 
 
 def outcomes(queries: DataFrame, hybrid: DataFrame, keyword_only: DataFrame, ranking: DataFrame, gold: DataFrame, traps: DataFrame, pool: int) -> DataFrame:
-    """One row for each query with its ranks in every run, what stood next to it and one diagnosis."""
+    """One row for each query with its ranks in every run, what stood next to it and one diagnosis.
+
+    ``ranking`` is the keyword leg's whole ranking, or what :func:`placed` tells of it.
+    """
     rank = first_rank(hybrid, gold, "rank")
     degraded = first_rank(keyword_only, gold, "deg_rank")
     trap = first_rank(hybrid, traps, "trap_rank")
-    bm25 = first_rank(ranking.withColumnRenamed("leg_rank", "rank"), gold, "bm25_rank")
-    matches = ranking.groupBy(F.col("qid").alias("id")).agg(F.count("*").alias("bm25_matches"))
+    if "bm25_rank" in ranking.columns:
+        keyword = [ranking]
+    else:
+        keyword = [first_rank(ranking.withColumnRenamed("leg_rank", "rank"), gold, "bm25_rank"), ranking.groupBy(F.col("qid").alias("id")).agg(F.count("*").alias("bm25_matches"))]
     n_gold = gold.groupBy("id").agg(F.count("*").alias("n_gold"))
     docs = gold.select("id", "content_hash").distinct()
     other = hybrid.withColumnRenamed("qid", "id").join(docs, ["id", "content_hash"]).join(gold, ["id", "content_hash", "chunk_ix"], "left_anti")
     neighbour = other.groupBy("id").agg(F.min("rank").alias("neighbour_rank"))
     out = queries
-    for part in (n_gold, rank, degraded, bm25, matches, neighbour, trap):
+    for part in (n_gold, rank, degraded, *keyword, neighbour, trap):
         out = out.join(part, "id", "left")
     out = out.na.fill(0, ["n_gold", "bm25_matches"])
     return out.withColumn("diagnosis", diagnosis(pool))
@@ -132,9 +269,13 @@ def coverage(results: DataFrame) -> DataFrame:
 
 def selectivity(ranking: DataFrame) -> DataFrame:
     """The upper median of how many chunks each query's keywords matched."""
-    n = ranking.groupBy("qid").agg(F.count("*").alias("n"))
-    place = n.withColumn("_i", F.row_number().over(Window.orderBy("n", "qid")) - 1).withColumn("_c", F.count("*").over(Window.partitionBy()))
-    return place.where(F.col("_i") == F.floor(F.col("_c") / 2)).select(F.col("n").alias("median_matches"))
+    return median_of(matches(ranking))
+
+
+def median_of(found: DataFrame) -> DataFrame:
+    """The upper median of :func:`matches`."""
+    place = found.withColumn("_i", F.row_number().over(Window.orderBy("matches", "qid")) - 1).withColumn("_c", F.count("*").over(Window.partitionBy()))
+    return place.where(F.col("_i") == F.floor(F.col("_c") / 2)).select(F.col("matches").alias("median_matches"))
 
 
 def labels(results: DataFrame) -> DataFrame:
