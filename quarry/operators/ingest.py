@@ -44,14 +44,15 @@ def compose(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.length("text") > 0).select("path", content_hash(F.col("text")).alias("content_hash"), "mtime", artifact_time(F.col("text"), F.col("mtime")).alias("ts"), "text")
 
 
-def new_chunks(contents: DataFrame, chunks: DataFrame, model_id: str = NO_MODEL, lines: int = CHUNK_LINES) -> DataFrame:
+def new_chunks(contents: DataFrame, chunks: DataFrame, model_id: str = NO_MODEL, lines: int = CHUNK_LINES, deal: bool = True) -> DataFrame:
     """Chunks of the contents of which ``chunks`` has none under ``model_id``; each content once.
 
-    Contents are dealt out by their hash, so that a few large files are worked on by all tasks.
+    Contents are dealt out by their hash, so that a few large files are worked
+    on by all tasks; not so with ``deal=False``, for a table of small row groups.
     """
     known = chunks.where(F.col("model_id") == model_id).select("content_hash").distinct()
     fresh = distinct_by(contents.select("content_hash", "text"), ["content_hash"]).join(known, "content_hash", "left_anti")
-    out = chunk(fresh.repartition("content_hash"), lines)
+    out = chunk(fresh.repartition("content_hash") if deal else fresh, lines)
     return out.select("content_hash", F.lit(model_id).alias("model_id"), "chunk_ix", "chunk_text", F.lit(None).cast("array<float>").alias("embedding"))
 
 
@@ -253,4 +254,5 @@ def parse_mark(line: str) -> tuple[str, int] | None:
 
 
 def empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """A table without rows, which the planner knows, so that a join with it shuffles nothing."""
+    return spark.createDataFrame([], schema).where("false")

@@ -8,10 +8,13 @@ chunk_ix, leg, leg_rank, cos).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -206,26 +209,41 @@ def literal_leg_stored(words: DataFrame, chunks: DataFrame, queries: dict[str, s
 
 
 def postings(chunks: DataFrame, tokens: Callable[[Column], Column] = plain_words, only: list[str] | None = None) -> DataFrame:
-    """(term, content_hash, chunk_ix, positions, tf, dl): the inverted index of the distinct chunks.
+    """(term, content_hash, chunk_ix, dl, positions, tf): the inverted index of the distinct chunks.
 
     ``only`` restricts it to some terms, so that a scan without a stored index
     makes no more than the queries need. A chunk is one row, so its places are
     sorted and cut by term within it and no token is shuffled.
     """
+    ship(chunks.sparkSession)
     words = distinct_chunks(chunks).select("content_hash", "chunk_ix", tokens(F.col("chunk_text")).alias("w"))
-    placed = F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    if only is not None:
-        placed = F.filter(placed, lambda x: x["term"].isin(only))
-
-    def entries(s: Column) -> Column:
-        first = F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i))
-        return let(F.filter(first, lambda i: i.isNotNull()), lambda f: F.transform(f, lambda i, n: entry(s, i, F.coalesce(F.get(f, n + 1), F.size(s)))))
-
-    def entry(s: Column, start: Column, end: Column) -> Column:
-        return F.struct(F.get(s, start)["term"].alias("term"), F.transform(F.slice(s, start + 1, end - start), lambda x: x["at"]).alias("positions"))
-
-    rows = words.select("content_hash", "chunk_ix", F.size("w").alias("dl"), F.inline(let(F.sort_array(placed), entries)))
-    return rows.select("term", "content_hash", "chunk_ix", "dl", "positions", F.size("positions").alias("tf"))
+    return words.mapInArrow(_inverted(only), "term string, content_hash string, chunk_ix int, dl int, positions array<int>, tf int")
+
+
+def _inverted(only: list[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of chunks with their words to batches of postings; words are sorted as numbers of a dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else pa.array(only, pa.string())
+        for big in batches:
+            for k in range(0, big.num_rows, 500):
+                b = big.slice(k, 500)
+                size = pc.fill_null(pc.list_value_length(b.column("w")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = b.column("w").flatten().cast(pa.string()).dictionary_encode()
+                row, code = np.repeat(np.arange(len(size)), size), words.indices.to_numpy(zero_copy_only=False)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                if wanted is not None:
+                    kept = pc.is_in(words.dictionary, value_set=wanted).to_numpy(zero_copy_only=False)[code]
+                    row, code, at = row[kept], code[kept], at[kept]
+                key = row * len(words.dictionary) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                row, code, ends = row[order][first], code[order][first], np.append(first, len(order))
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+                held = b.select(["content_hash", "chunk_ix"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code)), held.column("content_hash"), held.column("chunk_ix"), pa.array(size[row], pa.int32()), places, pa.array(np.diff(ends), pa.int32())], ["term", "content_hash", "chunk_ix", "dl", "positions", "tf"])
+
+    return run
 
 
 def chunk_terms(chunks: DataFrame, tokens: Callable[[Column], Column] = plain_words) -> DataFrame:

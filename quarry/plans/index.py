@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.words import plain_words, plain_words_py, porter_udf, porter_words
 from quarry.operators import ingest, notes, search
-from quarry.plans.store import Conflict, Store, bucket_of
+from quarry.plans.store import OPTIONS, SEGMENT, Conflict, Store, bucket_of
 from quarry.schema import DEAD, NO_MODEL
-from quarry.storage import broadcast_if_small, materialize
+from quarry.storage import broadcast_if_small, delete, materialize, recording, small_splits
 
 #: Paths and contents of a run are broadcast up to this many (about 80 bytes each), else joined by a shuffle.
 BROADCAST_CONTENTS = 200_000
@@ -48,7 +48,8 @@ def index(store: Store, scanned: DataFrame, authority: set[str], folder: str = "
     at = store.pointer()
     if "readable" not in scanned.columns:
         scanned = scanned.withColumn("readable", F.col("text").isNotNull())
-    contents = materialize(ingest.compose(scanned.where("readable")), "index-contents")
+    with recording() as texts:
+        contents = materialize(ingest.compose(scanned.where("readable")), "index-contents", **OPTIONS)
     extra = {} if captures is None else {"note": notes.one_each(notes.project(captures))}
     if incremental and "ref" in at["tables"]:
         return _increment(store, at, contents, embed, model_id, mark, extra)
@@ -60,11 +61,13 @@ def index(store: Store, scanned: DataFrame, authority: set[str], folder: str = "
     rights = set() if incremental else authority
     gone = ingest.retired(source, seen, rights, folder).select("path")
     after = materialize(ingest.upsert(source.join(gone, "path", "left_anti"), contents.drop("text")), "index-source")
-    fresh = ingest.new_chunks(contents, chunks, model_id)
-    if embed is not None:
-        fresh = fresh.withColumn("embedding", embed(F.col("chunk_text")))
-    fresh = materialize(ingest.collect_garbage(fresh, after), "index-fresh")
     n_gone = gone.count()
+    with small_splits(store.spark, SEGMENT):
+        fresh = ingest.new_chunks(contents, chunks, model_id, deal=False)
+        if embed is not None:
+            fresh = fresh.withColumn("embedding", embed(F.col("chunk_text")))
+        fresh = materialize(ingest.collect_garbage(fresh, after), "index-fresh", **OPTIONS)
+    delete(store.spark, texts)  # all that follows reads the chunks
     old = materialize(chunks.select("content_hash").distinct(), "index-known")
     garbage = bool(at["tables"].get("dead")) or not old.join(after, "content_hash", "left_anti").isEmpty()
     changes = keyword_index(store, at, old, fresh, after if garbage else None)
@@ -109,10 +112,11 @@ def _increment(store: Store, at: dict, contents: DataFrame, embed, model_id: str
 
     stored = store._appended("chunk", at)
     ever = materialize(_of(stored, need).select("content_hash", "model_id").distinct(), "index-known")
-    fresh = ingest.new_chunks(contents, ever, model_id)
-    if embed is not None:
-        fresh = fresh.withColumn("embedding", embed(F.col("chunk_text")))
-    fresh = materialize(fresh, "index-fresh")
+    with small_splits(spark, SEGMENT):
+        fresh = ingest.new_chunks(contents, ever, model_id, deal=False)
+        if embed is not None:
+            fresh = fresh.withColumn("embedding", embed(F.col("chunk_text")))
+        fresh = materialize(fresh, "index-fresh", **OPTIONS)
     changes = keyword_index(store, at, ever.select("content_hash").distinct(), fresh, None)
     cut = porter_udf() if store.stemmed else plain_words
     counted = lambda hashes, sign: search.distinct_chunks(_of(stored, hashes)).select(F.size(cut(F.col("chunk_text"))).alias("dl")).agg((sign * F.count("*")).alias("n"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("total"))
@@ -138,26 +142,30 @@ def keyword_index(store: Store, at: dict, old: DataFrame, fresh: DataFrame, sour
     """
     added = fresh.join(old, "content_hash", "left_anti")
     cut = porter_udf() if store.stemmed else plain_words
-    posting = materialize(search.postings(added, cut), "index-posting")
-    word = materialize(search.raw_words(added), "index-word")
-    gram = search.word_grams(word)
+    posting, word = search.postings(added, cut), search.raw_words(added)
     lengths = search.distinct_chunks(added).select(F.size(cut(F.col("chunk_text"))).alias("dl"))
+    new = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
     if source is None:
-        before = store.read("stat", at).select("n", "total")
-        stat = before.unionByName(lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        return {"posting": posting, "word": word, "gram": gram, "stat": stat}
-    posting = ingest.collect_garbage(store.read("posting", at), source).unionByName(posting)
-    word = materialize(ingest.collect_garbage(store.read("word", at), source).unionByName(word), "index-words")
+        stat = store.read("stat", at).select("n", "total").unionByName(new).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return {"posting": posting, "word": word, "gram": _grams(word), "stat": stat}
+    kept = ingest.collect_garbage(store.read("posting", at), source)
+    word = ingest.collect_garbage(store.read("word", at), source).unionByName(word)
     live = ingest.collect_garbage(store.read("chunk", at).select("content_hash", "chunk_ix"), source).unionByName(fresh.select("content_hash", "chunk_ix"))
     n = live.agg(F.count_distinct("content_hash", "chunk_ix").alias("n"))
-    return {"posting": posting, "word": word, "gram": search.word_grams(word), "stat": n.crossJoin(posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))}
+    total = kept.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).unionByName(new.select("total")).agg(F.sum("total").alias("total"))
+    return {"posting": kept.unionByName(posting), "word": word, "gram": _grams(word), "stat": n.crossJoin(total)}
+
+
+def _grams(word: DataFrame) -> DataFrame:
+    """The grams of the words' vocabulary, which alone is written."""
+    return search.word_grams(materialize(word.select("word").distinct(), "index-vocabulary", **OPTIONS))
 
 
 def rebuilt(store: Store) -> str:
     """Build the keyword tables of all chunks anew, as after a merge."""
     at = store.pointer()
     chunks = store.read("chunk", at)
-    none = store.spark.createDataFrame([], "content_hash string")
+    none = ingest.empty(store.spark, "content_hash string")
     return store.commit(at=at, reads=("chunk",), **keyword_index(store, {"tables": {}}, none, search.distinct_chunks(chunks), None))
 
 

@@ -31,12 +31,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from quarry.operators.ingest import empty
 from quarry.schema import CHUNK, DEAD, GRAMS, NOTE, NOTE_EVENT, POSTING, REF, SOURCE, STAT, WORD
-from quarry.storage import broadcast_if_small, materialize
+from quarry.storage import broadcast_if_small, materialize, small_splits
 
 TABLES = {"chunk": CHUNK, "source": SOURCE, "note": NOTE, "note_event": NOTE_EVENT, "posting": POSTING, "word": WORD, "gram": GRAMS, "stat": STAT}
 #: Tables that are looked up by these columns are written in their order, so that a filter skips files and row groups.
-SORTED = {"chunk": ["content_hash", "chunk_ix"], "posting": ["term", "content_hash"], "word": ["word", "content_hash"], "gram": ["gram", "word"]}
+SORTED = {"chunk": ["content_hash", "chunk_ix"]}
+#: Tables of a row for each word of a chunk or gram of a word: each task writes a segment of the chunks or words that it
+#: reads, in the order of these columns, so that no such row is shuffled and the few contents of a segment stand once in
+#: its dictionary.
+SEGMENTS = {"posting": ["term", "content_hash"], "word": ["word", "content_hash"], "gram": ["gram", "word"]}
+#: Bytes of chunks in a segment, and of their row groups.
+SEGMENT = 4 << 20
+OPTIONS = {"compression": "zstd", "parquet.block.size": str(SEGMENT)}
 #: Tables that other tables' keys lead to; a snapshot makes its own.
 INTERNAL = {"ref": REF, "dead": DEAD}
 #: Bucketed tables: by which column a row's bucket is told, and of which columns one row counts.
@@ -141,7 +149,7 @@ class Store:
         """The rows of all folders, of withdrawn contents too."""
         schema, folders = self._schema(table), at["tables"].get(table, [])
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders])
 
     def dead(self, at: dict) -> DataFrame:
@@ -151,7 +159,7 @@ class Store:
     def _kept(self, table: str, folders: list[str]) -> DataFrame:
         """The stored rows of a keyed table's folders."""
         schema = StructType([*self._schema(table).fields, StructField("seq", LongType()), StructField("gone", BooleanType())])
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else empty(self.spark, schema)
 
     def merged(self, table: str, at: dict, buckets: set[int] | None = None) -> DataFrame:
         """The rows of a keyed table that count, of some buckets only or of all; buckets without deltas are read as they are."""
@@ -179,8 +187,12 @@ class Store:
             return self._write_buckets(version, name, out.withColumns({"seq": F.lit(0).cast("long"), "gone": F.lit(False)}))
         if name in SORTED:
             out = out.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
+        if name in SEGMENTS:
+            out = out.sortWithinPartitions(*SEGMENTS[name])
         folder = f"{version}/{name}"
-        (out.write.partitionBy("model_id") if name == "chunk" else out.write).parquet(f"{self.path}/{folder}")
+        write = out.write.options(**OPTIONS)
+        with small_splits(self.spark, SEGMENT):
+            (write.partitionBy("model_id") if name == "chunk" else write).parquet(f"{self.path}/{folder}")
         return [folder]
 
     def _write_buckets(self, version: str, name: str, rows: DataFrame, delta: bool = False) -> list[str]:
