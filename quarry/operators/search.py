@@ -115,13 +115,15 @@ def literal_leg(chunks: DataFrame, queries: dict[str, str], most: int | None = P
     every = sorted({t for ts in terms.values() for t in ts})
     if len(every) > TERMS_AT_ONCE:
         return literal_leg_stored(raw_words(chunks), chunks, queries, most)
-    weight = dict(zip(every, term_weights(chunks, every), strict=True))
-    low = ascii_lower(F.col("chunk_text"))
-    held = {t: F.when(F.contains(low, F.lit(t)), F.lit(w)).otherwise(F.lit(0.0)) for t, w in weight.items() if w}
+    # The texts are read once; what a chunk holds is a flag for each term.
+    low = chunks.select("content_hash", "chunk_ix", ascii_lower(F.col("chunk_text")).alias("_low"))
+    flags = materialize(low.select("content_hash", "chunk_ix", *[F.contains("_low", F.lit(t)).alias(f"_t{i}") for i, t in enumerate(every)]), "literal-flags")
+    row = flags.agg(F.count("*"), *[F.sum(F.col(f"_t{i}").cast("long")) for i in range(len(every))]).first()
+    held = {t: F.when(F.col(f"_t{i}"), F.lit(1.0 / df)).otherwise(F.lit(0.0)) for i, (t, df) in enumerate(zip(every, row[1:], strict=True)) if df and df < row[0]}
     scores = [F.struct(F.lit(q).alias("qid"), sum((held[t] for t in ts if t in held), F.lit(0.0)).alias("score")) for q, ts in terms.items()]
     if not scores:
         return spark.createDataFrame([], "qid string, content_hash string, chunk_ix int, leg int, leg_rank int, cos double")
-    hits = distinct_chunks(chunks).select("content_hash", "chunk_ix", F.inline(F.filter(F.array(*scores), lambda s: s["score"] > 0)))
+    hits = distinct_chunks(flags).select("content_hash", "chunk_ix", F.inline(F.filter(F.array(*scores), lambda s: s["score"] > 0)))
     return ranked(hits.withColumn("cos", F.lit(None).cast("double")), LIT, [F.desc("score")], most)
 
 
@@ -269,7 +271,7 @@ def keyword_leg(index: DataFrame, stats: DataFrame, queries: dict[str, str], mos
     spark = index.sparkSession
     rows = [(q, n, len(p), i, t) for q, text in queries.items() for n, p in enumerate(phrases(text, tokens)) for i, t in enumerate(p)]
     asked = F.broadcast(spark.createDataFrame(rows, "qid string, phrase int, length int, offset int, term string"))
-    found = index.join(asked, "term")
+    found = materialize(index.join(asked, "term"), "keyword-hits")  # read four times below
     one = found.where("length = 1").select("qid", "phrase", "content_hash", "chunk_ix", "dl", "tf")
     starts = F.transform("positions", lambda p: p - F.col("offset"))
     many = found.where("length > 1").groupBy("qid", "phrase", "length", "content_hash", "chunk_ix", "dl").agg(F.collect_list(starts).alias("s"))
