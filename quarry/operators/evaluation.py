@@ -12,8 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.words import plain_words_py
-from quarry.operators.search import B, FTS, K1, distinct_chunks, keyword_leg, phrases, ranked, word_grams, words_holding
+from quarry.operators.search import B, FTS, K1, SUMS, distinct_chunks, each_query, keyword_leg, phrases, query_sums, ranked, rows_at_once, word_grams, words_holding
 from quarry.session import ship
 from quarry.storage import broadcast_if_small, materialize
 
@@ -92,7 +91,8 @@ def scored(chunks: DataFrame, queries: dict[str, str], k1: float = K1, b: float
     A query of common words meets most chunks, so nothing is shuffled for each
     pair of the two: the phrases of all queries are counted chunk by chunk,
     and with their document frequencies each chunk's scores are summed where
-    it lies. A written row holds a chunk's scores of all queries. Queries and
+    it lies. A written row holds a chunk's counts, which are far fewer than its
+    scores; these are made again by each reader and never written. Queries and
     chunks are cut into plain words.
     """
     spark = chunks.sparkSession
@@ -103,58 +103,60 @@ def scored(chunks: DataFrame, queries: dict[str, str], k1: float = K1, b: float
     names = list(queries)
     ship(spark)
     places = distinct_chunks(chunks).select("content_hash", "chunk_ix", "chunk_text").mapInArrow(_counter(list(every)), "content_hash string, chunk_ix int, dl int, phrases array<int>, tfs array<int>")
-    counted = materialize(places, "phrase-counts")
+    counted = materialize(places, "phrase-counts", compression="zstd")
     n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
     df = dict(map(tuple, counted.select(F.explode("phrases").alias("p")).groupBy("p").count().collect()))  # of the labelled set's phrases
     idf = [max(math.log((n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)), 1e-6) for i in range(len(every))]
     at = {q: i for i, q in enumerate(names)}
-    pairs = sorted(Counter((every[p], at[q]) for q, p in cut).items())
-    summed = counted.where(F.size("phrases") > 0).mapInArrow(_scorer([(p, q, times) for (p, q), times in pairs], idf, len(names), avgdl, k1, b), "content_hash string, chunk_ix int, qids array<int>, scores array<double>")
-    summed = materialize(summed, "chunk-scores")
-    each = summed.select("content_hash", "chunk_ix", F.inline(F.arrays_zip(F.col("qids").alias("_q"), F.col("scores").alias("score"))))
-    return each.join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "_q int, qid string")), "_q").select("qid", "content_hash", "chunk_ix", F.round("score", 9).alias("score"))
+    pairs = [(p, q, times) for (p, q), times in Counter((every[p], at[q]) for q, p in cut).items()]
+    return each_query(counted.where(F.size("phrases") > 0).mapInArrow(_scorer(pairs, idf, len(names), avgdl, k1, b), SUMS), names)
 
 
 def _counter(asked: list[tuple[str, ...]]):
-    """Batches of chunks to batches of their sizes and of how often each phrase stands in them."""
-    # A tree of words; under None is the number of the phrase that ends there.
-    tree: dict = {}
-    for i, p in enumerate(asked):
-        node = tree
-        for t in p:
-            node = node.setdefault(t, {})
-        node[None] = i
-
-    def count(words: list[str]) -> Counter:
-        out: Counter = Counter()
-        for i, w in enumerate(words):
-            node, j = tree.get(w), i
-            while node is not None:
-                if None in node:
-                    out[node[None]] += 1
-                j += 1
-                node = node.get(words[j]) if j < len(words) else None
-        return out
+    """Batches of chunks to batches of their sizes and of how often each phrase stands in them.
+
+    Words are numbers of the phrases' own words; where a phrase's first word stands, the next ones are compared.
+    """
+    vocabulary = sorted({t for p in asked for t in p})
+    number = {t: i for i, t in enumerate(vocabulary)}
+    size, longest = np.array([len(p) for p in asked]), max(map(len, asked))
+    table = np.array([[number[t] for t in p] + [-1] * (longest - len(p)) for p in asked])
+    order = np.argsort(table[:, 0], kind="stable")
+    begin = np.searchsorted(table[order, 0], np.arange(len(vocabulary)))
+    count = np.searchsorted(table[order, 0], np.arange(len(vocabulary)), side="right") - begin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
         for big in batches:
             for k in range(0, big.num_rows, 1000):
                 b = big.slice(k, 1000)
-                words = [plain_words_py(t or "") for t in b.column("chunk_text").to_pylist()]
-                found = [count(w) for w in words]
-                lists = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column("content_hash"), b.column("chunk_ix"), pa.array([len(w) for w in words], pa.int32()), *lists], ["content_hash", "chunk_ix", "dl", "phrases", "tfs"])
+                n = b.num_rows
+                words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column("chunk_text").cast(pa.string()), "")), "[^a-z0-9]+")
+                full = pc.not_equal(words.flatten(), "")
+                row = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
+                word = pc.fill_null(pc.index_in(words.flatten().filter(full), value_set=known), -1).to_numpy(zero_copy_only=False)
+                place = np.flatnonzero(word >= 0)
+                first = word[place]
+                each = np.repeat(np.arange(len(place)), count[first])  # a place, once for each phrase that begins with its word
+                phrase = order[begin[first][each] + np.arange(len(each)) - np.repeat(np.cumsum(count[first]) - count[first], count[first])]
+                place = place[each]
+                for j in range(1, longest):
+                    same = size[phrase] <= j
+                    inside = np.flatnonzero(~same & (place + j < len(word)))
+                    at = place[inside] + j
+                    same[inside] = (row[at] == row[place[inside]]) & (word[at] == table[phrase[inside], j])
+                    place, phrase = place[same], phrase[same]
+                key, tf = np.unique(row[place] * len(asked) + phrase, return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(n + 1) * len(asked)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % len(asked), tf)]
+                yield pa.RecordBatch.from_arrays([b.column("content_hash"), b.column("chunk_ix"), pa.array(np.bincount(row, minlength=n), pa.int32()), *lists], ["content_hash", "chunk_ix", "dl", "phrases", "tfs"])
 
     return run
 
 
 def _scorer(pairs: list[tuple[int, int, int]], idf: list[float], n_queries: int, avgdl: float, k1: float, b: float):
-    """Batches of phrase counts to batches of BM25 sums; ``pairs`` are (phrase, query, times), sorted."""
-    phrase, query, times = np.array(pairs, dtype=np.int64).T
-    weight = np.array(idf)
-    begin = np.searchsorted(phrase, np.arange(len(idf)))
-    size = np.searchsorted(phrase, np.arange(len(idf)), side="right") - begin
-    step = max(1, 200_000 // n_queries)
+    """Batches of phrase counts to batches of BM25 sums; ``pairs`` are (phrase, query, times)."""
+    sums, weight, step = query_sums(pairs, len(idf), n_queries), np.array(idf), rows_at_once(n_queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -164,14 +166,7 @@ def _scorer(pairs: list[tuple[int, int, int]], idf: list[float], n_queries: int,
                 row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))
                 p, dl = held.flatten().to_numpy(zero_copy_only=False), rows.column("dl").to_numpy(zero_copy_only=False)[row]
                 part = weight[p] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-                each = np.repeat(np.arange(len(p)), size[p])  # a phrase of a chunk, once for each query that asks it
-                at = begin[p][each] + np.arange(len(each)) - np.repeat(np.cumsum(size[p]) - size[p], size[p])
-                key = row[each] * n_queries + query[at]
-                sums = np.bincount(key, part[each] * times[at], rows.num_rows * n_queries)
-                met = np.flatnonzero(sums)
-                ends = pa.array(np.searchsorted(met, np.arange(rows.num_rows + 1) * n_queries), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((met % n_queries, pa.int32()), (sums[met], pa.float64()))]
-                yield pa.RecordBatch.from_arrays([rows.column("content_hash"), rows.column("chunk_ix"), *lists], ["content_hash", "chunk_ix", "qids", "scores"])
+                yield pa.RecordBatch.from_arrays([rows.column("content_hash"), rows.column("chunk_ix"), *sums(rows.num_rows, row, p, part)], ["content_hash", "chunk_ix", "qids", "scores"])
 
     return run
 

@@ -114,7 +114,7 @@ def literal_leg(chunks: DataFrame, queries: dict[str, str], most: int | None = P
     terms = {q: literal_terms(text) for q, text in queries.items()}
     every = sorted({t for ts in terms.values() for t in ts})
     if len(every) > TERMS_AT_ONCE:
-        return literal_leg_stored(raw_words(chunks), chunks, queries, most)
+        return _literal_leg_of_many(chunks, terms, every, most)
     # The texts are read once; what a chunk holds is a flag for each term.
     low = chunks.select("content_hash", "chunk_ix", ascii_lower(F.col("chunk_text")).alias("_low"))
     flags = materialize(low.select("content_hash", "chunk_ix", *[F.contains("_low", F.lit(t)).alias(f"_t{i}") for i, t in enumerate(every)]), "literal-flags")
@@ -127,6 +127,142 @@ def literal_leg(chunks: DataFrame, queries: dict[str, str], most: int | None = P
     return ranked(hits.withColumn("cos", F.lit(None).cast("double")), LIT, [F.desc("score")], most)
 
 
+def _literal_leg_of_many(chunks: DataFrame, terms: dict[str, list[str]], every: list[str], most: int | None) -> DataFrame:
+    """:func:`literal_leg` of many queries, scored where the chunks lie.
+
+    A written row holds the numbers of a chunk's terms; what a query makes of
+    them is summed from that row, so no pair of a chunk and a term, a word or a
+    query is shuffled or written.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    held = chunks.select("content_hash", "chunk_ix", "chunk_text").mapInArrow(_holder(every), "content_hash string, chunk_ix int, terms array<int>")
+    held = materialize(held, "literal-held", compression="zstd")
+    n = held.count()
+    df = dict(map(tuple, held.select(F.explode("terms").alias("t")).groupBy("t").count().collect()))  # of the batch's terms
+    weight = [1.0 / df[i] if 0 < df.get(i, 0) < n else 0.0 for i in range(len(every))]
+    number = {t: i for i, t in enumerate(every)}
+    pairs = [(number[t], q, 1) for q, ts in enumerate(terms.values()) for t in ts]
+    summed = distinct_chunks(held.where(F.size("terms") > 0)).mapInArrow(_weigher(pairs, weight, len(terms)), SUMS)
+    return ranked(each_query(summed, list(terms)).withColumn("cos", F.lit(None).cast("double")), LIT, [F.desc("score")], most)
+
+
+def _holder(terms: list[str]):
+    """Batches of chunks to batches of the numbers of the terms that each holds.
+
+    Terms are of three bytes at least. Where the first three bytes of one, or
+    six of a longer one, stand in the folded texts, the rest is compared.
+    """
+    raw = [t.encode() for t in terms]
+    size, width = np.array([len(t) for t in raw]), max(map(len, raw))
+    table = np.array([list(t.ljust(width, b"\0")) for t in raw], np.uint8)
+    fold = np.arange(256, dtype=np.uint8)
+    fold[ord("A") : ord("Z") + 1] += 32
+    flag = lambda code: (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    leads = []
+    for n, own in ((3, np.flatnonzero(size < 6)), (6, np.flatnonzero(size >= 6))):
+        lead = np.array([int.from_bytes(raw[i][:n], "little") for i in own], np.uint64)
+        order = np.argsort(lead, kind="stable")
+        codes, begin, count = np.unique(lead[order], return_index=True, return_counts=True)
+        flags = np.zeros(1 << 20, bool)
+        flags[flag(codes)] = True
+        if len(own):
+            leads.append((n, own[order], codes, begin, count, flags))
+    window = 1 << 18
+
+    def starts(text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of terms that begin in the first ``window`` bytes, with the terms."""
+        wide = text.astype(np.uint64)
+        three = wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)
+        for n, own, codes, begin, count, flags in leads:
+            code = (three if n == 3 else three[:-3] | three[3:] << np.uint64(24))[:window]
+            place = np.flatnonzero(flags[flag(code)])
+            lead = np.minimum(np.searchsorted(codes, code[place]), len(codes) - 1)
+            same = codes[lead] == code[place]
+            place, lead = place[same], lead[same]
+            each = np.repeat(np.arange(len(place)), count[lead])  # a place, once for each term with that lead
+            term = own[begin[lead][each] + np.arange(len(each)) - np.repeat(np.cumsum(count[lead]) - count[lead], count[lead])]
+            place = place[each]
+            inside = place + size[term] <= len(text)
+            place, term = place[inside], term[inside]
+            for k in range(n, width):
+                same = size[term] <= k
+                if same.all():
+                    break
+                same[~same] = text[place[~same] + k] == table[term[~same], k]
+                place, term = place[same], term[same]
+            yield place, term
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.fill_null(b.column("chunk_text"), "").cast(pa.binary())
+            at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            keys = [np.zeros(0, np.int64)]
+            for w in range(at[0], at[-1], window):
+                text = fold[data[w : min(w + window + width, at[-1])]]
+                for place, term in starts(text) if len(text) >= 6 else starts(np.append(text, np.zeros(6, np.uint8))):
+                    row = np.searchsorted(at, place + w, "right") - 1
+                    whole = place + w + size[term] <= at[row + 1]
+                    keys.append(np.unique(row[whole] * len(raw) + term[whole]))
+            key = np.unique(np.concatenate(keys))
+            ends = pa.array(np.searchsorted(key, np.arange(len(texts) + 1) * len(raw)), pa.int32())
+            held = pa.ListArray.from_arrays(ends, pa.array(key % len(raw), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("content_hash"), b.column("chunk_ix"), held], ["content_hash", "chunk_ix", "terms"])
+
+    return run
+
+
+#: What :func:`query_sums` makes of a chunk: the numbers of its queries and their scores.
+SUMS = "content_hash string, chunk_ix int, qids array<int>, scores array<double>"
+
+
+def query_sums(pairs: list[tuple[int, int, int]], n_items: int, n_queries: int):
+    """A function of (rows, row, item, value), arrays of what each row holds, to lists of each row's queries and their sums above 0.
+
+    ``pairs`` are (item, query, times).
+    """
+    of, query, times = np.array(sorted(pairs), dtype=np.int64).T
+    begin = np.searchsorted(of, np.arange(n_items))
+    size = np.searchsorted(of, np.arange(n_items), side="right") - begin
+
+    def run(rows: int, row: np.ndarray, item: np.ndarray, value: np.ndarray) -> list[pa.Array]:
+        each = np.repeat(np.arange(len(item)), size[item])  # an item of a row, once for each query that asks it
+        at = begin[item][each] + np.arange(len(each)) - np.repeat(np.cumsum(size[item]) - size[item], size[item])
+        sums = np.bincount(row[each] * n_queries + query[at], value[each] * times[at], rows * n_queries)
+        met = np.flatnonzero(sums)
+        ends = pa.array(np.searchsorted(met, np.arange(rows + 1) * n_queries), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((met % n_queries, pa.int32()), (sums[met], pa.float64()))]
+
+    return run
+
+
+def rows_at_once(n_queries: int) -> int:
+    """How many chunks :func:`query_sums` is given, so that its table of sums stays small."""
+    return max(1, 200_000 // n_queries)
+
+
+def _weigher(pairs: list[tuple[int, int, int]], weight: list[float], n_queries: int):
+    """Batches of :func:`_holder` to batches of ``SUMS``."""
+    sums, each, step = query_sums(pairs, len(weight), n_queries), np.array(weight), rows_at_once(n_queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, step):
+                b = big.slice(k, step)
+                term = b.column("terms").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column("content_hash"), b.column("chunk_ix"), *sums(b.num_rows, row, term, each[term])], ["content_hash", "chunk_ix", "qids", "scores"])
+
+    return run
+
+
+def each_query(summed: DataFrame, names: list[str]) -> DataFrame:
+    """(qid, content_hash, chunk_ix, score) of ``SUMS``; rounded, so that sums in another order are alike."""
+    each = summed.select("content_hash", "chunk_ix", F.inline(F.arrays_zip(F.col("qids").alias("_q"), F.col("scores").alias("score"))))
+    return each.join(F.broadcast(summed.sparkSession.createDataFrame(list(enumerate(names)), "_q int, qid string")), "_q").select("qid", "content_hash", "chunk_ix", F.round("score", 9).alias("score"))
+
+
 def raw_words(chunks: DataFrame) -> DataFrame:
     """(word, content_hash, chunk_ix): each chunk's distinct blank-separated words, folded.
 
